@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from quotemill.catalog import base
-from quotemill.catalog import price_queries  # noqa: F401
+from quotemill.catalog import (  # noqa: F401
+    evaluation_queries,
+    job_queries,
+    news_queries,
+    price_queries,
+)
 
 
 def queries():

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tags replaced by a space. An opening tag may carry anything up to its bracket, so
 # it also covers longer tag names with the same beginning; a closing tag must match exactly.
@@ -48,7 +49,7 @@ MARKDOWN_PATTERNS = [
 ]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

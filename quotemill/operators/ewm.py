@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.operators.series import Series
+from quotemill.operators.series import BLOCK_ROWS, Series, numbered
 
 # exp() of this stays far from overflow; weights below exp(-FORGOTTEN) are under double precision.
 LARGEST_EXPONENT = 300.0
@@ -55,19 +55,17 @@ def from_span(column: str, span: int, missing: str = "never") -> Ewm:
 
 
 def with_ewm(df: DataFrame, series: Series, outputs: dict[str, Ewm]) -> DataFrame:
-    """Add the average ``outputs[name]`` as column ``name``, all in one pass over the series."""
+    """Add the average ``outputs[name]`` as column ``name``, all in one pass over the series.
+
+    A series that is not :func:`numbered` yet is numbered here.
+    """
     keep = df.columns
     fastest = max(spec.alpha for spec in outputs.values())
-    block_rows = int(LARGEST_EXPONENT / -math.log(1.0 - fastest))
-    at = (F.row_number().over(series.window()) - 1).cast("bigint")
-    df = df.withColumn("_at", at)
-    df = df.withColumns(
-        {
-            "_block": F.floor(F.col("_at") / block_rows).cast("int"),
-            "_off": (F.col("_at") % block_rows).cast("double"),
-        }
-    )
-    whole = Window.partitionBy(*series.by).orderBy("_block", "_at")
+    longest = int(LARGEST_EXPONENT / -math.log(1.0 - fastest))
+    df, series = numbered(df, series, min(longest, BLOCK_ROWS))
+    block_rows = series.block_rows
+    df = df.withColumn("_off", (F.col("_at") % block_rows).cast("double"))
+    whole = series.window()
     running = Window.partitionBy(*series.by, "_block").orderBy("_at").rowsBetween(
         Window.unboundedPreceding, 0
     )
@@ -105,19 +103,22 @@ def with_ewm(df: DataFrame, series: Series, outputs: dict[str, Ewm]) -> DataFram
     # Stage 4: what earlier blocks carry into this one.
     carries: dict[str, Column] = {}
     for name, spec in outputs.items():
-        end = F.struct(F.col(f"_in_{name}").alias("value"), _block_decay(name, spec).alias("decay"))
         for back in range(1, _blocks_back(spec, block_rows) + 1):
-            carries[f"_carry_{name}_{back}"] = F.max_by(end, F.col("_at")).over(
-                by_block.rangeBetween(-back, -back)
-            )
+            frame = by_block.rangeBetween(-back, -back)
+            end = F.max_by(F.col(f"_in_{name}"), F.col("_at")).over(frame)
+            carries[f"_carry_{name}_{back}"] = end
+            if back < _blocks_back(spec, block_rows):
+                decay = F.max_by(_block_decay(name, spec), F.col("_at")).over(frame)
+                carries[f"_decay_{name}_{back}"] = decay
     df = df.withColumns(carries)
 
     results: dict[str, Column] = {}
     for name, spec in outputs.items():
-        carried: Column = F.lit(0.0)
-        for back in range(_blocks_back(spec, block_rows), 0, -1):
-            end = F.col(f"_carry_{name}_{back}")
-            carried = F.coalesce(end["value"] + end["decay"] * carried, F.lit(0.0))
+        last = _blocks_back(spec, block_rows)
+        carried = F.coalesce(F.col(f"_carry_{name}_{last}"), F.lit(0.0))
+        for back in range(last - 1, 0, -1):
+            older = F.col(f"_decay_{name}_{back}") * carried
+            carried = F.coalesce(F.col(f"_carry_{name}_{back}") + older, F.lit(0.0))
         value = F.col(f"_in_{name}") + _block_decay(name, spec) * carried
         if spec.missing == "leading":
             value = F.when(F.col(f"_seen_{name}") > 0, value)

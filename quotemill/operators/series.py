@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -16,9 +17,13 @@ HALO_AHEAD = 16
 ROWS_PER_PART = 500_000
 
 
+# Rows per block of a numbered series.
+BLOCK_ROWS = 1_200
+
+
 @dataclass(frozen=True)
 class Series:
-    """How a table is cut into series: the keys of a series, and its (unique) order column.
+    """How a table is cut into series: the keys of a series, and its (unique) time column.
 
     A daily table has at most one row per symbol and day, so a series of it is bounded by the
     calendar (about 250 rows a year) and is processed whole. Series of finer grain go through
@@ -27,9 +32,12 @@ class Series:
 
     by: tuple[str, ...] = ("symbol",)
     order: str = "date"
+    # Set by `numbered`: rows per block of the position columns all windows then order by.
+    block_rows: int | None = None
 
     def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.by).orderBy(self.order)
+        order = (self.order,) if self.block_rows is None else ("_block", "_at")
+        return Window.partitionBy(*self.by).orderBy(*order)
 
     def trailing(self, n: int) -> WindowSpec:
         return self.window().rowsBetween(-(n - 1), 0)
@@ -70,6 +78,34 @@ class Series:
 DAILY = Series()
 
 
+def numbered(
+    df: DataFrame, series: Series, block_rows: int = BLOCK_ROWS
+) -> tuple[DataFrame, Series]:
+    """Add each row's position ``_at`` (from 0) and its ``_block`` of ``block_rows`` rows.
+
+    Windows of the returned series order by block and position, as do windows inside a block, so a
+    chain of both sorts the rows once.
+    """
+    if series.block_rows is not None and series.block_rows <= block_rows:
+        return df, series
+    at = (F.row_number().over(series.window()) - 1).cast("bigint")
+    df = df.withColumn("_at", at).withColumn("_block", F.floor(F.col("_at") / block_rows).cast("int"))
+    return df, replace(series, block_rows=block_rows)
+
+
+def packed(df: DataFrame, needed: Sequence[str], name: str = "_rest") -> DataFrame:
+    """Keep the needed columns, and all columns as one struct.
+
+    Each step of a chain of windows copies its rows. Columns that only pass through are copied as
+    one value, which keeps the generated code of the steps small enough to be compiled.
+    """
+    return df.select(F.struct(*df.columns).alias(name), *needed)
+
+
+def unpacked(name: str, columns: Sequence[str]) -> list[Column]:
+    return [F.col(name)[c].alias(c) for c in columns]
+
+
 def split_series(
     df: DataFrame,
     series: Series,

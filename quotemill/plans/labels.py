@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quotemill.functions.scalars import rating_of, to_float32
 from quotemill.operators.buckets import ROWS_PER_BUCKET
 from quotemill.operators.ewm import with_ewm_std
-from quotemill.operators.series import DAILY, Series
+from quotemill.operators.series import DAILY, Series, numbered
 from quotemill.plans.indicators import compute_stock_indicators
 from quotemill.plans.market import compute_market_indicators
 from quotemill.plans.prices import flag_bad_prices
@@ -27,6 +27,7 @@ from quotemill.schemas import (
 # Threshold scale and the span of the volatility estimate.
 THRESHOLD_SCALE = 0.5
 VOLATILITY_SPAN = 21
+LABEL_COLUMNS = ["forward_return", "label_end_date", "trailing_return", "threshold", "label"]
 
 
 def with_forward_return(
@@ -89,11 +90,20 @@ def label_stock(
     max_span_days: int = MAX_SPAN_DAYS,
 ) -> DataFrame:
     """Add the label columns; rows that cannot be labeled are kept with a null label."""
+    keep = df.columns
+    df, series = numbered(df, series)
     df = with_forward_return(df, series, horizon, max_span_days)
     df = with_trailing_return(df, series, horizon, max_span_days)
     df = with_threshold(df, series, horizon, scale)
     labeled = F.col("forward_return").isNotNull() & F.col("threshold").isNotNull()
-    return df.withColumn("label", F.when(labeled, rating_of("forward_return", "threshold")))
+    return df.select(
+        *[c for c in keep if c not in LABEL_COLUMNS],
+        "forward_return",
+        "label_end_date",
+        "trailing_return",
+        "threshold",
+        F.when(labeled, rating_of("forward_return", "threshold")).alias("label"),
+    )
 
 
 def build_metrics_dataset(
@@ -108,9 +118,11 @@ def build_metrics_dataset(
 
     Rows are dropped last, so all of a date's rows count in its market indicators.
     """
-    df = compute_stock_indicators(prices, series=series)
-    df = label_stock(df, series, max_span_days=max_span_days)
-    df = flag_bad_prices(df, series, max_daily_move, lookback_rows)
+    # The narrow steps first; every window orders by the same position columns.
+    df, ordered = numbered(prices, series)
+    df = label_stock(df, ordered, max_span_days=max_span_days)
+    df = flag_bad_prices(df, ordered, max_daily_move, lookback_rows)
+    df = compute_stock_indicators(df, series=ordered).drop("_at", "_block")
     # Written once: the cross-section reads a few of its columns, the result all of them.
     df = staged(to_float32(df, INDICATOR_NAMES), "indicators")
     df = compute_market_indicators(df, rows_per_bucket)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import flag, safe_divide
+from quotemill.operators.rolling import near_flag
 from quotemill.operators.series import DAILY, Series
 from quotemill.schemas import BAD_PRICE_LOOKBACK, LABEL_HORIZON, MAX_DAILY_MOVE
 
@@ -69,11 +70,8 @@ def flag_bad_prices(
     horizon: int = LABEL_HORIZON,
 ) -> DataFrame:
     """Add ``near_bad_price``: a bad day in this row, the look-back rows or the label window."""
-    return (
-        df.withColumn("_bad", bad_day(series, max_daily_move))
-        .withColumn("near_bad_price", series.any_within("_bad", lookback_rows, horizon + 1))
-        .drop("_bad")
-    )
+    flagged = df.withColumn("_bad", bad_day(series, max_daily_move))
+    return near_flag(flagged, series, "_bad", lookback_rows, horizon + 1, "near_bad_price").drop("_bad")
 
 
 def sorted_by_symbol_date(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from quotemill.plans.prices import stock_prices
 from quotemill.schemas import PRICE_CSV_SCHEMA
+from quotemill.session import staged
 
 # The symbol is the stem of the file name, or the value of a `symbol=` folder.
 FILE_STEM = r"([^/]+)\.csv$"
@@ -65,19 +66,20 @@ def scan_news_csv(
     paths: str | Sequence[str],
     columns: Sequence[str] = tuple(NEWS_CSV_COLUMNS),
     multi_line: bool = True,
+    header: bool = True,
 ) -> DataFrame:
     """News files as text columns plus the corrupt-record column.
 
     Bodies may span lines inside quotes, so a file is not splittable; files are read in parallel.
     ``columns`` are the file's columns in order. Malformed rows keep their text in the corrupt
-    column, see :func:`news_rows` and :func:`news_rejects`.
+    column, see :func:`split_news`.
     """
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in [*columns, CORRUPT_COLUMN]]
     )
     return (
         spark.read.schema(schema)
-        .option("header", True)
+        .option("header", header)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
@@ -87,16 +89,15 @@ def scan_news_csv(
     )
 
 
-def news_rows(scanned: DataFrame) -> DataFrame:
-    """The rows that parsed, without the article body."""
-    return scanned.where(F.col(CORRUPT_COLUMN).isNull()).select(*NEWS_CSV_COLUMNS)
+def split_news(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that parsed, without the article body, and the text of those that did not.
 
-
-def news_rejects(scanned: DataFrame) -> DataFrame:
-    """The rows that did not parse, as read."""
-    return scanned.where(F.col(CORRUPT_COLUMN).isNotNull()).select(
-        F.col(CORRUPT_COLUMN).alias("line")
-    )
+    The scan is written once: both results come from the same parse, with every column read.
+    """
+    parsed = staged(scanned, "news-scan")
+    corrupt = F.col(CORRUPT_COLUMN)
+    rows = parsed.where(corrupt.isNull()).select(*NEWS_CSV_COLUMNS)
+    return rows, parsed.where(corrupt.isNotNull()).select(corrupt.alias("line"))
 
 
 def scan_csv_infer(
