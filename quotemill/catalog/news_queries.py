@@ -433,11 +433,11 @@ def _(spark, sf):
     "SELECT a.year, articles, price_symbols FROM a JOIN b ON a.year = b.year",
 )
 def _(spark, sf):
-    coverage = news.profile_yearly_coverage(
-        staged(common.clean(spark, sf), "news").withColumn("symbol", F.lit("N1")),
-        staged(common.prices(spark, sf).select("symbol", "date"), "prices"),
+    articles = common.clean(spark, sf)
+    per_year = articles.groupBy(F.year("published_at").cast("bigint").alias("year")).agg(
+        F.count(F.lit(1)).alias("articles")
     )
-    return coverage.select("year", "articles", "price_symbols")
+    return per_year.join(F.broadcast(news.price_symbols_per_year(common.prices(spark, sf))), "year")
 
 
 # --- News features -----------------------------------------------------------------------------

@@ -123,10 +123,16 @@ def with_ewm(df: DataFrame, series: Series, outputs: dict[str, Ewm]) -> DataFram
         if spec.missing == "leading":
             value = F.when(F.col(f"_seen_{name}") > 0, value)
         elif spec.missing == "anywhere":
-            started = F.col(f"_prev_{name}").isNotNull() | F.col(spec.column).isNotNull()
-            value = F.when(started, value)
+            value = F.when(F.col(spec.column).isNotNull(), value)
         results[name] = value
-    return df.select(*[c for c in keep if c not in results], *[v.alias(n) for n, v in results.items()])
+    df = df.select(*[c for c in df.columns if c not in results], *[v.alias(n) for n, v in results.items()])
+    # A row without a value repeats the average of the row before it.
+    so_far = whole.rowsBetween(Window.unboundedPreceding, 0)
+    final = [
+        F.last(n, True).over(so_far).alias(n) if spec.missing == "anywhere" else F.col(n)
+        for n, spec in outputs.items()
+    ]
+    return df.select(*[c for c in keep if c not in results], *final)
 
 
 def _blocks_back(spec: Ewm, block_rows: int) -> int:

@@ -152,6 +152,16 @@ def profile_symbol_overlap(news: DataFrame, prices: DataFrame) -> DataFrame:
     ).join(F.broadcast(priced.agg(F.count(F.lit(1)).alias("price_symbols"))))
 
 
+def price_symbols_per_year(prices: DataFrame) -> DataFrame:
+    """How many symbols have prices in each year; one row per year."""
+    return (
+        prices.select(F.year("date").cast("bigint").alias("year"), "symbol")
+        .distinct()
+        .groupBy("year")
+        .agg(F.count(F.lit(1)).alias("price_symbols"))
+    )
+
+
 def profile_yearly_coverage(news: DataFrame, prices: DataFrame) -> DataFrame:
     """Per year, for symbols with prices: articles, symbols covered, median per symbol."""
     priced = prices.select("symbol").distinct()
@@ -160,19 +170,13 @@ def profile_yearly_coverage(news: DataFrame, prices: DataFrame) -> DataFrame:
         .groupBy(F.year("published_at").cast("bigint").alias("year"), "symbol")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    prices_per_year = (
-        prices.select(F.year("date").cast("bigint").alias("year"), "symbol")
-        .distinct()
-        .groupBy("year")
-        .agg(F.count(F.lit(1)).alias("price_symbols"))
-    )
     totals = per_symbol.groupBy("year").agg(
         F.sum("n").alias("articles"), F.count(F.lit(1)).alias("symbols_with_news")
     )
     medians = group_medians(per_symbol, ["year"], {"median_per_symbol": "n"})
     # All three have one row per year.
     return (
-        totals.join(F.broadcast(prices_per_year), "year")
+        totals.join(F.broadcast(price_symbols_per_year(prices)), "year")
         .join(F.broadcast(medians), "year")
         .withColumn(
             "pct_symbols_covered",
