@@ -115,7 +115,7 @@ def _t(source: str, column: str) -> str:
 def _(spark, sf):
     ics = evaluation.rank_ic(_frame(spark, sf), "score", "forward_return", min_rows=MIN_ROWS)
     thinned = evaluation.independent_dates(ics).agg(evaluation.t_stat("ic").alias("t"))
-    return comparable(ics.agg(F.count("ic").alias("n")).join(F.broadcast(thinned)), digits=4)
+    return comparable(ics.agg(F.count("ic").alias("n")).withColumn("t", thinned.scalar()), digits=4)
 
 
 SEGMENTS = ", ".join(

@@ -348,15 +348,16 @@ def _(spark, sf):
 
 @query(
     "range_source",
-    f"WITH {sql.FEATURES} SELECT lag, count(*) AS n, sum(day_idx + lag)::BIGINT AS days FROM daily, range(30) AS lags(lag) GROUP BY lag",
+    f"WITH {sql.FEATURES}, counted AS (SELECT day_idx, sum(n)::BIGINT AS n FROM daily GROUP BY day_idx) "
+    "SELECT i AS day_idx, coalesce(n, 0) AS n FROM range(1, (SELECT count(*) FROM calendar) + 1) AS r(i) "
+    "LEFT JOIN counted ON counted.day_idx = i",
 )
 def _(spark, sf):
-    _table, _calendar, daily = common.daily_news(spark, sf)
-    lags = spark.range(30).withColumnRenamed("id", "lag")
-    # A table of thirty numbers against the daily sums.
-    return daily.join(F.broadcast(lags)).groupBy("lag").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("day_idx") + F.col("lag")).alias("days")
-    )
+    # Every trading day by number, also those without news.
+    _table, calendar, daily = common.daily_news(spark, sf)
+    days = spark.range(1, calendar.count() + 1).withColumnRenamed("id", "day_idx")
+    counted = daily.groupBy("day_idx").agg(F.sum("n").alias("n"))
+    return days.join(counted, "day_idx", "left").select("day_idx", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("join_calendar", f"WITH {sql.PRICES}, {CALENDAR} SELECT symbol, date, day_idx FROM prices JOIN calendar USING (date)")

@@ -71,5 +71,10 @@ def argmax_class(*probabilities) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("bigint")
 
 
+def single_row(df: DataFrame) -> Column:
+    """The only row of a table as a struct: a scalar subquery, run once, without a join."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value

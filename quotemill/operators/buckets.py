@@ -12,6 +12,7 @@ recomputation. Both plans give the same result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -265,21 +266,30 @@ def quantile_bucket(pct, n_buckets: int) -> Column:
 
 
 def hashed_positions(
-    df: DataFrame, by: Sequence[str], key: Sequence[str], seed: int, out: str
+    df: DataFrame,
+    by: Sequence[str],
+    key: Sequence[str],
+    seed: int,
+    out: str,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Position 0.. of each row in its group, in the order of a seeded hash of its key.
 
-    The hash is uniform, so fixed ranges of it cut any group evenly.
+    The hash is uniform, so equal ranges of it cut a large group evenly.
     """
     by, key = list(by), list(key)
-    hashed = df.withColumn("_h", F.xxhash64(*key, F.lit(seed))).withColumn(
-        "_slice", F.shiftright("_h", 56).cast("int")
-    )
-    group = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    largest = largest_group(df, by)
+    bits = max(0, math.ceil(math.log2(max(1, largest) / rows_per_bucket)))
+    hashed = df.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
+    if bits == 0:
+        whole = Window.partitionBy(*by).orderBy("_h", *key)
+        return hashed.withColumn(out, (F.row_number().over(whole) - 1).cast("bigint")).drop("_h")
+    hashed = hashed.withColumn("_slice", F.shiftright("_h", 64 - bits).cast("bigint"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         hashed.groupBy(*by, "_slice")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*by, "_slice", F.coalesce(F.sum("_rows").over(group), F.lit(0)).alias("_offset"))
+        .select(*by, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     )
     inside = Window.partitionBy(*by, "_slice").orderBy("_h", *key)
     return (

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.functions.scalars import argmax_class, label_index, rating_of
+from quotemill.functions.scalars import argmax_class, label_index, rating_of, single_row
 from quotemill.operators.asof import asof_join
 from quotemill.operators.buckets import (
     ROWS_PER_BUCKET,
@@ -249,9 +249,9 @@ def ranking_metrics(
     if "has_news" in frame.columns:
         means += [F.avg("ic_news").alias("ic_news"), F.avg("ic_no_news").alias("ic_no_news")]
         series.append("ic_news")
-    summary = per_date.agg(*means).join(
-        F.broadcast(t_stats(per_date, ["ic", "volatility_neutral_ic", "spread"]))
-    )
+    t_columns = ["ic", "volatility_neutral_ic", "spread"]
+    t_row = single_row(t_stats(per_date, t_columns))
+    summary = per_date.agg(*means).withColumns({f"{c}_t": t_row[f"{c}_t"] for c in t_columns})
     daily = per_date.select(
         "date",
         *[F.col(c).alias({"ic_liquidity_5": "most_liquid_ic", "ic_news": "news_ic"}.get(c, c)) for c in series],
@@ -375,13 +375,12 @@ def evaluate_model(
     rows = (
         resolved_label_lag(predictions)
         .where(F.col("lagged_label").isNotNull())
-        .join(F.broadcast(class_prior(train)))
-        .join(F.broadcast(majority_class(train)))
         .withColumn("y", label_index("label"))
     )
+    prior = single_row(class_prior(train))
     predicted = {
         "model": argmax_class(*PROBABILITIES),
-        "majority_class": F.col("majority"),
+        "majority_class": majority_class(train).scalar(),
         "persistence": label_index("lagged_label"),
         "trailing_return": label_index(trailing_return_label()),
     }
@@ -396,7 +395,7 @@ def evaluate_model(
         ).alias("_item"),
     ).select("y", "_item.*")
     scores = f1_scores(confusion_counts(pairs, ["model"]), ["model"])
-    priors = [f"prior_{name.lower()}" for name in RATINGS]
+    priors = [prior[f"prior_{name.lower()}"] for name in RATINGS]
     losses = rows.agg(
         log_loss(F.col("y"), PROBABILITIES).alias("model"),
         log_loss(F.col("y"), priors).alias("class_prior"),
@@ -436,9 +435,9 @@ def compare_to_baseline(
         "date", *[(F.col(c) - F.col(f"_base_{c}")).alias(f"delta_{c}") for c in columns]
     )
     thinned = independent_dates(both)
-    return both.agg(*[F.avg(f"delta_{c}").alias(f"delta_{c}") for c in columns]).join(
-        F.broadcast(thinned.agg(*[t_stat(f"delta_{c}").alias(f"delta_{c}_t") for c in columns]))
-    )
+    t_row = single_row(thinned.agg(*[t_stat(f"delta_{c}").alias(f"delta_{c}_t") for c in columns]))
+    means = both.agg(*[F.avg(f"delta_{c}").alias(f"delta_{c}") for c in columns])
+    return means.withColumns({f"delta_{c}_t": t_row[f"delta_{c}_t"] for c in columns})
 
 
 def _as_column(value) -> Column:

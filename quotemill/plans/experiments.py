@@ -150,13 +150,13 @@ def run_experiment(
     stored = spark.read.parquet(probabilities)
     scores = evaluate_model(stored, train).where(F.col("model") == "model")
     ece = calibration_error(stored).agg(F.avg("ece").alias("mean_ece"))
-    row = scores.join(F.broadcast(ece)).select(
+    row = scores.select(
         F.lit(experiment.name).alias("experiment"),
         F.lit(seed).cast("bigint").alias("seed"),
         F.lit(config).alias("config"),
         F.col("macro_f1"),
         F.col("log_loss"),
-        F.col("mean_ece"),
+        ece.scalar().alias("mean_ece"),
     )
     row.coalesce(1).write.mode("append").parquet(f"{path}/runs")
     return True
@@ -180,8 +180,8 @@ def summarize(
     for name in names:
         one = probabilities.where(F.col("experiment") == name)
         averaged = seed_average(one)
-        first_seed = one.agg(F.min("seed").alias("seed"))
-        rows = one.join(F.broadcast(first_seed), "seed", "left_semi").drop(*PROBABILITIES, "experiment", "seed")
+        first_seed = one.agg(F.min("seed").alias("seed")).scalar()
+        rows = one.where(F.col("seed") == first_seed).drop(*PROBABILITIES, "experiment", "seed")
         frame = ranking_frame(rows.join(averaged, ["symbol", "date"]), rows_per_bucket)
         summary, daily[name] = ranking_metrics(frame, min_rows, rows_per_bucket)
         summaries.append(summary.withColumn("experiment", F.lit(name)))

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.functions.scalars import rating_of, to_float32
+from quotemill.functions.scalars import rating_of, single_row, to_float32
 from quotemill.operators.buckets import ROWS_PER_BUCKET
 from quotemill.operators.ewm import with_ewm_std
-from quotemill.operators.series import DAILY, Series, numbered
+from quotemill.operators.series import DAILY, Series, home_rows, numbered, split_series
 from quotemill.plans.indicators import compute_stock_indicators
 from quotemill.plans.market import compute_market_indicators
 from quotemill.plans.prices import flag_bad_prices
@@ -116,15 +116,18 @@ def build_metrics_dataset(
 ) -> DataFrame:
     """Indicators, labels and market indicators of every complete row away from bad prices.
 
+    ``prices`` should be a stored table: its series lengths are measured before it is processed.
     Rows are dropped last, so all of a date's rows count in its market indicators.
     """
-    # The narrow steps first; every window orders by the same position columns.
-    df, ordered = numbered(prices, series)
+    # A symbol too long for one task is cut; then the narrow steps first, and every window orders
+    # by the same position columns.
+    parts, ordered = split_series(prices, series)
+    df, ordered = numbered(parts, ordered)
     df = label_stock(df, ordered, max_span_days=max_span_days)
     df = flag_bad_prices(df, ordered, max_daily_move, lookback_rows)
     df = compute_stock_indicators(df, series=ordered).drop("_at", "_block")
     # Written once: the cross-section reads a few of its columns, the result all of them.
-    df = staged(to_float32(df, INDICATOR_NAMES), "indicators")
+    df = staged(to_float32(home_rows(df), INDICATOR_NAMES), "indicators")
     df = compute_market_indicators(df, rows_per_bucket)
     df = to_float32(df, MARKET_INDICATOR_NAMES)
     return drop_incomplete_rows(df)
@@ -139,10 +142,8 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Weight of each class: rows / (classes x rows of the class). One row per class."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
-    # Both sides are tiny: at most one row per class, and one row.
-    return counts.join(F.broadcast(totals)).select(
-        label, "n", (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight")
-    )
+    total = single_row(totals)
+    return counts.select(label, "n", (total["total"] / (total["classes"] * F.col("n"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:

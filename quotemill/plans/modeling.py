@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import argmax_class, label_index
@@ -196,21 +196,22 @@ def score_predictions(predicted: DataFrame, weighted: bool = True) -> DataFrame:
         )
     else:
         loss = rows.agg(log_loss(F.col("y"), PROBABILITIES).alias("log_loss"))
-    return f1.join(F.broadcast(loss))
+    return f1.withColumn("log_loss", loss.scalar())
 
 
-def pareto_front(trials: DataFrame, key: str = "trial") -> DataFrame:
+def pareto_front(trials: DataFrame) -> DataFrame:
     """Trials no other trial beats: none has a loss as low and an F1 as high, one of them better.
 
     One row per trial, so the table is as small as the search.
     """
-    other = trials.select(F.col("log_loss").alias("_loss"), F.col("macro_f1").alias("_f1"))
-    beats = (
-        (F.col("_loss") <= F.col("log_loss"))
-        & (F.col("_f1") >= F.col("macro_f1"))
-        & ((F.col("_loss") < F.col("log_loss")) | (F.col("_f1") > F.col("macro_f1")))
-    )
-    return trials.join(F.broadcast(other), beats, "left_anti")
+    # By rising loss, a trial is on the front if it has the best F1 of its loss, and a better one than
+    # every lower loss; so one pass over the sorted losses finds it, without comparing pairs.
+    best = trials.groupBy("log_loss").agg(F.max("macro_f1").alias("_best"))
+    lower = Window.orderBy("log_loss").rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("_lower", F.max("_best").over(lower))
+    ahead = F.col("_lower").isNull() | (F.col("macro_f1") > F.col("_lower"))
+    front = trials.join(best, "log_loss").where((F.col("macro_f1") == F.col("_best")) & ahead)
+    return front.select(*trials.columns)
 
 
 def best_trials(front: DataFrame, n: int = FINALISTS) -> DataFrame:

@@ -89,15 +89,14 @@ def clean_news(raw_news: DataFrame, max_articles: int = MAX_ARTICLES_PER_SYMBOL_
 
 def profile_parsing(raw_news: DataFrame, news: DataFrame) -> DataFrame:
     """Row counts by defect, and the clean rows."""
-    defects = raw_news.agg(
+    clean_rows = news.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return raw_news.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("published_at").isNull()).alias("bad_date"),
         F.count_if(F.col("symbol").isNull() | (F.col("symbol") == "")).alias("no_symbol"),
         F.count_if(F.col("title").isNull()).alias("no_title"),
         F.count_if(F.col("lsa_summary").isNull()).alias("no_summary"),
-    )
-    # Both sides are one row.
-    return defects.join(F.broadcast(news.agg(F.count(F.lit(1)).alias("clean_rows"))))
+    ).withColumn("clean_rows", clean_rows)
 
 
 def profile_bad_dates(raw_news: DataFrame, n: int = 10) -> DataFrame:
@@ -149,7 +148,7 @@ def profile_symbol_overlap(news: DataFrame, prices: DataFrame) -> DataFrame:
         F.round(
             F.try_divide(100 * F.sum(F.when(matched, F.col("n")).otherwise(0)), F.sum("n")), 2
         ).alias("pct_rows_matched"),
-    ).join(F.broadcast(priced.agg(F.count(F.lit(1)).alias("price_symbols"))))
+    ).withColumn("price_symbols", priced.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
 def price_symbols_per_year(prices: DataFrame) -> DataFrame:

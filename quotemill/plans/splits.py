@@ -1,7 +1,7 @@
 """Chronological and walk-forward splits, symbol samples and leakage checks.
 
-Split boundaries come from the numbered distinct dates (bounded by the calendar), so they are small
-tables that are broadcast to the dataset.
+Split boundaries come from the numbered distinct dates, which are bounded by the calendar; they
+reach the dataset as scalar subqueries, so splitting is a projection of the scan.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.functions.scalars import single_row
 from quotemill.operators.buckets import hashed_positions
 from quotemill.schemas import MAX_SPAN_DAYS
 
@@ -43,17 +44,14 @@ def split_bounds(
 ) -> DataFrame:
     """One row: the first date after the training part and the first test date."""
     dates = numbered_dates(df)
-    size = dates.agg(F.count(F.lit(1)).alias("n_dates"))
-    return (
-        dates.join(F.broadcast(size))
-        .agg(
-            F.max(F.when(F.col("idx") == _cut(F.col("n_dates"), train_share), F.col("date"))).alias("train_end"),
-            F.max(
-                F.when(
-                    F.col("idx") == _cut(F.col("n_dates"), train_share + validation_share), F.col("date")
-                )
-            ).alias("test_start"),
-        )
+    size = dates.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    def date_at(share: float) -> Column:
+        return F.max(F.when(F.col("idx") == _cut(size, share), F.col("date")))
+
+    return dates.agg(
+        date_at(train_share).alias("train_end"),
+        date_at(train_share + validation_share).alias("test_start"),
     )
 
 
@@ -64,21 +62,15 @@ def chronological_split(
     days_gap: int = MAX_SPAN_DAYS,
 ) -> DataFrame:
     """Add ``split`` (train, val, test) and drop the rows in the gaps before each boundary."""
-    bounds = split_bounds(df, train_share, validation_share)
+    bounds = single_row(split_bounds(df, train_share, validation_share))
+    train_end, test_start = bounds["train_end"], bounds["test_start"]
     date = F.col("date")
     split = (
-        F.when(date < _before(F.col("train_end"), days_gap), "train")
-        .when(
-            (date >= F.col("train_end")) & (date < _before(F.col("test_start"), days_gap)), "val"
-        )
-        .when(date >= F.col("test_start"), "test")
-    )
-    return (
-        df.join(F.broadcast(bounds))
-        .withColumn("split", split)
-        .where(F.col("split").isNotNull())
-        .drop("train_end", "test_start")
+        F.when(date < _before(train_end, days_gap), "train")
+        .when((date >= train_end) & (date < _before(test_start, days_gap)), "val")
+        .when(date >= test_start, "test")
     )
+    return df.withColumn("split", split).where(F.col("split").isNotNull())
 
 
 def split_date_ranges(split: DataFrame) -> DataFrame:
@@ -103,12 +95,8 @@ def fold_table(
     trained on, the rest is cut into ``n_folds`` consecutive blocks.
     """
     dates = numbered_dates(dates_of)
-    bounds = split_bounds(dates_of, train_share, validation_share).select("test_start")
-    usable = (
-        dates.join(F.broadcast(bounds))
-        .where(F.col("date") < _before(F.col("test_start"), days_gap))
-        .select("date", "idx")
-    )
+    test_start = split_bounds(dates_of, train_share, validation_share).select("test_start").scalar()
+    usable = dates.where(F.col("date") < _before(test_start, days_gap))
     size = usable.agg(F.count(F.lit(1)).alias("n"))
     start = _cut(F.col("n"), initial_train_share)
     step = (F.col("n") - start) / F.lit(float(n_folds))
@@ -139,7 +127,7 @@ def walk_forward_splits(
 ) -> DataFrame:
     """Rows of every fold with ``fold`` and ``role`` (train or val); training parts grow.
 
-    Each row is compared with the few folds in place, as an array, and copied to those it is in.
+    A row is copied once per fold, in place and without a shuffle, and kept in those it is in.
     """
     folds = fold_table(
         df if boundary_dates is None else boundary_dates,
@@ -151,21 +139,20 @@ def walk_forward_splits(
     )
     listed = folds.agg(
         F.sort_array(F.collect_list(F.struct("fold", "val_start", "val_end"))).alias("_folds")
-    )
-    date = F.col("date")
-
-    def role(fold: Column) -> Column:
-        trained = F.when(date < _before(fold["val_start"], days_gap), "train")
-        return trained.when((date >= fold["val_start"]) & (date <= fold["val_end"]), "val")
-
-    roles = F.transform(
-        "_folds", lambda fold: F.struct(fold["fold"].alias("fold"), role(fold).alias("role"))
-    )
+    ).scalar()
+    date, fold = F.col("date"), F.col("_fold")
+    trained = date < _before(fold["val_start"], days_gap)
+    validated = (date >= fold["val_start"]) & (date <= fold["val_end"])
     return (
-        df.join(F.broadcast(listed))
-        .withColumn("_role", F.explode(F.filter(roles, lambda r: r["role"].isNotNull())))
-        .withColumns({"fold": F.col("_role")["fold"], "role": F.col("_role")["role"]})
-        .drop("_folds", "_role")
+        df.withColumn("_fold", F.explode(listed))
+        .withColumns(
+            {
+                "fold": fold["fold"],
+                "role": F.when(trained, "train").when(validated, "val"),
+            }
+        )
+        .where(F.col("role").isNotNull())
+        .drop("_fold")
     )
 
 
@@ -179,12 +166,11 @@ def sample_symbols(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
 
 
 def sampled_symbols(symbols: DataFrame, fraction: float, seed: int) -> DataFrame:
-    size = symbols.agg(
-        F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(fraction))).cast("bigint").alias("_keep")
-    )
+    wanted = F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(fraction))).cast("bigint")
+    n_keep = symbols.agg(wanted.alias("n")).scalar()
     whole = symbols.withColumn("_all", F.lit(0))
     placed = hashed_positions(whole, ["_all"], ["symbol"], seed, "_position")
-    return placed.join(F.broadcast(size)).where(F.col("_position") < F.col("_keep")).select("symbol")
+    return placed.where(F.col("_position") < n_keep).select("symbol")
 
 
 def leakage_report(folds: DataFrame, test_start: DataFrame) -> DataFrame:
@@ -194,13 +180,13 @@ def leakage_report(folds: DataFrame, test_start: DataFrame) -> DataFrame:
         F.min(F.when(F.col("role") == "val", F.col("date"))).alias("first_val"),
         F.max(F.when(F.col("role") == "val", F.col("date"))).alias("last_val"),
     )
-    return per_fold.join(F.broadcast(test_start.select("test_start"))).select(
+    return per_fold.select(
         "fold",
         "last_train_label",
         "first_val",
         "last_val",
         (F.col("last_train_label") < F.col("first_val")).alias("train_is_clean"),
-        (F.col("last_val") < F.col("test_start")).alias("test_is_clean"),
+        (F.col("last_val") < test_start.select("test_start").scalar()).alias("test_is_clean"),
     )
 
 

@@ -94,10 +94,9 @@ def live_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vendor-style articles, with re-delivered copies, their bodies taken from the web pages."""
     events = table(spark, sf_dir, "events")
     pages = table(spark, sf_dir, "pages")
-    n_pages = pages.agg(F.count(F.lit(1)).alias("_pages"))
+    n_pages = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
     article = (
-        events.join(F.broadcast(n_pages))
-        .withColumn("page_id", F.col("event_id") % F.col("_pages"))
+        events.withColumn("page_id", F.col("event_id") % n_pages)
         .join(pages.select("page_id", "html"), "page_id")
         .select(
             F.col("event_id").alias("id"),

@@ -73,9 +73,10 @@ def test_quantile_bucket_is_not_ntile(spark):
     assert found == [1, 1, 2, 5]
 
 
-def test_hashed_positions_are_a_permutation(skewed):
+@pytest.mark.parametrize("limit", LIMITS)
+def test_hashed_positions_are_a_permutation(skewed, limit):
     df, pdf = skewed
-    out = buckets.hashed_positions(df, ["g"], ["k"], 1, "at").toPandas()
+    out = buckets.hashed_positions(df, ["g"], ["k"], 1, "at", limit).toPandas()
     for _, group in out.groupby("g"):
         assert sorted(group["at"]) == list(range(len(group)))
     again = buckets.hashed_positions(df, ["g"], ["k"], 1, "at").toPandas()
