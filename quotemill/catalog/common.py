@@ -40,13 +40,13 @@ def daily_news(spark: SparkSession, sf_dir: str, same_day: bool = False):
     articles, titles, summaries = scored_news(spark, sf_dir)
     days = news_features.trading_calendar(table, HISTORY_START)
     scored = news_features.scored_articles(articles, table, titles, summaries, HISTORY_START)
-    return table, days, news_features.daily_news_stats(scored, days, HISTORY_START, same_day)
+    daily = news_features.daily_news_stats(scored, days, HISTORY_START, same_day)
+    return table, days, staged(daily, "daily-news")
 
 
 def features(spark: SparkSession, sf_dir: str, same_day: bool = False, table: DataFrame | None = None) -> DataFrame:
     table = staged(prices(spark, sf_dir), "prices") if table is None else table
     articles, titles, summaries = scored_news(spark, sf_dir)
-    titles, summaries = staged(titles, "titles"), staged(summaries, "summaries")
     return news_features.news_features(table, articles, titles, summaries, same_day, HISTORY_START)
 
 

@@ -65,8 +65,8 @@ def _scan_news(spark, path, multi_line):
 
 @query(
     "scan_news_csv",
-    f"WITH {NUMBERED} SELECT upper(trim(Stock_symbol)) AS symbol, try_strptime(Date, '%Y-%m-%d %H:%M:%S UTC') AS published_at, "
-    f"nullif(trim({BODY}), '') AS title, Url AS url, nullif(trim(Lsa_summary), '') AS lsa_summary, Date AS raw_date "
+    f"WITH {NUMBERED} SELECT upper(trim(Stock_symbol)) AS symbol, CASE WHEN Date NOT LIKE 'bad%' THEN left(Date, 19)::TIMESTAMP END AS published_at, "
+    f"CASE WHEN trim({BODY}) <> '' THEN trim({BODY}) END AS title, Url AS url, Lsa_summary AS lsa_summary, Date AS raw_date "
     "FROM numbered WHERE i % 97 != 0",
 )
 def _(spark, sf):

@@ -36,8 +36,7 @@ def _(spark, sf):
 
 @query(
     "partition_count_filter",
-    f"WITH {sql.RAW_NEWS} SELECT {', '.join(ARTICLE)} FROM raw_news WHERE {sql.VALID} "
-    f"QUALIFY count(*) OVER (PARTITION BY symbol, published_at::DATE) <= {MAX_ARTICLES}",
+    f"WITH {sql.RAW_NEWS}, valid AS (SELECT * FROM raw_news WHERE {sql.VALID}) {sql.quiet_days('valid')}",
 )
 def _(spark, sf):
     valid = news.valid_articles(common.raw_news(spark, sf)).select(*ARTICLE)
@@ -263,8 +262,8 @@ def _(spark, sf):
 
 
 CALENDAR = (
-    f"calendar AS (SELECT date, row_number() OVER (ORDER BY date) AS day_idx FROM "
-    f"(SELECT DISTINCT date FROM prices WHERE date >= TIMESTAMP '{HISTORY_START}'))"
+    "calendar AS (SELECT date, rank() OVER (ORDER BY date) AS day_idx FROM "
+    f"(SELECT date FROM prices WHERE date >= TIMESTAMP '{HISTORY_START}' GROUP BY date))"
 )
 
 
@@ -303,8 +302,7 @@ def _(spark, sf):
 
 @query(
     "asof_join_last_news",
-    f"WITH {sql.FEATURES} SELECT p.symbol, p.date, d.day_idx::DOUBLE AS last_day_idx FROM price_days p "
-    "ASOF LEFT JOIN daily d ON d.symbol = p.symbol AND d.day_idx <= p.day_idx",
+    f"WITH {sql.FEATURES} SELECT symbol, date, last_day_idx::DOUBLE AS last_day_idx FROM latest",
 )
 def _(spark, sf):
     table, calendar, daily = common.daily_news(spark, sf)
@@ -338,7 +336,7 @@ def _(spark, sf):
 
 @query(
     "cross_join_lags",
-    f"WITH {sql.FEATURES} SELECT symbol, day_idx, lag, day_idx + lag AS counted_on FROM daily, range(30) AS lags(lag)",
+    f"WITH {sql.FEATURES} SELECT symbol, day_idx, unnest(range(30)) AS lag, day_idx + unnest(range(30)) AS counted_on FROM daily",
 )
 def _(spark, sf):
     _table, _calendar, daily = common.daily_news(spark, sf)
@@ -348,15 +346,15 @@ def _(spark, sf):
 
 @query(
     "range_source",
-    f"WITH {sql.FEATURES}, counted AS (SELECT day_idx, sum(n)::BIGINT AS n FROM daily GROUP BY day_idx) "
-    "SELECT i AS day_idx, coalesce(n, 0) AS n FROM range(1, (SELECT count(*) FROM calendar) + 1) AS r(i) "
+    f"WITH {sql.FEATURES}, counted AS (SELECT day_idx, count(*) AS n FROM told GROUP BY day_idx) "
+    "SELECT i AS day_idx, coalesce(n, 0) AS n FROM range(1, (SELECT count(*) FROM trading) + 1) AS r(i) "
     "LEFT JOIN counted ON counted.day_idx = i",
 )
 def _(spark, sf):
     # Every trading day by number, also those without news.
     _table, calendar, daily = common.daily_news(spark, sf)
     days = spark.range(1, calendar.count() + 1).withColumnRenamed("id", "day_idx")
-    counted = daily.groupBy("day_idx").agg(F.sum("n").alias("n"))
+    counted = daily.groupBy("day_idx").agg(F.sum("articles").alias("n"))
     return days.join(counted, "day_idx", "left").select("day_idx", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -368,18 +366,28 @@ def _(spark, sf):
     )
 
 
+WINDOW_SQL = {
+    f"{statistic}_{name}": f"sum({statistic}) FILTER (age BETWEEN {news_features.WINDOWS[name][0]} AND {news_features.WINDOWS[name][1]})"
+    for statistic, names in news_features.STATISTICS.items()
+    for name in names
+} | {f"{c}_recent": f"sum({c} * power(2.0, -age / 3.0))" for c in news_features.RECENT}
+SUMMED = "summed AS (SELECT symbol, day_idx + age AS day_idx, {0} FROM aged GROUP BY ALL)".format(
+    ", ".join(f"({e})::DOUBLE AS {n}" for n, e in WINDOW_SQL.items())
+)
+WINDOWED = f"{sql.FEATURES}, aged AS (SELECT *, unnest(range(30)) AS age FROM daily), {SUMMED}"
+SOME_SUMS = ["articles_7d", "tone_7d", "articles_recent"]
+
+
 @query(
     "left_join_windows",
-    f"WITH {sql.FEATURES} SELECT symbol, date, {rounded('n_7d', 's_7d', 'n_ewm')} "
-    "FROM price_days LEFT JOIN windows USING (symbol, day_idx)",
+    f"WITH {WINDOWED} SELECT symbol, date, {rounded(*SOME_SUMS)} FROM price_days LEFT JOIN summed USING (symbol, day_idx)",
 )
 def _(spark, sf):
     table, calendar, daily = common.daily_news(spark, sf)
     price_days = table.select("symbol", "date").join(F.broadcast(calendar), "date")
-    windows = news_features.news_window_sums(daily).withColumn("n_7d", F.col("n_7d").cast("double"))
-    return comparable(
-        price_days.join(windows, ["symbol", "day_idx"], "left"), "symbol", "date", "n_7d", "s_7d", "n_ewm"
-    )
+    windows = news_features.news_window_sums(daily)
+    windows = windows.withColumn("articles_7d", F.col("articles_7d").cast("double"))
+    return comparable(price_days.join(windows, ["symbol", "day_idx"], "left"), "symbol", "date", *SOME_SUMS)
 
 
 FUSED = f"""{sql.METRICS}, {sql.SCORED_NEWS}, {sql.news_features()},
@@ -443,33 +451,22 @@ def _(spark, sf):
 
 # --- News features -----------------------------------------------------------------------------
 
-DAILY_COLUMNS = ["n", "n_positive", "n_negative", "n_summary"]
+COUNTS = ["articles", "positive", "negative", "summaries"]
+TONES = ["tone", "tone_sq", "summary_tone"]
 
 
-@query(
-    "daily_news_stats",
-    select(sql.FEATURES, "daily", ["symbol", "day_idx", *DAILY_COLUMNS], ["s", "s2", "s_summary"]),
-)
+@query("daily_news_stats", select(sql.FEATURES, "daily", ["symbol", "day_idx", *COUNTS], TONES))
 def _(spark, sf):
     _table, _calendar, daily = common.daily_news(spark, sf)
-    return comparable(daily, "symbol", "day_idx", *DAILY_COLUMNS, "s", "s2", "s_summary")
-
+    return comparable(daily, "symbol", "day_idx", *COUNTS, *TONES)
 
-WINDOW_COLUMNS = [
-    "n_1d", "s_1d", "n_positive_1d", "n_negative_1d", "n_3d", "s_3d", "n_prev_7d", "s_prev_7d",
-    "n_7d", "s_7d", "s2_7d", "n_ewm", "s_ewm", "n_summary_1d", "s_summary_1d", "n_summary_7d",
-    "s_summary_7d", "n_summary_ewm", "s_summary_ewm",
-]
 
-
-@query("news_window_sums", select(sql.FEATURES, "windows", ["symbol", "day_idx"], WINDOW_COLUMNS))
+@query("news_window_sums", select(WINDOWED, "summed", ["symbol", "day_idx"], list(WINDOW_SQL)))
 def _(spark, sf):
     _table, _calendar, daily = common.daily_news(spark, sf)
     windows = news_features.news_window_sums(daily)
-    return comparable(
-        windows.withColumns({c: F.col(c).cast("double") for c in WINDOW_COLUMNS}),
-        "symbol", "day_idx", *WINDOW_COLUMNS,
-    )
+    doubles = {c: F.col(c).cast("double") for c in WINDOW_SQL}
+    return comparable(windows.withColumns(doubles), "symbol", "day_idx", *WINDOW_SQL)
 
 
 def _feature_query(key: str, *names: str, same_day: bool = False) -> None:
@@ -500,9 +497,9 @@ _feature_query("news_features_same_day", *HEADLINE_FEATURES, *SUMMARY_FEATURES,
 
 @query(
     "profile_parsing",
-    f"WITH {sql.NEWS} SELECT count(*) AS rows, count(*) FILTER (published_at IS NULL) AS bad_date, "
-    "count(*) FILTER (symbol IS NULL OR symbol = '') AS no_symbol, count(*) FILTER (title IS NULL) AS no_title, "
-    "count(*) FILTER (lsa_summary IS NULL) AS no_summary, (SELECT count(*) FROM news) AS clean_rows FROM raw_news",
+    f"WITH {sql.NEWS} SELECT count(*) AS rows, count(*) - count(published_at) AS bad_date, "
+    "count(*) - count(nullif(symbol, '')) AS no_symbol, count(*) - count(title) AS no_title, "
+    "count(*) - count(lsa_summary) AS no_summary, (SELECT count(*) FROM news) AS clean_rows FROM raw_news",
 )
 def _(spark, sf):
     raw = staged(common.raw_news(spark, sf), "raw-news")
@@ -525,8 +522,8 @@ def _(spark, sf):
 
 @query(
     "profile_midnight_share",
-    f"WITH {sql.NEWS} SELECT count(*) FILTER (published_at::TIME = TIME '00:00:00') AS midnight, "
-    "round(100 * count(*) FILTER (published_at::TIME = TIME '00:00:00') / count(*), 2) AS pct FROM news",
+    f"WITH {sql.NEWS}, m AS (SELECT (published_at = date_trunc('day', published_at))::INT AS at_midnight FROM news) "
+    "SELECT sum(at_midnight)::BIGINT AS midnight, round(100 * avg(at_midnight), 2) AS pct FROM m",
 )
 def _(spark, sf):
     return news.profile_midnight_share(common.clean(spark, sf))
@@ -534,22 +531,24 @@ def _(spark, sf):
 
 @query(
     "profile_hour_histogram",
-    f"WITH {sql.NEWS} SELECT hour(timezone('America/New_York', timezone('UTC', published_at))) AS hour_et, count(*) AS n "
-    "FROM news WHERE published_at::TIME != TIME '00:00:00' GROUP BY 1",
+    f"WITH {sql.NEWS}, timed AS (SELECT (published_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS local FROM news "
+    "WHERE published_at <> date_trunc('day', published_at)) SELECT extract(hour FROM local) AS hour_et, count(*) AS n "
+    "FROM timed GROUP BY ALL",
 )
 def _(spark, sf):
     return news.profile_hour_histogram(common.clean(spark, sf))
 
 
 FEWER = "fewer AS (SELECT * FROM prices WHERE symbol < 'N2')"
+MATCHED = "matched AS (SELECT n.*, n.symbol IN (SELECT symbol FROM fewer) AS has_prices FROM news n)"
 
 
 @query(
     "profile_symbol_overlap",
-    f"WITH {sql.PRICES}, {sql.NEWS}, {FEWER} SELECT count(DISTINCT symbol) AS news_symbols, "
-    "count(DISTINCT symbol) FILTER (symbol IN (SELECT symbol FROM fewer)) AS matched_symbols, "
-    "(SELECT count(DISTINCT symbol) FROM fewer) AS price_symbols, "
-    "round(100 * count(*) FILTER (symbol IN (SELECT symbol FROM fewer)) / count(*), 2) AS pct_rows_matched FROM news",
+    f"WITH {sql.PRICES}, {sql.NEWS}, {FEWER}, {MATCHED} SELECT count(DISTINCT symbol) AS news_symbols, "
+    "count(DISTINCT CASE WHEN has_prices THEN symbol END) AS matched_symbols, "
+    "(SELECT count(DISTINCT symbol) FROM fewer) AS price_symbols, round(100 * avg(has_prices::INT), 2) AS pct_rows_matched "
+    "FROM matched",
 )
 def _(spark, sf):
     fewer = common.prices(spark, sf).where(F.col("symbol") < "N2").select("symbol")
@@ -558,12 +557,12 @@ def _(spark, sf):
 
 @query(
     "profile_yearly_coverage",
-    f"WITH {sql.PRICES}, {sql.NEWS}, {FEWER}, per_symbol AS (SELECT year(published_at) AS year, symbol, count(*) AS n FROM news "
-    "WHERE symbol IN (SELECT symbol FROM fewer) GROUP BY ALL), per_year AS (SELECT year(date) AS year, "
-    "count(DISTINCT symbol) AS price_symbols FROM fewer GROUP BY 1) SELECT year, sum(n)::BIGINT AS articles, "
-    "count(*) AS symbols_with_news, any_value(price_symbols) AS price_symbols, "
-    "round(100 * count(*) / any_value(price_symbols), 1) AS pct_symbols_covered, median(n) AS median_per_symbol "
-    "FROM per_symbol JOIN per_year USING (year) GROUP BY year",
+    f"WITH {sql.PRICES}, {sql.NEWS}, {FEWER}, {MATCHED}, "
+    "told AS (SELECT year(published_at) AS year, symbol, count(*) AS n FROM matched WHERE has_prices GROUP BY ALL), "
+    "traded AS (SELECT year(date) AS year, count(DISTINCT symbol) AS price_symbols FROM fewer GROUP BY ALL) "
+    "SELECT told.year, sum(n)::BIGINT AS articles, count(*) AS symbols_with_news, max(price_symbols) AS price_symbols, "
+    "round(100 * count(*) / max(price_symbols), 1) AS pct_symbols_covered, quantile_cont(n, 0.5) AS median_per_symbol "
+    "FROM told JOIN traded ON traded.year = told.year GROUP BY told.year",
 )
 def _(spark, sf):
     fewer = common.prices(spark, sf).where(F.col("symbol") < "N2").select("symbol", "date")

@@ -23,10 +23,9 @@ raw_bars AS (
 
 PRICES = f"""{BARS},
 prices AS MATERIALIZED (
-    SELECT *, open * adj_close / nullif(close, 0) AS adj_open,
-        high * adj_close / nullif(close, 0) AS adj_high,
-        low * adj_close / nullif(close, 0) AS adj_low
-    FROM raw_bars WHERE adj_close > 0 AND close > 0
+    SELECT raw_bars.*, (adj_close * open) / close AS adj_open, (adj_close * high) / close AS adj_high,
+        (adj_close * low) / close AS adj_low
+    FROM raw_bars WHERE least(adj_close, close) > 0
 )"""
 
 PRICE_COLUMNS = ["open", "high", "low", "close", "adj_close", "adj_open", "adj_high", "adj_low"]
@@ -267,89 +266,95 @@ raw_articles AS (
 
 RAW_NEWS = f"""{RAW_ARTICLES},
 raw_news AS MATERIALIZED (
-    SELECT upper(trim(Stock_symbol)) AS symbol, try_strptime(Date, '%Y-%m-%d %H:%M:%S UTC') AS published_at,
-        nullif(trim(Article_title), '') AS title, Url AS url, nullif(trim(Lsa_summary), '') AS lsa_summary,
-        Date AS raw_date
+    SELECT trim(upper(Stock_symbol)) AS symbol,
+        CASE WHEN Date LIKE '____-__-__ __:__:__ UTC' THEN left(Date, 19)::TIMESTAMP END AS published_at,
+        CASE WHEN trim(Article_title) <> '' THEN trim(Article_title) END AS title, Url AS url,
+        CASE WHEN trim(Lsa_summary) <> '' THEN trim(Lsa_summary) END AS lsa_summary, Date AS raw_date
     FROM raw_articles
 )"""
 
-VALID = "symbol IS NOT NULL AND symbol != '' AND published_at IS NOT NULL AND title IS NOT NULL"
+VALID = "length(symbol) > 0 AND published_at IS NOT NULL AND title IS NOT NULL"
 
 DEDUPED = f"""{RAW_NEWS},
 deduped AS MATERIALIZED (
-    SELECT symbol, published_at, title, url, lsa_summary FROM raw_news WHERE {VALID}
-    QUALIFY row_number() OVER (PARTITION BY symbol, lower(title), published_at::DATE
-        ORDER BY published_at, url, title, lsa_summary NULLS LAST) = 1
+    SELECT DISTINCT ON (symbol, lower(title), date_trunc('day', published_at))
+        symbol, published_at, title, url, lsa_summary
+    FROM raw_news WHERE {VALID}
+    ORDER BY symbol, lower(title), date_trunc('day', published_at), published_at, url NULLS LAST, title,
+        lsa_summary NULLS LAST
 )"""
 
+
+def quiet_days(source: str) -> str:
+    """Rows of the symbol-days without too many articles."""
+    return (
+        f"SELECT symbol, published_at, title, url, lsa_summary FROM {source} JOIN (SELECT symbol, published_at::DATE AS d "
+        f"FROM {source} GROUP BY ALL HAVING count(*) <= {MAX_ARTICLES}) q USING (symbol) WHERE published_at::DATE = q.d"
+    )
+
+
 NEWS = f"""{DEDUPED},
-news AS MATERIALIZED (
-    SELECT * FROM deduped
-    QUALIFY count(*) OVER (PARTITION BY symbol, published_at::DATE) <= {MAX_ARTICLES}
-)"""
+news AS MATERIALIZED ({quiet_days("deduped")})"""
 
 SCORED_NEWS = f"""{NEWS}, {scores("news", "title", "title_scores")}, {scores("news", "lsa_summary", "summary_scores")}"""
 
 
 def news_features(same_day: bool = False) -> str:
-    available = ">=" if same_day else ">"
-    decay = "pow(0.5, lag / 3.0)"
+    """Features from the definitions: each price row looks at the articles of its last 30 trading days."""
+    seen = "<" if same_day else "<="
 
-    def part(column: str, condition: str) -> str:
-        return f"sum({column}) FILTER ({condition})::DOUBLE"
+    def within(expression: str, ages: str) -> str:
+        return f"CASE WHEN age {ages} THEN {expression} END"
 
+    recency = "power(2.0, -age / 3.0)"
     return f"""
-calendar AS MATERIALIZED (
-    SELECT date, row_number() OVER (ORDER BY date) AS day_idx
-    FROM (SELECT DISTINCT date FROM prices WHERE date >= TIMESTAMP '{HISTORY_START}')
+trading AS MATERIALIZED (
+    SELECT date, rank() OVER (ORDER BY date) AS day_idx
+    FROM (SELECT date FROM prices WHERE date >= TIMESTAMP '{HISTORY_START}' GROUP BY date)
 ),
-articles AS (
-    SELECT news.symbol, news.published_at::DATE::TIMESTAMP AS published_date, t.sentiment::DOUBLE AS sentiment,
-        t.p_positive > greatest(t.p_negative, t.p_neutral) AS is_positive,
-        t.p_negative > greatest(t.p_positive, t.p_neutral) AS is_negative,
-        s.sentiment::DOUBLE AS summary_sentiment
-    FROM news JOIN title_scores t USING (title) LEFT JOIN summary_scores s USING (lsa_summary)
-    WHERE news.published_at >= TIMESTAMP '{HISTORY_START}' AND news.symbol IN (SELECT symbol FROM prices)
+told AS MATERIALIZED (
+    SELECT * FROM (
+        SELECT n.symbol, t.sentiment::DOUBLE AS tone,
+            (t.p_positive > t.p_negative AND t.p_positive > t.p_neutral)::INT AS good,
+            (t.p_negative > t.p_positive AND t.p_negative > t.p_neutral)::INT AS bad,
+            s.sentiment::DOUBLE AS summary_tone,
+            1 + (SELECT count(*) FROM trading c WHERE c.date {seen} n.published_at::DATE) AS day_idx
+        FROM news n JOIN title_scores t ON t.title = n.title
+        LEFT JOIN summary_scores s ON s.lsa_summary = n.lsa_summary
+        WHERE n.published_at >= TIMESTAMP '{HISTORY_START}' AND EXISTS (SELECT 1 FROM prices p WHERE p.symbol = n.symbol)
+    ) WHERE day_idx <= (SELECT max(day_idx) FROM trading)
 ),
 daily AS MATERIALIZED (
-    SELECT articles.symbol, calendar.day_idx, count(*) AS n, sum(sentiment) AS s,
-        sum(sentiment * sentiment) AS s2, count(*) FILTER (is_positive) AS n_positive,
-        count(*) FILTER (is_negative) AS n_negative, count(summary_sentiment) AS n_summary,
-        sum(summary_sentiment) AS s_summary
-    FROM articles ASOF JOIN calendar ON calendar.date {available} articles.published_date
-    GROUP BY ALL
+    SELECT symbol, day_idx, count(*) AS articles, sum(tone) AS tone, sum(tone * tone) AS tone_sq,
+        sum(good)::BIGINT AS positive, sum(bad)::BIGINT AS negative, count(summary_tone) AS summaries,
+        sum(summary_tone) AS summary_tone
+    FROM told GROUP BY symbol, day_idx
 ),
-windows AS MATERIALIZED (
-    SELECT symbol, day_idx + lag AS day_idx,
-        {part("n", "lag = 0")} AS n_1d, {part("s", "lag = 0")} AS s_1d,
-        {part("n_positive", "lag = 0")} AS n_positive_1d, {part("n_negative", "lag = 0")} AS n_negative_1d,
-        {part("n", "lag < 3")} AS n_3d, {part("s", "lag < 3")} AS s_3d,
-        {part("n", "lag BETWEEN 3 AND 9")} AS n_prev_7d, {part("s", "lag BETWEEN 3 AND 9")} AS s_prev_7d,
-        {part("n", "lag < 7")} AS n_7d, {part("s", "lag < 7")} AS s_7d, {part("s2", "lag < 7")} AS s2_7d,
-        sum(n * {decay}) AS n_ewm, sum(s * {decay}) AS s_ewm,
-        {part("n_summary", "lag = 0")} AS n_summary_1d, {part("s_summary", "lag = 0")} AS s_summary_1d,
-        {part("n_summary", "lag < 7")} AS n_summary_7d, {part("s_summary", "lag < 7")} AS s_summary_7d,
-        sum(n_summary * {decay}) AS n_summary_ewm, sum(s_summary * {decay}) AS s_summary_ewm
-    FROM daily, range(30) AS lags(lag)
-    GROUP BY ALL
+price_days AS MATERIALIZED (SELECT symbol, date, day_idx FROM prices JOIN trading USING (date)),
+looked AS (
+    SELECT p.symbol, p.date, p.day_idx, p.day_idx - a.day_idx AS age, a.* EXCLUDE (symbol, day_idx)
+    FROM price_days p LEFT JOIN told a ON a.symbol = p.symbol AND a.day_idx BETWEEN p.day_idx - 29 AND p.day_idx
 ),
-price_days AS (SELECT symbol, date, day_idx FROM prices JOIN calendar USING (date)),
-last_news AS (
-    SELECT p.symbol, p.day_idx, d.day_idx AS last_day_idx
-    FROM price_days p ASOF JOIN daily d ON d.symbol = p.symbol AND d.day_idx <= p.day_idx
+latest AS (
+    SELECT p.symbol, p.date, max(d.day_idx) AS last_day_idx
+    FROM price_days p LEFT JOIN daily d ON d.symbol = p.symbol AND d.day_idx <= p.day_idx GROUP BY ALL
 ),
 features AS MATERIALIZED (
-    SELECT symbol, date, day_idx, last_day_idx,
-        coalesce(n_1d, 0) AS news_count_1d, coalesce(n_7d, 0) AS news_count_7d,
-        s_1d / n_1d AS sentiment_mean_1d, s_7d / n_7d AS sentiment_mean_7d,
-        CASE WHEN n_7d >= 2 THEN sqrt(greatest(s2_7d / n_7d - pow(s_7d / n_7d, 2), 0)) END AS sentiment_std_7d,
-        n_positive_1d / n_1d AS positive_ratio_1d, coalesce(n_negative_1d, 0) AS negative_count_1d,
-        s_3d / n_3d - s_prev_7d / n_prev_7d AS sentiment_change_3d, s_ewm / n_ewm AS sentiment_ewm,
-        day_idx - last_day_idx AS days_since_last_news, coalesce(n_summary_7d, 0) AS summary_count_7d,
-        s_summary_1d / nullif(n_summary_1d, 0) AS summary_sentiment_mean_1d,
-        s_summary_7d / nullif(n_summary_7d, 0) AS summary_sentiment_mean_7d,
-        s_summary_ewm / nullif(n_summary_ewm, 0) AS summary_sentiment_ewm
-    FROM price_days LEFT JOIN windows USING (symbol, day_idx) LEFT JOIN last_news USING (symbol, day_idx)
+    SELECT symbol, date,
+        count({within("1", "= 0")}) AS news_count_1d, count({within("1", "< 7")}) AS news_count_7d,
+        avg({within("tone", "= 0")}) AS sentiment_mean_1d, avg({within("tone", "< 7")}) AS sentiment_mean_7d,
+        CASE WHEN count({within("1", "< 7")}) > 1 THEN stddev_pop({within("tone", "< 7")}) END AS sentiment_std_7d,
+        avg({within("good", "= 0")}) AS positive_ratio_1d,
+        coalesce(sum({within("bad", "= 0")}), 0) AS negative_count_1d,
+        avg({within("tone", "< 3")}) - avg({within("tone", "BETWEEN 3 AND 9")}) AS sentiment_change_3d,
+        sum(tone * {recency}) / sum({recency}) AS sentiment_ewm,
+        any_value(day_idx) - any_value(last_day_idx) AS days_since_last_news,
+        count({within("summary_tone", "< 7")}) AS summary_count_7d,
+        avg({within("summary_tone", "= 0")}) AS summary_sentiment_mean_1d,
+        avg({within("summary_tone", "< 7")}) AS summary_sentiment_mean_7d,
+        sum(summary_tone * {recency}) / sum(CASE WHEN summary_tone IS NOT NULL THEN {recency} END)
+            AS summary_sentiment_ewm
+    FROM looked JOIN latest USING (symbol, date) GROUP BY symbol, date
 )"""
 
 

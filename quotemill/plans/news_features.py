@@ -10,6 +10,7 @@ from quotemill.operators.asof import asof_join
 from quotemill.operators.calendar import next_trading_days, trading_calendar
 from quotemill.operators.joins import left_join_on_text, left_join_one_to_one
 from quotemill.plans.sentiment import assert_all_scored
+from quotemill.session import staged
 from quotemill.schemas import (
     COUNT_FEATURES,
     HALF_LIFE_DAYS,
@@ -17,8 +18,21 @@ from quotemill.schemas import (
     NEWS_HISTORY_START,
 )
 
-# Sums a day contributes, and the lag windows they are summed over.
-STATISTICS = ["n", "s", "s2", "n_positive", "n_negative", "n_summary", "s_summary"]
+# The windows, as first and last age in trading days.
+WINDOWS = {"1d": (0, 0), "3d": (0, 2), "before_3d": (3, 9), "7d": (0, 6)}
+
+# What a day's articles add up to, and the windows each sum is needed over. All of them are also
+# summed with the recency weight, as window "recent".
+STATISTICS = {
+    "articles": ["1d", "3d", "before_3d", "7d"],
+    "tone": ["1d", "3d", "before_3d", "7d"],
+    "tone_sq": ["7d"],
+    "positive": ["1d"],
+    "negative": ["1d"],
+    "summaries": ["1d", "7d"],
+    "summary_tone": ["1d", "7d"],
+}
+RECENT = ["articles", "tone", "summaries", "summary_tone"]
 
 
 def scored_articles(
@@ -47,7 +61,9 @@ def scored_articles(
     return left_join_on_text(with_titles, summaries, "lsa_summary", ["symbol", "url", "title"])
 
 
-def daily_news_stats(articles: DataFrame, calendar: DataFrame, history_start: str, same_day: bool) -> DataFrame:
+def daily_news_stats(
+    articles: DataFrame, calendar: DataFrame, history_start: str, same_day: bool
+) -> DataFrame:
     """Mergeable sums per symbol and the trading day its articles become available.
 
     Articles after the last trading day fall out.
@@ -58,49 +74,38 @@ def daily_news_stats(articles: DataFrame, calendar: DataFrame, history_start: st
         articles.join(F.broadcast(days), "news_day")
         .groupBy("symbol", "day_idx")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(sentiment).alias("s"),
-            F.sum(sentiment * sentiment).alias("s2"),
-            F.count_if("is_positive").alias("n_positive"),
-            F.count_if("is_negative").alias("n_negative"),
-            F.count("summary_sentiment").alias("n_summary"),
-            F.sum("summary_sentiment").alias("s_summary"),
+            F.count(F.lit(1)).alias("articles"),
+            F.sum(sentiment).alias("tone"),
+            F.sum(sentiment * sentiment).alias("tone_sq"),
+            F.count_if("is_positive").alias("positive"),
+            F.count_if("is_negative").alias("negative"),
+            F.count("summary_sentiment").alias("summaries"),
+            F.sum("summary_sentiment").alias("summary_tone"),
         )
     )
 
 
-def news_window_sums(daily: DataFrame, lag_days: int = LAG_DAYS, half_life: int = HALF_LIFE_DAYS) -> DataFrame:
-    """Each day's sums added to the days whose windows include it, ``lag`` trading days later."""
-    lagged = daily.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lag_days - 1))))
-    lag = F.col("lag")
-    decay = F.pow(F.lit(0.5), lag / F.lit(float(half_life)))
-
-    def total(column: str, condition: Column) -> Column:
-        return F.sum(F.when(condition, F.col(column)))
-
-    one, three, seven = lag == 0, lag < 3, lag < 7
-    before_three = lag.between(3, 9)
-    return lagged.groupBy("symbol", (F.col("day_idx") + lag).alias("day_idx")).agg(
-        total("n", one).alias("n_1d"),
-        total("s", one).alias("s_1d"),
-        total("n_positive", one).alias("n_positive_1d"),
-        total("n_negative", one).alias("n_negative_1d"),
-        total("n", three).alias("n_3d"),
-        total("s", three).alias("s_3d"),
-        total("n", before_three).alias("n_prev_7d"),
-        total("s", before_three).alias("s_prev_7d"),
-        total("n", seven).alias("n_7d"),
-        total("s", seven).alias("s_7d"),
-        total("s2", seven).alias("s2_7d"),
-        F.sum(F.col("n") * decay).alias("n_ewm"),
-        F.sum(F.col("s") * decay).alias("s_ewm"),
-        total("n_summary", one).alias("n_summary_1d"),
-        total("s_summary", one).alias("s_summary_1d"),
-        total("n_summary", seven).alias("n_summary_7d"),
-        total("s_summary", seven).alias("s_summary_7d"),
-        F.sum(F.col("n_summary") * decay).alias("n_summary_ewm"),
-        F.sum(F.col("s_summary") * decay).alias("s_summary_ewm"),
-    )
+def news_window_sums(
+    daily: DataFrame, lag_days: int = LAG_DAYS, half_life: int = HALF_LIFE_DAYS
+) -> DataFrame:
+    """Sums over the trading-day windows, per symbol and day that has news in one of them.
+
+    Each day's sums are copied to the ``lag_days`` days that can see them, and added up there by
+    age. A window without news has a null sum.
+    """
+    ages = F.sequence(F.lit(0), F.lit(lag_days - 1))
+    aged = daily.withColumn("_age", F.explode(ages))
+    age = F.col("_age")
+    weight = F.pow(F.lit(0.5), age / F.lit(float(half_life)))
+    sums = []
+    for statistic, names in STATISTICS.items():
+        for name in names:
+            first, last = WINDOWS[name]
+            inside = F.when(age.between(first, last), F.col(statistic))
+            sums.append(F.sum(inside).alias(f"{statistic}_{name}"))
+        if statistic in RECENT:
+            sums.append(F.sum(F.col(statistic) * weight).alias(f"{statistic}_recent"))
+    return aged.groupBy("symbol", (F.col("day_idx") + age).alias("day_idx")).agg(*sums)
 
 
 def last_news_days(price_days: DataFrame, daily: DataFrame) -> DataFrame:
@@ -114,25 +119,30 @@ def last_news_days(price_days: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def feature_columns() -> dict[str, Column]:
-    mean_7d = safe_divide("s_7d", "n_7d")
-    variance_7d = safe_divide("s2_7d", "n_7d") - mean_7d * mean_7d
+    def mean(window: str, total: str = "tone", count: str = "articles") -> Column:
+        return safe_divide(f"{total}_{window}", f"{count}_{window}")
+
+    def counted(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0))
+
+    summary = ("summary_tone", "summaries")
+    variance = safe_divide("tone_sq_7d", "articles_7d") - mean("7d") * mean("7d")
+    deviation = F.sqrt(F.greatest(variance, F.lit(0.0)))
     return {
-        "news_count_1d": F.coalesce("n_1d", F.lit(0)),
-        "news_count_7d": F.coalesce("n_7d", F.lit(0)),
-        "sentiment_mean_1d": safe_divide("s_1d", "n_1d"),
-        "sentiment_mean_7d": mean_7d,
-        "sentiment_std_7d": F.when(
-            F.col("n_7d") >= 2, F.sqrt(F.greatest(variance_7d, F.lit(0.0)))
-        ),
-        "positive_ratio_1d": safe_divide("n_positive_1d", "n_1d"),
-        "negative_count_1d": F.coalesce("n_negative_1d", F.lit(0)),
-        "sentiment_change_3d": safe_divide("s_3d", "n_3d") - safe_divide("s_prev_7d", "n_prev_7d"),
-        "sentiment_ewm": safe_divide("s_ewm", "n_ewm"),
+        "news_count_1d": counted("articles_1d"),
+        "news_count_7d": counted("articles_7d"),
+        "sentiment_mean_1d": mean("1d"),
+        "sentiment_mean_7d": mean("7d"),
+        "sentiment_std_7d": F.when(F.col("articles_7d") >= 2, deviation),
+        "positive_ratio_1d": mean("1d", "positive"),
+        "negative_count_1d": counted("negative_1d"),
+        "sentiment_change_3d": mean("3d") - mean("before_3d"),
+        "sentiment_ewm": mean("recent"),
         "days_since_last_news": F.col("day_idx") - F.col("last_day_idx"),
-        "summary_count_7d": F.coalesce("n_summary_7d", F.lit(0)),
-        "summary_sentiment_mean_1d": safe_divide("s_summary_1d", "n_summary_1d"),
-        "summary_sentiment_mean_7d": safe_divide("s_summary_7d", "n_summary_7d"),
-        "summary_sentiment_ewm": safe_divide("s_summary_ewm", "n_summary_ewm"),
+        "summary_count_7d": counted("summaries_7d"),
+        "summary_sentiment_mean_1d": mean("1d", *summary),
+        "summary_sentiment_mean_7d": mean("7d", *summary),
+        "summary_sentiment_ewm": mean("recent", *summary),
     }
 
 
@@ -154,7 +164,9 @@ def news_features(
         assert_all_scored(news, title_scores)
     calendar = trading_calendar(prices, history_start)
     articles = scored_articles(news, prices, title_scores, summary_scores, history_start)
-    daily = daily_news_stats(articles, calendar, history_start, same_day)
+    # One row per symbol and day with news: written once, read by the windows and the as-of join, so
+    # the articles and their texts are joined once.
+    daily = staged(daily_news_stats(articles, calendar, history_start, same_day), "daily-news")
     windows = news_window_sums(daily)
     price_days = prices.select("symbol", "date").join(F.broadcast(calendar), "date")
     rows = last_news_days(price_days, daily).join(windows, ["symbol", "day_idx"], "left")
