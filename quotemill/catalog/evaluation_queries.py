@@ -215,19 +215,20 @@ def _(spark, sf):
     return df.select("symbol", "date", scalars.argmax_class(*scaled).alias("pred"))
 
 
-def _f1(source: str) -> str:
+def _f1(source: str, per_model: bool = True) -> str:
     parts = []
     for i in range(3):
         parts.append(
             f"coalesce(2.0 * sum((y = {i} AND pred = {i})::INT) / nullif(sum((y = {i})::INT + (pred = {i})::INT), 0), 0) AS f{i}, "
             f"(sum((y = {i})::INT + (pred = {i})::INT) > 0)::INT AS o{i}"
         )
-    return f"SELECT model, {', '.join(parts)} FROM {source} GROUP BY model"
+    columns = ", ".join(parts)
+    return f"SELECT model, {columns} FROM {source} GROUP BY model" if per_model else f"SELECT {columns} FROM {source}"
 
 
 @query(
     "macro_f1",
-    f"WITH {P}, pairs AS (SELECT 'm' AS model, y, {ARGMAX} AS pred FROM predictions), f AS ({_f1('pairs')}) "
+    f"WITH {P}, pairs AS (SELECT y, {ARGMAX} AS pred FROM predictions), f AS ({_f1('pairs', False)}) "
     "SELECT round((f0 + f1 + f2) / 3, 6) + 0.0 AS macro_f1, round(f0, 6) + 0.0 AS down_f1, round(f1, 6) + 0.0 AS hold_f1, "
     "round(f2, 6) + 0.0 AS up_f1 FROM f",
 )

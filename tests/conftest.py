@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from quotemill.session import get_session  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
+LARGER_DIR = "/root/testdata/sf0.01"
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -31,14 +32,14 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(scope="session")
-def sf_dir():
-    return SF_DIR
+def connect(folder):
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    return con
 
 
 @pytest.fixture(scope="session")
 def duck():
-    con = duckdb.connect()
-    for table in TABLES:
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
-    return con
+    """A DuckDB connection per table folder."""
+    return {folder: connect(folder) for folder in (SF_DIR, LARGER_DIR)}
