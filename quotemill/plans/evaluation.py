@@ -299,9 +299,7 @@ def calibration_error(
 
 def resolved_label_lag(df: DataFrame) -> DataFrame:
     """Add ``lagged_label``: the symbol's latest label whose window closed by the row's date."""
-    return asof_join(
-        df, df, "date", "label_end_date", ["symbol"], {"lagged_label": "label"}, bounded=True
-    )
+    return asof_join(df, df, "date", "label_end_date", ["symbol"], {"lagged_label": "label"})
 
 
 def trailing_return_label() -> Column:

@@ -30,6 +30,8 @@ from quotemill.plans.splits import (
     walk_forward_splits,
 )
 from quotemill.schemas import NON_FEATURE_COLUMNS, RATINGS
+from quotemill.session import work_path
+from quotemill.sources.tables import write_parquet
 
 # Share of symbols searched on, folds, finalists.
 SEARCH_FRACTION = 0.3
@@ -69,9 +71,10 @@ def _filled(names: Sequence[str]) -> tuple[list[Column], list[str]]:
     """MLlib has no missing values: fill with 0 and add a marker column per feature."""
     columns, inputs = [], []
     for c in names:
+        value = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
         columns += [
-            F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(0.0)).cast("double").alias(f"_f_{c}"),
-            F.col(c).isNull().cast("double").alias(f"_m_{c}"),
+            F.coalesce(value, F.lit(0.0)).alias(f"_f_{c}"),
+            value.isNull().cast("double").alias(f"_m_{c}"),
         ]
         inputs += [f"_f_{c}", f"_m_{c}"]
     return columns, inputs
@@ -255,6 +258,10 @@ def walk_forward_tune(
     folds = walk_forward_splits(
         sample_symbols(dataset, fraction, seed), n_folds, boundary_dates=dataset.select("date")
     )
+    # Every fit reads one fold and role: stored by both, it scans just those files.
+    path = work_path(spark, "folds")
+    write_parquet(folds, path, by=["fold", "role"])
+    folds = spark.read.parquet(path)
     if check_leakage:
         assert_no_leakage(folds, bounds)
     rows = []

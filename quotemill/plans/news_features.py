@@ -109,13 +109,8 @@ def news_window_sums(
 
 
 def last_news_days(price_days: DataFrame, daily: DataFrame) -> DataFrame:
-    """Add ``last_day_idx``, the latest day with news at or before each price row.
-
-    Both sides have at most one row per symbol and trading day.
-    """
-    return asof_join(
-        price_days, daily, "day_idx", "day_idx", ["symbol"], {"last_day_idx": "day_idx"}, bounded=True
-    )
+    """Add ``last_day_idx``, the latest day with news at or before each price row."""
+    return asof_join(price_days, daily, "day_idx", "day_idx", ["symbol"], {"last_day_idx": "day_idx"})
 
 
 def feature_columns() -> dict[str, Column]:

@@ -19,6 +19,9 @@ def get_session(app_name: str = "quotemill", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.ui.enabled": "false",
+        # A chain of windows has more generated classes than the default 100; without room for all
+        # of them every task compiles them again.
+        "spark.sql.codegen.cache.maxEntries": "2000",
         **conf,
     }
     for key, value in settings.items():

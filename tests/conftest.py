@@ -24,7 +24,6 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "6g",
-            "spark.sql.codegen.cache.maxEntries": "500",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
