@@ -269,10 +269,15 @@ def _(spark, sf):
     return evaluation.majority_class(common.predictions(spark, sf))
 
 
-LAGGED = f"""{P},
-resolved AS (SELECT symbol, label_end_date, label FROM predictions WHERE label_end_date IS NOT NULL),
-lagged AS MATERIALIZED (SELECT p.*, r.label AS lagged_label FROM predictions p
-    ASOF JOIN resolved r ON r.symbol = p.symbol AND r.label_end_date <= p.date)"""
+def _lagged(source: str) -> str:
+    """Rows of a prediction table that have a resolved earlier label, and that label."""
+    return f"""lagged AS MATERIALIZED (
+    SELECT p.*, r.label AS lagged_label FROM {source} p
+    ASOF JOIN (SELECT symbol, label_end_date, label FROM {source} WHERE label_end_date IS NOT NULL) r
+    ON r.symbol = p.symbol AND r.label_end_date <= p.date)"""
+
+
+LAGGED = f"{P}, {_lagged('predictions')}"
 
 
 @query("persistence_baseline", f"WITH {LAGGED} SELECT symbol, date, label, lagged_label AS pred FROM lagged")
@@ -297,22 +302,31 @@ def _index(expression: str) -> str:
     return f"CASE {expression} WHEN 'DOWN' THEN 0 WHEN 'HOLD' THEN 1 WHEN 'UP' THEN 2 END::BIGINT"
 
 
-PRIOR_P = "CASE y WHEN 0 THEN (SELECT avg((y = 0)::INT) FROM train) WHEN 1 THEN (SELECT avg((y = 1)::INT) FROM train) ELSE (SELECT avg((y = 2)::INT) FROM train) END"
+CUT = "TIMESTAMP '1997-06-01'"
+SCALED_ARGMAX = ARGMAX.replace("p_down", "p_down * 1.5::DOUBLE").replace("p_hold", "p_hold * 0.8::DOUBLE").replace(
+    "p_up", "p_up * 1.1::DOUBLE"
+)
 
 
 @query(
     "evaluate_model",
-    f"""WITH {LAGGED.replace("lagged AS", "train AS (SELECT * FROM predictions WHERE date < TIMESTAMP '1997-06-01'), tests AS (SELECT * FROM predictions WHERE date >= TIMESTAMP '1997-06-01'), lagged AS").replace("FROM predictions p", "FROM tests p").replace("resolved AS (SELECT symbol, label_end_date, label FROM predictions WHERE", "resolved AS (SELECT symbol, label_end_date, label FROM predictions WHERE date >= TIMESTAMP '1997-06-01' AND")},
+    f"""WITH {P},
+train AS (SELECT * FROM predictions WHERE date < {CUT}),
+tests AS (SELECT * FROM predictions WHERE date >= {CUT}),
+{_lagged("tests")},
+prior AS (SELECT y, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM train GROUP BY y),
 pairs AS (
     SELECT 'model' AS model, y, {ARGMAX} AS pred FROM lagged
-    UNION ALL SELECT 'majority_class', y, (SELECT y FROM train GROUP BY y ORDER BY count(*) DESC, y LIMIT 1) FROM lagged
+    UNION ALL SELECT 'majority_class', y, (SELECT y FROM prior ORDER BY n DESC, y LIMIT 1) FROM lagged
     UNION ALL SELECT 'persistence', y, {_index("lagged_label")} FROM lagged
     UNION ALL SELECT 'trailing_return', y, {_index("(" + TRAILING + ")")} FROM lagged
-    UNION ALL SELECT 'model_scaled', y, {ARGMAX.replace("p_down", "(p_down * 1.5::DOUBLE)").replace("p_hold", "(p_hold * 0.8::DOUBLE)").replace("p_up", "(p_up * 1.1::DOUBLE)")} FROM lagged
+    UNION ALL SELECT 'model_scaled', y, {SCALED_ARGMAX} FROM lagged
 ),
 f AS ({_f1("pairs")}),
-losses AS (SELECT 'model' AS model, -avg(ln({TRUE_P})) AS log_loss FROM lagged
-    UNION ALL SELECT 'class_prior', -avg(ln({PRIOR_P})) FROM lagged)
+losses AS (
+    SELECT 'model' AS model, -avg(ln({TRUE_P})) AS log_loss FROM lagged
+    UNION ALL SELECT 'class_prior', -avg(ln(share)) FROM lagged JOIN prior ON prior.y = lagged.y
+)
 SELECT coalesce(f.model, losses.model) AS model, round((f0 + f1 + f2) / (o0 + o1 + o2), 6) + 0.0 AS macro_f1,
     round(f0, 6) + 0.0 AS down_f1, round(f1, 6) + 0.0 AS hold_f1, round(f2, 6) + 0.0 AS up_f1,
     round(log_loss, 6) + 0.0 AS log_loss FROM f FULL JOIN losses ON f.model = losses.model""",

@@ -31,6 +31,23 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
+def detect_headers(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
+    """The ``headers`` argument of :func:`scan_price_csv`, found by a pass over the files.
+
+    Headers are the lines with both the date and the adjusted close column in them. With one kind of
+    header the paths are kept as globs; otherwise every file is listed with its columns.
+    """
+    lines = spark.read.text(_as_list(paths)).select(F.input_file_name().alias("file"), "value")
+    fields = F.transform(F.split("value", ","), lambda f: F.trim(F.replace(f, F.lit('"'))))
+    headers = lines.select("file", fields.alias("names")).where(
+        F.array_contains("names", "date") & F.array_contains("names", "adj close")
+    )
+    kinds = headers.select("names").distinct().limit(2).collect()
+    if len(kinds) == 1:
+        return {path: list(kinds[0]["names"]) for path in _as_list(paths)}
+    return {r["file"]: list(r["names"]) for r in headers.distinct().toLocalIterator()}
+
+
 def scan_price_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -40,7 +57,7 @@ def scan_price_csv(
     """Per-symbol price files to the price table.
 
     Columns are matched by header name. Files whose header differs are given as ``headers``, a glob
-    to its column names, read group by group and united by name.
+    to its column names (see :func:`detect_headers`), read group by group and united by name.
     """
     if headers is None:
         headers = {path: [f.name for f in PRICE_CSV_SCHEMA] for path in _as_list(paths)}
@@ -51,7 +68,9 @@ def scan_price_csv(
     scans = []
     for names, files in groups.items():
         schema = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-        scan = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(files)
+        # The header of every file is checked against the names, so no file is read by position.
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+        scan = reader.option("mode", "FAILFAST").csv(files)
         wanted = [n for n in names if n in types]
         scans.append(scan.select(*[F.col(f"`{n}`") for n in wanted], symbol_from_path(symbol_pattern).alias("symbol")))
     raw = scans[0]

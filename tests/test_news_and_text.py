@@ -229,6 +229,12 @@ def test_price_files_with_another_header(spark, tmp_path):
     headers = {
         f"file://{tmp_path}/{name}.csv": csv_files.csv_header(spark, f"{tmp_path}/{name}.csv") for name in ("aa", "bb")
     }
+    found = csv_files.detect_headers(spark, f"{tmp_path}/*.csv")
+    assert sorted(found.values()) == sorted(headers.values())
+    assert csv_files.detect_headers(spark, f"{tmp_path}/aa*.csv") == {f"{tmp_path}/aa*.csv": headers[f"file://{tmp_path}/aa.csv"]}
+    with pytest.raises(Exception, match="header"):
+        csv_files.scan_price_csv(spark, f"{tmp_path}/*.csv").collect()
+    assert csv_files.scan_price_csv(spark, [], headers=found).count() == 2
     out = csv_files.scan_price_csv(spark, [], headers=headers).orderBy("symbol").collect()
     assert [(r.symbol, r.volume, r.adj_open, r.adj_high, r.adj_low) for r in out] == [
         ("AA", 10, 0.5, 1.0, 0.25),
