@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quotemill.catalog import common, sql
 from quotemill.catalog.base import MIN_ROWS, comparable, query, rounded
 from quotemill.functions import scalars
-from quotemill.plans import evaluation, experiments, modeling
+from quotemill.plans import evaluation, experiments, modeling, news_timing
 
 P = sql.PREDICTIONS
 
@@ -456,3 +456,46 @@ def _(spark, sf):
     return comparable(modeling.best_trials(modeling.pareto_front(_trials(spark, sf))))
 
 
+# --- Single features and news timing -----------------------------------------------------------
+
+SINGLE = ["momentum_14d", "volatility_21d", "trailing_return"]
+
+
+def _mean_ics(source: str, by: str) -> str:
+    return f"""numbered_ics AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY date) - 1 AS place FROM {source}),
+thin AS (SELECT {by}, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS ic_t FROM numbered_ics WHERE place % 8 = 0 GROUP BY {by})
+SELECT n.{by}, round(avg(ic), 6) + 0.0 AS ic, round(any_value(ic_t), 4) + 0.0 AS ic_t, count(*) AS n_dates
+FROM numbered_ics n JOIN thin ON thin.{by} = n.{by} GROUP BY n.{by}"""
+
+
+@query(
+    "feature_ics",
+    f"WITH {P}, long AS ("
+    + " UNION ALL ".join(f"SELECT date, forward_return, '{c}' AS feature, {c} AS score FROM predictions" for c in SINGLE)
+    + f"), {_ic('date, feature', 'true', MIN_ROWS, 'ics', source='long')}, {_mean_ics('ics', 'feature')}",
+)
+def _(spark, sf):
+    found = evaluation.feature_ics(common.predictions(spark, sf), SINGLE, min_rows=MIN_ROWS)
+    return comparable(found.withColumn("ic_t", F.round("ic_t", 4)))
+
+
+@query(
+    "news_window_ics",
+    f"""WITH {sql.PRICES}, {sql.SCORED_NEWS}, {sql.news_features(True)},
+moves AS (SELECT symbol, date, adj_close / lag(adj_close) OVER {sql.W} - 1 AS same_day,
+    lead(adj_open) OVER {sql.W} / adj_close - 1 AS overnight,
+    lead(adj_close) OVER {sql.W} / lead(adj_open) OVER {sql.W} - 1 AS next_day FROM prices),
+excess AS (SELECT symbol, date, same_day - median(same_day) OVER (PARTITION BY date) AS same_day,
+    overnight - median(overnight) OVER (PARTITION BY date) AS overnight,
+    next_day - median(next_day) OVER (PARTITION BY date) AS next_day FROM moves),
+toned AS (SELECT e.*, d.tone / d.articles AS score FROM excess e JOIN trading USING (date)
+    JOIN daily d ON d.symbol = e.symbol AND d.day_idx = trading.day_idx),
+long AS ({" UNION ALL ".join(
+    f"SELECT date, '{w}' AS window, score, {w} AS forward_return FROM toned WHERE {w} IS NOT NULL"
+    for w in ("same_day", "overnight", "next_day"))}),
+{_ic('date, "window"', "true", 3, "ics", source="long")}, {_mean_ics("ics", '"window"')}""",
+)
+def _(spark, sf):
+    table, calendar, daily = common.daily_news(spark, sf, same_day=True)
+    found = news_timing.news_window_ics(table, calendar, daily, min_rows=3)
+    return comparable(found.withColumn("ic_t", F.round("ic_t", 4)))

@@ -23,6 +23,7 @@ EMPTY_TAGS = ["br", "hr"]
 
 # What counts as whitespace: the Unicode property plus the four ASCII separators.
 SPACE = r"[\s\x1c-\x1f]"
+SPACE_CHARACTERS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 SCRIPT_PATTERN = r"(?iusU)<script\b[^>]*>.*?</script>"
 TAG_PATTERN = (
@@ -80,7 +81,7 @@ def strip_markdown(column) -> Column:
 def tidy_whitespace(text: Column) -> Column:
     text = F.regexp_replace(text, F.lit(r"[ \t]+"), F.lit(" "))
     text = F.regexp_replace(text, F.lit(r"\n{3,}"), F.lit("\n\n"))
-    return F.regexp_replace(text, F.lit(rf"(?U)\A{SPACE}+|{SPACE}+\z"), F.lit(""))
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def clean_text(column) -> Column:

@@ -130,6 +130,39 @@ def rank_ic_by(
     )
 
 
+def mean_ics(ics: DataFrame, by: str, horizon: int = LABEL_HORIZON) -> DataFrame:
+    """Mean correlation and t-stat of each series of a (date, ``by``) table, on its own dates."""
+    at = F.row_number().over(Window.partitionBy(by).orderBy("date")) - 1
+    kept = F.when(F.col("_at") % (horizon + 1) == 0, F.col("ic"))
+    return (
+        ics.withColumn("_at", at)
+        .withColumn("_thin", kept)
+        .groupBy(by)
+        .agg(F.avg("ic").alias("ic"), t_stat("_thin").alias("ic_t"), F.count(F.lit(1)).alias("n_dates"))
+    )
+
+
+def feature_ics(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str = "forward_return",
+    min_rows: int = MIN_ROWS_PER_DATE,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """How well each feature alone ranks the target: mean per-date correlation and its t-stat.
+
+    The features are stacked, so all of them share one ranking pass.
+    """
+    items = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]
+    stacked = df.select("date", target, F.explode(F.array(*items)).alias("_item")).select(
+        "date", target, "_item.feature", "_item.value"
+    )
+    ics = rank_ic(
+        stacked.where(F.col("value").isNotNull()), "value", target, ["date", "feature"], min_rows, rows_per_bucket
+    )
+    return mean_ics(ics, "feature")
+
+
 def ranking_frame(predictions: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """What the ranking metrics need per test row: score, returns and segments."""
     scored = predictions.withColumns(

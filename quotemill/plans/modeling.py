@@ -294,6 +294,15 @@ def walk_forward_tune(
     return best
 
 
+def importance_by_group(spark: SparkSession, model: Forest, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """Share of the model's total importance that falls on each group of features."""
+    weights = model.model.featureImportances.toArray()
+    # Two inputs per feature: its value and its missing marker.
+    per_feature = {c: float(weights[2 * i] + weights[2 * i + 1]) for i, c in enumerate(model.features)}
+    rows = [(name, sum(per_feature.get(c, 0.0) for c in members)) for name, members in groups.items()]
+    return spark.createDataFrame(rows, "feature_group string, share double")
+
+
 # Saved models.
 
 

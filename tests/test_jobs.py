@@ -132,6 +132,13 @@ def test_forest_learns_and_is_saved(spark):
     assert p[0] == pytest.approx(1) and p[1] == pytest.approx(1)
 
 
+def test_importance_goes_to_the_real_feature(spark):
+    model = modeling.fit_forest(model_rows(spark), ["x", "noise"], {"n_trees": 5, "max_depth": 4})
+    shares = modeling.importance_by_group(spark, model, {"real": ["x"], "noise": ["noise"]}).toPandas()
+    shares = shares.set_index("feature_group").share
+    assert shares["real"] > 0.9 and shares.sum() == pytest.approx(1)
+
+
 def test_boosted_trees_learn(spark):
     rows = model_rows(spark)
     early, late = rows.where("date < '2020-03-01'"), rows.where("date >= '2020-03-01'")
