@@ -64,8 +64,9 @@ def _strip_tags(column: str) -> str:
 
 
 def _unescape(expression: str) -> str:
-    for entity, character in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        expression = f"replace({expression}, '{entity}', '{character}')"
+    # The entities of the pages; their names also count without the semicolon.
+    for name, character in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        expression = _replace(expression, f"&{name};?", character)
     return expression
 
 
