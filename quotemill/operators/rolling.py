@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quotemill.operators.series import Series, numbered
 
 # Up to this length a plain frame is as cheap; reading a row further back costs about five steps.
-SHORT = 64
+SHORT = 32
 LOOK_BACK_COST = 5
 
 
