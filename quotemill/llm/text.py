@@ -28,6 +28,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under names that clash with nothing, and where each column went."""
+    place = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*place.values()), place
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 bytes of a text column; null is the empty text."""
     return [b"" if x is None else x for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
