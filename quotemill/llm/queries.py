@@ -13,6 +13,7 @@ from quotemill.llm.jaccard_join import near_duplicates
 from quotemill.llm.line_dedup import dedupe_lines
 from quotemill.llm.mixing import mix_sources
 from quotemill.llm.quality import quality_verdicts
+from quotemill.llm.suffix_dedup import remove_repeats
 from quotemill.llm.text import table
 from quotemill.llm.token_counts import count_tokens
 from quotemill.llm.token_files import read_token_files, write_token_files
@@ -202,3 +203,10 @@ def op8_quality_rules(spark, sf_dir):
 def op9_jaccard_join(spark, sf_dir):
     """Every document with the component of near copies it belongs to."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, sf_dir):
+    """What is left of every document without its 400-byte repeats."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
