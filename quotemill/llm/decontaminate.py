@@ -217,13 +217,18 @@ def _match_block(docs: DataFrame, items: list[tuple[str, bytes]], text_col: str,
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = 0.5, window: int = WINDOW
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    chars_col: str | None = None,
+    max_coverage: float = 0.5,
+    window: int = WINDOW,
 ) -> DataFrame:
     """Documents without the passages they share with test items; their own columns only.
 
     Every hit run (see ``find_contamination``) is cut out from the start of its first word to the end of its
-    last. Documents with more than ``max_coverage`` of their words hit go altogether. Documents without
-    a hit come back unchanged.
+    last, and ``chars_col``, if there is one, then counts the characters left. Documents with more than
+    ``max_coverage`` of their words hit go altogether. Documents without a hit come back unchanged.
     """
     inner, place = renamed(docs)
     text = place[text_col]
@@ -245,5 +250,10 @@ def decontaminate(
                 batch, ("n_words", "n_hit", "hit_spans", "item_ids"), **{text: pa.array(out, pa.binary()).cast(pa.string())}
             )
 
+    if chars_col:
+        found = found.withColumn("changed", F.col("n_hit") > 0)
     cleaned = found.mapInArrow(cut, schema_with(found, ("n_words", "n_hit", "hit_spans", "item_ids")))
+    if chars_col:
+        count, kind = place[chars_col], docs.schema[chars_col].dataType
+        cleaned = cleaned.withColumn(count, F.when(F.col("changed"), F.length(text).cast(kind)).otherwise(F.col(count)))
     return cleaned.select(*place.values()).toDF(*docs.columns)

@@ -13,6 +13,7 @@ from quotemill.llm.jaccard_join import near_duplicates
 from quotemill.llm.line_dedup import dedupe_lines
 from quotemill.llm.mixing import mix_sources
 from quotemill.llm.quality import quality_verdicts
+from quotemill.llm.secret_scan import scan_secrets
 from quotemill.llm.suffix_dedup import remove_repeats
 from quotemill.llm.text import table
 from quotemill.llm.token_counts import count_tokens
@@ -74,6 +75,12 @@ def op2_token_counts(spark, sf_dir):
     return count_tokens(docs, vocabulary("word_bpe_49k.json")).drop("text")
 
 
+@query("op3_secret_scan")
+def op3_secret_scan(spark, sf_dir):
+    """Every candidate for a secret with the forest's verdict."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op4_ctw_scores")
 def op4_ctw_scores(spark, sf_dir):
     """Probability of every document under context trees trained on six sevenths of them."""
