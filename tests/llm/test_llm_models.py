@@ -1,0 +1,443 @@
+"""Context trees, quality rules, decontamination, mixing and secrets against plain loops."""
+
+import hashlib
+import itertools
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from conftest import SF_DIR
+from llm_helpers import LONG, awkward, documents, empty
+from pyspark.sql import functions as F
+
+from quotemill.llm import ctw, decontaminate, mixing, quality
+from quotemill.llm.ctw import score_documents
+from quotemill.llm.decontaminate import ItemAutomaton, find_contamination
+from quotemill.llm.mixing import last_places, mix_sources, solve_exponent
+from quotemill.llm.quality import filter_quality, quality_verdicts, repeated_words
+from quotemill.llm.queries import QUERIES
+from quotemill.llm.secret_scan import find_candidates, scan_secrets
+
+
+# --- context-tree weighting ------------------------------------------------------------------------------
+
+
+class PlainTrees:
+    """The same weighting with one dictionary of nodes and no arrays."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts = depth, defaultdict(lambda: [0, 0])
+        for text in texts:
+            for context, byte in self.walk(text):
+                for tree, bit in self.bits(byte):
+                    for d in range(depth + 1):
+                        self.counts[context[:d], tree][bit] += 1
+        self.children = defaultdict(list)
+        for context, tree in list(self.counts):
+            if context:
+                self.children[context[:-1], tree].append((context, tree))
+        self.mixed = {}
+        for node in sorted(self.counts, key=lambda n: -len(n[0])):
+            own = self.kt(*self.counts[node])
+            below = sum(self.mixed[c] for c in self.children[node])
+            self.mixed[node] = own if len(node[0]) == depth else math.log(0.5) + np.logaddexp(own, below)
+
+    def walk(self, text):
+        data = b"\xff" * self.depth + text.lower() + b"\xff"
+        for i in range(self.depth, len(data)):
+            yield data[i - self.depth : i][::-1], data[i]
+
+    @staticmethod
+    def bits(byte):
+        return [((1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1) for k in range(8)]
+
+    @staticmethod
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def log10(self, text):
+        total = 0.0
+        for context, byte in self.walk(text):
+            for tree, bit in self.bits(byte):
+                p = 0.5
+                for d in range(self.depth, -1, -1):
+                    node = context[:d], tree
+                    a, b = self.counts.get(node, (0, 0))
+                    own = (b + 0.5) / (a + b + 1)
+                    if d == self.depth:
+                        p = own
+                    else:
+                        kept = 0.5 * math.exp(self.kt(a, b) - self.mixed.get(node, 0.0))
+                        p = kept * own + (1 - kept) * p
+                total += math.log10(p if bit else 1 - p)
+        return total
+
+
+def held(name):
+    return zlib.crc32(("" if name is None else str(name)).encode()) % 7 == 2
+
+
+def base_scores(rows):
+    words = lambda t: [*(t or "").encode().lower().split(), b""]
+    counts = Counter(w for name, t in rows if not held(name) for w in words(t))
+    n, v = sum(counts.values()), len(counts)
+    return {
+        (name, t): (held(name), len(words(t)), sum(counts[w] > 0 for w in words(t)), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words(t)))
+        for name, t in rows
+    }
+
+
+@pytest.mark.parametrize("block_bytes", [2000, 32_000_000])
+def test_scores_against_plain_trees(spark, block_bytes):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["an", "the", "é", "X", "or", "1"]) for _ in range(rng.randint(1, 4)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(40)] + [(40, None), (None, "an the")]
+    trees = PlainTrees([(t or "").encode() for name, t in rows if not held(name)], 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = score_documents(df, depth=3, block_bytes=block_bytes).collect()
+    expected = {name: v for (name, _), v in base_scores(rows).items()}
+    texts = dict(rows)
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == expected[r.doc_id][:4]
+        assert r.base_score == pytest.approx(expected[r.doc_id][4], rel=1e-12)
+        text = (texts[r.doc_id] or "").encode()
+        assert r.score == pytest.approx(trees.log10(text), rel=1e-6)
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / (len(text) + 1))
+
+
+def test_probabilities_of_a_context_add_up():
+    codes, _ = ctw.grams([b"abracadabra", b"", "né".encode()], 3)
+    every = np.array([c << 8 | x for c in (codes[5] >> 8, codes[-1] >> 8, 0x616263) for x in range(256)])
+    keys = np.unique(np.concatenate([codes, every]))
+    counts = np.zeros(len(keys))
+    np.add.at(counts, np.searchsorted(keys, codes), 1)
+    nodes = ctw.ContextNodes(keys, counts, 3)
+    t = nodes.top
+    top = ctw.TopNodes((t["key"] >> 16) << 8 | (t["key"] & 255), t["zeros"], t["ones"], t["mixed"])
+    p = 10 ** nodes.log10_probabilities(top)[np.searchsorted(keys, every)]
+    assert p.reshape(3, 256).sum(axis=1) == pytest.approx([1, 1, 1])
+
+
+def test_scores_of_the_table(spark):
+    rows = [(d["doc_id"], d["text"]) for d in documents(SF_DIR)]
+    found = QUERIES["op4_ctw_scores"](spark, SF_DIR).collect()
+    expected = {name: v for (name, _), v in base_scores(rows).items()}
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == expected[r.doc_id][:4]
+        assert r.base_score == pytest.approx(expected[r.doc_id][4], rel=1e-12)
+        assert -math.inf < r.score < 0
+    # Held-out prose takes well under the eight bits a byte has.
+    out = [r for r in found if r.held_out]
+    assert -sum(r.score for r in out) / math.log10(2) / sum(r.n_bytes + 1 for r in out) < 3.2
+
+
+def test_scores_of_awkward_rows(spark):
+    found = score_documents(awkward(spark)).collect()
+    assert len(found) == 15 and all(r.score < 0 and r.n_tokens >= 1 for r in found)
+    assert {(r.n_tokens, r.n_bytes) for r in found if r.doc_id in (4, 5)} == {(1, 0)}
+    assert score_documents(empty(spark)).count() == 0
+
+
+# --- quality rules ---------------------------------------------------------------------------------------
+
+
+def plain_stats(text):
+    w = (text or "").encode().split()
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    inside = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for x in lines:
+        if x.encode().split():
+            dup += x in seen
+            seen.add(x)
+    return (len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in text or ""), dup, len(inside), len([x for x in lines if x.encode().split()]))
+
+
+def plain_limits(rows):
+    """Limits from exact quartiles; a sketch's are within one bucket of them."""
+    groups = defaultdict(list)
+    for r in rows:
+        n, chars, symbols, dup, repeat, lines = r["stats"]
+        if not (n < 10 or 100 * repeat > 20 * n):
+            values = {"mean_word": chars / n, "symbol_ratio": symbols / n, "dup_line_ratio": dup / max(lines, 1)}
+            for level in ((r["lang"], r["source"]), (r["lang"],)):
+                groups[level].append(values)
+    out = {}
+    for level, values in groups.items():
+        for name, (below, above) in quality.SLACK.items():
+            v = sorted(x[name] for x in values)
+            q25, q50, q75 = (v[math.ceil(q * len(v)) - 1] for q in (0.25, 0.5, 0.75))
+            out[level, name] = (q50 - quality.REACH * (q75 - q50) - below, q50 + quality.REACH * (q50 - q25) + above, len(v))
+    return out
+
+
+def test_quality_of_the_table(spark):
+    rows = documents(SF_DIR)
+    for r in rows:
+        r["stats"] = plain_stats(r["text"])
+    limits = plain_limits(rows)
+    found = {r.doc_id: r for r in QUERIES["op8_quality_rules"](spark, SF_DIR).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        f = found[r["doc_id"]]
+        n, chars, symbols, dup, repeat, lines = r["stats"]
+        assert (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words) == r["stats"][:5]
+        assert f.base_failed == (n < 10 or 100 * repeat > 20 * n)
+        if f.base_failed:
+            assert not f.kept
+            continue
+        wide = narrow = True
+        for name, value in (("mean_word", chars / n), ("symbol_ratio", symbols / n), ("dup_line_ratio", dup / max(lines, 1))):
+            level = (r["lang"], r["source"])
+            if limits[level, name][2] < quality.MIN_GROUP:
+                level = level[:1]
+            low, high, _ = limits[level, name]
+            slack = 0.08 * max(abs(high), 1)
+            wide &= low - slack <= value <= high + slack
+            narrow &= low + slack <= value <= high - slack
+        assert narrow <= f.kept <= wide
+
+
+def test_clean_documents_stay_and_junk_goes(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()}
+    found = [r for r in QUERIES["op8_quality_rules"](spark, SF_DIR).collect() if not r.base_failed]
+    assert all(r.kept for r in found if labels.get(r.doc_id) == 1)
+    junk = [r for r in found if r.n_symbols > 0.3 * r.n_words]
+    assert junk and not any(r.kept for r in junk)
+
+
+def test_quality_of_awkward_rows(spark):
+    found = defaultdict(list)
+    for r in quality_verdicts(awkward(spark)).collect():
+        found[r.doc_id].append(r)
+    assert sum(map(len, found.values())) == 15
+    assert found[4][0].n_words == found[6][0].n_words == 0 and found[4][0].base_failed
+    assert found[7][0].base_failed and not found[7][0].kept  # the same six words over and over
+    assert found[1][0].kept
+    kept = filter_quality(awkward(spark))
+    assert kept.columns == awkward(spark).columns and 1 in {r.doc_id for r in kept.collect()}
+    assert quality_verdicts(empty(spark)).count() == 0 and filter_quality(empty(spark)).count() == 0
+
+
+def test_sketches_merge_in_any_order(spark):
+    docs = quality.measure(spark.read.parquet(f"{SF_DIR}/documents.parquet")).drop("text")
+    one = quality.adaptive_limits(docs.coalesce(1)).orderBy("__lang", "__source").collect()
+    many = quality.adaptive_limits(docs.repartition(13, "doc_id")).orderBy("__lang", "__source").collect()
+    assert one == many and one
+
+
+def test_repeated_words_of_short_texts():
+    for text in ("a b c d e", "a b c d e a b c d e", "a " * 7, "a b " * 5, "x", ""):
+        assert repeated_words(text.encode().split()) == plain_stats(text)[4]
+
+
+# --- decontamination -------------------------------------------------------------------------------------
+
+
+def plain_contamination(text, items, window):
+    split = lambda t: decontaminate.WORD.findall((t or "").encode().lower())
+    words, hit, names = split(text), set(), set()
+    for name, item in items:
+        w = split(item)
+        size = min(window, len(w))
+        for k in range(len(w) - size + 1) if w else ():
+            for i in range(len(words) - size + 1):
+                if words[i : i + size] == w[k : k + size]:
+                    hit.update(range(i, i + size))
+                    names.add(name)
+    return len(words), len(hit), sorted(names)
+
+
+@pytest.mark.parametrize("window", [1, 3, 4])
+def test_automaton_against_a_loop(window):
+    rng = random.Random(window)
+    for _ in range(60):
+        items = [(str(i), " ".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))) for i in range(rng.randint(1, 6))]
+        automaton = ItemAutomaton([(n, t.encode()) for n, t in items], window)
+        text = " ".join(rng.choice("abcd") for _ in range(25))
+        spans, names = automaton.match(decontaminate.WORD.findall(text.encode()))
+        n, hit, expected = plain_contamination(text, items, window)
+        assert (sum(b - a + 1 for a, b in spans), sorted(names)) == (hit, expected)
+        assert all(b + 1 < c for (_, b), (c, _) in itertools.pairwise(spans))
+
+
+def test_contamination_in_blocks(spark):
+    docs, items = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = find_contamination(docs.select("doc_id", "text"), items).drop("text")
+    parts = find_contamination(docs.select("doc_id", "text"), items, block_bytes=2000).drop("text")
+    assert whole.filter("n_hit > 0").count() > 0
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+
+
+def test_contamination_of_awkward_rows(spark):
+    line = "this very line is in many of the documents"
+    items = spark.createDataFrame([(1, line), (1, line), (2, None), (3, " .!"), (None, "x")], "item_id long, text string")
+    found = defaultdict(list)
+    for r in find_contamination(awkward(spark), items).collect():
+        found[r.doc_id].append((r.n_words, r.n_hit, r.item_ids))
+    assert found[1] == [(15, 9, ["1"])] and found[3] == [(18, 18, ["1"])] * 2
+    assert found[10] == [(1, 1, [""])] and found[4] == [(0, 0, [])]
+    cleaned = decontaminate.decontaminate(awkward(spark), items, chars_col="n_chars", max_coverage=0.7)
+    assert cleaned.columns == awkward(spark).columns
+    rows = {r.doc_id: r for r in cleaned.collect()}
+    assert rows[1].text == "first words here\n\nlast words here" and rows[1].n_chars == len(rows[1].text)
+    assert 3 not in rows and 10 not in rows and rows[4].text is None and rows[7].text == LONG and rows[7].n_chars == 1
+    assert find_contamination(empty(spark), items).count() == 0
+    assert find_contamination(awkward(spark), items.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def test_digest_of_items(spark):
+    rows = documents(SF_DIR)
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    found = {r.doc_id: r for r in QUERIES["op7_benchmark_decontamination"](spark, SF_DIR).collect()}
+    for d in [r for r in rows if found[r["doc_id"]].contaminated][:5] + rows[:5]:
+        n, hit, names = plain_contamination(d["text"], items, 10)
+        r = found[d["doc_id"]]
+        assert (r.n_words, r.n_hit, r.n_items) == (n, hit, len(names))
+        assert r.items_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
+
+
+# --- mixing ----------------------------------------------------------------------------------------------
+
+
+def sources(spark, tokens):
+    return spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(tokens)], "source string, n_tokens long")
+
+
+def test_exponents_meet_their_limits(spark):
+    tokens = [10, 100, 1000, 5000]
+    s = sources(spark, tokens)
+    entropy = lambda a: -sum(p * math.log(p) for p in (n**a / sum(m**a for m in tokens) for n in tokens))
+    a = solve_exponent(s, None, None, 1.0)
+    assert entropy(a) <= 1.0 < entropy(a - 2e-6)
+    a = solve_exponent(s, None, 4.0, None)
+    assert 500 ** (1 - a) <= 4.0 < 500 ** (1 - a + 2e-6)
+    a = solve_exponent(s, 6110.0, 3.0, None)
+    assert 6110 * 10 ** (a - 1) / sum(n**a for n in tokens) <= 3.0 * (1 + 1e-9)
+    assert solve_exponent(s, None, 500.0, None) == 0 and solve_exponent(s, 1e9, 1.0, None) == 1
+    assert solve_exponent(s.limit(0), None, 4.0, None) == 1
+
+
+def mixture(rows, spark, **options):
+    return mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), **options).collect()
+
+
+@pytest.mark.parametrize("per_range", [20_000, 3])
+def test_mixture_spends_its_budget(spark, monkeypatch, per_range):
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", per_range)
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randint(1, 30), "big" if i < 200 else "small" if i < 230 else "tiny") for i in range(235)]
+    size = {name: len(t.split()) for name, t, _ in rows}
+    total = {s: sum(size[n] for n, _, x in rows if x == s) for s in ("big", "small", "tiny")}
+    found = mixture(rows, spark, max_repeats=4.0)
+    alpha = 1 - math.log(4) / math.log(max(total.values()) / min(total.values()))
+    spent = Counter()
+    for r in found:
+        spent[r.source] += size[r.doc_id]
+    for s, n in total.items():
+        budget = n**alpha * max(total.values()) ** (1 - alpha)
+        assert budget - 31 < spent[s] <= budget + 1
+    # Every epoch but the last holds each document once, the last the first ones of its permutation.
+    for s in total:
+        mine = [r for r in found if r.source == s]
+        last = max(r.epoch for r in mine)
+        members = {n for n, _, x in rows if x == s}
+        for e in range(last):
+            assert Counter(r.doc_id for r in mine if r.epoch == e) == Counter(members)
+    # Blocks hold the sources at about their weights.
+    halves = Counter((r.block < 32, r.source) for r in found)
+    assert abs(halves[True, "big"] - halves[False, "big"]) < 40
+    assert sorted(map(str, mixture(rows, spark))) == sorted(map(str, mixture(rows[::-1], spark)))
+
+
+def test_a_small_budget_cuts_sources(spark):
+    rows = [(i, "a b c", "x" if i % 10 else "y") for i in range(100)]
+    found = mixture(rows, spark, budget=60.0, max_repeats=None, target_entropy=0.6)
+    assert 0 < len(found) <= 20 and max(Counter(r.doc_id for r in found).values()) == 1
+
+
+def test_mixture_of_awkward_rows(spark):
+    found = mix_sources(awkward(spark))
+    assert found.columns == [*awkward(spark).columns, "epoch", "block", "place"]
+    rows = found.collect()
+    assert {r.doc_id for r in rows} == {None, *range(1, 12)}
+    assert {r.epoch for r in rows if r.doc_id in (7, 8)} == {0}
+    assert mix_sources(empty(spark)).count() == 0
+    nothing = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in mix_sources(nothing).collect()) == [1, 2]
+
+
+def test_mixing_runs_no_python(spark):
+    plan = QUERIES["op5_source_mixing"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_last_places_of_ties(spark):
+    tokens = spark.createDataFrame([("s", 1, 5)] * 3 + [("s", 2, 1)], "source string, id long, n_tokens long")
+    plan = spark.createDataFrame([("s", 4, 16, 0, 5)], "source string, n_docs long, n_tokens long, whole_blocks int, rest long")
+    place = {r.id: r.p for r in tokens.select("id", mixing.place_of(F.lit(0), F.col("id")).alias("p")).distinct().collect()}
+    found = last_places(tokens, plan).collect()
+    # Three rows at one place need 15 tokens, so at most the single one fits.
+    expected = [place[2]] if place[2] < place[1] else []
+    assert [r["last"] for r in found] == expected
+
+
+# --- secrets ---------------------------------------------------------------------------------------------
+
+
+def secret_rows(n, start=0):
+    rng = random.Random(start)
+    hexa = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    upper = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(k))
+    words = ["there", "thing", "water", "value", "number", "under"]
+    rows = []
+    for i in range(start, start + n):
+        say = lambda: " ".join(rng.choice(words) for _ in range(8))
+        middle = [
+            f"AKIA{upper(16)}", f'token = "{hexa(40)}"', f"password={hexa(18)}", f"call {rng.randrange(10**15, 10**16)}",
+            f"commit sha {hexa(40)}", "snake_case_name_of_3_parts", f"see http-path/of-the/page-{i}",
+        ][i % 7]
+        rows.append((i, f"{say()} {middle} {say()}", "docs/test" if i % 5 else "src/app", i % 7 < 3))
+    return rows
+
+
+def test_secrets_of_held_out_documents(spark):
+    rows = secret_rows(700)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    truth = {r[0]: r[3] for r in rows}
+    found = [r for r in scan_secrets(docs).collect() if r.held_out]
+    assert len(found) > 60
+    assert sum(r.secret == truth[r.doc_id] for r in found) / len(found) > 0.97
+    for r in found[:20]:
+        assert len(dict((x[0], x[1]) for x in rows)[r.doc_id][r.start : r.end]) >= 12
+
+
+def test_secrets_from_reviewed_findings(spark):
+    rows = secret_rows(350)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    found = find_candidates(docs, frozenset()).select("doc_id", "start")
+    # Reviewers call commit hashes secret and nothing else.
+    reviewed = found.withColumn("label", (F.col("doc_id") % 7 == 4).cast("int"))
+    scored = [r for r in scan_secrets(docs, reviewed).collect() if r.held_out]
+    assert sum(r.secret == (r.doc_id % 7 == 4) for r in scored) / len(scored) > 0.97
+
+
+def test_secrets_of_awkward_rows(spark):
+    assert scan_secrets(awkward(spark)).count() == 0 and scan_secrets(empty(spark)).count() == 0
+    one = spark.createDataFrame(
+        [(None, "token=abcdef123456789", None), (2, None, "p"), (3, "key " + "a1" * 50_000, "p"), (3, "key " + "a1" * 50_000, "p")],
+        "doc_id long, text string, source string",
+    )
+    found = scan_secrets(one).collect()
+    assert sorted((r.end - r.start, r.secret) for r in found) == [(15, True), (100_000, False), (100_000, False)]
+
+
+def test_secrets_of_the_table(spark):
+    found = [r for r in QUERIES["op3_secret_scan"](spark, SF_DIR.replace("0.001", "0.01")).collect()]
+    out = [r for r in found if r.held_out]
+    assert out and sum(r.secret == r.known for r in out) / len(out) > 0.95
