@@ -10,20 +10,24 @@ smallest of each shingle; that ties groups of near copies together without looki
 is left are shingles that still join different groups. Their classes are cut into tiles by size and hash, and in a
 tile every pair of different groups passes three upper bounds on the overlap: from the sizes, from the
 place of the shared shingle, and from the differing bits of the classes' hashed bitmaps. Only pairs that
-pass are intersected. No bound can lose a link.
+pass are intersected. No bound can lose a link. Copies share long runs of shingles; a pair is given out only
+where a run begins.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm.components import connected_components
-from quotemill.llm.text import pieces, texts_of
-from quotemill.session import staged
+from quotemill.llm.text import pieces, stage, texts_of
+from quotemill.llm.word_hashes import WordHasher, mixed
 
 SHINGLE = 5
 # Links need 4 * intersection >= 3 * union.
@@ -31,39 +35,40 @@ NUM, DEN = 3, 4
 # Counters of the common order, and rows of a tile.
 COUNTERS = 1 << 18
 TILE = 1024
-CACHED_WORDS = 500_000
+# Rows of a crowded shingle that one task takes.
+ROWS_PER_PART = 10_000
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_FOLD = np.uint64(0xFF51AFD7ED558CCD)
 
 
 class Shingler:
-    """Hashes the word shingles of texts; keeps the hashes of frequent words in a bounded cache."""
+    """Hashes the word shingles of many texts at once."""
 
     def __init__(self):
-        self.words: dict[bytes, int] = {}
-
-    def set_of(self, text: bytes) -> np.ndarray:
-        """Distinct 64-bit shingle hashes, sorted."""
-        words, known = text.lower().split(), self.words
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64)
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        hashes = []
-        for word in words:
-            h = known.get(word)
-            if h is None:
-                h = known[word] = xxhash.xxh64_intdigest(word)
-            hashes.append(h)
-        hashes = np.array(hashes, np.uint64)
-        size = min(n, SHINGLE)
-        out = np.full(n - size + 1, size, np.uint64)  # shorter sequences never equal a full shingle
+        self.words = WordHasher()
+
+    def sets_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Distinct 64-bit shingle hashes of each text, sorted."""
+        out = []
+        for words, first in self.words.batches(texts):
+            whole = self._joined(words, SHINGLE) if len(words) >= SHINGLE else None
+            for a, b in itertools.pairwise(first.tolist()):
+                if b - a >= SHINGLE:
+                    out.append(np.unique(whole[a : b - SHINGLE + 1]))
+                elif b > a:
+                    out.append(self._joined(words[a:b], b - a))
+                else:
+                    out.append(np.zeros(0, np.uint64))
+        return out
+
+    @staticmethod
+    def _joined(words: np.ndarray, size: int) -> np.ndarray:
+        count = len(words) - size + 1
+        out = np.full(count, size, np.uint64)  # shorter sequences never equal a full shingle
         for k in range(size):
-            out = (out ^ hashes[k : n - size + 1 + k]) * _STEP
+            out = (out ^ words[k : k + count]) * _STEP
             out ^= out >> np.uint64(29)
-        out = (out ^ (out >> np.uint64(32))) * _FOLD
-        return np.unique(out ^ (out >> np.uint64(31)))
+        return mixed(out)
 
 
 def class_of(hashes: np.ndarray) -> int:
@@ -95,8 +100,9 @@ def parity_bits(hashes: np.ndarray) -> np.ndarray:
 
 
 def folded(bits: np.ndarray, size: int) -> np.ndarray:
-    while len(bits) > size:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    """Bitmaps (along the last axis) with fewer, wider counted bits."""
+    while (width := bits.shape[-1]) > size:
+        bits = bits[..., : width // 2] ^ bits[..., width // 2 :]
     return bits
 
 
@@ -108,8 +114,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
         counters = np.zeros(COUNTERS, np.int64)
         for batch in pieces(batches):
             ids, classes, sizes = batch.column(0).to_pylist(), [], []
-            for text in texts_of(batch, "text"):
-                hashes = shingler.set_of(text)
+            for hashes in shingler.sets_of(texts_of(batch, "text")):
                 name = class_of(hashes)
                 classes.append(name)
                 sizes.append(len(hashes))
@@ -117,67 +122,101 @@ def _signatures(docs: DataFrame) -> DataFrame:
                     seen.add(name)
                     np.add.at(counters, (hashes >> np.uint64(46)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([True] * len(ids)), pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64())],
+                [pa.array([True] * len(ids), pa.bool_()), pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64())],
                 ["doc", "id", "cls", "n"],
             )
         used = np.flatnonzero(counters)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([False] * len(used)), pa.nulls(len(used), pa.int64()), pa.array(used), pa.array(counters[used])],
+            [pa.array([False] * len(used), pa.bool_()), pa.nulls(len(used), pa.int64()), pa.array(used), pa.array(counters[used])],
             ["doc", "id", "cls", "n"],
         )
 
     return docs.mapInArrow(sign, "doc boolean, id long, cls long, n long")
 
 
-def _crowding(signatures: DataFrame) -> np.ndarray:
-    """How crowded each counter is, in powers of two over the mean; a table of fixed size."""
+def _crowding(signatures: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of fixed size: how crowded each counter is, in powers of two over the mean, and the number of
+    parts to cut its shingles' rows into."""
     rows = signatures.filter("not doc").groupBy("cls").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS)
     counts[rows.column("cls").to_numpy()] = rows.column("n").to_numpy()
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / max(counts.mean(), 1))), 0, 20).astype(np.uint8)
+    mean = max(counts.mean(), 1)
+    order = np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 20).astype(np.uint8)
+    # What is far above the mean is due to single shingles.
+    return order, np.where(counts > 4 * mean, np.ceil(counts / ROWS_PER_PART), 1).astype(np.int64)
 
 
-def _in_order(hashes: np.ndarray, crowding: np.ndarray) -> np.ndarray:
-    """A set in the common order: uncrowded shingles first, by hash among equals."""
-    return hashes[np.argsort(crowding[(hashes >> np.uint64(46)).astype(np.int64)], kind="stable")]
+def _met(docs: DataFrame, order: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """The first shingles that classes share: ``(key, cls, n, pos, pivot)``, pivot being the smallest class.
 
-
-def _postings(docs: DataFrame, crowding: np.ndarray) -> DataFrame:
-    """The first shingles of every class: ``(key, cls, n, pos)``; classes may come from several tasks."""
+    A class comes at most once per task, and the rows of a crowded shingle are dealt out by class, with a pivot
+    for each part. Rows are sorted by key and class and read as a stream.
+    """
 
     def post(batches):
         shingler, seen = Shingler(), set()
         for batch in pieces(batches):
-            keys, classes, sizes, places = [], [], [], []
-            for text in texts_of(batch, "text"):
-                hashes = shingler.set_of(text)
+            rows = []
+            for hashes in shingler.sets_of(texts_of(batch, "text")):
                 name = class_of(hashes)
                 if not len(hashes) or name in seen:
                     continue
                 seen.add(name)
-                first = _in_order(hashes, crowding)[: prefix_size(len(hashes))]
-                keys.append(first)
-                classes.append(np.full(len(first), name))
-                sizes.append(np.full(len(first), len(hashes), np.int32))
-                places.append(np.arange(len(first), dtype=np.int32))
-            if keys:
-                columns = [np.concatenate(keys).view(np.int64), *map(np.concatenate, (classes, sizes, places))]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "cls", "n", "pos"])
-
-    return docs.mapInArrow(post, "key long, cls long, n int, pos int")
+                counters = (hashes >> np.uint64(46)).astype(np.int64)
+                # The common order: uncrowded shingles first, by hash among equals.
+                first = np.argsort(order[counters], kind="stable")[: prefix_size(len(hashes))]
+                n = np.full(len(first), len(hashes), np.int32)
+                rows.append((hashes[first], np.full(len(first), name), n, np.arange(len(first), dtype=np.int32), parts[counters[first]]))
+            if rows:
+                keys, names, sizes, places, cut = map(np.concatenate, zip(*rows, strict=True))
+                columns = [keys.view(np.int64), names, sizes, places, names % cut, cut > 1]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "cls", "n", "pos", "part", "crowded"])
+
+    def meet(batches):
+        # One row of the last key is carried into the next batch: its first, if no other class has come yet, or
+        # else its last, which was given out and only tells copies.
+        carried, pivot, given = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if carried is not None:
+                batch = pa.Table.from_batches([carried, batch]).combine_chunks().to_batches()[0]
+            key, cls, part = (batch.column(c).to_numpy() for c in ("key", "cls", "part"))
+            crowded = batch.column("crowded").to_numpy(zero_copy_only=False)
+            begins = np.ones(len(key), bool)
+            begins[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+            fresh = begins.copy()
+            fresh[1:] |= cls[1:] != cls[:-1]
+            run, heads = np.cumsum(begins) - 1, cls[begins]
+            if carried is not None:
+                heads[0], fresh[0] = pivot, not given
+            several = np.bincount(run, cls != heads[run]) > 0
+            keep = fresh & (several[run] | crowded)
+            if keep.any():
+                columns = [batch.column(c).filter(pa.array(keep)) for c in ("key", "cls", "n", "pos")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(heads[run][keep])], ["key", "cls", "n", "pos", "pivot"])
+            pivot, given = heads[-1], bool(several[-1] or crowded[-1])
+            carried = batch.slice(len(key) - 1 if given else int(np.searchsorted(run, run[-1])), 1)
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.mapInArrow(post, "key long, cls long, n int, pos int, part long, crowded boolean")
+    rows = rows.repartition(n, "key", "part").sortWithinPartitions("key", "part", "cls")
+    return rows.mapInArrow(meet, "key long, cls long, n int, pos int, pivot long")
 
 
 def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """One text for each wanted class ``(cls, id)``, with its bitmap: ``(cls, bits, text)``."""
 
     def check(batches):
-        shingler = Shingler()
+        # Rows with one id come to one task, so copies of a row are left out here.
+        shingler, seen = Shingler(), set()
         for batch in pieces(batches):
             rows = []
             texts = texts_of(batch, "text")
-            for name, text in zip(batch.column(batch.schema.get_field_index("cls")).to_pylist(), texts, strict=True):
-                hashes = shingler.set_of(text)
-                if class_of(hashes) == name:  # rows may share an id and still differ
+            names = batch.column(batch.schema.get_field_index("cls")).to_pylist()
+            for name, text, hashes in zip(names, texts, shingler.sets_of(texts), strict=True):
+                if name not in seen and class_of(hashes) == name:  # rows may share an id and still differ
+                    seen.add(name)
                     rows.append((name, parity_bits(hashes).tobytes(), text))
             columns = list(zip(*rows, strict=True)) or [[]] * 3
             kinds = [pa.int64(), pa.binary(), pa.binary()]
@@ -195,99 +234,111 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def intersect(batches):
         shingler = Shingler()
-        last, kept = None, None
         for batch in pieces(batches, 500):
-            a, b, ta, tb = (batch.column(i) for i in range(4))
             good = []
-            for name_b, one, two in zip(b.to_pylist(), ta.to_pylist(), tb.to_pylist(), strict=True):
-                if name_b != last:
-                    last, kept = name_b, shingler.set_of(two)
-                mine = shingler.set_of(one)
-                common = len(np.intersect1d(mine, kept, assume_unique=True))
-                good.append(DEN * common >= NUM * (len(mine) + len(kept) - common))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            sets = [shingler.sets_of(batch.column(i).to_pylist()) for i in (2, 3)]
+            for one, two in zip(*sets, strict=True):
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(DEN * common >= NUM * (len(one) + len(two) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(intersect, "a long, b long")
 
 
-def _bounded_pairs(rows: dict[str, np.ndarray], bits: list[bytes], cross: bool):
-    """Pairs of one tile, as positions, that pass all upper bounds on their overlap."""
-    n, pos, comp, side = (rows[c] for c in ("n", "pos", "comp", "side"))
-    bitmaps = [np.frombuffer(b, np.uint8) for b in bits]
-    order = np.argsort(n, kind="stable")
-    for at, i in enumerate(order):
-        # Partners are not larger and, as sizes go down, none beyond the first that is too small.
-        others = order[:at]
-        others = others[np.searchsorted(n[others], -(-NUM * n[i] // DEN)) :]
-        fits = comp[others] != comp[i]
-        if cross:
-            fits &= side[others] != side[i]
-        need = least_overlap(n[i], n[others])
-        fits &= 1 + np.minimum(n[i] - pos[i], n[others] - pos[others]) - 1 >= need
-        others, need = others[fits], need[fits]
-        if not len(others):
-            continue
-        for width in {len(bitmaps[j]) for j in others}:
-            same = np.array([len(bitmaps[j]) == width for j in others])
-            mine = folded(bitmaps[i], width)
-            theirs = np.stack([folded(bitmaps[j], len(mine)) for j in others[same]])
-            differ = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
-            # The sets differ in at least so many elements, which leaves at most half of the rest in common.
-            most = (n[i] + n[others[same]] - differ) // 2
-            for j in others[same][most >= need[same]]:
-                yield int(i), int(j)
+def _bounded_pairs(tile: np.ndarray, rows: dict[str, np.ndarray], bits: list[bytes]) -> np.ndarray:
+    """Pairs of rows of the same tile, as two rows of positions, that pass all upper bounds on their overlap.
+
+    Rows are sorted by tile, so the partners of a row are the next ones: first all pairs one row apart, then two,
+    and so on, as long as there are tiles of that many rows.
+    """
+    n, pos, comp, side, cross, before = (rows[c] for c in ("n", "pos", "comp", "side", "cross", "before"))
+    found = []
+    here, away = np.arange(len(tile) - 1), 1
+    while len(here := here[tile[here] == tile[here + away]]):
+        i, j = here, here + away
+        need = least_overlap(n[i], n[j])
+        fits = (comp[i] != comp[j]) & (~cross[i] | (side[i] != side[j]))
+        # Two classes that also share the shingle before this one are compared there.
+        fits &= before[i] != before[j]
+        # From the sizes, and from what can still follow after the shared shingle in both orders.
+        fits &= np.minimum(n[i], n[j]) >= need
+        fits &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+        found.append(np.stack([i[fits], j[fits]]))
+        away += 1
+        here = here[here + away < len(tile)]
+    if not found:
+        return np.zeros((2, 0), np.int64)
+    pairs = np.concatenate(found, axis=1)
+    widths = np.array([len(b) for b in bits])
+    place = np.zeros(len(bits), np.int64)
+    tables = {}
+    for width in np.unique(widths).tolist():
+        mine = np.flatnonzero(widths == width)
+        place[mine] = np.arange(len(mine))
+        tables[width] = np.frombuffer(b"".join(bits[k] for k in mine), np.uint8).reshape(-1, width)
+    good = np.zeros(pairs.shape[1], bool)
+    kinds = np.stack([widths[pairs[0]], widths[pairs[1]]])
+    for one, two in np.unique(kinds, axis=1).T.tolist():
+        for at in np.array_split(np.flatnonzero((kinds[0] == one) & (kinds[1] == two)), 1 + pairs.shape[1] // 50_000):
+            i, j = pairs[:, at]
+            small = min(one, two)
+            differ = folded(tables[one][place[i]], small) ^ folded(tables[two][place[j]], small)
+            differ = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+            # The sets differ in at least so many elements, which leaves at most half of the others in common.
+            good[at] = (n[i] + n[j] - differ) // 2 >= least_overlap(n[i], n[j])
+    return pairs[:, good]
 
 
 def _tile_pairs(postings: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Candidate pairs of classes in different groups, from postings ``(key, cls, n, pos, comp)``."""
-    # Keys with many classes are cut by hash; every pair of parts is one tile.
-    parts = postings.groupBy("key").agg(F.count("*").alias("rows"))
-    parts = parts.select("key", F.ceil(F.col("rows") / TILE).cast("int").alias("parts"))
+    """Candidate pairs of classes in different groups, from postings ``(key, cls, n, pos, comp, before)``.
+
+    A key's classes are banded by size, as a class links at most with the next band; keys with many classes in a
+    band are cut by hash. Every pair of parts that may hold links is one tile.
+    """
+    # Bands as wide as the ratio of sizes that still link: partners are in the same band or the next.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(DEN / NUM)).cast("int")
+    rows = postings.withColumn("band", band)
+    rows = rows.withColumn("low", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+    parts = rows.groupBy("key", "low").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"), F.count("*").alias("rows"))
+    parts = stage(parts.filter("rows > 1").drop("rows"), "jaccard-parts")
     part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    rows = postings.join(parts, "key").withColumn("part", part)
+    rows = rows.join(parts, ["key", "low"]).withColumn("part", part)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(
-        "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "cls", "n", "pos", "comp"
-    )
+    rows = rows.withColumn("tile", F.xxhash64("key", "low", F.least("part", "other"), F.greatest("part", "other")))
+    rows = rows.select("tile", "cls", "n", "pos", "comp", "before", "part", (F.col("part") != F.col("other")).alias("cross"))
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = rows.join(bitmaps, "cls").repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    names = ["key", "low", "high", "part", "cls", "n", "pos", "comp"]
+    tiles = rows.join(bitmaps, "cls").repartition(n, "tile").sortWithinPartitions("tile")
 
     def compare(batches):
         def done(held):
             table = pa.Table.from_batches(held)
             cls = table.column("cls").to_numpy()
-            if len(cls) < 2:
-                return None
-            low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-            columns = {c: table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "comp")}
+            columns = {c: table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "comp", "before")}
             columns["side"] = table.column("part").to_numpy()
-            found = list(_bounded_pairs(columns, table.column("bits").to_pylist(), low != high))
-            if not found:
-                return None
-            i, j = np.array(found).T
+            columns["cross"] = table.column("cross").to_numpy()
+            i, j = _bounded_pairs(table.column("tile").to_numpy(), columns, table.column("bits").to_pylist())
             ends = np.sort(np.stack([cls[i], cls[j]]), axis=0)
+            if ends.size:
+                ends = np.unique(ends, axis=1)
             return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
 
-        held, name = [], None
-        for batch in pieces(batches):
-            ids = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
-            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1), batch.num_rows]
-            for first, last in zip(cuts, cuts[1:], strict=False):
-                if first == last:
-                    continue
-                here = tuple(ids[:, first])
-                if here != name and held:
-                    if (out := done(held)) is not None:
-                        yield out
-                    held = []
-                name = here
-                held.append(batch.slice(first, last - first))
-        if held and (out := done(held)) is not None:
-            yield out
+        # Whole tiles are compared together, some thousands of rows at a time.
+        held = []
+        for batch in pieces(batches, 4 * TILE):
+            if not batch.num_rows:
+                continue
+            tile = batch.column("tile").to_numpy()
+            last = int(np.searchsorted(tile, tile[-1]))
+            if last or (held and held[-1].column("tile")[-1].as_py() != tile[0]):
+                yield done([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield done(held)
 
-    return tiles.select(*names, "bits").mapInArrow(compare, "a long, b long").distinct()
+    names = ["tile", "cls", "n", "pos", "comp", "before", "part", "cross", "bits"]
+    return tiles.select(*names).mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,37 +351,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Shingles and sets are told apart by 64-bit hashes. Without documents there are no rows.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signatures = staged(_signatures(plain), "jaccard-signatures")
+    signatures = stage(_signatures(plain), "jaccard-signatures")
     signed = signatures.filter("doc").select("id", "cls", "n")
-    crowding = _crowding(signatures)
-
-    postings = _postings(plain, crowding)
-    shared = postings.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last"))
-    shared = shared.filter("pivot <> last").select("key", "pivot")
-    met = staged(postings.join(shared, "key").distinct(), "jaccard-postings")
+    met = stage(_met(plain, *_crowding(signatures)), "jaccard-postings")
 
     # The classes that meet others, and one text of each.
     named = signed.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
     wanted = met.select("cls").distinct().join(named, "cls")
-    texts = staged(_class_texts(plain, wanted).dropDuplicates(["cls"]), "jaccard-texts")
+    texts = stage(_class_texts(plain, wanted), "jaccard-texts")
 
     # First step: each class with the smallest class it meets most often.
     often = met.filter("cls <> pivot").groupBy("cls", "pivot").agg(F.count("*").alias("times"))
     best = often.groupBy("cls").agg(F.max(F.struct("times", "pivot")).alias("best"))
-    links = staged(_verified(best.select(F.col("cls").alias("a"), F.col("best.pivot").alias("b")), texts), "jaccard-links")
-    groups = staged(connected_components(links), "jaccard-groups")
+    links = stage(_verified(best.select(F.col("cls").alias("a"), F.col("best.pivot").alias("b")), texts), "jaccard-links")
+    groups = stage(connected_components(links), "jaccard-groups")
 
     # Second step: shingles that still join different groups.
     placed = met.drop("pivot").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     placed = placed.select("key", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    still = staged(placed.join(open_keys.select("key"), "key"), "jaccard-open")
-    pairs = staged(_tile_pairs(still, texts.select("cls", "bits")), "jaccard-pairs")
-    more = staged(_verified(pairs, texts), "jaccard-links")
+    # Written before the join, so that adaptive execution can split the rows of a hot key.
+    open_keys = stage(open_keys.select("key"), "jaccard-open-keys")
+    # The class's shared shingle before, or something that no other class has.
+    before = F.coalesce(F.lag("key").over(Window.partitionBy("cls").orderBy("pos")), F.col("cls"))
+    still = stage(placed.join(open_keys, "key").withColumn("before", before), "jaccard-open")
+    pairs = stage(_tile_pairs(still, texts.select("cls", "bits")), "jaccard-pairs")
+    more = stage(_verified(pairs, texts), "jaccard-links")
     ends = connected_components(links.union(more))
 
     classes = named.join(ends.withColumnRenamed("node", "cls"), "cls", "left")
-    classes = staged(classes.select("cls", "id", F.coalesce("component", "cls").alias("comp")), "jaccard-classes")
+    classes = stage(classes.select("cls", "id", F.coalesce("component", "cls").alias("comp")), "jaccard-classes")
     least = classes.groupBy("comp").agg(F.min("id").alias("component_id"))
     found = signed.join(classes.drop("id").join(least, "comp").select("cls", "component_id"), "cls", "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quotemill.session import staged
+
 # Rows without an id take part as the document with the smallest one.
 NO_ID = -(2**63)
 
@@ -17,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``staged``, and let go of the shuffles behind it.
+
+    Executors keep shuffle files until the driver's garbage collection finds that nothing refers to them, which may
+    be much later. Asking for it between the steps keeps what lies on their disks to that of one step.
+    """
+    out = staged(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def key_of(id_col: str) -> Column:
     """The id, never null, so that plain equality joins find every row."""
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
@@ -60,3 +77,14 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.R
     for batch in batches:
         for start in range(0, batch.num_rows, most):
             yield batch.slice(start, most)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches whose texts add up to about ``most`` bytes; a longer text is alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        part = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            if last > first:
+                yield batch.slice(first, last - first)

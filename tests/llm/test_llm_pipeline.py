@@ -74,7 +74,8 @@ def test_mixing_stage(stages):
     for r in before.values():
         tokens[r.source] += len((r.text or "").encode().split())
     most, least = max(tokens.values()), min(tokens.values())
-    alpha = max(0.0, 1 - math.log(4) / math.log(most / least)) if most / least > 4 else 0.0
+    limit = corpus_pipeline.MAX_REPEATS
+    alpha = 1 - math.log(limit) / math.log(most / least) if most / least > limit else 0.0
     for s, n in tokens.items():
         repeats = (most / n) ** (1 - alpha)
         for r in before.values():
