@@ -5,7 +5,7 @@ Every bit of a byte is coded in the tree that belongs to the bits before it, who
 and half with what its longer contexts say. After training, the share that a node's own estimate has kept in
 this mixture is its weight, so the probability of a bit is found from the longest context upwards.
 
-Work is divided in two ways. Texts are cut into blocks of bounded size; a block asks once for every context
+Work is divided in two ways. Documents are dealt into blocks of bounded size; a block asks once for every context
 and word that occurs in it, and gets the answers back as a table of its own. Contexts are
 divided by their last two bytes: all longer contexts of such a pair are in one partition, which weights its
 part of the trees alone. Only the nodes of no and of one byte need all partitions; there are at most 65,535.
@@ -14,32 +14,31 @@ part of the trees alone. Only the nodes of no and of one byte need all partition
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.text import pieces, texts_of
-from quotemill.session import staged
+from quotemill.llm.text import by_bytes, stage, texts_of
+from quotemill.llm.word_hashes import WordHasher
 
 DEPTH = 5
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 64_000_000
+# Numbers that gather before they are folded.
+FOLD = 3_000_000
 HELD_OUT = (7, 2)
 # No byte of UTF-8 text: stands before the first byte and after the last.
 EDGE = 0xFF
 GRAM, WORD = 0, 1
+# The end of a text, counted as a word.
+END = 0
 LN10 = math.log(10)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """log Gamma for x > 0, by Stirling's series after moving small arguments up."""
+    x = np.array(x, float)
     shift = np.zeros_like(x)
-    x = x.copy()
     for _ in range(8):
         low = x < 8
         if not low.any():
@@ -74,10 +73,50 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], starts
 
 
-def word_key(word: bytes) -> int:
-    """64-bit name of a word; the end of a text is the empty word."""
-    n = xxhash.xxh64_intdigest(word)
-    return n - 2**64 if n >= 2**63 else n
+class Words:
+    """Hashes of the words of texts, each text closed by its end."""
+
+    def __init__(self):
+        self.hasher = WordHasher()
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words one after the other, and where each text starts."""
+        words, sizes = [], []
+        for hashes, first in self.hasher.batches(texts):
+            words.append(np.insert(hashes, first[1:], END))
+            sizes.append(np.diff(first) + 1)
+        sizes = np.concatenate(sizes)
+        return np.concatenate(words).view(np.int64), np.cumsum(sizes) - sizes
+
+
+class Places:
+    """Where each of some distinct keys stands, as an open-addressing table that is asked for many at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys = np.append(keys, 0)
+        left = np.arange(len(keys), dtype=np.int32)
+        at = self._first(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            out = self.slots[at] != left
+            left, at = left[out], (at[out] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, asked: np.ndarray) -> np.ndarray:
+        """Places of keys, all of which must be known."""
+        at = self._first(asked)
+        out = self.slots[at]
+        left = np.flatnonzero(self.keys[out] != asked)
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            out[left] = self.slots[at[left]]
+            left = left[self.keys[out[left]] != asked[left]]
+        return out
 
 
 def _bits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,72 +191,50 @@ def _whole(batches) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """Documents with the number of their block, written so that the numbers stay as they are."""
-
-    def assign(batches):
-        numbers = count(TaskContext.get().partitionId() << 32)
-        block, size = next(numbers), 0
-        for batch in pieces(batches, 100):
-            size += batch.nbytes
-            if size > block_bytes:
-                block, size = next(numbers), batch.nbytes
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * batch.num_rows, pa.int64()), *batch.columns], ["block", *batch.schema.names]
-            )
-
+    """Documents with the number of their block, drawn by hash; the number of blocks follows their size."""
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     plain = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.crc32(name) % HELD_OUT[0] == HELD_OUT[1]).alias("held_out"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    return staged(plain.mapInArrow(assign, "block long, doc_id long, held_out boolean, text string"), "ctw-blocks")
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = F.lit(size // block_bytes + 1)
+    return plain.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), blocks))
+
+
+def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
 
 
 def _asked(blocks: DataFrame, depth: int) -> DataFrame:
     """Per block, every context with a next byte and every word in it, with its training count."""
 
-    def rows(block, held: list[tuple[np.ndarray, np.ndarray]], words: dict[bytes, int]):
-        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
-        for kind, key, n in (
-            (GRAM, keys, counts),
-            (WORD, np.array([word_key(w) for w in words], np.int64), np.array(list(words.values()), np.int64)),
-        ):
-            columns = [np.full(len(key), kind, np.int8), key, np.full(len(key), block), n]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["kind", "key", "block", "n"])
-
-    def ask(batches):
-        block, held, words = None, [], {}
-        for batch in pieces(batches, 200):
-            numbers = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(numbers)]
-            for first, last in zip(cuts, cuts[1:], strict=False):
-                if first == last:
-                    continue
-                if block is not None and numbers[first] != block:
-                    yield from rows(block, held, words)
-                    held, words = [], {}
-                block = numbers[first]
-                part = batch.slice(first, last - first)
-                texts, train = texts_of(part, "text"), [not x for x in part.column(2).to_pylist()]
-                codes, starts = grams(texts, depth)
-                sizes = np.diff([*starts, len(codes)])
-                for used in (True, False):
-                    keys, n = np.unique(codes[np.repeat(np.array(train) == used, sizes)], return_counts=True)
-                    held.append((keys, n if used else np.zeros_like(n)))
-                if len(held) > 64:  # fold what has gathered, so that it stays as small as the block's own contexts
-                    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-                    held = [(keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64))]
-                for used, text in zip(train, texts, strict=True):
-                    found = Counter(text.lower().split())
-                    found[b""] = 1
-                    for word, n in found.items():
-                        words[word] = words.get(word, 0) + n * used
-        if block is not None:
-            yield from rows(block, held, words)
-
-    return blocks.mapInArrow(ask, "kind byte, key long, block long, n long")
+    def ask(table: pa.Table) -> pa.Table:
+        words, held = Words(), {GRAM: ([], []), WORD: ([], [])}
+        for batch in by_bytes(table.to_batches(), "text"):
+            texts = texts_of(batch, "text")
+            train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            for kind, (found, starts) in ((GRAM, grams(texts, depth)), (WORD, words.of(texts))):
+                used = np.repeat(train, np.diff([*starts, len(found)]))
+                keys, counts = held[kind]
+                for part in (True, False):
+                    k, n = np.unique(found[used == part], return_counts=True)
+                    keys.append(k)
+                    counts.append(n if part else np.zeros_like(n))
+                if sum(map(len, keys)) > FOLD:  # so that what is held stays as small as the block's own contexts
+                    keys, counts = _counted(keys, counts)
+                    held[kind] = [keys], [counts]
+        block = table.column("block")[0].as_py()
+        out = []
+        for kind, parts in held.items():
+            keys, counts = _counted(*parts)
+            columns = [np.full(len(keys), kind, np.int8), keys, np.full(len(keys), block), counts]
+            out.append(pa.Table.from_arrays(list(map(pa.array, columns)), ["kind", "key", "block", "n"]))
+        return pa.concat_tables(out)
+
+    return blocks.groupBy("block").applyInArrow(ask, "kind byte, key long, block long, n long")
 
 
 def _log_probabilities(trained: DataFrame, depth: int) -> DataFrame:
@@ -245,9 +262,9 @@ def _log_probabilities(trained: DataFrame, depth: int) -> DataFrame:
             values = ContextNodes(codes, counts, depth).log10_probabilities(top)
             for at in range(0, len(codes), 100_000):
                 part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(codes[part]), pa.array(values[part])], ["key", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(codes[part]), pa.array(values[part].astype(np.float32))], ["key", "value"])
 
-    return split.mapInArrow(score, "key long, value double")
+    return split.mapInArrow(score, "key long, value float")
 
 
 SCORES = (
@@ -271,49 +288,45 @@ def score_documents(
     if not 2 <= depth <= 6:
         raise ValueError("depth must be 2 to 6 bytes, so that contexts fit a long")
     blocks = _in_blocks(docs, id_col, text_col, block_bytes)
-    asked = staged(_asked(blocks, depth), "ctw-asked")
-    counts = staged(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
+    asked = stage(_asked(blocks, depth), "ctw-asked")
+    counts = stage(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
     words = counts.filter(F.col("kind") == WORD)
     n_train, n_distinct = words.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     n_train = n_train or 0
     whole = float(n_train + n_distinct + 1)
     trees = _log_probabilities(counts.filter(F.col("kind") == GRAM).select("key", "n"), depth)
-    values = trees.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value").union(
-        words.select("kind", "key", F.col("n").cast("double"))
+    values = trees.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value", F.lit(0).cast("long").alias("count")).union(
+        words.select("kind", "key", F.lit(0.0).cast("float"), "n")
     )
-    answers = asked.select("kind", "key", "block").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    answers = asked.select("kind", "key", "block").join(values, ["kind", "key"]).select("block", "kind", "key", "value", "count")
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        kind, key, value = (answers.column(c).to_numpy() for c in ("kind", "key", "value"))
+        kind, key = (answers.column(c).to_numpy() for c in ("kind", "key"))
         is_gram = kind == GRAM
-        codes, first = np.unique(key[is_gram], return_index=True)
-        logs = value[is_gram][first]
-        counted = dict(zip(key[~is_gram].tolist(), value[~is_gram].tolist(), strict=True))
-        known: dict[bytes, tuple[float, bool]] = {}
-
-        def of(word: bytes) -> tuple[float, bool]:
-            c = counted[word_key(word)]
-            known[word] = out = (math.log10((c + 1) / whole), c > 0)
-            return out
-
-        out = []
-        for batch in pieces(texts.to_batches(), 200):
+        contexts, counted = Places(key[is_gram]), Places(key[~is_gram])
+        logs = answers.column("value").to_numpy()[is_gram].astype(float)
+        times = answers.column("count").to_numpy()[~is_gram]
+        base_logs, seen = np.log10((times + 1) / whole), times > 0
+        words, out = Words(), []
+        for batch in by_bytes(texts.to_batches(), "text"):
             data = texts_of(batch, "text")
             found, starts = grams(data, depth)
-            sums = np.add.reduceat(logs[np.searchsorted(codes, found)], starts)
-            for doc, held, text, total in zip(
-                batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), data, sums.tolist(), strict=True
-            ):
-                words = text.lower().split()
-                words.append(b"")
-                pairs = [known.get(w) or of(w) for w in words]
-                base = math.fsum(p[0] for p in pairs)
-                bits = -total / math.log10(2) / (len(text) + 1)
-                n_known = sum(p[1] for p in pairs)
-                out.append((doc, held, len(words), n_known, n_train, base, total, len(text), bits))
-        names = [c.split()[0] for c in SCORES.split(", ")]
-        kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.int64(), pa.float64()]
-        columns = zip(*out, strict=True) if out else [[]] * len(names)
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            total = np.add.reduceat(logs[contexts.of(found)], starts)
+            found, starts = words.of(data)
+            place = counted.of(found)
+            sizes = np.array([len(t) for t in data])
+            columns = [
+                batch.column("doc_id"),
+                batch.column("held_out"),
+                pa.array(np.diff([*starts, len(found)])),
+                pa.array(np.add.reduceat(seen[place].astype(np.int64), starts)),
+                pa.array(np.full(len(data), n_train, np.int64)),
+                pa.array(np.add.reduceat(base_logs[place], starts)),
+                pa.array(total),
+                pa.array(sizes),
+                pa.array(-total / math.log10(2) / (sizes + 1)),
+            ]
+            out.append(pa.Table.from_arrays(columns, [c.split()[0] for c in SCORES.split(", ")]))
+        return pa.concat_tables(out)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
