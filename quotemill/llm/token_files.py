@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 import zlib
@@ -15,46 +16,81 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quotemill.llm.text import pieces, texts_of
-from quotemill.session import staged
+from quotemill.llm.text import pieces, stage, texts_of
 
 SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 256
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 300_000
 
 # White space next to a space: only there does a pre-token hold a space that is not its first character.
 _WIDE = re.compile(r"\s | \s")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
+# Marks that start a pre-token of their own after a letter.
+_MARKS = ".,;:!?"
+
+
+def _byte_characters() -> dict[int, int]:
+    """The character that byte-level vocabularies write for each byte: itself if visible, else the next from 256."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
 class ChunkEncoder:
     """Encodes texts with a byte-level vocabulary, one chunk of text at a time.
 
     A single space between two other characters always starts a pre-token, so a text may be cut before it
-    and the ids of the chunks joined. Frequent chunks are encoded once; the cache is bounded.
+    and the ids of the chunks joined. Likewise a single line feed between two others is a pre-token. A chunk of
+    letters is one pre-token, which goes to the merges without the rest of the library's work. Frequent
+    pieces are encoded once; the cache is bounded.
     """
 
     def __init__(self, path: str, dtype: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = dtype
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.characters = _byte_characters()
+        self.known: dict[str, bytes] = {}  # by piece, after a space
+        self.others: dict[str, bytes] = {}  # by piece as it is
+
+    def _encode(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _merge(self, letters: str) -> bytes:
+        written = letters.encode().decode("latin-1").translate(self.characters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(written)], self.dtype).tobytes()
+
+    def _piece(self, piece: str, space: str) -> bytes:
+        """Ids of a piece without spaces that follows a space, or, with an empty ``space``, something else."""
+        cache = self.known if space else self.others
+        found = cache.get(piece)
+        if found is not None:
+            return found
+        stem = piece.rstrip(_MARKS)
+        # Letters of the Latin blocks are letters for every version of Unicode.
+        if stem.isalpha() and max(stem) < "\u0250":
+            ids = cache.get(stem)
+            if ids is None:
+                ids = cache[stem] = self._merge(space + stem)
+            return ids + self._piece(piece[len(stem) :], "") if len(stem) < len(piece) else ids
+        lines = piece.split("\n")
+        if len(lines) > 1 and all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in lines):
+            rest = [self._piece("\n", "") + self._piece(x, "") for x in lines[1:]]
+            return self._piece(lines[0], space) + b"".join(rest)
+        found = self._encode(space + piece)
+        if len(piece) <= 64:
+            cache[piece] = found
+        return found
 
     def encode(self, text: str) -> np.ndarray:
-        first, *rest = (_SINGLE.split(text) if _WIDE.search(text) else text.split(" ")) or [""]
-        known = self.known
-        if len(known) >= CACHED_CHUNKS:
-            known.clear()
-        ids = [self._encode(first)]
-        for chunk in rest:
-            found = known.get(chunk)
-            if found is None:
-                found = self._encode(" " + chunk)
-                if len(chunk) <= 64:
-                    known[chunk] = found
-            ids.append(found)
+        for cache in (self.known, self.others):
+            if len(cache) >= CACHED_CHUNKS:
+                cache.clear()
+        first, *rest = _SINGLE.split(text) if _WIDE.search(text) else text.split(" ")
+        ids = [self._piece(first, "") if first else b""]
+        get, piece = self.known.get, self._piece
+        ids += [get(x) or piece(x, " ") for x in rest]
         return np.frombuffer(b"".join(ids), self.dtype)
 
 
@@ -193,7 +229,7 @@ def write_token_files(
     # Ranges of ids, where a hash of the text spreads an id that very many rows share.
     ranges = plain.repartitionByRange(shards, F.col("id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ranges.sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return staged(ordered.mapInArrow(write, FILES), "token-files")
+    return stage(ordered.mapInArrow(write, FILES), "token-files")
 
 
 class TokenFile:
@@ -233,16 +269,13 @@ class TokenFile:
             ids, mask, begins = (batch.column(k).flatten() for k in range(3))
             n = int(mask.true_count)
             ids = ids.to_numpy()[:n]
-            cuts = np.flatnonzero(begins.to_numpy(zero_copy_only=False)[:n])
-            for first, last in zip([0, *cuts], [*cuts, n], strict=True):
-                part = ids[first:last]
-                if tail is None:
-                    tail = [part] if len(part) else None
-                elif first == 0 and (not len(cuts) or cuts[0] != 0):
-                    tail.append(part)
-                else:
+            cuts = np.flatnonzero(begins.to_numpy(zero_copy_only=False)[:n]).tolist()
+            if n and (not cuts or cuts[0]):
+                tail.append(ids[: cuts[0] if cuts else n])  # goes on from the batch before
+            for first, last in itertools.pairwise([*cuts, n]):
+                if tail is not None:
                     yield finish(np.concatenate(tail))
-                    tail = [part]
+                tail = [ids[first:last]]
         if tail is not None:
             yield finish(np.concatenate(tail))
 
