@@ -13,6 +13,9 @@ from quotemill.llm.text import table
 from quotemill.llm.token_files import read_token_files, write_token_files
 from quotemill.session import work_path
 
+# Small sources are read up to one and a half times, which keeps the token files near the size of the texts.
+MAX_REPEATS = 1.5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the basic rules and the limits of their language and source."""
@@ -31,7 +34,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small sources repeated to their tempered weight."""
-    return mix_sources(docs).select(*docs.columns)
+    return mix_sources(docs, max_repeats=MAX_REPEATS).select(*docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

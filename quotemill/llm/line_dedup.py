@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotemill.llm.text import key_of, pieces, schema_with, texts_of, with_columns, without
-from quotemill.session import staged
+from quotemill.llm.text import key_of, pieces, schema_with, stage, texts_of, with_columns, without
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -51,13 +50,10 @@ def dedupe_lines(
     as the smallest one. Columns named like the two results are replaced; all others are kept.
     """
     docs = without(docs, "n_lines", "n_dropped")
-    lines = staged(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
-    holders = (
-        lines.groupBy("line")
-        .agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"))
-        .filter(F.col("n") >= min_docs)
-        .select("line", "keeper")
-    )
+    lines = stage(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
+    holders = lines.groupBy("line").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"))
+    # Written before the join, so that adaptive execution can split the rows of a hot line.
+    holders = stage(holders.filter(F.col("n") >= min_docs).select("line", "keeper"), "line-holders")
     drops = (
         lines.join(holders, "line")
         .filter(F.col("id") != F.col("keeper"))

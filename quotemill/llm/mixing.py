@@ -7,8 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.llm.text import renamed
-from quotemill.session import staged
+from quotemill.llm.text import renamed, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 4.0
@@ -87,7 +86,7 @@ def source_weights(
     is read in full at least once. ``whole_blocks`` full permutations fit into a source's budget, ``rest``
     tokens are left for the start of one more. Sources without tokens get one block.
     """
-    sums = staged(
+    sums = stage(
         tokens.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), "mix-sources"
     )
     filled = sums.filter("n_tokens > 0")
@@ -102,7 +101,7 @@ def source_weights(
     blocks = F.when(any_tokens, F.floor(F.col("budget") / F.col("n_tokens"))).otherwise(1).cast("int")
     rest = F.floor(F.col("budget") - F.col("whole_blocks") * F.col("n_tokens")).cast("long")
     plan = sums.select("*", weight.alias("weight"), spend.alias("budget"))
-    return staged(plan.withColumn("whole_blocks", blocks).withColumn("rest", F.greatest(rest, F.lit(0))), "mix-plan")
+    return stage(plan.withColumn("whole_blocks", blocks).withColumn("rest", F.greatest(rest, F.lit(0))), "mix-plan")
 
 
 def last_places(tokens: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
@@ -115,7 +114,7 @@ def last_places(tokens: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFra
     place = place_of(F.col("whole_blocks"), F.col("id"), seed)
     placed = tokens.join(plan, "source").select("source", "rest", "n_ranges", "n_tokens", place.alias("place"))
     number = F.floor(F.col("place") / F.lit(PLACES) * F.col("n_ranges")).cast("long")
-    placed = staged(placed.select("source", "rest", "n_tokens", "place", number.alias("range")), "mix-places")
+    placed = stage(placed.select("source", "rest", "n_tokens", "place", number.alias("range")), "mix-places")
     sums = placed.groupBy("source", "range").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("range"))
     over = sums.withColumn("upto", upto).filter("upto > rest")
@@ -155,7 +154,7 @@ def mix_sources(
     inner, names = renamed(docs)
     source = F.coalesce(F.col(names[source_col]).cast("string"), F.lit(""))
     key = F.col(names[id_col])
-    tokens = staged(
+    tokens = stage(
         inner.select(source.alias("source"), key.alias("id"), token_count(F.col(names[text_col])).alias("n_tokens")),
         "mix-tokens",
     )
@@ -163,7 +162,7 @@ def mix_sources(
     last = last_places(tokens, plan, seed)
     # The budget in epochs, at least one so that a source without tokens is spread over all blocks as well.
     length = F.when(F.col("n_tokens") > 0, F.col("budget") / F.col("n_tokens")).otherwise(1.0)
-    readings = staged(
+    readings = stage(
         plan.join(last, "source", "left").select("source", "whole_blocks", "last", length.alias("length")), "mix-readings"
     )
     rows = inner.withColumn("source", source).join(readings, "source")

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotemill.llm.text import pieces, renamed, schema_with, texts_of, with_columns, without
-from quotemill.session import staged
+from quotemill.llm.text import pieces, renamed, schema_with, stage, texts_of, with_columns, without
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -138,7 +137,7 @@ def limits_of(cells: DataFrame, group: list[str]) -> DataFrame:
 
 def adaptive_limits(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per language and source: its own limits, or its language's where it has few documents."""
-    cells = staged(sketches(measured, lang_col, source_col), "quality-sketches")
+    cells = stage(sketches(measured, lang_col, source_col), "quality-sketches")
     own, common = limits_of(cells, ["__lang", "__source"]), limits_of(cells, ["__lang"])
     names = [f"__{n}_{side}" for n in SLACK for side in ("low", "high")]
     wide = common.select("__lang", *[F.col(n).alias(f"{n}_lang") for n in names])
@@ -177,7 +176,7 @@ def quality_verdicts(
     has no words and fails; a null language or source is the group of the empty string; rows that repeat an
     id are judged each. With no documents there are no limits and no rows.
     """
-    measured = staged(measure(docs.select(id_col, lang_col, source_col, text_col), text_col).drop(text_col), "quality-stats")
+    measured = stage(measure(docs.select(id_col, lang_col, source_col, text_col), text_col).drop(text_col), "quality-stats")
     return judge(measured, adaptive_limits(measured, lang_col, source_col), lang_col, source_col)
 
 
@@ -186,6 +185,6 @@ def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     inner, place = renamed(docs)
     text, lang, source = place[text_col], place[lang_col], place[source_col]
     measured = measure(inner, text)
-    stats = staged(measure(inner.select(text, lang, source), text).drop(text), "quality-stats")
+    stats = stage(measure(inner.select(text, lang, source), text).drop(text), "quality-stats")
     kept = judge(measured, adaptive_limits(stats, lang, source), lang, source).filter("kept")
     return kept.select(*place.values()).toDF(*docs.columns)

@@ -12,8 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.text import pieces, texts_of
-from quotemill.session import staged
+from quotemill.llm.text import pieces, stage, texts_of
 
 # A candidate: twelve or more characters that keys, hashes and encoded bytes are made of.
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_\-]{12,}={0,2}")
@@ -166,7 +165,7 @@ def fit_forest(labelled: DataFrame, sample: int = SAMPLE) -> RandomForestClassif
     parts = [
         labelled.filter(F.col("label") == value).orderBy(draw, "doc_id", "start").limit(sample) for value in (0, 1)
     ]
-    rows = staged(parts[0].union(parts[1]).select(F.col("label").cast("double").alias("label"), "features"), "secret-sample")
+    rows = stage(parts[0].union(parts[1]).select(F.col("label").cast("double").alias("label"), "features"), "secret-sample")
     if rows.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(
@@ -195,7 +194,7 @@ def scan_secrets(
     empty, a null id comes back null, rows that repeat an id give their findings each.
     """
     words = dictionary(docs, text_col)
-    found = staged(find_candidates(docs, words, id_col, text_col, path_col), "secret-candidates")
+    found = stage(find_candidates(docs, words, id_col, text_col, path_col), "secret-candidates")
     if labelled is None:
         learn = found.withColumn("label", F.col("known").cast("int"))
     else:

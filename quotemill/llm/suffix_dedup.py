@@ -25,8 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.text import key_of, pieces, texts_of
-from quotemill.session import staged
+from quotemill.llm.text import key_of, pieces, stage, texts_of
 
 LENGTH = 400
 GRAM = 32
@@ -244,32 +243,33 @@ def _repeats_among(slices: DataFrame, length: int, ranges: int) -> DataFrame:
         if large.isEmpty():
             return found
         ranges = min(2 * ranges, length - GRAM + 1)
-        parts = staged(_split(slices.join(large, "key"), length, ranges), "suffix-parts")
+        parts = stage(_split(slices.join(large, "key"), length, ranges), "suffix-parts")
         # Parts that are equal repeat as a whole; one of them stands for all from here on.
         equal = parts.groupBy("key", "slice").agg(F.count("*").alias("rows")).filter("rows > 1").select("key", "slice")
         last = F.col("off") + F.octet_length("data") - length
         whole = parts.join(equal, ["key", "slice"])
         found = found.union(whole.select("home", F.col("off").alias("first"), last.cast("int").alias("last")))
         # What is found for one of several equal parts holds for them all, and they are found already.
-        slices = staged(parts.dropDuplicates(["key", "slice"]), "suffix-slices")
+        slices = stage(parts.dropDuplicates(["key", "slice"]), "suffix-slices")
 
 
 def find_repeats(docs: DataFrame, length: int) -> DataFrame:
     """Repeating starting places of documents ``(id, text_hash, text)``: ``(id, text_hash, first, last)``."""
-    runs = staged(_runs(docs, length), "suffix-runs")
+    runs = stage(_runs(docs, length), "suffix-runs")
     keys = runs.groupBy("key").agg(
         F.count("*").alias("rows"), F.min("slice").alias("low"), F.max("slice").alias("high")
     )
-    keys = keys.filter("rows > 1").select("key", (F.col("low") != F.col("high")).alias("mixed"))
-    met = staged(runs.join(keys, "key"), "suffix-met")
+    # Written before the join, so that adaptive execution can split the rows of a hot key.
+    keys = stage(keys.filter("rows > 1").select("key", (F.col("low") != F.col("high")).alias("mixed")), "suffix-keys")
+    met = stage(runs.join(keys, "key"), "suffix-met")
     alike = met.filter("not mixed").select("id", "text_hash", "first", "last")
 
     mixed = met.filter("mixed")
     home = F.xxhash64("key", "slice")
     place = F.struct("id", "text_hash", "first", "last", "lead")
     kinds = mixed.groupBy("key", "slice").agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    kinds = staged(kinds.select(home.alias("home"), "key", "slice", "n", "at.*"), "suffix-kinds")
-    slices = staged(_slice_bytes(docs, kinds, length), "suffix-slices")
+    kinds = stage(kinds.select(home.alias("home"), "key", "slice", "n", "at.*"), "suffix-kinds")
+    slices = stage(_slice_bytes(docs, kinds, length), "suffix-slices")
     repeats = _repeats_among(slices, length, RANGES)
     whole = kinds.filter("n > 1").select("home", F.lit(0).alias("a"), (F.col("last") - F.col("first")).alias("b"))
     inside = whole.union(repeats.select("home", "first", "last"))
