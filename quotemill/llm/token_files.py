@@ -20,7 +20,9 @@ from quotemill.llm.text import pieces, stage, texts_of
 
 SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 256
-CACHED_CHUNKS = 300_000
+# Frequent words are encoded once per file, so a file should hold many texts.
+SHARD_BYTES = 64_000_000
+CACHED_CHUNKS = 800_000
 
 # White space next to a space: only there does a pre-token hold a space that is not its first character.
 _WIDE = re.compile(r"\s | \s")
@@ -51,6 +53,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = dtype
         self.characters = _byte_characters()
+        self.written = [np.array([i], dtype).tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {}  # by piece, after a space
         self.others: dict[str, bytes] = {}  # by piece as it is
 
@@ -58,8 +61,12 @@ class ChunkEncoder:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _merge(self, letters: str) -> bytes:
-        written = letters.encode().decode("latin-1").translate(self.characters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(written)], self.dtype).tobytes()
+        letters = letters.encode().decode("latin-1").translate(self.characters)
+        return self._join(letters)
+
+    def _join(self, characters: str) -> bytes:
+        written = self.written
+        return b"".join([written[t.id] for t in self.tokenizer.model.tokenize(characters)])
 
     def _piece(self, piece: str, space: str) -> bytes:
         """Ids of a piece without spaces that follows a space, or, with an empty ``space``, something else."""
@@ -68,12 +75,18 @@ class ChunkEncoder:
         if found is not None:
             return found
         stem = piece.rstrip(_MARKS)
-        # Letters of the Latin blocks are letters for every version of Unicode.
-        if stem.isalpha() and max(stem) < "\u0250":
+        if stem.isalpha():
             ids = cache.get(stem)
             if ids is None:
-                ids = cache[stem] = self._merge(space + stem)
-            return ids + self._piece(piece[len(stem) :], "") if len(stem) < len(piece) else ids
+                if stem.isascii():  # written as they are, after a space as its character
+                    ids = cache[stem] = self._join("\u0120" + stem if space else stem)
+                elif max(stem) < "\u0250":  # letters of the Latin blocks are letters for every version of Unicode
+                    ids = cache[stem] = self._merge(space + stem)
+            if ids is not None:
+                if len(stem) == len(piece):
+                    return ids
+                marks = piece[len(stem) :]
+                return ids + (self.others.get(marks) or self._piece(marks, ""))
         lines = piece.split("\n")
         if len(lines) > 1 and all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in lines):
             rest = [self._piece("\n", "") + self._piece(x, "") for x in lines[1:]]
@@ -184,7 +197,7 @@ def write_token_files(
 ) -> DataFrame:
     """Encode all texts and write them in ascending id order; returns one row per file.
 
-    Each range of ids becomes ``tokens-<shard>.arrow``, an Arrow file of record batches with the columns
+    Each range of ids, of about SHARD_BYTES of text, becomes ``tokens-<shard>.arrow``, an Arrow file of record batches with the columns
     ``ids``, ``mask`` and ``begins``, fixed-size lists of ``length`` (see ``sequence_schema``), next to
     ``tokens-<shard>.index.arrow`` with the id and token count of its documents. ``end_id`` follows every
     document. Ids take two bytes where the vocabulary fits. A null text is empty and gives the end id only; a
@@ -192,8 +205,8 @@ def write_token_files(
     Without documents there are no files. ``folder`` must be shared by all executors; a retried task
     writes under a name of its own and renames it when complete.
     """
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    shards = (plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES + 1
     size = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = "<u2" if size <= 2**16 else "<u4"
     fs, root = _place(folder)
@@ -225,7 +238,6 @@ def write_token_files(
                 ["shard", "path", "n_docs", "n_tokens"],
             )
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # Ranges of ids, where a hash of the text spreads an id that very many rows share.
     ranges = plain.repartitionByRange(shards, F.col("id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ranges.sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
