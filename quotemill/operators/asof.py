@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.operators.buckets import ROWS_PER_BUCKET, bucket_of, cut_points, fits_one_task
+from quotemill.operators.buckets import BOUNDED, ROWS_PER_BUCKET, in_ranges
 
 
 def asof_join(
@@ -19,8 +19,7 @@ def asof_join(
     values: dict[str, str],
     direction: str = "backward",
     strict: bool = False,
-    bounded: bool = False,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add to each left row the ``values`` of the nearest right row of its group, null if none.
 
@@ -28,10 +27,12 @@ def asof_join(
     or after it; ``strict`` excludes equal times. Right rows that share a time are told apart by
     their values, the largest is taken. ``values`` maps output names to right columns.
 
+    A left row with a null time or a null in its group keys has no answer, as in an equi-join.
+
     Both sides are stacked and ordered once by time. A group with many rows is cut into time
     ranges, and a range without a right row before some left row takes the nearest row of the
-    ranges before it, so no task orders a whole hot group. The largest group is measured to decide
-    that, unless ``bounded`` says that groups are known to be small (daily tables: one row per day).
+    ranges before it, so no task orders a whole hot group. Groups bounded by definition (daily
+    tables: one row per day) are ordered whole with ``rows_per_bucket=BOUNDED``.
     """
     by = list(by)
     if direction not in ("backward", "forward"):
@@ -39,7 +40,7 @@ def asof_join(
     backward = direction == "backward"
     names = left.columns
 
-    hits = right.where(F.col(right_on).isNotNull()).select(
+    hits = right.dropna(subset=[right_on, *by]).select(
         *by,
         F.col(right_on).alias("_time"),
         F.struct(*[F.col(source).alias(name) for name, source in values.items()]).alias("_hit"),
@@ -65,8 +66,12 @@ def asof_join(
     time_order = F.col("_time").asc() if backward else F.col("_time").desc()
     order = [time_order, F.col("_side").asc(), F.col("_hit").asc_nulls_first()]
 
-    if bounded or fits_one_task(events, by, rows_per_bucket):
+    if rows_per_bucket is BOUNDED:
         found = _last_hit(events, by, order).where(F.col("_row").isNotNull())
+        known = F.col("_time").isNotNull()
+        for key in by:
+            known = known & F.col(key).isNotNull()
+        found = found.withColumn("_found", F.when(known, F.col("_found")))
     else:
         found = _last_hit_in_ranges(events, by, order, backward, rows_per_bucket)
     return found.select(
@@ -83,8 +88,6 @@ def _last_hit(events: DataFrame, group: list[str], order) -> DataFrame:
 def _last_hit_in_ranges(
     events: DataFrame, by: list[str], order, backward: bool, rows_per_bucket: int
 ) -> DataFrame:
-    times = events.groupBy(*by, "_time").agg(F.count(F.lit(1)).alias("_n"))
-    cuts = cut_points(times, by, "_time", rows_per_bucket)
     # Only one right row per time can be an answer; it is found map-side.
     hits = (
         events.where(F.col("_hit").isNotNull())
@@ -93,17 +96,12 @@ def _last_hit_in_ranges(
     )
     # One row per left time, so that a time shared by many left rows is ordered once.
     asked = (
-        events.where(F.col("_row").isNotNull())
+        events.where(F.col("_row").isNotNull() & F.col("_time").isNotNull())
         .select(*by, "_time", "_side")
         .distinct()
         .withColumn("_hit", F.lit(None).cast(hits.schema["_hit"].dataType))
     )
-    bucketed = (
-        asked.unionByName(hits)
-        .join(cuts, by, "left")
-        .withColumn("_bucket", bucket_of(F.col("_cuts"), F.col("_time")))
-        .drop("_cuts")
-    )
+    bucketed = in_ranges(asked.unionByName(hits), by, "_time", rows_per_bucket)
     pick = F.max_by if backward else F.min_by
     ends = bucketed.groupBy(*by, "_bucket").agg(
         pick(F.col("_hit"), F.when(F.col("_hit").isNotNull(), F.col("_time"))).alias("_end")

@@ -1,42 +1,51 @@
 """Order statistics of groups of any size.
 
-A window over a group puts the whole group into one task. The largest group is measured first (an
-aggregation over the keys alone, combined map-side), and plain windows are used when it fits.
-
-Beyond that, a group is reduced to its distinct values with their counts, so a value that repeats
-without end costs one row, and a group with many distinct values is cut into value ranges. Each
-range is ordered by itself, and the ranges are chained by a prefix sum over the small table of range
-totals. The cut points come from a sample drawn by hash, so they are the same on every
-recomputation. Both plans give the same result.
+A window over a group puts the whole group into one task. Here a group is reduced to its distinct
+values with their counts, so a value that repeats without end costs one row, and a group with many
+distinct values is cut into value ranges, twice if need be. Each range is ordered by itself, and the
+ranges are chained by a prefix sum over the small table of range totals. The cut points come from a
+sample drawn by hash, so they are the same on every recomputation.
+
+Callers whose groups are bounded by their definition, such as the symbols of one date, say so with
+``rows_per_bucket=BOUNDED`` and get one window per group instead. That is a statement about the data
+model, never a measurement. The results are the same either way:
+
+- a null value has no rank, counts nowhere, and is no candidate for a median or quantile;
+- rows of a null group have no rank; medians, quantiles and positions treat null as a group of its own;
+- a group without any value keeps its row, with a null median or quantile.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one group one task may order, and the sample size the cut points come from.
+from quotemill.operators.joins import join_null_safe
+
+# Groups bounded by definition are ordered whole.
+BOUNDED = None
+# Distinct values of one range, the sample the cut points come from, and the cuts of one step.
+# Two steps make a million ranges.
 ROWS_PER_BUCKET = 500_000
 SAMPLE_PER_GROUP = 4_096
-MAX_CUTS = 1_023
+CUTS_PER_STEP = 1_023
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group. Reads only the keys; run it on a stored table."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    return sizes.agg(F.max("_rows").alias("_rows")).first()["_rows"] or 0
+def unit_hash(*columns) -> Column:
+    """A hash of the columns, uniform on [0, 1)."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def fits_one_task(df: DataFrame, by: Sequence[str], rows_per_bucket: int) -> bool:
-    return largest_group(df, by) <= rows_per_bucket
+# Places drawn by :func:`seeded_place` are below this.
+PLACES = 2.0**60
 
 
-def unit_hash(*columns) -> Column:
-    """A hash of the columns, uniform on [0, 1)."""
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def seeded_place(seed: int, *columns: str) -> Column:
+    """A place drawn by a seeded hash of the columns: 60 bits of an MD5, which any SQL engine repeats."""
+    name = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
 
 
 def cut_points(
@@ -55,10 +64,10 @@ def cut_points(
         .where(F.col("_size") > rows_per_bucket)
     )
     wanted = F.least(
-        F.ceil(F.col("_size") / F.lit(rows_per_bucket)).cast("int") - 1, F.lit(MAX_CUTS)
+        F.ceil(F.col("_size") / F.lit(rows_per_bucket)).cast("int") - 1, F.lit(CUTS_PER_STEP)
     )
     sample = (
-        distinct_values.join(sizes, list(by))
+        join_null_safe(distinct_values, sizes, list(by))
         .where(unit_hash(value, *by) < F.lit(float(SAMPLE_PER_GROUP)) / F.col("_size"))
         .groupBy(*by)
         .agg(F.sort_array(F.collect_list(value)).alias("_sample"), F.max("_size").alias("_size"))
@@ -79,6 +88,23 @@ def bucket_of(cuts: Column, value: Column) -> Column:
     return F.coalesce(F.size(F.filter(cuts, lambda cut: cut < value)), F.lit(0))
 
 
+def in_ranges(
+    distinct_values: DataFrame, by: Sequence[str], value: str, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Add ``_bucket``, the number of the value range in its group; 0 for groups that fit one.
+
+    The input is as for :func:`cut_points`. What is still too large after the first step is cut again.
+    """
+    by = list(by)
+    for step, limit in (("_bucket", rows_per_bucket), ("_inner", 2 * rows_per_bucket)):
+        cuts = cut_points(distinct_values, by, value, limit)
+        distinct_values = join_null_safe(distinct_values, cuts, by, "left")
+        distinct_values = distinct_values.withColumn(step, bucket_of(F.col("_cuts"), F.col(value))).drop("_cuts")
+        by = [*by, step]
+    number = F.col("_bucket").cast("bigint") * (CUTS_PER_STEP + 1) + F.col("_inner")
+    return distinct_values.withColumn("_bucket", number).drop("_inner")
+
+
 def ranked_values(
     df: DataFrame,
     by: Sequence[str],
@@ -98,10 +124,7 @@ def ranked_values(
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > 0)
     )
-    cuts = cut_points(distinct_values, by, value, rows_per_bucket)
-    placed = distinct_values.join(cuts, by, "left").select(
-        *by, value, "_n", bucket_of(F.col("_cuts"), F.col(value)).alias("_bucket")
-    )
+    placed = in_ranges(distinct_values, by, value, rows_per_bucket)
     group = Window.partitionBy(*by)
     earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -117,10 +140,9 @@ def ranked_values(
     inside = (
         Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        placed.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(totals, [*by, "_bucket"])
-        .select(*by, value, "_n", (F.col("_offset") + F.col("_inside")).alias("_before"), "_total")
+    counted = placed.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return join_null_safe(counted, totals, [*by, "_bucket"]).select(
+        *by, value, "_n", (F.col("_offset") + F.col("_inside")).alias("_before"), "_total"
     )
 
 
@@ -134,32 +156,25 @@ def with_average_ranks(
     by: Sequence[str],
     outputs: dict[str, str],
     pct: bool = False,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add the average-tie rank of each ``outputs[name]`` column within its ``by`` group.
 
-    A null has no rank and does not count. With ``pct`` the rank is divided by the number of
-    non-null rows.
+    Values are compared in their own type. A null has no rank and does not count, and the rows of a
+    null group have none. With ``pct`` the rank is divided by the number of non-null rows.
     """
     by = list(by)
-    names = list(outputs)
-    if fits_one_task(df, by, rows_per_bucket):
-        return df.withColumns({name: _window_rank(by, outputs[name], pct) for name in names})
-    stacked = stack_columns(df, by, [outputs[name] for name in names])
-    ranked = ranked_values(stacked, [*by, "_which"], "_value", rows_per_bucket)
-    rank = average_rank() / F.col("_total") if pct else average_rank()
-    ranked = ranked.select(*by, "_which", "_value", rank.alias("_rank"))
+    if rows_per_bucket is BOUNDED:
+        return df.withColumns({name: _window_rank(by, c, pct) for name, c in outputs.items()})
     out = df
-    for i, name in enumerate(names):
-        one = ranked.where(F.col("_which") == i).select(
-            *by, F.col("_value").alias(f"_key_{name}"), F.col("_rank").alias(name)
-        )
-        out = (
-            out.withColumn(f"_key_{name}", F.col(outputs[name]).cast("double"))
-            .join(one, [*by, f"_key_{name}"], "left")
-            .drop(f"_key_{name}")
-        )
-    return out
+    for name, column in outputs.items():
+        # Equality never matches a null, neither a value nor a group.
+        ranked = ranked_values(df.select(*by, F.col(column).alias("_value")), by, "_value", rows_per_bucket)
+        rank = average_rank() / F.col("_total") if pct else average_rank()
+        key = f"_key_{name}"
+        ranked = ranked.select(*by, F.col("_value").alias(key), rank.alias(name))
+        out = out.withColumn(key, F.col(column)).join(ranked, [*by, key], "left").drop(key)
+    return out.select(*[c for c in df.columns if c not in outputs], *outputs)
 
 
 def with_pct_rank(df: DataFrame, by: Sequence[str], value: str, out: str, **options) -> DataFrame:
@@ -170,43 +185,26 @@ def group_medians(
     df: DataFrame,
     by: Sequence[str],
     outputs: dict[str, str],
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Exact median of each ``outputs[name]`` column, one row per group."""
     by = list(by)
-    if fits_one_task(df, by, rows_per_bucket):
+    if rows_per_bucket is BOUNDED:
         return df.groupBy(*by).agg(*[F.median(c).alias(name) for name, c in outputs.items()])
-    stacked = stack_columns(df, by, list(outputs.values()))
-    ranked = ranked_values(stacked, [*by, "_which"], "_value", rows_per_bucket)
-    return medians_of(ranked, by, list(outputs))
-
-
-def medians_of(ranked: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Medians from the ranked values of stacked columns, named in stacking order."""
-    low = F.floor((F.col("_total") + 1) / F.lit(2))
-    high = F.floor((F.col("_total") + 2) / F.lit(2))
-
-    def value_at(which: int, position: Column) -> Column:
-        end = F.col("_before") + F.col("_n")
-        hit = (F.col("_which") == which) & (F.col("_before") < position) & (position <= end)
-        return F.max(F.when(hit, F.col("_value")))
-
-    return ranked.groupBy(*by).agg(
-        *[
-            ((value_at(i, low) + value_at(i, high)) / F.lit(2.0)).alias(name)
-            for i, name in enumerate(names)
-        ]
-    )
+    out = df.select(*by).distinct()
+    for name, column in outputs.items():
+        ranked = ranked_values(df.select(*by, F.col(column).alias("_value")), by, "_value", rows_per_bucket)
+        low = F.floor((F.col("_total") + 1) / F.lit(2))
+        high = F.floor((F.col("_total") + 2) / F.lit(2))
+        median = (_value_at(low) + _value_at(high)) / F.lit(2.0)
+        out = join_null_safe(out, ranked.groupBy(*by).agg(median.alias(name)), by, "left")
+    return out
 
 
-def stack_columns(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The columns under each other as ``_which`` (their number) and ``_value``."""
-    items = [
-        F.struct(F.lit(i).alias("_which"), F.col(c).cast("double").alias("_value"))
-        for i, c in enumerate(columns)
-    ]
-    stacked = df.select(*by, F.explode(F.array(*items)).alias("_item"))
-    return stacked.select(*by, "_item._which", "_item._value")
+def _value_at(position: Column) -> Column:
+    """The value at a position counted from 1, from the columns of :func:`ranked_values`."""
+    hit = (F.col("_before") < position) & (position <= F.col("_before") + F.col("_n"))
+    return F.max(F.when(hit, F.col("_value")))
 
 
 def _window_rank(by: Sequence[str], column: str, pct: bool) -> Column:
@@ -216,7 +214,10 @@ def _window_rank(by: Sequence[str], column: str, pct: bool) -> Column:
     rank = first + (ties - 1) / F.lit(2.0)
     if pct:
         rank = rank / F.count(column).over(group)
-    return F.when(F.col(column).isNotNull(), rank)
+    ranked = F.col(column).isNotNull()
+    for key in by:
+        ranked = ranked & F.col(key).isNotNull()
+    return F.when(ranked, rank)
 
 
 def group_quantiles(
@@ -224,37 +225,30 @@ def group_quantiles(
     by: Sequence[str],
     value: str,
     fractions: Sequence[float],
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, as the array ``quantiles``."""
     by = list(by)
-    if fits_one_task(df, by, rows_per_bucket):
+    if rows_per_bucket is BOUNDED:
         levels = F.array(*[F.lit(float(f)) for f in fractions])
         return df.groupBy(*by).agg(F.percentile(value, levels).alias("quantiles"))
-    ranked = ranked_values(df, by, value, rows_per_bucket)
-
-    def at(position: Column) -> Column:
-        hit = (F.col("_before") <= position) & (position < F.col("_before") + F.col("_n"))
-        return F.max(F.when(hit, F.col(value)))
-
+    ranked = ranked_values(df.select(*by, F.col(value).alias("_value")), by, "_value", rows_per_bucket)
     parts = []
     for i, fraction in enumerate(fractions):
         place = (F.col("_total") - 1) * F.lit(float(fraction))
         parts += [
-            at(F.floor(place)).alias(f"_low_{i}"),
-            at(F.ceil(place)).alias(f"_high_{i}"),
+            _value_at(F.floor(place) + 1).alias(f"_low_{i}"),
+            _value_at(F.ceil(place) + 1).alias(f"_high_{i}"),
             F.max(place - F.floor(place)).alias(f"_part_{i}"),
         ]
     edges = ranked.groupBy(*by).agg(*parts)
-    return edges.select(
-        *by,
-        F.array(
-            *[
-                F.col(f"_low_{i}") + (F.col(f"_high_{i}") - F.col(f"_low_{i}")) * F.col(f"_part_{i}")
-                for i in range(len(list(fractions)))
-            ]
-        ).alias("quantiles"),
+    levels = F.array(
+        *[
+            F.col(f"_low_{i}") + (F.col(f"_high_{i}") - F.col(f"_low_{i}")) * F.col(f"_part_{i}")
+            for i in range(len(list(fractions)))
+        ]
     )
+    return join_null_safe(df.select(*by).distinct(), edges.select(*by, levels.alias("quantiles")), by, "left")
 
 
 def quantile_bucket(pct, n_buckets: int) -> Column:
@@ -271,20 +265,23 @@ def hashed_positions(
     key: Sequence[str],
     seed: int,
     out: str,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Position 0.. of each row in its group, in the order of a seeded hash of its key.
 
-    The hash is uniform, so equal ranges of it cut a large group evenly.
+    The hash is uniform, so equal ranges of it cut a large group evenly; their number follows the
+    group's size.
     """
     by, key = list(by), list(key)
-    largest = largest_group(df, by)
-    bits = max(0, math.ceil(math.log2(max(1, largest) / rows_per_bucket)))
-    hashed = df.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
-    if bits == 0:
+    hashed = df.withColumn("_h", seeded_place(seed, *key))
+    if rows_per_bucket is BOUNDED:
         whole = Window.partitionBy(*by).orderBy("_h", *key)
         return hashed.withColumn(out, (F.row_number().over(whole) - 1).cast("bigint")).drop("_h")
-    hashed = hashed.withColumn("_slice", F.shiftright("_h", 64 - bits).cast("bigint"))
+    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bucket)).alias("_slices"))
+    unit = F.col("_h") / F.lit(PLACES)
+    hashed = join_null_safe(hashed, sizes, by).withColumn(
+        "_slice", F.least(F.floor(unit * F.col("_slices")), F.col("_slices") - 1)
+    )
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         hashed.groupBy(*by, "_slice")
@@ -292,9 +289,9 @@ def hashed_positions(
         .select(*by, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     )
     inside = Window.partitionBy(*by, "_slice").orderBy("_h", *key)
+    numbered = hashed.withColumn("_row", F.row_number().over(inside) - 1)
     return (
-        hashed.withColumn("_row", F.row_number().over(inside) - 1)
-        .join(offsets, [*by, "_slice"])
+        join_null_safe(numbered, offsets, [*by, "_slice"])
         .withColumn(out, (F.col("_offset") + F.col("_row")).cast("bigint"))
-        .drop("_h", "_slice", "_row", "_offset")
+        .drop("_h", "_slices", "_slice", "_row", "_offset")
     )

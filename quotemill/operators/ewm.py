@@ -3,8 +3,10 @@
 ``y0 = x0`` and ``y = alpha * x + q * y_prev`` with ``q = 1 - alpha``. Unrolled, ``y`` is a weighted
 sum, and scaling every term by ``q ** -offset`` turns it into a running sum. The scale would
 overflow on a long series, so the series is cut into blocks: a running sum inside the block, plus
-what the blocks just before carry over. Blocks are long enough for all older rows to be below
-double precision.
+what all earlier blocks carry over. The average at the end of a block is linear in the one at the end
+of the block before it, so the carries are chained over the block ends, of which a series of daily
+rows has about one in five years. No history is cut off: small averages matter where two of them are
+divided by each other.
 
 After a gap of ``k`` rows (missing values in between) the recursion is
 ``y = (q**k * y_prev + alpha * x) / (q**k + alpha)``, that is a linear recursion with a factor that
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 
 from quotemill.operators.series import BLOCK_ROWS, Series, numbered
 
-# exp() of this stays far from overflow; weights below exp(-FORGOTTEN) are under double precision.
+# The scale inside a block stays below exp(LARGEST_EXPONENT), with a gap in it below exp(OVERFLOW).
 LARGEST_EXPONENT = 300.0
-FORGOTTEN = 42.0
+OVERFLOW = 690.0
 
 
 @dataclass(frozen=True)
@@ -41,14 +43,6 @@ class Ewm:
     def log_q(self) -> float:
         return math.log(1.0 - self.alpha)
 
-    def slowest_decay(self) -> float:
-        """Smallest decay per row, over all gap lengths."""
-        if self.missing != "anywhere":
-            return -self.log_q
-        q = 1.0 - self.alpha
-        longest = max(2, int(LARGEST_EXPONENT / -self.log_q))
-        return min(math.log1p(self.alpha * q**-k) / k for k in range(1, longest))
-
 
 def from_span(column: str, span: int, missing: str = "never") -> Ewm:
     return Ewm(column, 2.0 / (span + 1.0), missing)
@@ -69,7 +63,9 @@ def with_ewm(df: DataFrame, series: Series, outputs: dict[str, Ewm]) -> DataFram
     running = Window.partitionBy(*series.by, "_block").orderBy("_at").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    by_block = Window.partitionBy(*series.by).orderBy("_block")
+    earlier_blocks = (
+        Window.partitionBy(*series.by).orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
+    )
 
     # Stage 1: which row starts the series, and how far back the previous value is.
     first: dict[str, Column] = {}
@@ -87,12 +83,12 @@ def with_ewm(df: DataFrame, series: Series, outputs: dict[str, Ewm]) -> DataFram
     gaps: dict[str, Column] = {}
     for name, spec in outputs.items():
         if spec.missing == "anywhere":
-            gaps[f"_log_{name}"] = F.sum(_log_factor(name, spec)).over(running)
+            gaps[f"_log_{name}"] = F.sum(_log_factor(name, spec, block_rows)).over(running)
     df = df.withColumns(gaps) if gaps else df
 
     # Stage 3: running scaled sum inside the block.
     sums = {
-        f"_sum_{name}": F.sum(_scaled_term(name, spec)).over(running)
+        f"_sum_{name}": F.sum(_scaled_term(name, spec, block_rows)).over(running)
         for name, spec in outputs.items()
     }
     df = df.withColumns(sums)
@@ -100,25 +96,19 @@ def with_ewm(df: DataFrame, series: Series, outputs: dict[str, Ewm]) -> DataFram
         {f"_in_{name}": F.exp(_exponent(name, spec)) * F.col(f"_sum_{name}") for name, spec in outputs.items()}
     )
 
-    # Stage 4: what earlier blocks carry into this one.
-    carries: dict[str, Column] = {}
+    # Stage 4: what earlier blocks carry into this one, folded over their last rows.
+    df = df.withColumn("_last", ~F.col("_block").eqNullSafe(F.lead("_block").over(whole)))
+    ends: dict[str, Column] = {}
     for name, spec in outputs.items():
-        for back in range(1, _blocks_back(spec, block_rows) + 1):
-            frame = by_block.rangeBetween(-back, -back)
-            end = F.max_by(F.col(f"_in_{name}"), F.col("_at")).over(frame)
-            carries[f"_carry_{name}_{back}"] = end
-            if back < _blocks_back(spec, block_rows):
-                decay = F.max_by(_block_decay(name, spec), F.col("_at")).over(frame)
-                carries[f"_decay_{name}_{back}"] = decay
-    df = df.withColumns(carries)
+        end = F.struct(F.col(f"_in_{name}").alias("sum"), _block_decay(name, spec).alias("decay"))
+        ends[f"_ends_{name}"] = F.collect_list(F.when(F.col("_last"), end)).over(earlier_blocks)
+    df = df.withColumns(ends)
 
     results: dict[str, Column] = {}
     for name, spec in outputs.items():
-        last = _blocks_back(spec, block_rows)
-        carried = F.coalesce(F.col(f"_carry_{name}_{last}"), F.lit(0.0))
-        for back in range(last - 1, 0, -1):
-            older = F.col(f"_decay_{name}_{back}") * carried
-            carried = F.coalesce(F.col(f"_carry_{name}_{back}") + older, F.lit(0.0))
+        carried = F.aggregate(
+            f"_ends_{name}", F.lit(0.0), lambda carry, end: end["sum"] + end["decay"] * carry
+        )
         value = F.col(f"_in_{name}") + _block_decay(name, spec) * carried
         if spec.missing == "leading":
             value = F.when(F.col(f"_seen_{name}") > 0, value)
@@ -135,19 +125,15 @@ def with_ewm(df: DataFrame, series: Series, outputs: dict[str, Ewm]) -> DataFram
     return df.select(*[c for c in keep if c not in results], *final)
 
 
-def _blocks_back(spec: Ewm, block_rows: int) -> int:
-    return max(1, math.ceil(FORGOTTEN / (block_rows * spec.slowest_decay())))
-
-
-def _gap_weight(name: str, spec: Ewm) -> Column:
-    """q ** k for the distance k to the previous value, capped where it is no longer visible."""
-    longest = int(LARGEST_EXPONENT / -spec.log_q)
+def _gap_weight(name: str, spec: Ewm, block_rows: int) -> Column:
+    """q ** k for the distance k to the previous value, as far as the scale of the block leaves room."""
+    longest = int(OVERFLOW / -spec.log_q) - block_rows
     k = F.least(F.col("_at") - F.col(f"_prev_{name}"), F.lit(longest))
     return F.exp(F.lit(spec.log_q) * k)
 
 
-def _log_factor(name: str, spec: Ewm) -> Column:
-    weight = _gap_weight(name, spec)
+def _log_factor(name: str, spec: Ewm, block_rows: int) -> Column:
+    weight = _gap_weight(name, spec, block_rows)
     factor = F.log(weight / (weight + F.lit(spec.alpha)))
     present = F.col(spec.column).isNotNull() & F.col(f"_prev_{name}").isNotNull()
     return F.when(present, factor).otherwise(F.lit(0.0))
@@ -167,7 +153,7 @@ def _block_decay(name: str, spec: Ewm) -> Column:
     return F.exp(F.lit(spec.log_q) * (F.col("_off") + 1))
 
 
-def _scaled_term(name: str, spec: Ewm) -> Column:
+def _scaled_term(name: str, spec: Ewm, block_rows: int) -> Column:
     x = F.col(spec.column)
     if spec.missing == "never":
         share = F.when(F.col("_at") == 0, F.lit(1.0)).otherwise(F.lit(spec.alpha))
@@ -175,7 +161,7 @@ def _scaled_term(name: str, spec: Ewm) -> Column:
         share = F.when(F.col(f"_seen_{name}") == 1, F.lit(1.0)).otherwise(F.lit(spec.alpha))
     else:
         share = F.when(F.col(f"_prev_{name}").isNull(), F.lit(1.0)).otherwise(
-            F.lit(spec.alpha) / (_gap_weight(name, spec) + F.lit(spec.alpha))
+            F.lit(spec.alpha) / (_gap_weight(name, spec, block_rows) + F.lit(spec.alpha))
         )
     return F.coalesce(share * x * F.exp(-_exponent(name, spec)), F.lit(0.0))
 

@@ -38,6 +38,19 @@ def left_join_one_to_one(
     return left.join(right, keys, "left")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, keeping the keys of ``left`` once.
+
+    Spark joins on null-safe equality by hash or sort like on plain equality.
+    """
+    renamed = right.withColumnsRenamed({k: f"_right_{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{i}")) for i, k in enumerate(keys)]
+    condition = same[0]
+    for one in same[1:]:
+        condition = condition & one
+    return left.join(renamed, condition, how).drop(*[f"_right_{i}" for i in range(len(keys))])
+
+
 def left_join_on_text(left: DataFrame, right: DataFrame, column: str, row_key: Sequence[str]) -> DataFrame:
     """Left join on a nullable text column of which ``right`` has one row per text.
 

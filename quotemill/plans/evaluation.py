@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quotemill.functions.scalars import argmax_class, label_index, rating_of, single_row
 from quotemill.operators.asof import asof_join
 from quotemill.operators.buckets import (
+    BOUNDED,
     ROWS_PER_BUCKET,
     group_quantiles,
     quantile_bucket,
@@ -84,7 +85,7 @@ def rank_ic(
     target: str,
     keys: Sequence[str] = ("date",),
     min_rows: int = MIN_ROWS_PER_DATE,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = BOUNDED,
 ) -> DataFrame:
     """Spearman correlation per group (``ic``), groups with fewer than ``min_rows`` rows left out."""
     keys = list(keys)
@@ -119,7 +120,7 @@ def rank_ic_by(
     by: str,
     segments: Sequence,
     min_rows: int = MIN_ROWS_PER_DATE,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = BOUNDED,
 ) -> DataFrame:
     """Per date, the correlation within each segment, one column ``ic_<segment>`` per segment."""
     per_segment = rank_ic(
@@ -147,7 +148,7 @@ def feature_ics(
     features: Sequence[str],
     target: str = "forward_return",
     min_rows: int = MIN_ROWS_PER_DATE,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = BOUNDED,
 ) -> DataFrame:
     """How well each feature alone ranks the target: mean per-date correlation and its t-stat.
 
@@ -163,7 +164,7 @@ def feature_ics(
     return mean_ics(ics, "feature")
 
 
-def ranking_frame(predictions: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def ranking_frame(predictions: DataFrame, rows_per_bucket: int | None = BOUNDED) -> DataFrame:
     """What the ranking metrics need per test row: score, returns and segments."""
     scored = predictions.withColumns(
         {
@@ -194,7 +195,7 @@ def ranking_frame(predictions: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
 
 
 def segment_ics(
-    frame: DataFrame, min_rows: int = MIN_ROWS_PER_DATE, rows_per_bucket: int = ROWS_PER_BUCKET
+    frame: DataFrame, min_rows: int = MIN_ROWS_PER_DATE, rows_per_bucket: int | None = BOUNDED
 ) -> DataFrame:
     """Per date, the correlation overall and in every segment, from one ranking pass."""
     kinds = [F.struct(F.lit("all").alias("kind"), F.lit(0).cast("bigint").alias("segment"))]
@@ -236,7 +237,7 @@ def segment_ics(
     return ics.groupBy("date").agg(*columns)
 
 
-def decile_returns(frame: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def decile_returns(frame: DataFrame, rows_per_bucket: int | None = BOUNDED) -> DataFrame:
     """Per date: mean simple return of the top and bottom score decile, and of all rows."""
     ranked = with_pct_rank(frame, ["date"], "score", "_pct", rows_per_bucket=rows_per_bucket)
     pct = F.col("_pct")
@@ -249,7 +250,7 @@ def decile_returns(frame: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) ->
 
 
 def ranking_metrics(
-    frame: DataFrame, min_rows: int = MIN_ROWS_PER_DATE, rows_per_bucket: int = ROWS_PER_BUCKET
+    frame: DataFrame, min_rows: int = MIN_ROWS_PER_DATE, rows_per_bucket: int | None = BOUNDED
 ) -> tuple[DataFrame, DataFrame]:
     """The one-row summary, and the per-date series used to compare models.
 
@@ -294,9 +295,12 @@ def ranking_metrics(
 
 
 def calibration_error(
-    predictions: DataFrame, n_bins: int = 10, rows_per_bucket: int = ROWS_PER_BUCKET
+    predictions: DataFrame, n_bins: int = 10, rows_per_bucket: int | None = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Expected calibration error per class over quantile bins, one row per class."""
+    """Expected calibration error per class over quantile bins, one row per class.
+
+    A class holds every row of the table, so its quantiles are found in value ranges.
+    """
     y = label_index("label")
     stacked = predictions.select(
         F.explode(

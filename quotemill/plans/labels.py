@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import rating_of, single_row, to_float32
-from quotemill.operators.buckets import ROWS_PER_BUCKET
+from quotemill.operators.buckets import BOUNDED
 from quotemill.operators.ewm import with_ewm_std
 from quotemill.operators.series import DAILY, Series, home_rows, numbered, split_series
 from quotemill.plans.indicators import compute_stock_indicators
@@ -112,11 +112,11 @@ def build_metrics_dataset(
     max_span_days: int = MAX_SPAN_DAYS,
     max_daily_move: float = MAX_DAILY_MOVE,
     lookback_rows: int = BAD_PRICE_LOOKBACK,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = BOUNDED,
 ) -> DataFrame:
     """Indicators, labels and market indicators of every complete row away from bad prices.
 
-    ``prices`` should be a stored table: its series lengths are measured before it is processed.
+    A table of finer grain than a day names a ``series`` that is not bounded, and ``rows_per_bucket``.
     Rows are dropped last, so all of a date's rows count in its market indicators.
     """
     # A symbol too long for one task is cut; then the narrow steps first, and every window orders

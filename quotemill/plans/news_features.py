@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import is_negative, is_positive, safe_divide, zero_fill
 from quotemill.operators.asof import asof_join
+from quotemill.operators.buckets import BOUNDED
 from quotemill.operators.calendar import next_trading_days, trading_calendar
 from quotemill.operators.joins import left_join_on_text, left_join_one_to_one
 from quotemill.plans.sentiment import assert_all_scored
@@ -71,7 +72,7 @@ def daily_news_stats(
     days = next_trading_days(calendar, history_start, same_day)
     sentiment = F.col("sentiment")
     return (
-        articles.join(F.broadcast(days), "news_day")
+        articles.join(days, "news_day")
         .groupBy("symbol", "day_idx")
         .agg(
             F.count(F.lit(1)).alias("articles"),
@@ -110,7 +111,10 @@ def news_window_sums(
 
 def last_news_days(price_days: DataFrame, daily: DataFrame) -> DataFrame:
     """Add ``last_day_idx``, the latest day with news at or before each price row."""
-    return asof_join(price_days, daily, "day_idx", "day_idx", ["symbol"], {"last_day_idx": "day_idx"})
+    # Both tables have one row per symbol and day.
+    return asof_join(
+        price_days, daily, "day_idx", "day_idx", ["symbol"], {"last_day_idx": "day_idx"}, rows_per_bucket=BOUNDED
+    )
 
 
 def feature_columns() -> dict[str, Column]:
@@ -163,7 +167,7 @@ def news_features(
     # the articles and their texts are joined once.
     daily = staged(daily_news_stats(articles, calendar, history_start, same_day), "daily-news")
     windows = news_window_sums(daily)
-    price_days = prices.select("symbol", "date").join(F.broadcast(calendar), "date")
+    price_days = prices.select("symbol", "date").join(calendar, "date")
     rows = last_news_days(price_days, daily).join(windows, ["symbol", "day_idx"], "left")
     return rows.select(
         "symbol", "date", *[c.cast("float").alias(n) for n, c in feature_columns().items()]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import safe_divide
-from quotemill.operators.buckets import ROWS_PER_BUCKET, group_medians
+from quotemill.operators.buckets import BOUNDED, group_medians
 from quotemill.operators.series import DAILY, Series
 from quotemill.plans.evaluation import mean_ics, rank_ic
 from quotemill.schemas import MIN_ROWS_PER_DATE
@@ -33,7 +33,7 @@ def news_window_ics(
     calendar: DataFrame,
     daily: DataFrame,
     min_rows: int = MIN_ROWS_PER_DATE,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = BOUNDED,
 ) -> DataFrame:
     """Per window: mean rank correlation of a day's mean sentiment with the excess return, and t-stat.
 
@@ -44,8 +44,8 @@ def news_window_ics(
     tone = daily.select("symbol", "day_idx", safe_divide("tone", "articles").alias("tone"))
     # The calendar and the market have one row per date.
     rows = (
-        returns.join(F.broadcast(calendar), "date")
-        .join(F.broadcast(market), "date")
+        returns.join(calendar, "date")
+        .join(market, "date")
         .join(tone, ["symbol", "day_idx"])
     )
     items = [

@@ -12,16 +12,11 @@ from pyspark.sql import functions as F
 from quotemill.functions.scalars import flag, safe_divide
 from quotemill.operators.series import ROWS_PER_PART, Series, home_rows, split_series
 
-BY_TIME = Series(("symbol",), "timestamp")
+BY_TIME = Series(("symbol",), "timestamp", bounded=False)
 LONGEST_FRAME = 200
 REQUIRED = ["timestamp", "close", "volume", "symbol"]
 
 
-def clean_bars(df: DataFrame) -> DataFrame:
-    """Complete rows, one per symbol and timestamp."""
-    return df.dropna(subset=REQUIRED).dropDuplicates(["symbol", "timestamp"])
-
-
 def first_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key, the same one on every run: the smallest by the other columns."""
     others = [c for c in df.columns if c not in keys]
@@ -29,6 +24,11 @@ def first_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return first.select(*keys, *[F.col("_first")[c].alias(c) for c in others]).select(*df.columns)
 
 
+def clean_bars(df: DataFrame) -> DataFrame:
+    """Complete rows, one per symbol and timestamp: the smallest by the other columns."""
+    return first_per_key(df.dropna(subset=REQUIRED), ["symbol", "timestamp"])
+
+
 def _split(df: DataFrame, rows_per_part: int) -> tuple[DataFrame, Series]:
     return split_series(df, BY_TIME, rows_per_part, back=LONGEST_FRAME + 14, ahead=1)
 

@@ -1,4 +1,4 @@
-"""Order statistics and as-of joins: the plain and the split plan against pandas."""
+"""Order statistics and as-of joins of bounded, whole and cut groups against pandas."""
 
 import numpy as np
 import pandas as pd
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quotemill.operators import asof, buckets, calendar, joins
 from quotemill.plans import evaluation, experiments
 
-# One limit keeps every group whole, the other cuts them.
-LIMITS = [1_000_000, 50]
+# Declared bounded, small enough for one range, and cut.
+LIMITS = [buckets.BOUNDED, 1_000_000, 50]
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +53,52 @@ def test_medians_and_quantiles(skewed, limit):
     np.testing.assert_allclose(np.stack(found.quantiles), expected, rtol=1e-12)
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null groups, groups without a value, null values, and numbers that doubles cannot tell apart."""
+    rows = [
+        ("a", 2**53), ("a", 2**53 + 1), ("a", None), ("a", 2**53 + 1), (None, 5), (None, 7), (None, None), ("b", None), ("b", None),
+        ("c", 1),
+    ]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k bigint, g string, v bigint")
+
+
+@pytest.mark.parametrize("limit", [*LIMITS, 1])
+def test_nulls_and_large_numbers(odd, limit):
+    ranks = {r.k: r.r for r in buckets.with_average_ranks(odd, ["g"], {"r": "v"}, rows_per_bucket=limit).collect()}
+    assert ranks == {0: 1.0, 1: 2.5, 2: None, 3: 2.5, 4: None, 5: None, 6: None, 7: None, 8: None, 9: 1.0}
+    share = {r.k: r.p for r in buckets.with_pct_rank(odd, ["g"], "v", "p", rows_per_bucket=limit).collect()}
+    assert share[0] == pytest.approx(1 / 3) and share[9] == 1 and share[4] is None
+    medians = {r.g: r.m for r in buckets.group_medians(odd, ["g"], {"m": "v"}, limit).collect()}
+    assert medians == {"a": float(2**53 + 1), None: 6.0, "b": None, "c": 1.0}
+    quantiles = {r.g: r.quantiles for r in buckets.group_quantiles(odd, ["g"], "v", [0.0, 0.5, 1.0], limit).collect()}
+    assert quantiles[None] == [5.0, 6.0, 7.0] and quantiles["c"] == [1.0, 1.0, 1.0]
+    assert quantiles["b"] in (None, [None] * 3)
+    places = buckets.hashed_positions(odd, ["g"], ["k"], 3, "at", limit).collect()
+    assert len(places) == 10
+    for group, n in (("a", 4), (None, 3), ("b", 2), ("c", 1)):
+        assert sorted(r["at"] for r in places if r.g == group) == list(range(n))
+
+
+@pytest.mark.parametrize("limit", [*LIMITS, 1])
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_join_of_nulls(spark, limit, direction):
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, None, 5), (4, "b", 5)], "id bigint, s string, t bigint")
+    right = spark.createDataFrame([("a", 5, 50), ("a", None, 1), (None, 5, 2), ("a", 9, 90)], "s string, u bigint, v bigint")
+    out = asof.asof_join(left, right, "t", "u", ["s"], {"found": "v"}, direction, rows_per_bucket=limit)
+    assert {r.id: r.found for r in out.collect()} == {1: 50, 2: None, 3: None, 4: None}
+
+
+def test_groups_larger_than_one_step_are_cut_twice(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "CUTS_PER_STEP", 3)
+    df = spark.range(2000).selectExpr("'g' g", "id * 7919 % 2003 v", "1 _n")
+    sizes = buckets.in_ranges(df, ["g"], "v", 50).groupBy("_bucket").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+    rows = sizes.orderBy("_bucket").collect()
+    assert len(rows) > 8 and all(x.b < y.a for x, y in zip(rows, rows[1:], strict=False))
+    ranks = buckets.with_average_ranks(df, ["g"], {"r": "v"}, rows_per_bucket=50).orderBy("v").collect()
+    assert [r.r for r in ranks] == [float(i + 1) for i in range(2000)]
+
+
 def test_no_task_orders_a_hot_group(spark, skewed):
     df, _ = skewed
     distinct = df.where("v is not null").groupBy("g", "v").agg(F.count(F.lit(1)).alias("_n"))

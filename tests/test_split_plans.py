@@ -6,6 +6,7 @@ from conftest import LARGER_DIR
 
 import __spark_entry__ as entry_point
 from quotemill.operators import asof, buckets
+from quotemill.plans import experiments
 
 NAMES = [
     "pct_rank_avg", "quantile_bucket", "market_indicators", "ranking_metrics", "calibration_error",
@@ -16,11 +17,12 @@ NAMES = [
 
 @pytest.fixture
 def small_ranges(monkeypatch):
-    cut_points = buckets.cut_points
+    """Every group in ranges of 500 values, also those that callers declare bounded."""
+    in_ranges, positions = buckets.in_ranges, buckets.hashed_positions
     for module in (buckets, asof):
-        monkeypatch.setattr(module, "fits_one_task", lambda df, by, limit: False)
-        monkeypatch.setattr(module, "cut_points", lambda df, by, value, limit=0: cut_points(df, by, value, 5))
-    monkeypatch.setattr(buckets, "largest_group", lambda df, by: 64 * buckets.ROWS_PER_BUCKET)
+        monkeypatch.setattr(module, "BOUNDED", "never")
+        monkeypatch.setattr(module, "in_ranges", lambda df, by, value, limit=None: in_ranges(df, by, value, 500))
+    monkeypatch.setattr(experiments, "hashed_positions", lambda *args: positions(*args[:5], 500))
 
 
 @pytest.mark.parametrize("name", NAMES)

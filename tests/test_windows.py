@@ -110,7 +110,7 @@ def test_split_series_gives_the_same_indicators(spark):
     schema = "symbol string, date timestamp_ntz, adj_close double, adj_open double, adj_high double, adj_low double, volume bigint"
     df = spark.createDataFrame(pd.concat(frames), schema)
     whole = indicators.compute_stock_indicators(df).toPandas().sort_values(["symbol", "date"])
-    parts, by_part = split_series(df, DAILY, rows_per_part=1500, back=1400, rows_per_bucket=200)
+    parts, by_part = split_series(df, Series(bounded=False), rows_per_part=1500, back=1400, rows_per_bucket=200)
     assert by_part.by == ("symbol", "_part")
     cut = home_rows(indicators.compute_stock_indicators(parts, series=by_part))
     cut = cut.toPandas().sort_values(["symbol", "date"])
@@ -124,7 +124,44 @@ def test_split_series_gives_the_same_indicators(spark):
 def test_short_series_are_not_split(spark):
     df, _ = make_frame(spark, {"a": [1.0, 2.0, 3.0]})
     same, same_series = split_series(df, DAILY)
-    assert same is df and same_series == DAILY and home_rows(same) is df
+    assert same_series == DAILY and home_rows(same) is same and same.collect() == df.collect()
+
+
+def test_rows_without_a_time_are_in_no_series(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", None, 2.0), (None, 1, 3.0)], "symbol string, date int, x double")
+    for series_ in (DAILY, Series(bounded=False)):
+        rows = home_rows(split_series(df, series_)[0]).select("symbol", "date", "x").collect()
+        assert sorted(r.x for r in rows) == [1.0, 3.0]
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_directions_after_a_long_flat_stretch(spark, bounded):
+    """A price that moves and then stands still: the averages get tiny, their ratios do not."""
+    rng = np.random.default_rng(11)
+    # The second series is cut after 66,000 rows; the moves before the cut are history of the rows behind it.
+    n, start = (5100, 0) if bounded else (69_000, 60_000)
+    moving = (np.arange(n) >= start) & (np.arange(n) < start + 100)
+    close = 100 * np.exp(np.cumsum(np.where(moving, rng.normal(0, 0.02, n), 0.0)))
+    spread = np.where(moving, 0.01, 0.0)
+    pdf = pd.DataFrame({"symbol": "a", "date": pd.date_range("1990-01-01", periods=n, freq="h"), "adj_close": close,
+                        "adj_high": close * (1 + spread), "adj_low": close * (1 - spread)})
+    schema = "symbol string, date timestamp_ntz, adj_close double, adj_high double, adj_low double"
+    df = spark.createDataFrame(pdf, schema)
+    if bounded:
+        out = indicators.directional_indicators(df)
+    else:
+        parts, by_part = split_series(df, Series(bounded=False), rows_per_part=66_000)
+        out = home_rows(indicators.directional_indicators(parts, by_part))
+    out = out.toPandas().sort_values("date").reset_index(drop=True)
+    up, down = pdf.adj_high.diff(), -pdf.adj_low.diff()
+    plus, minus = up.where((up > down) & (up > 0), 0), down.where((down > up) & (down > 0), 0)
+    reach = pd.concat(
+        [pdf.adj_high - pdf.adj_low, pdf.adj_high - pdf.adj_close.shift(), pdf.adj_low - pdf.adj_close.shift()], axis=1
+    ).max(axis=1)
+    smooth = lambda v: v.ewm(alpha=1 / 14, adjust=False).mean()
+    for name, moves in (("plus_di", plus), ("minus_di", minus)):
+        expected = (100 * smooth(moves) / smooth(reach))[start + 1 :]
+        np.testing.assert_allclose(out[name].astype(float)[start + 1 :], expected, rtol=1e-6)
 
 
 def test_split_needs_room_for_its_halo(spark):
