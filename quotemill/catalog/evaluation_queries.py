@@ -397,10 +397,20 @@ def _(spark, sf):
     return comparable(row.withColumn("delta_ic_t", F.round("delta_ic_t", 4)))
 
 
-@query("shuffle_within_date")
+def _place(seed: int) -> str:
+    """Places in a date as the operator draws them."""
+    return f"row_number() OVER (PARTITION BY date ORDER BY ('0x' || md5('{seed}:' || symbol)[1:15])::BIGINT, symbol)"
+
+
+@query(
+    "shuffle_within_date",
+    f"WITH {P}, takers AS (SELECT symbol, date, {_place(1)} AS place FROM predictions), "
+    f"givers AS (SELECT date, p_up, p_down, {_place(7920)} AS place FROM predictions) "
+    f"SELECT symbol, date, {rounded('p_up', 'p_down')} FROM takers JOIN givers USING (date, place)",
+)
 def _(spark, sf):
     frame = common.predictions(spark, sf).select("symbol", "date", "p_up", "p_down")
-    return experiments.shuffle_within_date(frame, ["p_up", "p_down"], seed=1)
+    return comparable(experiments.shuffle_within_date(frame, ["p_up", "p_down"], seed=1))
 
 
 @query(

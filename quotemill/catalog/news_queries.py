@@ -250,7 +250,11 @@ def _(spark, sf):
     return comparable(joined, "symbol", "url", "lsa_summary", "sentiment")
 
 
-PRICED = "SELECT symbol FROM prices WHERE symbol < 'N2'"
+# Symbols traded more than the mean symbol.
+PRICED = (
+    "SELECT symbol FROM prices GROUP BY symbol "
+    "HAVING sum(volume) * (SELECT count(DISTINCT symbol) FROM prices) > (SELECT sum(volume) FROM prices)"
+)
 
 
 @query(
@@ -258,7 +262,9 @@ PRICED = "SELECT symbol FROM prices WHERE symbol < 'N2'"
     f"WITH {sql.PRICES}, {sql.NEWS} SELECT symbol, url, published_at FROM news WHERE symbol IN ({PRICED})",
 )
 def _(spark, sf):
-    priced = common.prices(spark, sf).where(F.col("symbol") < "N2").select("symbol").distinct()
+    traded = staged(common.prices(spark, sf).groupBy("symbol").agg(F.sum("volume").alias("volume")), "traded")
+    mean = traded.agg((F.sum("volume") / F.count(F.lit(1))).alias("volume")).scalar()
+    priced = traded.where(F.col("volume") > mean).select("symbol")
     return common.clean(spark, sf).join(priced, "symbol", "left_semi").select("symbol", "url", "published_at")
 
 
@@ -288,7 +294,7 @@ def _next_day(spark, sf, same_day):
         F.col("published_at") >= F.lit(HISTORY_START).cast("timestamp_ntz")
     )
     dated = articles.withColumn("news_day", F.to_date("published_at"))
-    return dated.join(F.broadcast(days), "news_day").select("symbol", "url", "day_idx")
+    return dated.join(days, "news_day").select("symbol", "url", "day_idx")
 
 
 @query("asof_join_next_trading_day", _asof_next(">"))
@@ -307,7 +313,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     table, calendar, daily = common.daily_news(spark, sf)
-    price_days = table.select("symbol", "date").join(F.broadcast(calendar), "date")
+    price_days = table.select("symbol", "date").join(calendar, "date")
     found = news_features.last_news_days(price_days, daily)
     return found.select("symbol", "date", F.col("last_day_idx").cast("double").alias("last_day_idx"))
 
@@ -362,7 +368,7 @@ def _(spark, sf):
 @query("join_calendar", f"WITH {sql.PRICES}, {CALENDAR} SELECT symbol, date, day_idx FROM prices JOIN calendar USING (date)")
 def _(spark, sf):
     table = staged(common.prices(spark, sf).select("symbol", "date"), "prices")
-    return table.join(F.broadcast(trading_calendar(table, HISTORY_START)), "date").select(
+    return table.join(trading_calendar(table, HISTORY_START), "date").select(
         "symbol", "date", "day_idx"
     )
 
@@ -385,7 +391,7 @@ SOME_SUMS = ["articles_7d", "tone_7d", "articles_recent"]
 )
 def _(spark, sf):
     table, calendar, daily = common.daily_news(spark, sf)
-    price_days = table.select("symbol", "date").join(F.broadcast(calendar), "date")
+    price_days = table.select("symbol", "date").join(calendar, "date")
     windows = news_features.news_window_sums(daily)
     windows = windows.withColumn("articles_7d", F.col("articles_7d").cast("double"))
     return comparable(price_days.join(windows, ["symbol", "day_idx"], "left"), "symbol", "date", *SOME_SUMS)
@@ -540,34 +546,32 @@ def _(spark, sf):
     return news.profile_hour_histogram(common.clean(spark, sf))
 
 
-FEWER = "fewer AS (SELECT * FROM prices WHERE symbol < 'N2')"
-MATCHED = "matched AS (SELECT n.*, n.symbol IN (SELECT symbol FROM fewer) AS has_prices FROM news n)"
+MATCHED = "matched AS (SELECT n.*, n.symbol IN (SELECT symbol FROM prices) AS has_prices FROM news n)"
 
 
 @query(
     "profile_symbol_overlap",
-    f"WITH {sql.PRICES}, {sql.NEWS}, {FEWER}, {MATCHED} SELECT count(DISTINCT symbol) AS news_symbols, "
+    f"WITH {sql.PRICES}, {sql.NEWS}, {MATCHED} SELECT count(DISTINCT symbol) AS news_symbols, "
     "count(DISTINCT CASE WHEN has_prices THEN symbol END) AS matched_symbols, "
-    "(SELECT count(DISTINCT symbol) FROM fewer) AS price_symbols, round(100 * avg(has_prices::INT), 2) AS pct_rows_matched "
+    "(SELECT count(DISTINCT symbol) FROM prices) AS price_symbols, round(100 * avg(has_prices::INT), 2) AS pct_rows_matched "
     "FROM matched",
 )
 def _(spark, sf):
-    fewer = common.prices(spark, sf).where(F.col("symbol") < "N2").select("symbol")
-    return news.profile_symbol_overlap(common.clean(spark, sf), fewer)
+    return news.profile_symbol_overlap(common.clean(spark, sf), common.prices(spark, sf).select("symbol"))
 
 
 @query(
     "profile_yearly_coverage",
-    f"WITH {sql.PRICES}, {sql.NEWS}, {FEWER}, {MATCHED}, "
+    f"WITH {sql.PRICES}, {sql.NEWS}, {MATCHED}, "
     "told AS (SELECT year(published_at) AS year, symbol, count(*) AS n FROM matched WHERE has_prices GROUP BY ALL), "
-    "traded AS (SELECT year(date) AS year, count(DISTINCT symbol) AS price_symbols FROM fewer GROUP BY ALL) "
+    "traded AS (SELECT year(date) AS year, count(DISTINCT symbol) AS price_symbols FROM prices GROUP BY ALL) "
     "SELECT told.year, sum(n)::BIGINT AS articles, count(*) AS symbols_with_news, max(price_symbols) AS price_symbols, "
     "round(100 * count(*) / max(price_symbols), 1) AS pct_symbols_covered, quantile_cont(n, 0.5) AS median_per_symbol "
     "FROM told JOIN traded ON traded.year = told.year GROUP BY told.year",
 )
 def _(spark, sf):
-    fewer = common.prices(spark, sf).where(F.col("symbol") < "N2").select("symbol", "date")
-    return news.profile_yearly_coverage(staged(common.clean(spark, sf), "news"), staged(fewer, "prices"))
+    prices = staged(common.prices(spark, sf).select("symbol", "date"), "prices")
+    return news.profile_yearly_coverage(staged(common.clean(spark, sf), "news"), prices)
 
 
 @query(

@@ -307,13 +307,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = nyse.moving_averages(_nyse_bars(spark, sf))
-    # Until the frames differ both means are the same number up to its last digit.
-    above = (F.round("sma_50", 9) > F.round("sma_200", 9)).cast("bigint")
-    # Means of few decimals often end in a 5; a small shift keeps both engines on one side of it.
+    # Means of few decimals often end in a 5; a small shift keeps both engines on one side of it. The cross is
+    # the operator's own: Spark sums equal frames in the same order.
     shifted = {c: F.col(c) + 3.3e-10 for c in ("sma_20", "sma_50", "sma_200")}
-    return comparable(
-        df.withColumn("golden_cross", above).withColumns(shifted), *NYSE_KEYS, *shifted, "golden_cross"
-    )
+    return comparable(df.withColumns(shifted), *NYSE_KEYS, *shifted, "golden_cross")
 
 
 @query(
@@ -357,9 +354,7 @@ def _(spark, sf):
 
 @query(
     "drop_duplicates",
-    f"WITH {sql.BARS} SELECT symbol, date AS timestamp, count(*)::BIGINT AS n_rows FROM trades GROUP BY ALL HAVING count(*) > 0 "
-    .replace("count(*)::BIGINT AS n_rows", "min(px) AS px")
-    .replace("min(px) AS px", "round(min(px), 6) + 0.0 AS px"),
+    f"WITH {sql.BARS} SELECT symbol, date AS timestamp, round(min(px), 6) + 0.0 AS px FROM trades GROUP BY ALL",
 )
 def _(spark, sf):
     lines = testbed.table(spark, sf, "lineitem")
@@ -566,10 +561,16 @@ def _(spark, sf):
     return splits.leakage_report(folds, splits.split_bounds(rows))
 
 
-@query("sample_symbols")
+@query(
+    "sample_symbols",
+    f"WITH {sql.PRICES}, s AS (SELECT DISTINCT symbol FROM prices), placed AS (SELECT symbol, count(*) OVER () AS n, "
+    "row_number() OVER (ORDER BY ('0x' || md5('0:' || symbol)[1:15])::BIGINT, symbol) AS place FROM s) "
+    "SELECT symbol, date, round(close, 6) + 0.0 AS close FROM prices JOIN placed USING (symbol) "
+    "WHERE place <= greatest(1, round_even(n * 0.3::DOUBLE, 0))",
+)
 def _(spark, sf):
     df = staged(common.prices(spark, sf).select(*KEYS, "close"), "closes")
-    return splits.sample_symbols(df, 0.3, seed=0)
+    return comparable(splits.sample_symbols(df, 0.3, seed=0))
 
 
 @query(
@@ -591,7 +592,7 @@ def _(spark, sf):
 
     df = staged(common.prices(spark, sf).select(*KEYS, "close"), "closes")
     chosen = independent_dates(df.select("date").distinct())
-    return comparable(df.join(F.broadcast(chosen), "date", "left_semi"), *KEYS, "close")
+    return comparable(df.join(chosen, "date", "left_semi"), *KEYS, "close")
 
 
 @query(

@@ -50,14 +50,27 @@ MARKDOWN_PATTERNS = [
 ]
 
 
+# Entities replaced without Python, and an ampersand that starts none of them.
+FREQUENT_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+OTHER_AMPERSAND = r"&(?!(?:lt|gt|quot|#39|amp);)"
+
+
 @F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
 def unescape_entities(text: Column) -> Column:
-    """HTML entities to characters; only texts with an ampersand go through Python."""
-    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
+    """HTML entities to characters.
+
+    The five frequent ones are replaced as they are, the ampersand last. Texts with any other ampersand are
+    decoded in Python; the rest pass there as null, without their text.
+    """
+    frequent = text
+    for name, character in FREQUENT_ENTITIES.items():
+        frequent = F.replace(frequent, F.lit(name), F.lit(character))
+    other = F.rlike(text, F.lit(OTHER_AMPERSAND))
+    return F.coalesce(_unescape(F.when(other, text)), frequent)
 
 
 def strip_tags(column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
@@ -10,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import suffix_columns, zero_fill
-from quotemill.operators.buckets import ROWS_PER_BUCKET, hashed_positions
-from quotemill.operators.joins import left_join_one_to_one
+from quotemill.operators.buckets import BOUNDED, hashed_positions
+from quotemill.operators.joins import join_null_safe, left_join_one_to_one
 from quotemill.plans.evaluation import (
     PROBABILITIES,
     calibration_error,
@@ -85,16 +86,14 @@ def shuffle_within_date(
     """Move a block of columns between the rows of the same date, as a seeded permutation.
 
     Rows are numbered twice in their date, by two seeded hashes of the key, and the block travels
-    from the row of a number in one order to the row of the same number in the other.
+    from the row of a number in one order to the row of the same number in the other. A date has one
+    row per symbol. Rows without a date are a group of their own.
     """
     columns, key = list(columns), list(key)
-    takers = hashed_positions(df.drop(*columns), ["date"], key, seed, "_place")
-    givers = hashed_positions(df.select("date", *key, *columns), ["date"], key, seed + 7919, "_place")
-    return (
-        takers.join(givers.select("date", "_place", *columns), ["date", "_place"])
-        .drop("_place")
-        .select(*df.columns)
-    )
+    takers = hashed_positions(df.drop(*columns), ["date"], key, seed, "_place", BOUNDED)
+    givers = hashed_positions(df.select("date", *key, *columns), ["date"], key, seed + 7919, "_place", BOUNDED)
+    moved = join_null_safe(takers, givers.select("date", "_place", *columns), ["date", "_place"])
+    return moved.drop("_place").select(*df.columns)
 
 
 def experiment_features(df: DataFrame, experiment: Experiment, seed: int) -> DataFrame:
@@ -121,6 +120,11 @@ def run_config(experiment: Experiment, seed: int, params: Params, ranges: Sequen
     )
 
 
+def config_key(config: str) -> str:
+    """Short name of a configuration; runs and probabilities are stored under it."""
+    return hashlib.sha256(config.encode()).hexdigest()[:16]
+
+
 def saved_runs(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/runs") if is_built(spark, f"{path}/runs") else None
 
@@ -130,13 +134,14 @@ def run_experiment(
 ) -> bool:
     """Train one experiment with one seed and save its test probabilities and scores.
 
-    Skipped, returning False, if a run with the same configuration is already saved. ``splits``
-    should be a stored table.
+    Skipped, returning False, if a run with the same configuration is already saved. Every configuration has
+    probabilities of its own, and its scores are written last, so a run that broke off is done again and no
+    run changes another's. ``splits`` should be a stored table.
     """
-    ranges = [tuple(r) for r in split_date_ranges(splits).collect()]
-    config = run_config(experiment, seed, params, ranges)
+    config = run_config(experiment, seed, params, _ranges(splits))
+    key = config_key(config)
     runs = saved_runs(spark, path)
-    if runs is not None and runs.where(F.col("config") == config).head(1):
+    if runs is not None and runs.where(F.col("config_key") == key).head(1):
         return False
     part = lambda name: splits.where(F.col("split") == name).drop("split")
     # Another permutation per split, so the placebo cannot line up across them.
@@ -145,7 +150,7 @@ def run_experiment(
     model = fit_forest(train, experiment.features, params, seed)
     predicted = model.predict(test)
     kept = [*EVALUATION_COLUMNS, "volatility_21d", "news_count_7d", *PROBABILITIES]
-    probabilities = f"{path}/probabilities/experiment={experiment.name}/seed={seed}"
+    probabilities = f"{path}/probabilities/experiment={experiment.name}/seed={seed}/config_key={key}"
     predicted.select(*[c for c in kept if c in predicted.columns]).write.mode("overwrite").parquet(probabilities)
     stored = spark.read.parquet(probabilities)
     scores = evaluate_model(stored, train).where(F.col("model") == "model")
@@ -154,6 +159,7 @@ def run_experiment(
         F.lit(experiment.name).alias("experiment"),
         F.lit(seed).cast("bigint").alias("seed"),
         F.lit(config).alias("config"),
+        F.lit(key).alias("config_key"),
         F.col("macro_f1"),
         F.col("log_loss"),
         ece.scalar().alias("mean_ece"),
@@ -162,19 +168,38 @@ def run_experiment(
     return True
 
 
+def _ranges(splits: DataFrame) -> list[tuple]:
+    return [tuple(r) for r in split_date_ranges(splits).collect()]
+
+
 def summarize(
     spark: SparkSession,
     path: str,
     names: Sequence[str],
     min_rows: int = MIN_ROWS_PER_DATE,
     baseline: str = "A",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = BOUNDED,
+    configs: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Tables ``per_seed``, ``seed_averaged`` and ``differences`` of the saved runs."""
+    """Tables ``per_seed``, ``seed_averaged`` and ``differences`` of the saved runs.
+
+    ``configs`` are the keys of the wanted configurations (:func:`config_key`). Without them there may be only
+    one per experiment and seed.
+    """
     runs = saved_runs(spark, path).where(F.col("experiment").isin(list(names)))
     probabilities = spark.read.option("basePath", f"{path}/probabilities").parquet(
         *[f"{path}/probabilities/experiment={n}" for n in names]
     )
+    if configs is None:
+        several = runs.groupBy("experiment", "seed").agg(F.count_distinct("config_key").alias("n")).where("n > 1")
+        if several.head(1):
+            raise ValueError("runs of several configurations are saved; name the wanted ones")
+    else:
+        runs = runs.where(F.col("config_key").isin(list(configs)))
+    # Only probabilities of finished runs count.
+    wanted = runs.select("experiment", "seed", "config_key").distinct()
+    probabilities = probabilities.withColumn("seed", F.col("seed").cast("bigint"))
+    probabilities = probabilities.join(wanted, ["experiment", "seed", "config_key"], "left_semi").drop("config_key")
     per_seed = mean_and_spread(runs, ["experiment"], ["macro_f1", "log_loss", "mean_ece"])
     summaries, daily = [], {}
     for name in names:
@@ -212,7 +237,9 @@ def run_experiments(
     min_rows: int = MIN_ROWS_PER_DATE,
 ) -> dict[str, DataFrame]:
     """Run what is missing, then compare all experiments."""
+    ranges, configs = _ranges(splits), []
     for experiment in experiments:
         for seed in seeds:
             run_experiment(spark, experiment, seed, splits, params, path)
-    return summarize(spark, path, [e.name for e in experiments], min_rows)
+            configs.append(config_key(run_config(experiment, seed, params, ranges)))
+    return summarize(spark, path, [e.name for e in experiments], min_rows, configs=configs)

@@ -31,21 +31,24 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
-def detect_headers(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
-    """The ``headers`` argument of :func:`scan_price_csv`, found by a pass over the files.
+# Commas outside of quotes.
+FIELD_END = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
-    Headers are the lines with both the date and the adjusted close column in them. With one kind of
-    header the paths are kept as globs; otherwise every file is listed with its columns.
-    """
+
+def file_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines of the files as ``(file, fields)``."""
     lines = spark.read.text(_as_list(paths)).select(F.input_file_name().alias("file"), "value")
-    fields = F.transform(F.split("value", ","), lambda f: F.trim(F.replace(f, F.lit('"'))))
-    headers = lines.select("file", fields.alias("names")).where(
-        F.array_contains("names", "date") & F.array_contains("names", "adj close")
-    )
-    kinds = headers.select("names").distinct().limit(2).collect()
-    if len(kinds) == 1:
-        return {path: list(kinds[0]["names"]) for path in _as_list(paths)}
-    return {r["file"]: list(r["names"]) for r in headers.distinct().toLocalIterator()}
+    fields = F.transform(F.split("value", FIELD_END), lambda f: F.trim(F.replace(f, F.lit('"'))))
+    return lines.where(F.trim("value") != "").select("file", fields.alias("fields"))
+
+
+def _is_header() -> Column:
+    return F.array_contains("fields", "date") & F.array_contains("fields", "adj close")
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """``(file, names)``: the lines with both the date and the adjusted close column in them."""
+    return lines.where(_is_header()).groupBy("file").agg(F.min("fields").alias("names"))
 
 
 def scan_price_csv(
@@ -54,13 +57,22 @@ def scan_price_csv(
     symbol_pattern: str = FILE_STEM,
     headers: dict[str, Sequence[str]] | None = None,
 ) -> DataFrame:
-    """Per-symbol price files to the price table.
+    """Per-symbol price files to the price table, columns matched by header name.
 
-    Columns are matched by header name. Files whose header differs are given as ``headers``, a glob
-    to its column names (see :func:`detect_headers`), read group by group and united by name.
+    Without ``headers`` the files are read once more beforehand to see whether all have the same header.
+    If not, each line is matched with the header of its own file, in a table of one row per file that stays
+    distributed. ``headers``, globs to column names, saves that pass: files are read group by group and united
+    by name. Files whose header differs from what was said are an error, and so are lines with too few or
+    too many fields. Line breaks inside quotes are only understood where files share a header.
     """
     if headers is None:
-        headers = {path: [f.name for f in PRICE_CSV_SCHEMA] for path in _as_list(paths)}
+        lines = file_lines(spark, paths)
+        kinds = file_headers(lines).select("names").distinct().limit(2).collect()
+        if not kinds:
+            raise ValueError(f"no file of {paths} has a header with a date and an adjusted close")
+        if len(kinds) > 1:
+            return stock_prices(_own_columns(lines, symbol_pattern))
+        headers = {path: list(kinds[0]["names"]) for path in _as_list(paths)}
     groups: dict[tuple[str, ...], list[str]] = {}
     for path, names in headers.items():
         groups.setdefault(tuple(names), []).append(path)
@@ -80,6 +92,21 @@ def scan_price_csv(
     return stock_prices(raw)
 
 
+def _own_columns(lines: DataFrame, symbol_pattern: str) -> DataFrame:
+    """Raw bars whose values are picked by the names in the header of their file."""
+    rows = lines.where(~_is_header()).join(file_headers(lines), "file")
+    size = F.when(F.size("fields") == F.size("names"), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("a line does not fit the header of "), F.col("file"))).cast("boolean")
+    )
+
+    def value(field: T.StructField) -> Column:
+        found = F.get("fields", (F.array_position("names", field.name) - 1).cast("int"))
+        return F.nullif(found, F.lit("")).cast(field.dataType).alias(field.name.replace(" ", "_"))
+
+    symbol = F.upper(F.regexp_extract("file", symbol_pattern, 1)).alias("symbol")
+    return rows.where(size).select(*[value(f) for f in PRICE_CSV_SCHEMA], symbol)
+
+
 def scan_news_csv(
     spark: SparkSession,
     paths: str | Sequence[str],

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quotemill.functions.text import clean_text
 from quotemill.schemas import ARTICLE_SCHEMA
-from quotemill.sources.articles import backfill_articles, matches_symbols, oldest_first
+from quotemill.sources.articles import BACKFILL_DAYS, backfill_articles, matches_symbols, oldest_first
 
 # Fields of a message, in order.
 MESSAGE_FIELDS = [
@@ -96,10 +96,33 @@ def publish_stream(
     return writer.format("parquet").option("path", path).start()
 
 
-def dedupe_stream(messages: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop re-delivered articles of a stream: the first record of an id within the delay."""
+# Days a stream remembers an article: the longest back-fill, and a day for what arrives late.
+REMEMBERED_DAYS = BACKFILL_DAYS + 1
+
+
+def dedupe_stream(
+    messages: DataFrame, remembered_days: int = REMEMBERED_DAYS, backfill_days: int = BACKFILL_DAYS
+) -> DataFrame:
+    """Drop re-delivered articles of a stream: the first record of an id within the remembered days.
+
+    The memory must be longer than the back-fill, or rows of the back-fill that arrive after newer live
+    rows would count as late. A stream drops what is later than its memory, also first deliveries;
+    :func:`missed_articles` finds those.
+    """
+    if remembered_days <= backfill_days:
+        raise ValueError(f"a back-fill of {backfill_days} days needs a longer memory than {remembered_days} days")
     timed = messages.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return timed.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
+    return timed.withWatermark("created_at", f"{remembered_days} days").dropDuplicatesWithinWatermark(["id"])
+
+
+def missed_articles(landed: DataFrame, published: DataFrame) -> DataFrame:
+    """Articles that have landed, of which no version was published: their latest version, once.
+
+    Run it after the stream to deliver what came later than its memory. Rows without an id are no
+    articles.
+    """
+    known = published.select("id").distinct()
+    return dedupe_batch(landed.where(F.col("id").isNotNull()).join(known, "id", "left_anti").select(*landed.columns))
 
 
 def dedupe_batch(messages: DataFrame) -> DataFrame:
@@ -121,7 +144,7 @@ def backfill_then_live(
     live_path: str,
     checkpoint: str,
     symbols: Sequence[str] = ("*",),
-    backfill_days: int = 7,
+    backfill_days: int = BACKFILL_DAYS,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Publish the last days from the store, oldest first, then follow the live stream.

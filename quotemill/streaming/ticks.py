@@ -8,13 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quotemill.schemas import TICK_SCHEMA
 
-# Records per landing file, and files per micro-batch.
+# Fixed values of a demonstration feed: records per landing file, and files per micro-batch.
 RECORDS_PER_FILE = 11
 FILES_PER_TRIGGER = 5
 
 
-def write_landing_files(ticks: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Append ticks as JSON-lines files of at most ``records_per_file`` records.
+def write_landing_files(ticks: DataFrame, path: str, records_per_file: int = 0) -> None:
+    """Append ticks as JSON-lines files, of at most ``records_per_file`` records if that is not 0.
 
     Files appear under their final name only when complete.
     """
@@ -22,14 +22,13 @@ def write_landing_files(ticks: DataFrame, path: str, records_per_file: int = REC
 
 
 def tick_stream(
-    spark: SparkSession, path: str, max_files_per_trigger: int = FILES_PER_TRIGGER
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """JSON landing files with a fixed schema, as a stream."""
-    return (
-        spark.readStream.schema(TICK_SCHEMA)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .json(path)
-    )
+    """JSON landing files with a fixed schema, as a stream; all that have landed unless limited."""
+    reader = spark.readStream.schema(TICK_SCHEMA)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.json(path)
 
 
 def rate_stream(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:

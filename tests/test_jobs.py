@@ -1,5 +1,6 @@
 """Labels, splits, models, experiments, files and streams."""
 
+import importlib.util
 import json
 import time
 
@@ -248,9 +249,10 @@ def test_envelope(spark):
 def test_backfill_slices(spark):
     found = articles.backfill_articles(article_rows(spark), "2024-01-06 00:00:00", ["A"], 3)
     rows = {r.id: r.day_slice for r in found.collect()}
-    assert rows == {2: 0, 4: 2} or all(0 <= s < 3 for s in rows.values())
+    # Ids 2, 3 and 4 were created on the 3rd, 4th and 5th; 3 is about no symbol.
+    assert rows == {2: 0, 4: 2}
     everything = articles.backfill_articles(article_rows(spark), "2024-01-06 00:00:00", ["*"], 3)
-    assert everything.count() >= found.count()
+    assert everything.count() == 3
     created = [r.created_at for r in articles.oldest_first(everything).collect()]
     assert created == sorted(created)
 
@@ -262,7 +264,7 @@ def test_stream_dedupe_equals_batch(spark):
     messages.land_articles(rows, landing)
     messages.land_articles(again, landing)
     out = work_path(spark, "test-unique")
-    stream = messages.dedupe_stream(messages.live_articles(spark, landing, 1), "30 days")
+    stream = messages.dedupe_stream(messages.live_articles(spark, landing, 1), 30)
     ticks.to_parquet(stream.select("id"), out, work_path(spark, "test-checkpoint")).awaitTermination()
     batch = messages.dedupe_batch(rows.unionByName(again))
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == sorted(r.id for r in batch.collect())
@@ -270,6 +272,30 @@ def test_stream_dedupe_equals_batch(spark):
     assert latest[2] == again.where("id = 2").first().updated_at
 
 
+def test_nothing_first_delivered_is_lost(spark):
+    """Micro-batches out of order, one article later than the stream remembers, one delivered again."""
+    landing, out = work_path(spark, "test-landing"), work_path(spark, "test-unique")
+    days = {1: "2024-01-20", 2: "2024-01-21", 3: "2024-01-02", 4: "2024-01-22", 5: "2024-01-15"}
+    for name in (1, 2, 3, 2, 4, 5, 3):
+        day = F.lit(f"{days[name]} 10:00:00").cast("timestamp")
+        row = article_rows(spark).where("id = 1").withColumn("id", F.lit(name).cast("bigint"))
+        messages.land_articles(row.withColumn("created_at", day).withColumn("updated_at", day), landing)
+        time.sleep(0.02)
+    stream = messages.dedupe_stream(messages.live_articles(spark, landing, 1))
+    ticks.to_parquet(stream.select("id"), out, work_path(spark, "test-checkpoint")).awaitTermination()
+    published = [r.id for r in spark.read.parquet(out).collect()]
+    assert sorted(published) == [1, 2, 4, 5]
+    landed = spark.read.schema(messages.ARTICLE_SCHEMA).json(landing)
+    assert [r.id for r in messages.missed_articles(landed, spark.read.parquet(out)).collect()] == [3]
+
+
+def test_memory_is_longer_than_the_backfill(spark):
+    with pytest.raises(ValueError):
+        messages.dedupe_stream(article_rows(spark), remembered_days=7)
+    with pytest.raises(ValueError):
+        messages.dedupe_stream(article_rows(spark), backfill_days=30)
+
+
 def test_rate_stream_projection(spark):
     stream = ticks.project_result(ticks.rate_stream(spark, 50))
     run = ticks.to_memory(stream, "rate_results")
@@ -290,7 +316,7 @@ def test_console_sink(spark, tmp_path):
     )
     run = ticks.to_console(ticks.tick_stream(spark, str(tmp_path / "in")), str(tmp_path / "checkpoint"))
     run.processAllAvailable()
-    assert run.lastProgress["numInputRows"] >= 0
+    assert sum(p["numInputRows"] for p in run.recentProgress) == 1
     run.stop()
 
 
@@ -299,10 +325,11 @@ def test_landing_files_are_short(spark):
     rows = spark.range(30).coalesce(1).selectExpr(
         "'A' id", "1D price", "'t' time", "'5' day_volume", "0D change", "0D change_percent"
     )
-    ticks.write_landing_files(rows, path)
+    ticks.write_landing_files(rows, path, ticks.RECORDS_PER_FILE)
     sizes = spark.read.text(path).groupBy(F.input_file_name()).count().toPandas()["count"]
     assert sorted(sizes) == [8, 11, 11]
 
 
 def test_xgboost_is_optional():
-    assert modeling.xgboost_available() in (True, False)
+    # It is not bundled, and nothing else needs it.
+    assert modeling.xgboost_available() is (importlib.util.find_spec("xgboost") is not None)

@@ -229,12 +229,22 @@ def test_price_files_with_another_header(spark, tmp_path):
     headers = {
         f"file://{tmp_path}/{name}.csv": csv_files.csv_header(spark, f"{tmp_path}/{name}.csv") for name in ("aa", "bb")
     }
-    found = csv_files.detect_headers(spark, f"{tmp_path}/*.csv")
-    assert sorted(found.values()) == sorted(headers.values())
-    assert csv_files.detect_headers(spark, f"{tmp_path}/aa*.csv") == {f"{tmp_path}/aa*.csv": headers[f"file://{tmp_path}/aa.csv"]}
+    expected = [("AA", 10, 0.5, 1.0, 0.25), ("BB", 7, 2.0, 4.0, 1.0)]
+    columns = ["symbol", "volume", "adj_open", "adj_high", "adj_low"]
+    # By default every file is read by its own header; a single kind of header is read by Spark's CSV reader.
+    found = csv_files.scan_price_csv(spark, f"{tmp_path}/*.csv").orderBy("symbol").select(*columns).collect()
+    assert [tuple(r) for r in found] == expected
+    alone = csv_files.scan_price_csv(spark, f"{tmp_path}/bb*.csv").select(*columns).collect()
+    assert [tuple(r) for r in alone] == expected[1:]
+    wrong = {f"{tmp_path}/*.csv": headers[f"file://{tmp_path}/aa.csv"]}
     with pytest.raises(Exception, match="header"):
-        csv_files.scan_price_csv(spark, f"{tmp_path}/*.csv").collect()
-    assert csv_files.scan_price_csv(spark, [], headers=found).count() == 2
+        csv_files.scan_price_csv(spark, [], headers=wrong).collect()
+    (tmp_path / "none.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="header"):
+        csv_files.scan_price_csv(spark, f"{tmp_path}/none.csv")
+    (tmp_path / "short.csv").write_text("close,date,adj close,open,high,low,volume\n1,2020-01-02,1\n")
+    with pytest.raises(Exception, match="does not fit"):
+        csv_files.scan_price_csv(spark, f"{tmp_path}/[as]*.csv").collect()
     out = csv_files.scan_price_csv(spark, [], headers=headers).orderBy("symbol").collect()
     assert [(r.symbol, r.volume, r.adj_open, r.adj_high, r.adj_low) for r in out] == [
         ("AA", 10, 0.5, 1.0, 0.25),
