@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm.components import connected_components
-from quotemill.llm.text import pieces, stage, texts_of
+from quotemill.llm.text import by_bytes, pieces, stage, texts_of
 from quotemill.llm.word_hashes import WordHasher, mixed
 
 SHINGLE = 5
@@ -34,7 +34,7 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 # Counters of the common order, and rows of a tile.
 COUNTERS = 1 << 18
-TILE = 1024
+TILE = 512
 # Rows of a crowded shingle that one task takes.
 ROWS_PER_PART = 10_000
 
@@ -112,7 +112,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     def sign(batches):
         shingler, seen = Shingler(), set()
         counters = np.zeros(COUNTERS, np.int64)
-        for batch in pieces(batches):
+        for batch in by_bytes(batches, "text"):
             ids, classes, sizes = batch.column(0).to_pylist(), [], []
             for hashes in shingler.sets_of(texts_of(batch, "text")):
                 name = class_of(hashes)
@@ -155,7 +155,7 @@ def _met(docs: DataFrame, order: np.ndarray, parts: np.ndarray) -> DataFrame:
 
     def post(batches):
         shingler, seen = Shingler(), set()
-        for batch in pieces(batches):
+        for batch in by_bytes(batches, "text"):
             rows = []
             for hashes in shingler.sets_of(texts_of(batch, "text")):
                 name = class_of(hashes)
@@ -210,7 +210,7 @@ def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def check(batches):
         # Rows with one id come to one task, so copies of a row are left out here.
         shingler, seen = Shingler(), set()
-        for batch in pieces(batches):
+        for batch in by_bytes(batches, "text"):
             rows = []
             texts = texts_of(batch, "text")
             names = batch.column(batch.schema.get_field_index("cls")).to_pylist()
@@ -234,7 +234,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def intersect(batches):
         shingler = Shingler()
-        for batch in pieces(batches, 500):
+        for batch in by_bytes(batches, "text_a", 500_000):
             good = []
             sets = [shingler.sets_of(batch.column(i).to_pylist()) for i in (2, 3)]
             for one, two in zip(*sets, strict=True):
@@ -280,7 +280,7 @@ def _bounded_pairs(tile: np.ndarray, rows: dict[str, np.ndarray], bits: list[byt
     good = np.zeros(pairs.shape[1], bool)
     kinds = np.stack([widths[pairs[0]], widths[pairs[1]]])
     for one, two in np.unique(kinds, axis=1).T.tolist():
-        for at in np.array_split(np.flatnonzero((kinds[0] == one) & (kinds[1] == two)), 1 + pairs.shape[1] // 50_000):
+        for at in np.array_split(np.flatnonzero((kinds[0] == one) & (kinds[1] == two)), 1 + pairs.shape[1] // 10_000):
             i, j = pairs[:, at]
             small = min(one, two)
             differ = folded(tables[one][place[i]], small) ^ folded(tables[two][place[j]], small)
