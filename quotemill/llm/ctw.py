@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from quotemill.llm.text import by_bytes, stage, texts_of
 from quotemill.llm.word_hashes import WordHasher
 
-DEPTH = 5
-BLOCK_BYTES = 64_000_000
+DEPTH = 4
+BLOCK_BYTES = 32_000_000
 # Numbers that gather before they are folded.
 FOLD = 3_000_000
 HELD_OUT = (7, 2)
