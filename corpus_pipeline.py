@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quotemill.llm.decontaminate import decontaminate
 from quotemill.llm.jaccard_join import keep_one_of_each
-from quotemill.llm.mixing import mix_sources
+from quotemill.llm.mixing import MAX_REPEATS, mix_sources
 from quotemill.llm.quality import filter_quality
 from quotemill.llm.queries import vocabulary
 from quotemill.llm.text import table
 from quotemill.llm.token_files import read_token_files, write_token_files
 from quotemill.session import work_path
 
-# Small sources are read up to one and a half times, which keeps the token files near the size of the texts.
-MAX_REPEATS = 1.5
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the basic rules and the limits of their language and source."""

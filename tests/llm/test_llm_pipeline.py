@@ -83,6 +83,17 @@ def test_mixing_stage(stages):
                 assert math.floor(repeats + 1e-6) <= after[r.doc_id] <= math.floor(repeats) + 1
 
 
+def test_mixing_stage_reads_small_sources_up_to_four_times(spark):
+    # Sources of 100 to 1 tokens: the exponent is 1 - log(4) / log(100), whatever the pipeline's constant says.
+    rows = [(i, "w " * 50, "en", "large", 100) for i in range(64)] + [(i, "w w", "en", "small", 3) for i in range(64, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    read = Counter(r.doc_id for r in corpus_pipeline.source_mixing(spark, docs, SF_DIR).collect())
+    most, least = 64 * 50, 16 * 2
+    repeats = (most / least) ** (math.log(4) / math.log(most / least))
+    assert all(read[i] == 1 for i in range(64))
+    assert all(math.floor(repeats - 1e-3) <= read[i] <= 4 for i in range(64, 80))
+
+
 def test_token_stage(stages):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     start = 0
