@@ -7,8 +7,9 @@ this mixture is its weight, so the probability of a bit is found from the longes
 
 Work is divided in two ways. Documents are dealt into blocks of bounded size; a block asks once for every context
 and word that occurs in it, and gets the answers back as a table of its own. Contexts are
-divided by their last two bytes: all longer contexts of such a pair are in one partition, which weights its
-part of the trees alone. Only the nodes of no and of one byte need all partitions; there are at most 65,535.
+divided by their last three bytes: all longer contexts of such a triple are in one partition, which weights its
+part of the trees alone, some subtrees at a time. Only the nodes of up to two bytes need all partitions: their counts
+are summed in one more aggregation. UTF-8 has some 33,000 pairs of bytes, each with at most 255 nodes.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 from quotemill.llm.text import by_bytes, stage, texts_of
 from quotemill.llm.word_hashes import WordHasher
 
-DEPTH = 4
+DEPTH = 5
 BLOCK_BYTES = 32_000_000
 # Numbers that gather before they are folded.
 FOLD = 3_000_000
+# Context bytes that all nodes of a partition's subtree share, and codes that are weighted together.
+SHARED = 3
+TOGETHER = 100_000
 HELD_OUT = (7, 2)
 # No byte of UTF-8 text: stands before the first byte and after the last.
 EDGE = 0xFF
@@ -127,15 +131,15 @@ def _bits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ContextNodes:
-    """The nodes of two and more context bytes above some codes, weighted from the longest up."""
+    """The nodes of ``shortest`` and more context bytes above some codes, weighted from the longest up."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int, shortest: int = 2):
         tree, self.bit = _bits(codes)
         weights = np.broadcast_to(counts, tree.shape).ravel().astype(float)
         ones = weights * self.bit.ravel()
         self.at, self.kt, self.own, self.keys = {}, {}, {}, {}
         longer = None
-        for d in range(depth, 1, -1):
+        for d in range(depth, shortest - 1, -1):
             keys, at = np.unique(((codes >> (8 * (depth - d + 1))) << 8 | tree).ravel(), return_inverse=True)
             n1 = np.bincount(at, ones, len(keys))
             n0 = np.bincount(at, weights, len(keys)) - n1
@@ -150,14 +154,17 @@ class ContextNodes:
             self.at[d], self.kt[d], self.keys[d] = at, (n1 + 0.5) / (n0 + n1 + 1), keys
             longer = keys, mixed
         self.top = {"key": longer[0], "zeros": n0, "ones": n1, "mixed": longer[1]}
-        self.depth, self.tree, self.codes = depth, tree, codes
+        self.depth, self.shortest, self.tree, self.codes = depth, shortest, tree, codes
 
-    def log10_probabilities(self, top: TopNodes) -> np.ndarray:
-        """Of the codes' bytes after their contexts."""
+    def log10_probabilities(self, top: TopNodes, pairs: PairNodes | None = None) -> np.ndarray:
+        """Of the codes' bytes after their contexts; ``pairs`` if the shortest contexts here have three bytes."""
         p = self.kt[self.depth][self.at[self.depth]]
-        for d in range(self.depth - 1, 1, -1):
+        for d in range(self.depth - 1, self.shortest - 1, -1):
             own = self.own[d][self.at[d]]
             p = own * self.kt[d][self.at[d]] + (1 - own) * p
+        if pairs is not None:
+            two = np.searchsorted(pairs.key, ((self.codes >> (8 * (self.depth - 1))) << 8 | self.tree).ravel())
+            p = pairs.own[two] * pairs.kt[two] + (1 - pairs.own[two]) * p
         one = ((self.codes >> (8 * self.depth)) << 8 | self.tree).ravel()
         p = top.own1[one] * top.kt1[one] + (1 - top.own1[one]) * p
         none = self.tree.ravel()
@@ -166,6 +173,15 @@ class ContextNodes:
         return np.log(p).sum(axis=0) / LN10
 
 
+class PairNodes:
+    """The nodes of two context bytes, in the order of their keys."""
+
+    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, longer: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.zeros, self.ones = key[order], zeros[order], ones[order]
+        self.kt, self.own, self.mixed = TopNodes._nodes(self.zeros, self.ones, longer[order])
+
+
 class TopNodes:
     """The nodes of one context byte and of none, as dense tables."""
 
@@ -190,6 +206,25 @@ def _whole(batches) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
+def _above(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys of the nodes with one context byte less, and the sums of the values over their children."""
+    keys, at = np.unique((key >> 16) << 8 | (key & 255), return_inverse=True)
+    return keys, *(np.bincount(at, v, len(keys)) for v in values)
+
+
+def _subtrees(codes: np.ndarray, counts: np.ndarray, shift: int, together: int):
+    """Codes and counts in pieces of about ``together`` codes; codes that agree above ``shift`` bits stay together."""
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+    root = codes >> shift
+    starts = np.flatnonzero(root[1:] != root[:-1]) + 1
+    _, first = np.unique(starts // together, return_index=True)
+    cuts = [0, *starts[first].tolist(), len(codes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield codes[a:b], counts[a:b]
+
+
 def _in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     """Documents with the number of their block, drawn by hash; the number of blocks follows their size."""
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -239,32 +274,33 @@ def _asked(blocks: DataFrame, depth: int) -> DataFrame:
 
 def _log_probabilities(trained: DataFrame, depth: int) -> DataFrame:
     """Per context and byte the log10 probability under all training counts: ``key, value``."""
-    # The last two context bytes decide the partition, so that each holds whole subtrees.
-    pair = F.shiftright(F.col("key"), 8 * (depth - 1))
+    # The last context bytes decide the partition, so that each holds whole subtrees.
+    shared, together = min(SHARED, depth), TOGETHER
+    shift = 8 * (depth + 1 - shared)
     n = int(trained.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = trained.repartition(n, pair)
+    split = trained.repartition(n, F.shiftright(F.col("key"), shift))
 
     def upper(batches):
-        codes, counts = _whole(batches)
-        if len(codes):
-            top = ContextNodes(codes, counts, depth).top
-            keys, at = np.unique((top["key"] >> 16) << 8 | (top["key"] & 255), return_inverse=True)
-            sums = [np.bincount(at, top[c], len(keys)) for c in ("zeros", "ones", "mixed")]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, sums)], ["key", "zeros", "ones", "mixed"])
+        for codes, counts in _subtrees(*_whole(batches), shift, together):
+            top = ContextNodes(codes, counts, depth, shared).top
+            sums = _above(top["key"], top["zeros"], top["ones"], top["mixed"])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, sums)), ["key", "zeros", "ones", "mixed"])
 
     sums = split.mapInArrow(upper, "key long, zeros double, ones double, mixed double").groupBy("key")
-    nodes = sums.agg(F.sum("zeros"), F.sum("ones"), F.sum("mixed")).toArrow()  # at most 65,535 rows
-    top = TopNodes(*(nodes.column(i).to_numpy() for i in range(4)))
+    nodes = sums.agg(F.sum("zeros"), F.sum("ones"), F.sum("mixed")).toArrow()
+    nodes, pairs = [nodes.column(i).to_numpy() for i in range(4)], None
+    if shared == SHARED:
+        pairs = PairNodes(*nodes)
+        nodes = _above(pairs.key, pairs.zeros, pairs.ones, pairs.mixed)
+    top = TopNodes(*nodes)
 
     def score(batches):
-        codes, counts = _whole(batches)
-        if len(codes):
-            values = ContextNodes(codes, counts, depth).log10_probabilities(top)
-            for at in range(0, len(codes), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(codes[part]), pa.array(values[part].astype(np.float32))], ["key", "value"])
-
-    return split.mapInArrow(score, "key long, value float")
+        for codes, counts in _subtrees(*_whole(batches), shift, together):
+            values = ContextNodes(codes, counts, depth, shared).log10_probabilities(top, pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(values.astype(np.float32))], ["key", "value"])
+
+    # Written, so that neither of the two shuffles is kept for the steps that follow.
+    return stage(split.mapInArrow(score, "key long, value float"), "ctw-values")
 
 
 SCORES = (

@@ -109,6 +109,26 @@ def test_scores_against_plain_trees(spark, block_bytes):
         assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / (len(text) + 1))
 
 
+@pytest.mark.parametrize("together", [5, 100_000])
+def test_five_context_bytes_in_pieces(spark, monkeypatch, together):
+    monkeypatch.setattr(ctw, "TOGETHER", together)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["another", "theatre", "é", "or"]) for _ in range(12))) for i in range(30)]
+    trees = PlainTrees([t.encode() for name, t in rows if not held(name)], 5)
+    found = score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in found:
+        assert r.score == pytest.approx(trees.log10(dict(rows)[r.doc_id].encode()), rel=1e-6)
+    assert len(found) == len(rows)
+
+
+def test_subtrees_stay_whole():
+    codes = np.random.default_rng(3).integers(0, 1 << 20, 2000)
+    parts = list(ctw._subtrees(codes, codes + 1, 12, 50))
+    assert sum(len(c) for c, _ in parts) == 2000 and all((n == c + 1).all() for c, n in parts)
+    roots = [set((c >> 12).tolist()) for c, _ in parts]
+    assert len(parts) > 10 and sum(map(len, roots)) == len(set.union(*roots))
+
+
 def test_probabilities_of_a_context_add_up():
     codes, _ = ctw.grams([b"abracadabra", b"", "né".encode()], 3)
     every = np.array([c << 8 | x for c in (codes[5] >> 8, codes[-1] >> 8, 0x616263) for x in range(256)])
