@@ -461,3 +461,10 @@ def test_secrets_of_the_table(spark):
     found = [r for r in QUERIES["op3_secret_scan"](spark, SF_DIR.replace("0.001", "0.01")).collect()]
     out = [r for r in found if r.held_out]
     assert out and sum(r.secret == r.known for r in out) / len(out) > 0.95
+
+
+def test_secrets_of_letters_in_one_case(spark):
+    texts = ["password=correcthorsebattery", "secret=QWERTYUIOPASDF", "token: Correcthorsebattery", "an unforgettable word"]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = {r.doc_id: (r.start, r.end, r.known) for r in find_candidates(docs, frozenset()).collect()}
+    assert found == {0: (9, 28, True), 1: (7, 21, True), 2: (7, 26, True), 3: (3, 16, False)}
