@@ -16,11 +16,20 @@ from quotemill.llm.text import pieces, stage, texts_of
 
 # A candidate: twelve or more characters that keys, hashes and encoded bytes are made of.
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_\-]{12,}={0,2}")
-# Formats that are secrets beyond doubt; their matches and all other candidates are the labelled findings
-# unless a table of reviewed ones is given.
+# Formats that are secrets beyond doubt: candidates that hold or overlap their matches are the findings labelled 1
+# unless a table of reviewed ones is given. First key formats, then what is assigned to a name that asks for a secret.
+# Words may stand around that name, but not those that say that the value is something else.
 KNOWN = re.compile(
-    rb"\bAKIA[0-9A-Z]{16}\b"
-    rb"|\b(?:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_\-]{12,}={0,2})",
+    rb"(?<![A-Za-z0-9])(?:"
+    rb"(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
+    rb"|(?-i:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}|npm_[A-Za-z0-9]{36}"
+    rb"|hf_[A-Za-z0-9]{30,}|xox[abeprs]-[A-Za-z0-9\-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}"
+    rb"|sk-(?=[A-Za-z_\-]*[0-9])[A-Za-z0-9_\-]{20,}|SG\.[A-Za-z0-9_\-]{22}\.[A-Za-z0-9_\-]{43}"
+    rb"|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]+"
+    rb"|-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:\s+[A-Za-z0-9+/=]{12,})+)"
+    rb"|(?:password|passwd|pwd|secret|token|(?:api|access|private|auth)[_-]?key)"
+    rb"(?:[_-](?!(?:file|path|dir|url|uri|count|name|type|limit|length|size)(?![A-Za-z0-9]))[A-Za-z0-9]{1,20}){0,4}"
+    rb"[\"']?\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_\-]{12,}={0,2}))",
     re.IGNORECASE,
 )
 ASKING = re.compile(rb"pass|pwd|secret|token|key|auth|cred|login", re.IGNORECASE)
@@ -129,10 +138,15 @@ def find_candidates(
             for name, digest, path, text in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), paths, texts_of(batch, "text"), strict=True
             ):
-                sure = {m.span("value") if m["value"] else m.span() for m in KNOWN.finditer(text)}
+                sure = [m.span("value") if m["value"] else m.span() for m in KNOWN.finditer(text)]
+                at = 0
                 for m in CANDIDATE.finditer(text):
                     start, end = m.span()
-                    rows.append((name, digest, start, end, (start, end) in sure, features_of(text, start, end, path, known_words)))
+                    # Both are in order, so what ends before this candidate is not needed for later ones.
+                    while at < len(sure) and sure[at][1] <= start:
+                        at += 1
+                    known = at < len(sure) and sure[at][0] < end
+                    rows.append((name, digest, start, end, known, features_of(text, start, end, path, known_words)))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays(
@@ -148,6 +162,16 @@ def find_candidates(
     return plain.mapInArrow(find, CANDIDATES)
 
 
+def own_labels(found: DataFrame) -> DataFrame:
+    """Candidates with the labels that need no reviewer: 1 for known formats, 0 for what nothing speaks for.
+
+    What follows a name that asks for a secret, or is assigned to any name, may be one in an unknown format; it is
+    left out.
+    """
+    asked, assigned = (F.col("features")[FEATURES.index(c)] > 0 for c in ("asked_before", "assigned"))
+    return found.filter(F.col("known") | ~(asked | assigned)).withColumn("label", F.col("known").cast("int"))
+
+
 def held_out() -> Column:
     """Documents the forest never learns from: one in seven, by the checksum of the id."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % HELD_OUT[0] == HELD_OUT[1]
@@ -185,15 +209,15 @@ def scan_secrets(
     Offsets count UTF-8 bytes. ``score`` is the forest's probability that the candidate is a secret and ``secret``
     whether that is at least one half; the others are the removed false positives. Features are length,
     character classes and the changes between them, dictionary coverage, the path and the words around. ``labelled``
-    holds reviewed findings (``doc_id, start, label``); without it, ``known`` formats are labelled 1 and other
-    candidates 0. Documents held out by checksum are never learnt from. If no finding of a class is left to
+    holds reviewed findings (``doc_id, start, label``); without it, candidates that hold or overlap a ``known`` format
+    are labelled 1 and others 0, except doubtful ones, which are not learnt from (``own_labels``). Documents held out by checksum are never learnt from. If no finding of a class is left to
     learn from, ``score`` is 1 for known formats and 0 otherwise. Null texts have no candidates, a null path is
     empty, a null id comes back null, rows that repeat an id give their findings each.
     """
     words = dictionary(docs, text_col)
     found = stage(find_candidates(docs, words, id_col, text_col, path_col), "secret-candidates")
     if labelled is None:
-        learn = found.withColumn("label", F.col("known").cast("int"))
+        learn = own_labels(found)
     else:
         learn = found.join(labelled.select("doc_id", "start", "label").distinct(), ["doc_id", "start"])
     model = fit_forest(learn.filter(~held_out()), sample)
