@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm.components import connected_components
-from quotemill.llm.text import by_bytes, pieces, stage, texts_of
+from quotemill.llm.text import by_bytes, key_of, pieces, stage, texts_of
 from quotemill.llm.word_hashes import WordHasher, mixed
 
 SHINGLE = 5
@@ -107,7 +107,7 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: documents as ``(id, class, size)``, and crowded counters as ``(null, counter, count)``."""
+    """Rows of two kinds: documents as ``(id, class, size, digest)``, and crowded counters as ``(null, counter, count, null)``."""
 
     def sign(batches):
         shingler, seen = Shingler(), set()
@@ -122,16 +122,22 @@ def _signatures(docs: DataFrame) -> DataFrame:
                     seen.add(name)
                     np.add.at(counters, (hashes >> np.uint64(46)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([True] * len(ids), pa.bool_()), pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64())],
-                ["doc", "id", "cls", "n"],
+                [
+                    pa.array([True] * len(ids), pa.bool_()), pa.array(ids, pa.int64()), pa.array(classes, pa.int64()),
+                    pa.array(sizes, pa.int64()), batch.column(batch.schema.get_field_index("digest")),
+                ],
+                ["doc", "id", "cls", "n", "digest"],
             )
         used = np.flatnonzero(counters)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([False] * len(used), pa.bool_()), pa.nulls(len(used), pa.int64()), pa.array(used), pa.array(counters[used])],
-            ["doc", "id", "cls", "n"],
+            [
+                pa.array([False] * len(used), pa.bool_()), pa.nulls(len(used), pa.int64()), pa.array(used),
+                pa.array(counters[used]), pa.nulls(len(used), pa.int64()),
+            ],
+            ["doc", "id", "cls", "n", "digest"],
         )
 
-    return docs.mapInArrow(sign, "doc boolean, id long, cls long, n long")
+    return docs.mapInArrow(sign, "doc boolean, id long, cls long, n long, digest long")
 
 
 def _crowding(signatures: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -205,17 +211,17 @@ def _met(docs: DataFrame, order: np.ndarray, parts: np.ndarray) -> DataFrame:
 
 
 def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text for each wanted class ``(cls, id)``, with its bitmap: ``(cls, bits, text)``."""
+    """One text for each wanted class ``(cls, key, digest)``, with its bitmap: ``(cls, bits, text)``."""
 
     def check(batches):
-        # Rows with one id come to one task, so copies of a row are left out here.
+        # Rows with one id and text come to one task, so copies of a row are left out here.
         shingler, seen = Shingler(), set()
         for batch in by_bytes(batches, "text"):
             rows = []
             texts = texts_of(batch, "text")
             names = batch.column(batch.schema.get_field_index("cls")).to_pylist()
             for name, text, hashes in zip(names, texts, shingler.sets_of(texts), strict=True):
-                if name not in seen and class_of(hashes) == name:  # rows may share an id and still differ
+                if name not in seen and class_of(hashes) == name:  # digests may be equal by chance
                     seen.add(name)
                     rows.append((name, parity_bits(hashes).tobytes(), text))
             columns = list(zip(*rows, strict=True)) or [[]] * 3
@@ -224,7 +230,7 @@ def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["cls", "bits", "text"]
             )
 
-    return docs.join(wanted, "id").select("cls", "text").mapInArrow(check, "cls long, bits binary, text binary")
+    return docs.withColumn("key", key_of("id")).join(wanted, ["key", "digest"]).select("cls", "text").mapInArrow(check, "cls long, bits binary, text binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -350,14 +356,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their own with the same name; a null id takes part and names a component only if no other id is in it.
     Shingles and sets are told apart by 64-bit hashes. Without documents there are no rows.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = _components(docs, id_col, text_col)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per document ``id, digest, n, component_id`` and whether the row ``stays`` if one of a component does."""
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
     signatures = stage(_signatures(plain), "jaccard-signatures")
-    signed = signatures.filter("doc").select("id", "cls", "n")
+    signed = signatures.filter("doc").select("id", "cls", "n", "digest")
     met = stage(_met(plain, *_crowding(signatures)), "jaccard-postings")
 
-    # The classes that meet others, and one text of each.
-    named = signed.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
-    wanted = met.select("cls").distinct().join(named, "cls")
+    # The classes that meet others, and one text of each: that of the smallest id, or one without an id.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
+    named = signed.filter("n > 0").groupBy("cls").agg(first).select("cls", "first.id", "first.digest")
+    wanted = met.select("cls").distinct().join(named, "cls").select("cls", key_of("id").alias("key"), "digest")
     texts = stage(_class_texts(plain, wanted), "jaccard-texts")
 
     # First step: each class with the smallest class it meets most often.
@@ -380,18 +393,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = connected_components(links.union(more))
 
     classes = named.join(ends.withColumnRenamed("node", "cls"), "cls", "left")
-    classes = stage(classes.select("cls", "id", F.coalesce("component", "cls").alias("comp")), "jaccard-classes")
-    least = classes.groupBy("comp").agg(F.min("id").alias("component_id"))
-    found = signed.join(classes.drop("id").join(least, "comp").select("cls", "component_id"), "cls", "left")
-    own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    classes = stage(classes.select("cls", "id", "digest", F.coalesce("component", "cls").alias("comp")), "jaccard-classes")
+    # A component is named by its smallest id; of the classes that have it, one stays.
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "cls", "digest")).alias("one")
+    least = classes.groupBy("comp").agg(one)
+    placed = classes.select("cls", "comp").join(least, "comp").select("cls", "one")
+    found = signed.join(placed, "cls", "left")
+    own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("one.id"))
+    same = (F.col("cls") == F.col("one.cls")) & F.col("id").eqNullSafe(F.col("one.id"))
+    # Without ids, only one text of a class stays.
+    same &= F.col("id").isNotNull() | (F.col("digest") == F.col("one.digest"))
+    stays = (F.col("n") == 0) | F.coalesce(same, F.lit(False))
+    return found.select("id", "digest", "n", own.alias("component_id"), stays.alias("stays"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id names their component, with their own columns.
+    """One document of each component, of those with the smallest id, with its own columns.
 
-    Rows that repeat such an id all stay; a null id stays if nothing else is in its component.
+    Rows that repeat the id and the set of that document all stay, as do rows without any shingle. Of a component
+    without ids one row stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    found = _components(docs, id_col, text_col).filter("stays")
+    single = F.col("id").isNull() & (F.col("n") > 0)
+    kept = found.select(key_of("id").alias("__key"), F.col("digest").alias("__digest"), single.alias("__single")).distinct()
+    kept = stage(kept, "jaccard-kept")
+    rows = docs.withColumns({"__key": key_of(id_col), "__digest": F.xxhash64(text_col)})
+    names = ["__key", "__digest"]
+    several = rows.join(kept.filter("not __single"), names, "left_semi").select(*docs.columns)
+    # Copies without an id are told apart by nothing, so any of them will do.
+    once = rows.filter(F.col(id_col).isNull()).join(kept.filter("__single"), names, "left_semi")
+    return several.union(once.dropDuplicates(["__digest"]).select(*docs.columns))

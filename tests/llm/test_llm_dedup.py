@@ -90,6 +90,29 @@ def test_components_of_awkward_rows(spark):
     assert near_duplicates(empty(spark)).count() == 0 and keep_one_of_each(empty(spark)).count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    # Each links with the next, the first and the last only over the one between them.
+    chain = [" ".join(words[k : k + 40]) for k in (0, 4, 8)]
+    copy, near = " ".join(f"v{i}" for i in range(50)), " ".join([*(f"v{i}" for i in range(49)), "x"])
+    lone, other = " ".join(f"u{i}" for i in range(50)), " ".join([*(f"u{i}" for i in range(49)), "x"])
+    rows = [(1, chain[0]), (None, chain[1]), (None, chain[1]), (2, chain[2]), (3, copy), (None, near), (None, copy)]
+    rows += [(None, lone), (None, lone.upper()), (None, other), (None, lone), (None, None), (None, "")]
+    rows += [(4, "one a b c d e"), (4, "one a b c d e"), (5, "f g h i j k"), (1, "f g h i j k"), (4, copy)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.component_id, r.n_shingles) for r in near_duplicates(df).collect()}
+    assert found == {
+        (1, 1, 36), (None, 1, 36), (2, 1, 36), (3, 3, 46), (None, 3, 46), (4, 3, 46), (None, None, 46), (None, None, 0),
+        (4, 4, 2), (5, 1, 2), (1, 1, 2),
+    }
+    kept = Counter((r.doc_id, r.text) for r in keep_one_of_each(df).collect())
+    single = [(name, text) for name, text in kept if name is None and text]
+    assert len(single) == 1 and kept.pop(single[0]) == 1 and single[0][1].lower() in (lone, other)
+    assert kept == {
+        (1, chain[0]): 1, (3, copy): 1, (4, "one a b c d e"): 2, (1, "f g h i j k"): 1, (None, None): 1, (None, ""): 1,
+    }
+
+
 def test_bounds_lose_nothing():
     rng = np.random.default_rng(3)
     for _ in range(300):
