@@ -30,7 +30,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources repeated to their tempered weight."""
+    """Every document at least once, those of small sources repeated to their tempered weight.
+
+    Only the number of readings is handed on: the token files are in the order of ids, not of the blocks.
+    """
     return mix_sources(docs, max_repeats=MAX_REPEATS).select(*docs.columns)
 
 
