@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotemill.llm.centroids import cluster_vectors
+from quotemill.llm.compression_classifier import score_quality
 from quotemill.llm.ctw import score_documents
 from quotemill.llm.decontaminate import find_contamination
 from quotemill.llm.jaccard_join import near_duplicates
@@ -18,6 +20,7 @@ from quotemill.llm.suffix_dedup import remove_repeats
 from quotemill.llm.text import table
 from quotemill.llm.token_counts import count_tokens
 from quotemill.llm.token_files import read_token_files, write_token_files
+from quotemill.llm.whitening import whiten
 from quotemill.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +220,60 @@ def op10_suffix_dedup(spark, sf_dir):
     """What is left of every document without its 400-byte repeats."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+CLUSTER_SQL = r"""
+WITH RECURSIVE kept AS (
+    SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), vec AS (
+    SELECT r, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM kept
+), start AS (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x FROM vec
+    QUALIFY c < 16
+), centre(turn, c, x) AS (
+    SELECT 0, c, x FROM start
+    UNION ALL
+    (
+        WITH owned AS (
+            SELECT vec.r, vec.x, arg_min(centre.c, struct_pack(
+                       d := list_sum(list_transform(list_zip(vec.x, centre.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := centre.c)) AS c
+            FROM vec, centre WHERE turn < 3 GROUP BY vec.r, vec.x
+        ), parts AS (
+            SELECT c, unnest(x) AS e, generate_subscripts(x, 1) AS pos FROM owned
+        ), sums AS (
+            SELECT c, pos, sum(e)::BIGINT AS s, count(*) AS n FROM parts GROUP BY c, pos
+        ), means AS (
+            SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS x FROM sums GROUP BY c
+        )
+        SELECT turn + 1, centre.c, coalesce(means.x, centre.x) FROM centre LEFT JOIN means USING (c) WHERE turn < 3
+    )
+), final AS (
+    SELECT c, x FROM centre WHERE turn = 3
+), nearest AS (
+    SELECT vec.r, vec.vec_id, min(struct_pack(
+               d := list_sum(list_transform(list_zip(vec.x, final.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c := final.c)) AS m
+    FROM vec, final GROUP BY vec.r, vec.vec_id
+)
+SELECT vec_id, m.c::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia,
+       (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(final.x, ',')) AS centroid_sha256
+FROM nearest JOIN final ON final.c = m.c
+"""
+
+
+@query("op11_centroid_clustering", CLUSTER_SQL)
+def op11_centroid_clustering(spark, sf_dir):
+    """The cluster of every embedding after three rounds, in whole numbers."""
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark, sf_dir):
+    """Whitened coordinates of every embedding on the leading components."""
+    return whiten(table(spark, sf_dir, "embeddings"))[0]
+
+
+@query("op13_quality_classifier")
+def op13_quality_classifier(spark, sf_dir):
+    """Probability of good quality for every document, by packed sizes."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
