@@ -211,7 +211,7 @@ def compute_stock_indicators(
 def _run_stages(df: DataFrame, specs: dict[str, IndicatorSpec], names, series: Series) -> DataFrame:
     keep = [c for c in df.columns if c not in names]
     df, series = numbered(df.select(*keep), series)
-    carried = [*dict.fromkeys([*series.by, "_block", "_at", series.order])]
+    carried = [*dict.fromkeys([*series.by, *series.positions, series.order])]
     inputs = [c for c in PRICE_COLUMNS if c in keep]
     df = packed(df, [*dict.fromkeys([*carried, *inputs])])
     always = df.columns

@@ -125,9 +125,9 @@ def build_metrics_dataset(
     df, ordered = numbered(parts, ordered)
     df = label_stock(df, ordered, max_span_days=max_span_days)
     df = flag_bad_prices(df, ordered, max_daily_move, lookback_rows)
-    df = compute_stock_indicators(df, series=ordered).drop("_at", "_block")
+    df = compute_stock_indicators(df, series=ordered)
     # Written once: the cross-section reads a few of its columns, the result all of them.
-    df = staged(to_float32(home_rows(df), INDICATOR_NAMES), "indicators")
+    df = staged(to_float32(home_rows(df).drop(*ordered.positions), INDICATOR_NAMES), "indicators")
     df = compute_market_indicators(df, rows_per_bucket)
     df = to_float32(df, MARKET_INDICATOR_NAMES)
     return drop_incomplete_rows(df)

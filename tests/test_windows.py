@@ -121,6 +121,81 @@ def test_split_series_gives_the_same_indicators(spark):
         )
 
 
+FLAT_ROWS = 600_000
+
+
+@pytest.fixture(scope="module")
+def flat(spark):
+    """One series that moves for 100 rows, stands still for nearly 600,000 and moves again."""
+    x = F.when((F.col("id") % 599_000 < 100) & (F.col("id") > 0), 1 + F.col("id") % 7).otherwise(0).cast("double")
+    gap = F.when((F.col("id") < 3) | F.col("id").between(300, 200_000) | (F.col("id") % 5 == 2), None).otherwise(F.col("id") % 11 + 1.0)
+    df = spark.range(FLAT_ROWS).select(
+        F.lit("a").alias("symbol"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("date"), x.alias("x"), gap.alias("gap"),
+    )
+    return df, df.toPandas().sort_values("date").reset_index(drop=True)
+
+
+@pytest.mark.parametrize("rows_per_part", [None, 150_000, 50_000])
+def test_averages_of_600_000_rows_whole_and_split(flat, rows_per_part):
+    df, pdf = flat
+    averages = {
+        "fast": ewm.Ewm("x", 0.5), "slow": ewm.Ewm("x", 1 / 14), "slower": ewm.from_span("x", 2000),
+        "sparse": ewm.Ewm("gap", 1 / 14, "anywhere"),
+    }
+    if rows_per_part is None:
+        out = ewm.with_ewm(df, DAILY, averages)
+    else:
+        parts, by_part = split_series(df, Series(bounded=False), rows_per_part, back=100)
+        out = home_rows(ewm.with_ewm(parts, by_part, averages))
+    out = out.toPandas().sort_values("date").reset_index(drop=True)
+    assert len(out) == FLAT_ROWS
+    for name, spec in averages.items():
+        expected = pdf[spec.column].ewm(alpha=spec.alpha, adjust=False).mean()
+        # Down to the smallest numbers that are held in full.
+        np.testing.assert_allclose(out[name].astype(float), expected, rtol=1e-8, atol=1e-300)
+
+
+def test_split_averages_know_what_came_before_their_part(spark):
+    values = np.r_[[np.nan] * 900, np.random.default_rng(5).normal(0, 0.02, 1700), [np.nan] * 800, [1.0, np.nan]]
+    df, pdf = make_frame(spark, {"a": values, "b": values[::-1][:20], "c": [np.nan] * 30})
+    parts, by_part = split_series(df, Series(bounded=False), 300, back=1, rows_per_bucket=100)
+    ordered_parts, ordered = numbered(parts, by_part)
+    first = values.copy()
+    first[2600:] = 0.5
+    for frame, by in ((parts, by_part), (ordered_parts, ordered)):
+        out = home_rows(ewm.with_ewm(frame, by, {"y": ewm.Ewm("x", 0.3, "anywhere"), "z": ewm.Ewm("x", 0.02, "anywhere")}))
+        for name, alpha in (("y", 0.3), ("z", 0.02)):
+            expected = pdf.groupby("symbol")["x"].transform(lambda v: v.ewm(alpha=alpha, adjust=False).mean())  # noqa: B023
+            np.testing.assert_allclose(collect(out, name), expected, rtol=1e-9)
+    df, pdf = make_frame(spark, {"a": first[:2601]})
+    parts, by_part = split_series(df, Series(bounded=False), 300, back=1, rows_per_bucket=100)
+    out = home_rows(ewm.with_ewm_std(parts, by_part, "x", 1001, 700, "y"))
+    expected = pdf["x"].ewm(span=1001, adjust=False, min_periods=700).std()
+    np.testing.assert_allclose(collect(out, "y"), expected, rtol=1e-7)
+
+
+def test_fast_averages_leave_the_blocks_of_others_alone(spark):
+    df, pdf = make_frame(spark, {"a": long_values(3000)})
+    df, ordered = numbered(df, DAILY)
+    out = ewm.with_ewm(df, ordered, {"y": ewm.Ewm("x", 0.9)})
+    out = ewm.with_ewm(out, ordered, {"z": ewm.Ewm("x", 0.01)})
+    np.testing.assert_allclose(collect(out, "z"), pdf["x"].ewm(alpha=0.01, adjust=False).mean(), rtol=1e-11)
+    assert out.where(F.col("_block") != F.floor(F.col("_at") / series.BLOCK_ROWS)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 100])
+def test_affine_scan(spark, n):
+    rows = [(k, i, (float(i + k), 0.5 if i % 3 else 0.0)) for k in (0, 1) for i in range(n - k)]
+    maps = spark.createDataFrame(rows, "k int, at int, m struct<sum: double, decay: double>")
+    found = {(r.k, r.at): r.m for r in ewm.affine_scan(maps, ["k"], "at", ["m"]).collect()}
+    for k in (0, 1):
+        y = 0.0
+        for i in range(n - k):
+            assert found[k, i] == pytest.approx(y)
+            y = i + k + (0.5 if i % 3 else 0.0) * y
+    assert len(found) == 2 * n - 1
+
+
 def test_short_series_are_not_split(spark):
     df, _ = make_frame(spark, {"a": [1.0, 2.0, 3.0]})
     same, same_series = split_series(df, DAILY)
@@ -138,7 +213,7 @@ def test_rows_without_a_time_are_in_no_series(spark):
 def test_directions_after_a_long_flat_stretch(spark, bounded):
     """A price that moves and then stands still: the averages get tiny, their ratios do not."""
     rng = np.random.default_rng(11)
-    # The second series is cut after 66,000 rows; the moves before the cut are history of the rows behind it.
+    # The second series is cut after 66,000 rows; what moved long before is history of the rows behind the cut.
     n, start = (5100, 0) if bounded else (69_000, 60_000)
     moving = (np.arange(n) >= start) & (np.arange(n) < start + 100)
     close = 100 * np.exp(np.cumsum(np.where(moving, rng.normal(0, 0.02, n), 0.0)))
