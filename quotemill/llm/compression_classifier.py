@@ -111,7 +111,7 @@ def fit_logistic(counts: list[tuple[float, int, int]], rounds: int = 50) -> tupl
     mean = (n * values).sum() / n.sum()
     width = math.sqrt((n * (values - mean) ** 2).sum() / n.sum()) or 1.0
     x, beta = np.stack([np.ones_like(values), (values - mean) / width]), np.zeros(2)
-    ridge = np.diag([1e-6, 1e-3]) * n.sum()
+    ridge = np.diag([1e-6, 1e-5]) * n.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(beta @ x, -35, 35)))
         slope = x @ (good - n * p) - ridge @ beta

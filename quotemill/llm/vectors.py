@@ -30,11 +30,11 @@ def whole_entries(batch: pa.RecordBatch, dim: int, scale: float, most: int) -> t
 def rows_of(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
     """A column of lists of equal length as a matrix."""
     column = batch.column(batch.schema.get_field_index(name))
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
 
 
 def as_lists(matrix: np.ndarray) -> pa.Array:
-    offsets = np.arange(0, matrix.size + 1, max(matrix.shape[1], 1), dtype=np.int32)
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(matrix.shape[1])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
 
