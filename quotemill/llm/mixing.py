@@ -14,9 +14,14 @@ MAX_REPEATS = 4.0
 BLOCKS = 64
 SEED = 17
 # The exponent is searched among the multiples of 1 / STEPS; every job narrows the bracket by WAYS.
-STEPS = 1_000_000
-WAYS = 20
+STEPS = 2**40
+WAYS = 32
+# Readings that are short of a whole number by less than this part of it are whole.
+MARGIN = 1e-9
 ROWS_PER_RANGE = 20_000
+# Up to so many sources travel to every task as a small table; with more, rows are dealt out by source and salt.
+FEW_SOURCES = 10_000
+SALTS = 64
 PLACES = float(2**60)
 
 
@@ -98,34 +103,51 @@ def source_weights(
     weight = F.when(any_tokens, F.pow(n, F.lit(alpha)) / total).otherwise(0.0)
     # Rounded, so that sums taken in another order give the same whole numbers.
     spend = F.when(any_tokens, F.round(weight * F.lit(whole), 3)).otherwise(0.0)
-    blocks = F.when(any_tokens, F.floor(F.col("budget") / F.col("n_tokens"))).otherwise(1).cast("int")
+    blocks = F.when(any_tokens, F.floor(F.col("budget") / F.col("n_tokens") * (1 + MARGIN))).otherwise(1).cast("int")
     rest = F.floor(F.col("budget") - F.col("whole_blocks") * F.col("n_tokens")).cast("long")
     plan = sums.select("*", weight.alias("weight"), spend.alias("budget"))
     return stage(plan.withColumn("whole_blocks", blocks).withColumn("rest", F.greatest(rest, F.lit(0))), "mix-plan")
 
 
+def with_sources(rows: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """Join rows with the table of sources, one row each, so that a source with most of the rows is not one task's.
+
+    A table that is small by its own count is broadcast. A larger one is copied once for each salt, and
+    rows take their salt from the hash of ``key``.
+    """
+    if sources.count() <= FEW_SOURCES:
+        return rows.join(F.broadcast(sources), "source")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    copies = sources.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, ["source", "salt"]).drop("salt")
+
+
 def last_places(tokens: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     """Per source the last place of its partial block: ``source, last``, or no row if nothing fits.
 
     Tokens are first summed over ranges of places, whose number follows the size of the source; only the
-    one range where the rest runs out is looked at row by row. No task orders a whole source.
+    one range where the rest runs out is looked at row by row. The ranges before it give their last place with
+    their sums. No task orders a whole source.
     """
     plan = plan.select("source", "whole_blocks", "rest", F.ceil(F.col("n_docs") / ROWS_PER_RANGE).alias("n_ranges"))
     place = place_of(F.col("whole_blocks"), F.col("id"), seed)
-    placed = tokens.join(plan, "source").select("source", "rest", "n_ranges", "n_tokens", place.alias("place"))
+    placed = with_sources(tokens, plan, "id").select("source", "rest", "n_ranges", "n_tokens", place.alias("place"))
     number = F.floor(F.col("place") / F.lit(PLACES) * F.col("n_ranges")).cast("long")
     placed = stage(placed.select("source", "rest", "n_tokens", "place", number.alias("range")), "mix-places")
-    sums = placed.groupBy("source", "range").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    upto = F.sum("n").over(Window.partitionBy("source").orderBy("range"))
-    over = sums.withColumn("upto", upto).filter("upto > rest")
-    cut = over.groupBy("source").agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"))).alias("cut"))
-    cut = cut.select("source", F.col("cut.range").alias("range"), F.col("cut.before").alias("before"))
-    rows = placed.join(cut, ["source", "range"])
+    sums = placed.groupBy("source", "range").agg(
+        F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"), F.max("place").alias("last")
+    )
+    ranges = Window.partitionBy("source").orderBy("range")
+    sums = sums.withColumn("upto", F.sum("n").over(ranges)).withColumn("before", F.col("upto") - F.col("n"))
+    sums = stage(sums.withColumn("last", F.max("last").over(ranges.rowsBetween(Window.unboundedPreceding, -1))), "mix-ranges")
+    over = sums.filter("upto > rest").groupBy("source").agg(F.min(F.struct("range", "before", "last")).alias("cut"))
+    cut = stage(over.select("source", "cut.*"), "mix-cuts")
+    rows = placed.join(cut.select("source", "range", "before"), ["source", "range"])
     # Documents at the same place are peers: all of them fit or none.
     fits = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("place")) + F.col("before") <= F.col("rest")
-    here = rows.withColumn("fits", fits).filter("fits").select("source", "place")
-    earlier = placed.join(cut.select("source", F.col("range").alias("cut_range")), "source").filter("range < cut_range")
-    return here.union(earlier.select("source", "place")).groupBy("source").agg(F.max("place").alias("last"))
+    here = rows.withColumn("fits", fits).filter("fits").select("source", F.col("place").alias("last"))
+    earlier = cut.filter("last IS NOT NULL").select("source", "last")
+    return here.union(earlier).groupBy("source").agg(F.max("last").alias("last"))
 
 
 def mix_sources(
@@ -165,7 +187,7 @@ def mix_sources(
     readings = stage(
         plan.join(last, "source", "left").select("source", "whole_blocks", "last", length.alias("length")), "mix-readings"
     )
-    rows = inner.withColumn("source", source).join(readings, "source")
+    rows = with_sources(inner.withColumn("source", source), readings, names[id_col])
     partial = place_of(F.col("whole_blocks"), key, seed) <= F.col("last")
     epochs = F.expr("sequence(0, whole_blocks)")
     epochs = F.when(F.coalesce(partial, F.lit(False)), epochs).otherwise(F.slice(epochs, 1, F.col("whole_blocks")))

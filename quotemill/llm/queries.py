@@ -101,24 +101,24 @@ WITH RECURSIVE doc AS (
     SELECT min(n) AS least, max(n) AS most FROM src WHERE n > 0
 ), search(low, high) AS (
     SELECT CASE WHEN most / least <= 4.0 * (1 + 1e-12) THEN -1 ELSE 0 END,
-           CASE WHEN most / least <= 4.0 * (1 + 1e-12) THEN 0 ELSE 1000000 END
+           CASE WHEN most / least <= 4.0 * (1 + 1e-12) THEN 0 ELSE 1099511627776 END
     FROM ends
     UNION ALL
     SELECT CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END
     FROM (
         SELECT low, high, (low + high) // 2 AS mid,
-               pow(most, 1 - mid / 1e6) * pow(least, mid / 1e6 - 1) <= 4.0 * (1 + 1e-12) AS ok
+               pow(most, 1 - mid / 1099511627776.0::DOUBLE) * pow(least, mid / 1099511627776.0::DOUBLE - 1) <= 4.0 * (1 + 1e-12) AS ok
         FROM search, ends WHERE high - low > 1
     )
 ), alpha AS (
-    SELECT min(high) / 1e6 AS a FROM search
+    SELECT min(high) / 1099511627776.0::DOUBLE AS a FROM search
 ), plan AS (
     SELECT source, n, CASE WHEN n > 0 THEN
                round(pow(n, a) / sum(CASE WHEN n > 0 THEN pow(n, a) END) OVER ()
                      * (pow(most, 1 - a) * sum(CASE WHEN n > 0 THEN pow(n, a) END) OVER ()), 3) ELSE 0 END AS budget
     FROM src, alpha, ends
 ), cut AS (
-    SELECT *, CASE WHEN n > 0 THEN floor(budget / n) ELSE 1 END AS whole_blocks,
+    SELECT *, CASE WHEN n > 0 THEN floor(budget / n * (1 + 1e-9)) ELSE 1 END AS whole_blocks,
            CASE WHEN n > 0 THEN budget / n ELSE 1 END AS length
     FROM plan
 ), partial AS (
