@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 from pyspark import TaskContext
@@ -186,6 +187,38 @@ class _SequenceWriter:
 FILES = "shard int, path string, n_docs long, n_tokens long"
 
 
+def run_lengths(rows: DataFrame) -> DataFrame:
+    """Rows ``id, text`` with ``n``, how often each follows itself; what is written n times is shuffled once.
+
+    Works along the partitions as they are, so copies that do not stand next to each other stay rows of their own.
+    """
+
+    def equal(column, n):
+        one, two = column.slice(1), column.slice(0, n - 1)
+        same = pc.fill_null(pc.equal(one, two), False)
+        return pc.or_(same, pc.and_(pc.is_null(one), pc.is_null(two))).to_numpy(zero_copy_only=False)
+
+    def merge(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ones(batch.num_rows, np.int64))], names=["id", "text", "n"])
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            same = equal(batch.column(0), batch.num_rows) & equal(batch.column(1), batch.num_rows)
+            starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
+            n = pa.array(np.add.reduceat(batch.column(2).to_numpy(), starts))
+            first = batch.take(pa.array(starts))
+            runs = pa.RecordBatch.from_arrays([first.column(0), first.column(1), n], names=["id", "text", "n"])
+            held = runs.slice(len(starts) - 1)
+            yield runs.slice(0, len(starts) - 1)
+        if held is not None:
+            yield held
+
+    return rows.mapInArrow(merge, "id long, text string, n long")
+
+
 def write_token_files(
     docs: DataFrame,
     folder: str,
@@ -194,6 +227,7 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = SEQUENCE,
+    copies: bool = False,
 ) -> DataFrame:
     """Encode all texts and write them in ascending id order; returns one row per file.
 
@@ -204,6 +238,9 @@ def write_token_files(
     null id sorts first; rows that repeat an id stand next to each other, ordered by a hash of their text.
     Without documents there are no files. ``folder`` must be shared by all executors; a retried task
     writes under a name of its own and renames it when complete.
+
+    Equal rows are encoded once and written as often as they occur. With ``copies``, those that stand next to each other,
+    as readings of one document do in a mixture, also travel as one row with a count; the files are the same.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shards = (plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES + 1
@@ -216,7 +253,7 @@ def write_token_files(
         fs, root = _place(folder)
         shard = TaskContext.get().partitionId()
         name, attempt = f"{root}/tokens-{shard:06d}", uuid.uuid4().hex
-        encoder = writer = None
+        encoder = writer = last = None
         for batch in pieces(batches, 500):
             if not batch.num_rows:
                 continue
@@ -225,8 +262,13 @@ def write_token_files(
                 sink, index = (fs.open_output_stream(f"{name}{end}.{attempt}") for end in (".arrow", ".index.arrow"))
                 writer = _SequenceWriter(sink, index, dtype, length)
             end = np.array([end_id], dtype)
-            ids = [np.concatenate([encoder.encode(t.decode()), end]) for t in texts_of(batch, "text")]
-            writer.add(batch.column(0).to_pylist(), ids)
+            names, docs = [], []
+            for doc_id, text, n in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), batch.column(2).to_pylist(), strict=True):
+                if last is None or last[0] != text:
+                    last = text, np.concatenate([encoder.encode(text.decode()), end])
+                names += [doc_id] * n
+                docs += [last[1]] * n
+            writer.add(names, docs)
         if writer:
             writer.close()
             sink.close()
@@ -239,7 +281,8 @@ def write_token_files(
             )
 
     # Ranges of ids, where a hash of the text spreads an id that very many rows share.
-    ranges = plain.repartitionByRange(shards, F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    counted = run_lengths(plain) if copies else plain.withColumn("n", F.lit(1).cast("long"))
+    ranges = counted.repartitionByRange(shards, F.col("id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ranges.sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
     return stage(ordered.mapInArrow(write, FILES), "token-files")
 
