@@ -39,7 +39,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place and checksum of every document in the token files, read back from them."""
-    files = write_token_files(docs, work_path(spark, "token-files"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    folder = work_path(spark, "token-files")
+    files = write_token_files(docs, folder, vocabulary("byte_bpe_50k.json"), end_id=2, copies=True)
     return read_token_files(files)
 
 
