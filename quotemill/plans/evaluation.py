@@ -95,22 +95,11 @@ def rank_ic(
         {"_x": "_score", "_y": "_target"},
         rows_per_bucket=rows_per_bucket,
     )
-    x, y = F.col("_x"), F.col("_y")
-    sums = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(x).alias("_sx"),
-        F.sum(y).alias("_sy"),
-        F.sum(x * x).alias("_sxx"),
-        F.sum(y * y).alias("_syy"),
-        F.sum(x * y).alias("_sxy"),
-    )
-    n = F.col("_n")
-    covariance = F.col("_sxy") - F.col("_sx") * F.col("_sy") / n
-    variance_x = F.col("_sxx") - F.col("_sx") * F.col("_sx") / n
-    variance_y = F.col("_syy") - F.col("_sy") * F.col("_sy") / n
-    return sums.where(n >= min_rows).select(
-        *keys, F.try_divide(covariance, F.sqrt(variance_x * variance_y)).alias("ic")
+    spread = F.stddev_pop("_x") * F.stddev_pop("_y")
+    ics = ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.try_divide(F.covar_pop("_x", "_y"), spread).alias("ic")
     )
+    return ics.where(F.col("_n") >= min_rows).drop("_n")
 
 
 def rank_ic_by(
@@ -299,7 +288,7 @@ def calibration_error(
 ) -> DataFrame:
     """Expected calibration error per class over quantile bins, one row per class.
 
-    A class holds every row of the table, so its quantiles are found in value ranges.
+    A class holds every row of the table, so its quantiles are found by counting, not by ordering.
     """
     y = label_index("label")
     stacked = predictions.select(
@@ -334,9 +323,14 @@ def calibration_error(
 # Baselines and classification scores.
 
 
-def resolved_label_lag(df: DataFrame) -> DataFrame:
-    """Add ``lagged_label``: the symbol's latest label whose window closed by the row's date."""
-    return asof_join(df, df, "date", "label_end_date", ["symbol"], {"lagged_label": "label"})
+def resolved_label_lag(df: DataFrame, rows_per_bucket: int | None = BOUNDED) -> DataFrame:
+    """Add ``lagged_label``: the symbol's latest label whose window closed by the row's date.
+
+    A daily table; one of finer grain names ``rows_per_bucket``.
+    """
+    return asof_join(
+        df, df, "date", "label_end_date", ["symbol"], {"lagged_label": "label"}, rows_per_bucket=rows_per_bucket
+    )
 
 
 def trailing_return_label() -> Column:

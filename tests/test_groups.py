@@ -99,6 +99,45 @@ def test_groups_larger_than_one_step_are_cut_twice(spark, monkeypatch):
     assert [r.r for r in ranks] == [float(i + 1) for i in range(2000)]
 
 
+def test_binary_search_of_cuts(spark):
+    rows = [(list(range(0, 2 * n, 2)), v) for n in (0, 1, 2, 7, 100, 1023) for v in (-1, 0, 1, 5, n, 2 * n - 2, 2 * n)]
+    df = spark.createDataFrame([*rows, (None, 3)], "cuts array<bigint>, v bigint")
+    found = df.withColumn("b", buckets.bucket_of(F.col("cuts"), F.col("v"))).collect()
+    assert all(r.b == sum(c < r.v for c in r.cuts or []) for r in found) and len(found) == len(rows) + 1
+
+
+def test_counting_narrows_a_large_group(spark):
+    # A class of a million rows with half of them equal: the places are found without ordering it.
+    df = spark.range(1_000_000).selectExpr(
+        "if(id % 10 = 0, 'b', 'a') g", "if(id % 2 = 0, 0.25D, pow(10D, -(id % 300)) * (1 + id % 1009 / 1009)) v", "cast(id % 77777 as float) w"
+    )
+    levels = [0.0, 0.1, 0.5, 0.73, 0.999, 1.0]
+    found = buckets.group_quantiles(df, ["g"], "v", levels, 1000).toPandas().set_index("g").sort_index()
+    pdf = df.toPandas()
+    expected = pdf.groupby("g").v.quantile(levels).unstack()
+    np.testing.assert_allclose(np.stack(found.quantiles), expected, rtol=1e-12, atol=0)
+    medians = buckets.group_medians(df, ["g"], {"v": "v", "w": "w"}, 1000).toPandas().set_index("g").sort_index()
+    np.testing.assert_allclose(medians[["v", "w"]].astype(float), pdf.groupby("g")[["v", "w"]].median(), rtol=1e-12)
+
+
+def test_middle_of_single_precision_numbers(spark):
+    # Their sum in single precision would be rounded once more than their mean is.
+    df = spark.createDataFrame([(0.1,), (0.7000001,)], "v float").withColumn("g", F.lit(1))
+    whole, cut = (buckets.group_medians(df, ["g"], {"m": "v"}, limit).first().m for limit in (buckets.BOUNDED, 1))
+    assert whole == cut == (float(np.float32(0.1)) + float(np.float32(0.7000001))) / 2
+
+
+def test_columns_of_several_types_are_ranked_together(spark, skewed):
+    df, pdf = skewed
+    df = df.withColumn("x", F.col("k").cast("string")).withColumn("y", F.col("w").cast("float"))
+    out = buckets.with_average_ranks(df, ["g"], {"v": "v", "rk": "k", "rw": "w", "rx": "x", "ry": "y"}, pct=True, rows_per_bucket=50)
+    assert sorted(out.columns) == sorted([*df.columns, "rk", "rw", "rx", "ry"])
+    out = out.toPandas().sort_values("k").reset_index(drop=True)
+    pdf = pdf.assign(x=pdf.k.astype(str), y=pdf.w.astype("float32"))
+    for name, source in (("v", "v"), ("rk", "k"), ("rw", "w"), ("rx", "x"), ("ry", "y")):
+        np.testing.assert_allclose(out[name].astype(float), pdf.groupby("g")[source].rank(pct=True))
+
+
 def test_no_task_orders_a_hot_group(spark, skewed):
     df, _ = skewed
     distinct = df.where("v is not null").groupBy("g", "v").agg(F.count(F.lit(1)).alias("_n"))

@@ -18,10 +18,11 @@ NAMES = [
 @pytest.fixture
 def small_ranges(monkeypatch):
     """Every group in ranges of 500 values, also those that callers declare bounded."""
-    in_ranges, positions = buckets.in_ranges, buckets.hashed_positions
+    in_ranges, positions, statistics = buckets.in_ranges, buckets.hashed_positions, buckets.order_statistics
     for module in (buckets, asof):
         monkeypatch.setattr(module, "BOUNDED", "never")
         monkeypatch.setattr(module, "in_ranges", lambda df, by, value, limit=None: in_ranges(df, by, value, 500))
+    monkeypatch.setattr(buckets, "order_statistics", lambda *args: statistics(*args[:4], 500))
     monkeypatch.setattr(experiments, "hashed_positions", lambda *args: positions(*args[:5], 500))
 
 
