@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm.components import connected_components
-from quotemill.llm.text import by_bytes, key_of, pieces, stage, texts_of
+from quotemill.llm.text import by_bytes, key_of, pieces, release, stage, texts_of
 from quotemill.llm.word_hashes import WordHasher, mixed
 
 SHINGLE = 5
@@ -89,11 +89,12 @@ def least_overlap(m, n):
 def parity_bits(hashes: np.ndarray) -> np.ndarray:
     """Bitmap of a set, bytes of parities: each hash flips one bit.
 
-    The bits in which two bitmaps differ are at most as many as the elements in which the sets differ. Twice
-    as many bits as elements, as a power of two, so that bitmaps of different widths can be folded.
+    The bits in which two bitmaps differ are at most as many as the elements in which the sets differ. Sets that link
+    differ in at most two sevenths of their mean size; bitmaps of unrelated sets in half of their bits. So three bits
+    for four elements tell them apart, as a power of two, so that bitmaps of different widths can be folded.
     """
     width = 64
-    while width < 2 * len(hashes):
+    while 4 * width < 3 * len(hashes):
         width *= 2
     flips = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little")
@@ -388,8 +389,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # The class's shared shingle before, or something that no other class has.
     before = F.coalesce(F.lag("key").over(Window.partitionBy("cls").orderBy("pos")), F.col("cls"))
     still = stage(placed.join(open_keys, "key").withColumn("before", before), "jaccard-open")
+    release(met, open_keys)
     pairs = stage(_tile_pairs(still, texts.select("cls", "bits")), "jaccard-pairs")
+    release(still)
     more = stage(_verified(pairs, texts), "jaccard-links")
+    release(pairs, texts)
     ends = connected_components(links.union(more))
 
     classes = named.join(ends.withColumnRenamed("node", "cls"), "cls", "left")

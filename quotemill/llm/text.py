@@ -34,6 +34,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(*tables: DataFrame) -> None:
+    """Empty staged tables that nothing reads any more, so that their files do not lie around until the end of a job.
+
+    Each is overwritten by a table without rows. What was written from it stays; reading it again is an error.
+    """
+    for df in tables:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(folder)
+
+
 def key_of(id_col: str) -> Column:
     """The id, never null, so that plain equality joins find every row."""
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
