@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from quotemill.plans.prices import stock_prices
 from quotemill.schemas import PRICE_CSV_SCHEMA
 from quotemill.session import staged
+from quotemill.sources.quoted_lines import csv_records
 
 # The symbol is the stem of the file name, or the value of a `symbol=` folder.
 FILE_STEM = r"([^/]+)\.csv$"
@@ -116,23 +117,21 @@ def scan_news_csv(
 ) -> DataFrame:
     """News files as text columns plus the corrupt-record column.
 
-    Bodies may span lines inside quotes, so a file is not splittable; files are read in parallel.
-    ``columns`` are the file's columns in order. Malformed rows keep their text in the corrupt
-    column, see :func:`split_news`.
+    Bodies may span lines inside quotes. Records are found in parallel, also within one file (:func:`csv_records`);
+    files whose records are single lines are read at once with ``multi_line=False``. ``columns`` are the file's
+    columns in order. Malformed rows keep their text in the corrupt column, see :func:`split_news`.
     """
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in [*columns, CORRUPT_COLUMN]]
     )
-    return (
-        spark.read.schema(schema)
-        .option("header", header)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
-        .csv(_as_list(paths))
-    )
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COLUMN}
+    if not multi_line:
+        return spark.read.schema(schema).options(header=header, **options).csv(_as_list(paths))
+    records = csv_records(spark, paths)
+    if header:
+        records = records.where((F.col("start") != 0) | (F.col("place") != 0))
+    types = ", ".join(f"`{f.name}` string" for f in schema)
+    return records.select(F.from_csv("record", types, {**options, "multiLine": "true"}).alias("_row")).select("_row.*")
 
 
 def split_news(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
