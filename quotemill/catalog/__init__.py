@@ -7,6 +7,7 @@ from quotemill.catalog import (  # noqa: F401
     evaluation_queries,
     job_queries,
     news_queries,
+    policy_queries,
     price_queries,
 )
 

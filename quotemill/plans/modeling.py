@@ -1,20 +1,24 @@
-"""Feature preparation, class-weighted classifiers on MLlib, and the walk-forward search."""
+"""Feature preparation, class-weighted classifiers on MLlib, and the walk-forward search.
+
+``fit_boosted`` is in :mod:`quotemill.plans.boosting`.
+"""
 
 from __future__ import annotations
 
 import itertools
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import argmax_class, label_index
+from quotemill.plans.boosting import Boosted, fit_boosted  # noqa: F401
 from quotemill.plans.evaluation import (
     PROBABILITIES,
     confusion_counts,
@@ -106,29 +110,6 @@ class Forest:
         )
 
 
-@dataclass
-class Boosted:
-    """One boosted-tree model per class, their probabilities scaled to sum to 1."""
-
-    features: list[str]
-    models: list = field(default_factory=list)
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        names = df.columns
-        flat, inputs = _filled(self.features)
-        out = VectorAssembler(inputCols=inputs, outputCol="features").transform(df.select(*names, *flat))
-        out = out.select(*names, "features")
-        for i, model in enumerate(self.models):
-            scored = model.transform(out)
-            out = scored.select(
-                *[c for c in out.columns], vector_to_array("probability")[1].alias(f"_p_{i}")
-            )
-        total = F.col("_p_0") + F.col("_p_1") + F.col("_p_2")
-        return out.select(
-            *names, *[(F.col(f"_p_{i}") / total).alias(c) for i, c in enumerate(PROBABILITIES)]
-        )
-
-
 def _training_rows(train: DataFrame, features: Sequence[str]) -> DataFrame:
     weighted = with_class_weights(train, "label", "_weight")
     rows = weighted.withColumn("_y", label_index("label").cast("double"))
@@ -153,31 +134,6 @@ def fit_forest(train: DataFrame, features: Sequence[str], params: Params | None
     return Forest(list(features), forest.fit(_training_rows(train, features)))
 
 
-def fit_boosted(
-    train: DataFrame, val: DataFrame, features: Sequence[str], params: Params | None = None, seed: int = 0
-) -> Boosted:
-    """Fit boosted trees per class, stopping early on the validation rows."""
-    params = params or {}
-    rows = _training_rows(train, features).withColumn("_is_val", F.lit(False))
-    rows = rows.unionByName(_training_rows(val, features).withColumn("_is_val", F.lit(True)))
-    models = []
-    for i in range(len(RATINGS)):
-        boosted = GBTClassifier(
-            featuresCol="features",
-            labelCol="_hit",
-            weightCol="_weight",
-            validationIndicatorCol="_is_val",
-            seed=seed,
-            maxIter=int(params.get("n_trees", 20)),
-            maxDepth=int(params.get("max_depth", 3)),
-            stepSize=float(params.get("learning_rate", 0.1)),
-            subsamplingRate=float(params.get("subsample", 1.0)),
-            minInstancesPerNode=max(1, int(params.get("min_rows", 1))),
-        )
-        models.append(boosted.fit(rows.withColumn("_hit", (F.col("_y") == i).cast("double"))))
-    return Boosted(list(features), models)
-
-
 def xgboost_available() -> bool:
     """Whether the optional distributed XGBoost estimator can be imported."""
     try:
@@ -306,10 +262,14 @@ def importance_by_group(spark: SparkSession, model: Forest, groups: dict[str, Se
 # Saved models.
 
 
-def save_model(spark: SparkSession, model: Forest, path: str, metadata: dict | None = None) -> None:
+def save_model(spark: SparkSession, model: Forest | Boosted, path: str, metadata: dict | None = None) -> None:
     """Save a model with a one-row JSON table of what reproduces its evaluation."""
-    PipelineModel([model.model]).write().overwrite().save(f"{path}/model")
+    boosted = isinstance(model, Boosted)
+    stages = model.pipeline() if boosted else PipelineModel([model.model])
+    stages.write().overwrite().save(f"{path}/model")
     info = {"feature_columns": model.features, **(metadata or {})}
+    if boosted:
+        info |= {"boosting": model.settings(), "best_iteration": model.best_round}
     line = spark.createDataFrame([(json.dumps(info, sort_keys=True, default=str),)], "value string")
     line.write.mode("overwrite").text(f"{path}/metadata")
 
@@ -318,9 +278,13 @@ def load_metadata(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/metadata").first()["value"])
 
 
-def load_model(spark: SparkSession, path: str) -> Forest:
-    info = load_metadata(spark, path)
-    return Forest(info["feature_columns"], PipelineModel.load(f"{path}/model").stages[0])
+def load_model(spark: SparkSession, path: str) -> Forest | Boosted:
+    info, stages = load_metadata(spark, path), PipelineModel.load(f"{path}/model").stages
+    if "boosting" not in info:
+        return Forest(info["feature_columns"], stages[0])
+    kept = info["boosting"]
+    losses = [tuple(pair) for pair in kept["losses"]]
+    return Boosted(info["feature_columns"], kept["gappy"], kept["learning_rate"], list(stages), losses)
 
 
 def load_saved_params(spark: SparkSession, path: str, study_name: str, start_date: str) -> Params:

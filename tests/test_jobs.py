@@ -4,6 +4,7 @@ import importlib.util
 import json
 import time
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -147,6 +148,50 @@ def test_boosted_trees_learn(spark):
     assert modeling.score_predictions(model.predict(late)).first()["macro_f1"] > 0.9
 
 
+def boosting_rows(spark, n=1500):
+    """The label follows x, but where x is missing it is always UP; z is missing by half and says nothing."""
+    x = F.when(F.col("id") % 5 == 0, None).otherwise((F.col("id") * 7919 % 1009) / 1009.0)
+    label = F.when(F.col("x").isNull() | (F.col("x") > 0.8), "UP").when(F.col("x") < 0.3, "DOWN").otherwise("HOLD")
+    rows = spark.range(n).select("id", x.alias("x"), F.when(F.col("id") % 2 == 0, F.col("id") % 13).cast("double").alias("z"))
+    return rows.withColumn("label", label)
+
+
+def test_joint_boosting_lowers_the_loss_every_round(spark, tmp_path):
+    rows = boosting_rows(spark)
+    train, val = rows.where("id % 3 <> 0"), rows.where("id % 3 = 0")
+    model = modeling.fit_boosted(train, val, ["x", "z"], {"n_trees": 6, "max_depth": 2, "learning_rate": 0.5}, seed=3)
+    assert model.gappy == ["x", "z"] and len(model.trees) == 18
+    losses = [train for train, _ in model.losses]
+    assert all(after < before for before, after in zip(losses, losses[1:], strict=False)) and losses[0] < np.log(3)
+    # Each round's loss once more, by SQL from stored predictions.
+    for rounds in (1, 4, 6):
+        path = str(tmp_path / f"p{rounds}")
+        model.predict(train, rounds).write.parquet(path)
+        found = duckdb.sql(
+            f"""WITH p AS (SELECT * FROM '{path}/*.parquet'), w AS (SELECT label, (SELECT count(*) FROM p) / (3.0 * count(*)) AS w FROM p GROUP BY label)
+            SELECT sum(-ln(CASE label WHEN 'DOWN' THEN p_down WHEN 'HOLD' THEN p_hold ELSE p_up END) * w) / sum(w),
+                   max(abs(p_down + p_hold + p_up - 1)) FROM p JOIN w USING (label)"""
+        ).fetchall()[0]
+        assert found[0] == pytest.approx(losses[rounds - 1], rel=1e-9) and found[1] < 1e-12
+    # A missing x is known for what it is, though it lies on neither side of the others.
+    assert model.predict(rows.where("x IS NULL")).agg(F.min("p_up")).first()[0] > 0.8
+    again = modeling.fit_boosted(train, val, ["x", "z"], {"n_trees": 6, "max_depth": 2, "learning_rate": 0.5}, seed=3)
+    np.testing.assert_allclose(again.losses, model.losses, rtol=1e-9)
+    modeling.save_model(spark, model, str(tmp_path / "model"), {"params": {}})
+    loaded = modeling.load_model(spark, str(tmp_path / "model"))
+    assert loaded.best_round == model.best_round
+    both = [sorted(m.predict(val).select("id", "p_up").collect()) for m in (model, loaded)]
+    assert both[0] == both[1]
+
+
+def test_joint_boosting_stops_early(spark):
+    rows = boosting_rows(spark, 400)
+    # Labels of the validation rows are turned around: every round makes them worse.
+    val = rows.withColumn("label", F.when(F.col("label") == "UP", "DOWN").when(F.col("label") == "DOWN", "UP").otherwise("HOLD"))
+    model = modeling.fit_boosted(rows, val, ["x"], {"n_trees": 9, "max_depth": 2, "learning_rate": 1.0, "patience": 2, "subsample": 0.8})
+    assert len(model.losses) < 9 and model.best_round == len(model.losses) - 2
+
+
 def test_search_picks_from_the_front(spark):
     rows = model_rows(spark, 1200)
     found = modeling.walk_forward_tune(
