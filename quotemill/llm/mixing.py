@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.llm.text import renamed, stage
+from quotemill.llm.text import release, renamed, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 4.0
@@ -147,7 +147,9 @@ def last_places(tokens: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFra
     fits = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("place")) + F.col("before") <= F.col("rest")
     here = rows.withColumn("fits", fits).filter("fits").select("source", F.col("place").alias("last"))
     earlier = cut.filter("last IS NOT NULL").select("source", "last")
-    return here.union(earlier).groupBy("source").agg(F.max("last").alias("last"))
+    last = stage(here.union(earlier).groupBy("source").agg(F.max("last").alias("last")), "mix-last")
+    release(placed, sums)
+    return last
 
 
 def mix_sources(
@@ -187,6 +189,7 @@ def mix_sources(
     readings = stage(
         plan.join(last, "source", "left").select("source", "whole_blocks", "last", length.alias("length")), "mix-readings"
     )
+    release(tokens)
     rows = with_sources(inner.withColumn("source", source), readings, names[id_col])
     partial = place_of(F.col("whole_blocks"), key, seed) <= F.col("last")
     epochs = F.expr("sequence(0, whole_blocks)")

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,12 +186,14 @@ class _SequenceWriter:
 
 
 FILES = "shard int, path string, n_docs long, n_tokens long"
+RUNS = ["id", "digest", "text", "n"]
 
 
 def run_lengths(rows: DataFrame) -> DataFrame:
-    """Rows ``id, text`` with ``n``, how often each follows itself; what is written n times is shuffled once.
+    """Rows ``id, digest, text`` with ``n``, how often each follows itself; what is written n times is shuffled once.
 
     Works along the partitions as they are, so copies that do not stand next to each other stay rows of their own.
+    Texts are packed for the way.
     """
 
     def equal(column, n):
@@ -203,20 +206,25 @@ def run_lengths(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ones(batch.num_rows, np.int64))], names=["id", "text", "n"])
+            batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ones(batch.num_rows, np.int64))], names=RUNS)
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            same = equal(batch.column(0), batch.num_rows) & equal(batch.column(1), batch.num_rows)
+            same = equal(batch.column(0), batch.num_rows) & equal(batch.column(2), batch.num_rows)
             starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
-            n = pa.array(np.add.reduceat(batch.column(2).to_numpy(), starts))
+            n = pa.array(np.add.reduceat(batch.column(3).to_numpy(), starts))
             first = batch.take(pa.array(starts))
-            runs = pa.RecordBatch.from_arrays([first.column(0), first.column(1), n], names=["id", "text", "n"])
+            runs = pa.RecordBatch.from_arrays([*first.columns[:3], n], names=RUNS)
             held = runs.slice(len(starts) - 1)
-            yield runs.slice(0, len(starts) - 1)
+            yield pack(runs.slice(0, len(starts) - 1))
         if held is not None:
-            yield held
+            yield pack(held)
 
-    return rows.mapInArrow(merge, "id long, text string, n long")
+    def pack(runs):
+        packer = zstandard.ZstdCompressor(level=1)
+        texts = pa.array([packer.compress(t) for t in texts_of(runs, "text")], pa.binary())
+        return pa.RecordBatch.from_arrays([runs.column(0), runs.column(1), texts, runs.column(3)], names=RUNS)
+
+    return rows.select(*RUNS[:3]).mapInArrow(merge, "id long, digest long, text binary, n long")
 
 
 def write_token_files(
@@ -242,7 +250,8 @@ def write_token_files(
     Equal rows are encoded once and written as often as they occur. With ``copies``, those that stand next to each other,
     as readings of one document do in a mixture, also travel as one row with a count; the files are the same.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # A hash of the text spreads an id that very many rows share.
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     shards = (plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES + 1
     size = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = "<u2" if size <= 2**16 else "<u4"
@@ -263,7 +272,10 @@ def write_token_files(
                 writer = _SequenceWriter(sink, index, dtype, length)
             end = np.array([end_id], dtype)
             names, docs = [], []
-            for doc_id, text, n in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), batch.column(2).to_pylist(), strict=True):
+            texts = texts_of(batch, "text")
+            if copies:
+                texts = map(zstandard.ZstdDecompressor().decompress, texts)
+            for doc_id, text, n in zip(batch.column(0).to_pylist(), texts, batch.column(3).to_pylist(), strict=True):
                 if last is None or last[0] != text:
                     last = text, np.concatenate([encoder.encode(text.decode()), end])
                 names += [doc_id] * n
@@ -280,10 +292,9 @@ def write_token_files(
                 ["shard", "path", "n_docs", "n_tokens"],
             )
 
-    # Ranges of ids, where a hash of the text spreads an id that very many rows share.
     counted = run_lengths(plain) if copies else plain.withColumn("n", F.lit(1).cast("long"))
-    ranges = counted.repartitionByRange(shards, F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    ordered = ranges.sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("id").asc_nulls_first(), F.col("digest")]
+    ordered = counted.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     return stage(ordered.mapInArrow(write, FILES), "token-files")
 
 
