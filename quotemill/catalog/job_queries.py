@@ -221,6 +221,34 @@ def _(spark, sf):
     return published.unionByName(messages.missed_articles(articles, published).select("id", "headline"))
 
 
+@query("stream_news_dedupe_lasting", f"WITH {ARTICLES} SELECT id, headline FROM base")
+def _(spark, sf):
+    out = work_path(spark, "unique")
+    stream = messages.dedupe_lasting(messages.live_articles(spark, _landed(spark, sf), 2))
+    ticks.to_parquet(stream.select("id", "headline"), out, work_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(
+    "backfill_by_day",
+    f"WITH {ARTICLES}, e AS (SELECT max(ts) AS stop FROM events) SELECT id, count(*)::BIGINT AS deliveries, "
+    "max((epoch_us(created_at) - epoch_us(stop - INTERVAL 7 DAY)) // 86400000000)::BIGINT AS day_slice, "
+    "time_bucket(INTERVAL 1 MILLISECOND, max(created_at)) AS created FROM delivered, e "
+    "WHERE created_at >= stop - INTERVAL 7 DAY AND created_at < stop GROUP BY id",
+)
+def _(spark, sf):
+    # Two runs: the second finds every day finished and publishes nothing again.
+    stored, end, path = _articles(spark, sf), F.lit(_end(spark, sf)), work_path(spark, "historical")
+    for days in (messages.BACKFILL_DAYS, 0):
+        assert len(messages.backfill_by_day(stored, end, f"{path}-days", path)) == days
+    records = spark.read.parquet(path)
+    back = F.regexp_extract("day", "([0-9]+)d$", 1).cast("bigint")
+    created = messages.creation_time(records).cast("timestamp_ntz")
+    return records.groupBy(F.col("key").cast("bigint").alias("id")).agg(
+        F.count("*").alias("deliveries"), (messages.BACKFILL_DAYS - F.max(back)).alias("day_slice"), F.max(created).alias("created")
+    )
+
+
 @query(
     "dedupe_messages_batch",
     f"WITH {ARTICLES} SELECT id, headline, updated_at FROM delivered QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1",
@@ -245,7 +273,7 @@ def _(spark, sf):
         work_path(spark, "checkpoint"),
     )
     run.awaitTermination()
-    both = spark.read.parquet(history).unionByName(spark.read.parquet(live))
+    both = spark.read.parquet(history).drop("day").unionByName(spark.read.parquet(live))
     return messages.dedupe_batch(messages.from_envelope(both)).select("id")
 
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quotemill.functions.text import clean_text
 from quotemill.schemas import ARTICLE_SCHEMA
 from quotemill.sources.articles import BACKFILL_DAYS, backfill_articles, matches_symbols, oldest_first
+from quotemill.sources.tables import is_built
 
 # Fields of a message, in order.
 MESSAGE_FIELDS = [
@@ -18,6 +21,9 @@ MESSAGE_FIELDS = [
     "created_at", "updated_at",
 ]
 
+# Name of the header with the creation time, in milliseconds.
+CREATED_HEADER = "created_at_ms"
+
 # Times keep their microseconds.
 JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -49,19 +55,31 @@ def kafka_articles(spark: SparkSession, bootstrap_servers: str, topic: str) -> D
     return raw.select(F.from_json(F.col("value").cast("string"), ARTICLE_SCHEMA).alias("m")).select("m.*")
 
 
+def creation_time(records: DataFrame) -> Column:
+    """The creation time of records, from their header: a topic's own time is that of its writing."""
+    found = F.filter("headers", lambda h: h["key"] == CREATED_HEADER)
+    return F.timestamp_millis(F.get(found, F.lit(0))["value"].cast("string").cast("bigint"))
+
+
 def to_message(articles: DataFrame) -> DataFrame:
     """Articles to message rows: the fields in order, the body cleaned."""
     return articles.withColumn("content", clean_text("content")).select(*MESSAGE_FIELDS)
 
 
 def to_envelope(messages: DataFrame) -> DataFrame:
-    """Message rows to records: key, JSON value, and the creation time in whole milliseconds."""
+    """Message rows to records: key, JSON value, and the creation time in whole milliseconds.
+
+    Topics keep no given time of a record, so it is a header as well, see :func:`creation_time`.
+    """
     # Missing fields are written as null, like the other fields.
     value = F.to_json(F.struct(*MESSAGE_FIELDS), {"ignoreNullFields": "false", **JSON_TIMES})
+    millis = F.unix_millis("created_at")
+    header = F.struct(F.lit(CREATED_HEADER).alias("key"), millis.cast("string").cast("binary").alias("value"))
     return messages.select(
         F.col("id").cast("string").alias("key"),
         value.alias("value"),
-        F.timestamp_millis(F.unix_millis("created_at")).alias("timestamp"),
+        F.timestamp_millis(millis).alias("timestamp"),
+        F.array(header).alias("headers"),
     )
 
 
@@ -72,7 +90,7 @@ def from_envelope(records: DataFrame) -> DataFrame:
 def publish_batch(records: DataFrame, path: str | None = None, kafka: dict[str, str] | None = None) -> None:
     """Write records to a topic, or append them to a parquet store with the same columns."""
     if kafka is not None:
-        writer = records.write.format("kafka").option("kafka.acks", "all")
+        writer = records.drop("timestamp").write.format("kafka").option("kafka.acks", "all")
         writer.options(**kafka).save()
     else:
         records.write.mode("append").parquet(path)
@@ -115,6 +133,32 @@ def dedupe_stream(
     return timed.withWatermark("created_at", f"{remembered_days} days").dropDuplicatesWithinWatermark(["id"])
 
 
+def dedupe_lasting(messages: DataFrame, keep_days: int | None = None) -> DataFrame:
+    """Drop re-delivered articles of a stream, however late they or their first delivery come.
+
+    Ids are keyed state; no watermark drops anything. Of several versions in one micro-batch the earliest is let through.
+    Rows without an id are no articles. With ``keep_days`` an id is forgotten so long after its last delivery; that is for
+    streams that run on, as one that ends with its input would wait for the time to pass. For more ids than fit into
+    memory, set RocksDB as the session's state store.
+    """
+
+    def first_delivery(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = state.exists
+        rows = pd.concat(list(batches))
+        state.update(((state.get[0] if known else 0) + len(rows),))
+        if keep_days is not None:
+            state.setTimeoutDuration(keep_days * 86_400_000)
+        if not known:
+            yield rows.sort_values("updated_at", kind="stable").head(1)
+
+    lives = GroupStateTimeout.NoTimeout if keep_days is None else GroupStateTimeout.ProcessingTimeTimeout
+    ids = messages.where(F.col("id").isNotNull()).groupBy("id")
+    return ids.applyInPandasWithState(first_delivery, messages.schema, "deliveries long", "append", lives)
+
+
 def missed_articles(landed: DataFrame, published: DataFrame) -> DataFrame:
     """Articles that have landed, of which no version was published: their latest version, once.
 
@@ -136,6 +180,50 @@ def dedupe_batch(messages: DataFrame) -> DataFrame:
     )
 
 
+def finished_days(spark: SparkSession, log: str) -> set[str]:
+    """Days that a back-fill has published in full."""
+    if not is_built(spark, log):
+        return set()
+    return {r.day for r in spark.read.schema("day string").json(log).collect()}
+
+
+def backfill_by_day(
+    stored: DataFrame,
+    end,
+    log: str,
+    path: str | None = None,
+    kafka: dict[str, str] | None = None,
+    symbols: Sequence[str] = ("*",),
+    backfill_days: int = BACKFILL_DAYS,
+) -> list[str]:
+    """Publish the days before ``end`` from the store, oldest first and one by one; returns those published now.
+
+    A day is entered in the ``log`` when all of it is out, so a run that broke off goes on with the day it was at. In a
+    folder a day is a partition that is written anew as a whole: nothing is lost or repeated. A topic may hold the
+    first part of the broken day twice, which consumers drop by id. Days are told apart by their start, so a run goes on
+    if it has the same ``end``.
+    """
+    spark = stored.sparkSession
+    end = end if isinstance(end, Column) else F.lit(end).cast("timestamp")
+    first = F.date_format(F.to_utc_timestamp(end, F.current_timezone()), "yyyy-MM-dd'T'HH-mm-ss.SSS").alias("end")
+    name = spark.range(1).select(first).first()["end"]
+    history = backfill_articles(stored, end, symbols, backfill_days)
+    done, published = finished_days(spark, log), []
+    for place in range(backfill_days):
+        day = f"{name}-{backfill_days - place}d"
+        if day in done:
+            continue
+        articles = oldest_first(history.where(F.col("day_slice") == place).drop("day_slice"))
+        records = to_envelope(to_message(articles))
+        if kafka is not None:
+            publish_batch(records, kafka=kafka)
+        else:
+            records.write.mode("overwrite").parquet(f"{path}/day={day}")
+        spark.createDataFrame([(day,)], "day string").coalesce(1).write.mode("append").json(log)
+        published.append(day)
+    return published
+
+
 def backfill_then_live(
     stored: DataFrame,
     live: DataFrame,
@@ -146,12 +234,13 @@ def backfill_then_live(
     symbols: Sequence[str] = ("*",),
     backfill_days: int = BACKFILL_DAYS,
     available_now: bool = True,
+    kafka: dict[str, str] | None = None,
 ) -> StreamingQuery:
-    """Publish the last days from the store, oldest first, then follow the live stream.
+    """Publish the last days from the store, day by day, then follow the live stream, both to folders or to a topic.
 
-    The back-fill is one append whose files are ordered by time; it is complete before the stream
-    starts, and consumers drop what both feeds deliver by id.
+    The back-fill is complete before the stream starts; called again with the same ``end`` it goes on where it broke off.
+    Consumers drop what both feeds deliver by id.
     """
-    history = oldest_first(backfill_articles(stored, end, symbols, backfill_days).drop("day_slice"))
-    publish_batch(to_envelope(to_message(history)), history_path)
-    return publish_stream(live, checkpoint, live_path, symbols=symbols, available_now=available_now)
+    backfill_by_day(stored, end, f"{history_path}-days", history_path, kafka, symbols, backfill_days)
+    path = None if kafka is not None else live_path
+    return publish_stream(live, checkpoint, path, kafka, symbols, available_now)

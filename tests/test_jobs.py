@@ -291,6 +291,61 @@ def test_envelope(spark):
     assert back == article_rows(spark).drop("content").orderBy("id").collect()
 
 
+def test_a_topic_keeps_the_creation_time_in_a_header(spark):
+    records = messages.to_envelope(messages.to_message(article_rows(spark))).drop("timestamp")
+    found = records.select(F.col("key").cast("bigint").alias("id"), messages.creation_time(records).alias("t")).join(article_rows(spark), "id")
+    assert found.where(F.date_trunc("millisecond", "created_at") != F.col("t")).count() == 0 and found.count() == 8
+
+
+def test_a_broken_backfill_goes_on_with_its_day(spark, tmp_path, monkeypatch):
+    rows, end, path, log = article_rows(spark), "2024-01-09 00:00:00", str(tmp_path / "history"), str(tmp_path / "log")
+    calls, write = [], messages.to_envelope
+
+    def broken(df):
+        calls.append(1)
+        if len(calls) == 4:
+            raise RuntimeError("lost")
+        return write(df)
+
+    monkeypatch.setattr(messages, "to_envelope", broken)
+    with pytest.raises(RuntimeError):
+        messages.backfill_by_day(rows, end, log, path)
+    assert len(messages.finished_days(spark, log)) == 3
+    # What a lost run left of the day at hand is written over.
+    left = spark.read.parquet(path).drop("day").limit(1)
+    day = sorted(messages.finished_days(spark, log), key=lambda d: -int(d.rsplit("-", 1)[1][:-1]))[0].rsplit("-", 1)[0] + "-4d"
+    left.write.parquet(f"{path}/day={day}")
+    rest = messages.backfill_by_day(rows, end, log, path)
+    assert len(rest) == 4 and rest[0] == day
+    assert messages.backfill_by_day(rows, end, log, path) == []
+    keys = [r.key for r in spark.read.parquet(path).collect()]
+    assert sorted(keys) == sorted(str(r.id) for r in rows.where("created_at >= '2024-01-02'").collect())
+
+
+def test_lasting_memory_lets_every_id_through_once(spark, tmp_path):
+    landing, out, checkpoint = (str(tmp_path / n) for n in ("landing", "out", "checkpoint"))
+    row = article_rows(spark).where("id = 1")
+
+    def land(*deliveries):
+        for number, day, version in deliveries:
+            created = F.timestamp_seconds(F.lit(1_700_000_000 + 86_400 * day))
+            one = row.withColumns({"id": F.lit(number).cast("bigint"), "created_at": created, "updated_at": created + F.make_dt_interval(hours=F.lit(version))})
+            messages.land_articles(one.coalesce(1), landing)
+            time.sleep(0.02)
+
+    def run():
+        stream = messages.dedupe_lasting(messages.live_articles(spark, landing, 1))
+        ticks.to_parquet(stream.select("id", "updated_at"), out, checkpoint).awaitTermination()
+        return sorted(r.id for r in spark.read.parquet(out).collect())
+
+    # Number 3 is nine days older than what came before it, number 1 comes again after that.
+    land((1, 20, 0), (2, 21, 0), (1, 20, 1), (3, 11, 0), (1, 20, 2))
+    assert run() == [1, 2, 3]
+    # A new run remembers, and a month back is not too late for a first delivery.
+    land((2, 21, 3), (3, 11, 1), (4, -30, 0))
+    assert run() == [1, 2, 3, 4]
+
+
 def test_backfill_slices(spark):
     found = articles.backfill_articles(article_rows(spark), "2024-01-06 00:00:00", ["A"], 3)
     rows = {r.id: r.day_slice for r in found.collect()}
