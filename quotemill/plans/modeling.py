@@ -29,13 +29,14 @@ from quotemill.plans.labels import with_class_weights
 from quotemill.plans.splits import (
     assert_no_leakage,
     chronological_split,
+    fold_table,
     sample_symbols,
     split_bounds,
     walk_forward_splits,
 )
-from quotemill.schemas import NON_FEATURE_COLUMNS, RATINGS
-from quotemill.session import work_path
-from quotemill.sources.tables import write_parquet
+from quotemill.plans.tuning import Space, TrialStore, fold_rows, propose
+from quotemill.schemas import MAX_SPAN_DAYS, NON_FEATURE_COLUMNS
+from quotemill.session import staged, work_path
 
 # Share of symbols searched on, folds, finalists.
 SEARCH_FRACTION = 0.3
@@ -189,7 +190,7 @@ class SearchResult:
 
     trials: DataFrame
     params: Params
-    model: Forest
+    model: Forest | Boosted
     key: tuple[float, float]
 
 
@@ -197,52 +198,62 @@ def walk_forward_tune(
     spark: SparkSession,
     dataset: DataFrame,
     features: Sequence[str],
-    space: dict[str, Sequence[float]],
+    space: Space,
     n_folds: int = N_FOLDS,
     fraction: float = SEARCH_FRACTION,
     seed: int = 0,
     n_finalists: int = FINALISTS,
     check_leakage: bool = True,
+    n_trials: int | None = None,
+    store: str | None = None,
+    boosted: bool = False,
 ) -> SearchResult:
     """Search parameters on walk-forward folds of a symbol sample, refit the best on all symbols.
 
-    Fold boundaries come from the whole dataset's dates. The dataset should be a stored table: each
-    fit scans it. What comes back to the driver is one score row per fit.
+    Fold boundaries come from the whole dataset's dates. The dataset should be a stored table: each fit reads its date
+    ranges. Without ``n_trials`` every combination of the listed values is a trial; with it, trials are
+    proposed from those before (:func:`quotemill.plans.tuning.propose`), also within a ``Range``. Finished trials are kept in
+    ``store``; a search broken off goes on with them, if its settings are the same. ``boosted`` fits stop early on
+    the fold's validation rows. What comes back to the driver is one score row per fit.
     """
     splits = chronological_split(dataset)
-    bounds = split_bounds(dataset)
-    folds = walk_forward_splits(
-        sample_symbols(dataset, fraction, seed), n_folds, boundary_dates=dataset.select("date")
-    )
-    # Every fit reads one fold and role: stored by both, it scans just those files.
-    path = work_path(spark, "folds")
-    write_parquet(folds, path, by=["fold", "role"])
-    folds = spark.read.parquet(path)
+    sample = staged(sample_symbols(dataset, fraction, seed), "search-rows")
+    folds = fold_table(dataset.select("date"), n_folds).collect()
     if check_leakage:
-        assert_no_leakage(folds, bounds)
-    rows = []
-    for trial, params in enumerate(grid(space)):
+        listed = walk_forward_splits(sample, n_folds, boundary_dates=dataset.select("date"))
+        assert_no_leakage(listed, split_bounds(dataset))
+    if n_trials is None:
+        listed_params = grid(space)
+    settings = {"fraction": fraction, "seed": seed, "n_folds": n_folds, "boosted": boosted, "features": list(features)}
+    settings |= {"folds": [[str(v) for v in f] for f in folds], "space": {k: str(v) for k, v in space.items()}}
+    kept = TrialStore(spark, store or work_path(spark, "trials"), settings)
+
+    def fit(train: DataFrame, val: DataFrame, params: Params) -> Forest | Boosted:
+        return fit_boosted(train, val, features, params, seed) if boosted else fit_forest(train, features, params, seed)
+
+    done = kept.trials()
+    for trial in range(len(listed_params) if n_trials is None else n_trials):
+        if any(t["trial"] == trial for t in done):
+            continue
+        params = listed_params[trial] if n_trials is None else propose(space, done, trial, seed)
         # Row minimums are on the full scale, the folds hold only a share of the symbols.
         scaled = {**params, **({"min_rows": params["min_rows"] * fraction} if "min_rows" in params else {})}
         scores = []
-        for fold in range(n_folds):
-            part = folds.where(F.col("fold") == fold)
-            model = fit_forest(part.where(F.col("role") == "train"), features, scaled, seed)
-            scores.append(score_predictions(model.predict(part.where(F.col("role") == "val"))).first())
-        rows.append(
-            (
-                trial,
-                json.dumps(params, sort_keys=True),
-                sum(s["log_loss"] for s in scores) / n_folds,
-                sum(s["macro_f1"] for s in scores) / n_folds,
-            )
-        )
-    trials = spark.createDataFrame(rows, "trial bigint, params string, log_loss double, macro_f1 double")
+        for fold in folds:
+            train, val = fold_rows(sample, folds, fold["fold"], MAX_SPAN_DAYS)
+            model = fit(train, val, scaled)
+            score = score_predictions(model.predict(val)).first().asDict()
+            if boosted:
+                score["best_iteration"] = model.best_round
+            scores.append(score)
+        kept.add(trial, params, scores)
+        done = kept.trials()
+    trials = kept.table().drop("folds")
     train, val = splits.where(F.col("split") == "train"), splits.where(F.col("split") == "val")
     best = None
     for trial in best_trials(pareto_front(trials), n_finalists).collect():
         params = json.loads(trial["params"])
-        model = fit_forest(train, features, params, seed)
+        model = fit(train, val, params)
         score = score_predictions(model.predict(val)).first()
         key = (score["macro_f1"], -score["log_loss"])
         if best is None or key > best.key:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotemill.operators.joins import DuplicateKeysError
-from quotemill.plans import evaluation, experiments, labels, modeling, prices, splits
+from quotemill.plans import evaluation, experiments, labels, modeling, prices, splits, tuning
 from quotemill.schemas import HEADLINE_FEATURES, PRICE_FEATURES
 from quotemill.session import staged, work_path
 from quotemill.sources import articles, tables
@@ -201,6 +201,45 @@ def test_search_picks_from_the_front(spark):
     assert found.key[0] > 0.9
 
 
+def test_a_broken_search_makes_the_same_trials(spark, tmp_path, monkeypatch):
+    rows = staged(model_rows(spark, 1200), "rows")
+    space = {"max_depth": [1, 2], "n_trees": tuning.Range(2, 4, whole=True)}
+    search = lambda store, **more: modeling.walk_forward_tune(
+        spark, rows, ["x"], space, 2, 0.5, n_finalists=1, check_leakage=False, n_trials=3, store=str(tmp_path / store), **more
+    )
+    whole = search("whole").trials.orderBy("trial").collect()
+    calls, fit = [], modeling.fit_forest
+
+    def broken(*args):
+        calls.append(1)
+        if len(calls) == 4:  # in the second fold of the second trial
+            raise RuntimeError("lost")
+        return fit(*args)
+
+    monkeypatch.setattr(modeling, "fit_forest", broken)
+    with pytest.raises(RuntimeError):
+        search("broken")
+    assert search("broken").trials.orderBy("trial").collect() == whole and len(whole) == 3
+    assert len(calls) == 4 + 4 + 1  # the first trial was not done again
+    with pytest.raises(tuning.SearchSettingsError):
+        search("broken", seed=1)
+
+
+def test_proposals_move_towards_good_trials():
+    space = {"rate": tuning.Range(0.01, 1.0, log=True), "depth": [1, 2, 3, 4], "n": tuning.Range(1, 9, whole=True)}
+    done = []
+    for trial in range(60):
+        params = tuning.propose(space, done, trial, 5)
+        assert 0.01 <= params["rate"] <= 1 and params["depth"] in (1, 2, 3, 4) and params["n"] in range(1, 10)
+        loss = abs(np.log(params["rate"] / 0.1)) + abs(params["depth"] - 3) + abs(params["n"] - 7) / 4
+        done.append({"trial": trial, "params": params, "log_loss": loss, "macro_f1": -loss})
+    first, last = ([t["log_loss"] for t in done[a:b]] for a, b in ((0, 8), (40, 60)))
+    assert np.mean(last) < 0.6 * np.mean(first)
+    # A proposal depends on the trials before it alone.
+    assert tuning.propose(space, done, 30, 5) == done[30]["params"]
+    assert tuning.propose(space, done[:30], 30, 6) != done[30]["params"]
+
+
 def test_pareto_front(spark):
     trials = spark.createDataFrame(
         [(0, 1.0, 0.5), (1, 0.9, 0.4), (2, 1.0, 0.4), (3, 1.1, 0.6), (4, 0.9, 0.4)],
