@@ -96,9 +96,10 @@ def rank_ic(
         rows_per_bucket=rows_per_bucket,
     )
     spread = F.stddev_pop("_x") * F.stddev_pop("_y")
-    ics = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.try_divide(F.covar_pop("_x", "_y"), spread).alias("ic")
-    )
+    ic = F.try_divide(F.covar_pop("_x", "_y"), spread)
+    # Unrelated ranks leave a trace of rounding, which would count as a day of either sign.
+    ic = F.when(F.abs(ic) < 1e-13, F.lit(0.0)).otherwise(ic)
+    ics = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), ic.alias("ic"))
     return ics.where(F.col("_n") >= min_rows).drop("_n")
 
 

@@ -23,7 +23,7 @@ from quotemill.plans.evaluation import (
     ranking_metrics,
     seed_average,
 )
-from quotemill.plans.modeling import Params, assert_feature_set, fit_forest
+from quotemill.plans.modeling import Params, assert_feature_set, fit_boosted, fit_forest, score_predictions
 from quotemill.plans.splits import chronological_split, split_date_ranges
 from quotemill.schemas import (
     COUNT_FEATURES,
@@ -31,6 +31,7 @@ from quotemill.schemas import (
     HEADLINE_FEATURES,
     MIN_ROWS_PER_DATE,
     PRICE_FEATURES,
+    RATINGS,
     SUMMARY_FEATURES,
 )
 from quotemill.sources.tables import is_built
@@ -113,11 +114,10 @@ def experiment_features(df: DataFrame, experiment: Experiment, seed: int) -> Dat
     return out
 
 
-def run_config(experiment: Experiment, seed: int, params: Params, ranges: Sequence) -> str:
+def run_config(experiment: Experiment, seed: int, params: Params, ranges: Sequence, boosted: bool = False) -> str:
     """Everything a run's result depends on, as canonical JSON."""
-    return json.dumps(
-        {**asdict(experiment), "seed": seed, "params": params, "splits": sorted(ranges)}, sort_keys=True
-    )
+    config = {**asdict(experiment), "seed": seed, "params": params, "splits": sorted(ranges)}
+    return json.dumps(config | ({"boosted": True} if boosted else {}), sort_keys=True)
 
 
 def config_key(config: str) -> str:
@@ -130,31 +130,48 @@ def saved_runs(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def run_experiment(
-    spark: SparkSession, experiment: Experiment, seed: int, splits: DataFrame, params: Params, path: str
+    spark: SparkSession,
+    experiment: Experiment,
+    seed: int,
+    splits: DataFrame,
+    params: Params,
+    path: str,
+    boosted: bool = False,
 ) -> bool:
     """Train one experiment with one seed and save its test probabilities and scores.
 
+    A ``boosted`` model stops early on the validation part; a forest is only scored on it.
+
     Skipped, returning False, if a run with the same configuration is already saved. Every configuration has
     probabilities of its own, and its scores are written last, so a run that broke off is done again and no
     run changes another's. ``splits`` should be a stored table.
     """
-    config = run_config(experiment, seed, params, _ranges(splits))
+    config = run_config(experiment, seed, params, _ranges(splits), boosted)
     key = config_key(config)
     runs = saved_runs(spark, path)
     if runs is not None and runs.where(F.col("config_key") == key).head(1):
         return False
     part = lambda name: splits.where(F.col("split") == name).drop("split")
-    # Another permutation per split, so the placebo cannot line up across them.
+    # The seeds of the permutations are far apart, so no part repeats another's.
     train = experiment_features(part("train"), experiment, seed)
+    val = experiment_features(part("val"), experiment, seed + 1000)
     test = experiment_features(part("test"), experiment, seed + 2000)
-    model = fit_forest(train, experiment.features, params, seed)
+    if boosted:
+        model = fit_boosted(train, val, experiment.features, params, seed)
+    else:
+        model = fit_forest(train, experiment.features, params, seed)
+    val_loss = score_predictions(model.predict(val)).select("log_loss")
     predicted = model.predict(test)
     kept = [*EVALUATION_COLUMNS, "volatility_21d", "news_count_7d", *PROBABILITIES]
     probabilities = f"{path}/probabilities/experiment={experiment.name}/seed={seed}/config_key={key}"
     predicted.select(*[c for c in kept if c in predicted.columns]).write.mode("overwrite").parquet(probabilities)
     stored = spark.read.parquet(probabilities)
     scores = evaluate_model(stored, train).where(F.col("model") == "model")
-    ece = calibration_error(stored).agg(F.avg("ece").alias("mean_ece"))
+    classes = {name: f"ece_{name.lower()}" for name in RATINGS}
+    ece = calibration_error(stored).agg(
+        F.struct(F.avg("ece").alias("mean_ece"), *[F.max(F.when(F.col("rating") == r, F.col("ece"))).alias(c) for r, c in classes.items()]).alias("e")
+    )
+    ece = ece.scalar()
     row = scores.select(
         F.lit(experiment.name).alias("experiment"),
         F.lit(seed).cast("bigint").alias("seed"),
@@ -162,7 +179,9 @@ def run_experiment(
         F.lit(key).alias("config_key"),
         F.col("macro_f1"),
         F.col("log_loss"),
-        ece.scalar().alias("mean_ece"),
+        *[ece[c].alias(c) for c in ("mean_ece", *classes.values())],
+        val_loss.scalar().alias("val_log_loss"),
+        F.lit(model.best_round if boosted else None).cast("bigint").alias("best_iteration"),
     )
     row.coalesce(1).write.mode("append").parquet(f"{path}/runs")
     return True
@@ -200,7 +219,9 @@ def summarize(
     wanted = runs.select("experiment", "seed", "config_key").distinct()
     probabilities = probabilities.withColumn("seed", F.col("seed").cast("bigint"))
     probabilities = probabilities.join(wanted, ["experiment", "seed", "config_key"], "left_semi").drop("config_key")
-    per_seed = mean_and_spread(runs, ["experiment"], ["macro_f1", "log_loss", "mean_ece"])
+    scores = ["macro_f1", "log_loss", "mean_ece", *[f"ece_{r.lower()}" for r in RATINGS], "val_log_loss", "best_iteration"]
+    seeds = runs.groupBy("experiment").agg(F.count_distinct("seed").alias("n_seeds"))
+    per_seed = mean_and_spread(runs, ["experiment"], scores).join(seeds, "experiment")
     summaries, daily = [], {}
     for name in names:
         one = probabilities.where(F.col("experiment") == name)
@@ -235,11 +256,12 @@ def run_experiments(
     experiments: Sequence[Experiment] = tuple(EXPERIMENTS),
     seeds: Sequence[int] = tuple(SEEDS),
     min_rows: int = MIN_ROWS_PER_DATE,
+    boosted: bool = False,
 ) -> dict[str, DataFrame]:
     """Run what is missing, then compare all experiments."""
     ranges, configs = _ranges(splits), []
     for experiment in experiments:
         for seed in seeds:
-            run_experiment(spark, experiment, seed, splits, params, path)
-            configs.append(config_key(run_config(experiment, seed, params, ranges)))
+            run_experiment(spark, experiment, seed, splits, params, path, boosted)
+            configs.append(config_key(run_config(experiment, seed, params, ranges, boosted)))
     return summarize(spark, path, [e.name for e in experiments], min_rows, configs=configs)
