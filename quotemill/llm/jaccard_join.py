@@ -12,6 +12,11 @@ tile every pair of different groups passes three upper bounds on the overlap: fr
 place of the shared shingle, and from the differing bits of the classes' hashed bitmaps. Only pairs that
 pass are intersected. No bound can lose a link. Copies share long runs of shingles; a pair is given out only
 where a run begins.
+
+In a family of near copies that the first step did not tie together, nearly all pairs pass. So tiles first give out
+a spanning forest of the groups that they could join, likeliest pairs first, and the classes of all pairs held back.
+These classes are tiled again with the groups that the forest made. Only what still joins different groups after
+that is given out in full.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ COUNTERS = 1 << 18
 TILE = 512
 # Rows of a crowded shingle that one task takes.
 ROWS_PER_PART = 10_000
+# Passes over the tiles that give out forests, before one that gives out every pair left.
+FORESTS = 3
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -252,10 +259,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(intersect, "a long, b long")
 
 
-def _bounded_pairs(tile: np.ndarray, rows: dict[str, np.ndarray], bits: list[bytes]) -> np.ndarray:
+def _bounded_pairs(tile: np.ndarray, rows: dict[str, np.ndarray], bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of the same tile, as two rows of positions, that pass all upper bounds on their overlap.
 
-    Rows are sorted by tile, so the partners of a row are the next ones: first all pairs one row apart, then two,
+    With them comes the bound from the bitmaps over the overlap that they need. Rows are sorted by tile, so the partners of a row are the next ones: first all pairs one row apart, then two,
     and so on, as long as there are tiles of that many rows.
     """
     n, pos, comp, side, cross, before = (rows[c] for c in ("n", "pos", "comp", "side", "cross", "before"))
@@ -274,7 +281,7 @@ def _bounded_pairs(tile: np.ndarray, rows: dict[str, np.ndarray], bits: list[byt
         away += 1
         here = here[here + away < len(tile)]
     if not found:
-        return np.zeros((2, 0), np.int64)
+        return np.zeros((2, 0), np.int64), np.zeros(0)
     pairs = np.concatenate(found, axis=1)
     widths = np.array([len(b) for b in bits])
     place = np.zeros(len(bits), np.int64)
@@ -283,7 +290,7 @@ def _bounded_pairs(tile: np.ndarray, rows: dict[str, np.ndarray], bits: list[byt
         mine = np.flatnonzero(widths == width)
         place[mine] = np.arange(len(mine))
         tables[width] = np.frombuffer(b"".join(bits[k] for k in mine), np.uint8).reshape(-1, width)
-    good = np.zeros(pairs.shape[1], bool)
+    margin = np.zeros(pairs.shape[1])
     kinds = np.stack([widths[pairs[0]], widths[pairs[1]]])
     for one, two in np.unique(kinds, axis=1).T.tolist():
         for at in np.array_split(np.flatnonzero((kinds[0] == one) & (kinds[1] == two)), 1 + pairs.shape[1] // 10_000):
@@ -292,12 +299,46 @@ def _bounded_pairs(tile: np.ndarray, rows: dict[str, np.ndarray], bits: list[byt
             differ = folded(tables[one][place[i]], small) ^ folded(tables[two][place[j]], small)
             differ = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
             # The sets differ in at least so many elements, which leaves at most half of the others in common.
-            good[at] = (n[i] + n[j] - differ) // 2 >= least_overlap(n[i], n[j])
-    return pairs[:, good]
+            margin[at] = (n[i] + n[j] - differ) // 2 / least_overlap(n[i], n[j])
+    good = margin >= 1
+    return pairs[:, good], margin[good]
+
 
+def spanning_forest(ends: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the edges (two rows of node names) form a forest that joins what all of them join.
 
-def _tile_pairs(postings: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Candidate pairs of classes in different groups, from postings ``(key, cls, n, pos, comp, before)``.
+    Every group takes its heaviest edge to another group, the first one among equals, and merges along it, until no
+    edge joins two groups.
+    """
+    order = np.argsort(-weight, kind="stable")
+    names, nodes = np.unique(ends[:, order], return_inverse=True)
+    nodes = nodes.reshape(2, -1)
+    chosen = np.zeros(len(order), bool)
+    own = np.arange(len(names))
+    label = own
+    while len(open_edges := np.flatnonzero(label[nodes[0]] != label[nodes[1]])):
+        one, two = label[nodes[:, open_edges]]
+        heaviest = np.full(len(names), len(order))
+        np.minimum.at(heaviest, one, open_edges)
+        np.minimum.at(heaviest, two, open_edges)
+        groups = np.flatnonzero(heaviest < len(order))
+        edge = heaviest[groups]
+        chosen[order[edge]] = True
+        parent = own.copy()
+        parent[groups] = label[nodes[:, edge]].sum(axis=0) - groups  # the other end
+        # Edges have one order, so the only cycles are two groups that took the same edge.
+        parent = np.where((parent[parent] == own) & (own < parent), own, parent)
+        while (parent != (above := parent[parent])).any():
+            parent = above
+        label = parent[label]
+    return chosen
+
+
+def _tile_pairs(postings: DataFrame, bitmaps: DataFrame, every: bool) -> DataFrame:
+    """Candidate pairs ``a, b`` of classes in different groups, from postings ``(key, cls, n, pos, comp, before)``.
+
+    With ``every`` all of them, or else those of a forest over the groups; a class of a pair that was held back is a
+    row ``(class, null)``. No more rows come out than twice the tiles' rows then.
 
     A key's classes are banded by size, as a class links at most with the next band; keys with many classes in a
     band are cut by hash. Every pair of parts that may hold links is one tile.
@@ -323,11 +364,15 @@ def _tile_pairs(postings: DataFrame, bitmaps: DataFrame) -> DataFrame:
             columns = {c: table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "comp", "before")}
             columns["side"] = table.column("part").to_numpy()
             columns["cross"] = table.column("cross").to_numpy()
-            i, j = _bounded_pairs(table.column("tile").to_numpy(), columns, table.column("bits").to_pylist())
-            ends = np.sort(np.stack([cls[i], cls[j]]), axis=0)
+            pairs, margin = _bounded_pairs(table.column("tile").to_numpy(), columns, table.column("bits").to_pylist())
+            ends, held_back = np.sort(cls[pairs], axis=0), np.zeros(0, np.int64)
             if ends.size:
-                ends = np.unique(ends, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+                ends, at = np.unique(ends, axis=1, return_index=True)
+                if not every:
+                    tree = spanning_forest(columns["comp"][pairs[:, at]], margin[at])
+                    ends, held_back = ends[:, tree], np.unique(ends[:, ~tree])
+            a, b = np.concatenate([ends[0], held_back]), pa.array(ends[1])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.concat_arrays([b, pa.nulls(len(held_back), pa.int64())])], ["a", "b"])
 
         # Whole tiles are compared together, some thousands of rows at a time.
         held = []
@@ -389,11 +434,21 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     before = F.coalesce(F.lag("key").over(Window.partitionBy("cls").orderBy("pos")), F.col("cls"))
     still = stage(placed.join(open_keys, "key").withColumn("before", before), "jaccard-open")
     release(met, open_keys)
-    pairs = stage(_tile_pairs(still, texts.select("cls", "bits")), "jaccard-pairs")
-    release(still)
-    more = stage(_verified(pairs, texts), "jaccard-links")
-    release(pairs, texts)
-    ends = connected_components(links.union(more))
+    for every in [False] * FORESTS + [True]:
+        pairs = stage(_tile_pairs(still, texts.select("cls", "bits"), every), "jaccard-pairs")
+        links = links.union(stage(_verified(pairs.filter("b is not null"), texts), "jaccard-links"))
+        ends = connected_components(links)
+        held_back = pairs.filter("b is null").select(F.col("a").alias("cls"))
+        used = (pairs, still, texts)
+        if held_back.isEmpty():
+            break
+        # Only classes of pairs held back go on, in their new groups.
+        placed = still.drop("comp").join(held_back, "cls", "left_semi")
+        placed = placed.join(ends.withColumnRenamed("node", "cls"), "cls", "left")
+        still = stage(placed.withColumn("comp", F.coalesce("component", "cls")).drop("component"), "jaccard-open")
+        texts = stage(texts.join(held_back, "cls", "left_semi"), "jaccard-texts")
+        release(*used)
+    release(*used)
 
     classes = named.join(ends.withColumnRenamed("node", "cls"), "cls", "left")
     classes = stage(classes.select("cls", "id", "digest", F.coalesce("component", "cls").alias("comp")), "jaccard-classes")

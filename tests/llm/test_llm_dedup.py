@@ -11,7 +11,15 @@ from llm_helpers import awkward, documents, empty
 
 from quotemill.llm import jaccard_join, suffix_dedup
 from quotemill.llm.components import connected_components
-from quotemill.llm.jaccard_join import folded, keep_one_of_each, least_overlap, near_duplicates, parity_bits, prefix_size
+from quotemill.llm.jaccard_join import (
+    folded,
+    keep_one_of_each,
+    least_overlap,
+    near_duplicates,
+    parity_bits,
+    prefix_size,
+    spanning_forest,
+)
 from quotemill.llm.suffix_dedup import remove_repeats
 
 
@@ -70,6 +78,59 @@ def test_components_of_near_copies(spark, monkeypatch, tile):
     assert components(spark, rows) == brute_components(rows)
 
 
+@pytest.mark.parametrize("forests", [0, 1, 3])
+def test_families_near_the_limit(spark, monkeypatch, forests):
+    """Copies of one text with one to three other words: about half of all pairs link."""
+    monkeypatch.setattr(jaccard_join, "FORESTS", forests)
+    given, stage = [], jaccard_join.stage
+
+    def counting(df, name):
+        out = stage(df, name)
+        if name == "jaccard-pairs":
+            given.append(out.filter("b is not null").count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counting)
+    rng = random.Random(5)
+    rows = []
+    for family in range(3):
+        text = [f"f{family}x{rng.randrange(10_000)}" for _ in range(120)]
+        for k in range(100):
+            copy = list(text)
+            for place in rng.sample(range(120), 1 + k % 3):
+                copy[place] = f"o{rng.randrange(10_000)}"
+            rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    assert components(spark, rows) == brute_components(rows)
+    if forests == 3:
+        assert sum(given) < 4 * len(rows)
+
+
+def test_spanning_forest():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        count = int(rng.integers(1, 40))
+        ends = rng.integers(-20, 20, (2, count))
+        ends = ends[:, ends[0] != ends[1]]
+        weight = rng.integers(0, 3, ends.shape[1]).astype(float)
+        tree = spanning_forest(ends, weight)
+
+        def parts(pairs):
+            label = {n: n for n in ends.flat}
+            for a, b in pairs.T.tolist():
+                old, new = label[a], label[b]
+                label = {n: new if x == old else x for n, x in label.items()}
+            return label
+
+        whole, chosen = parts(ends), parts(ends[:, tree])
+        together = lambda x: {frozenset(n for n in x if x[n] == v) for v in x.values()}
+        assert together(whole) == together(chosen)
+        assert tree.sum() == len(whole) - len(together(whole))
+    heavy = spanning_forest(np.array([[1, 2, 1], [2, 3, 3]]), np.array([1.0, 1.5, 1.2]))
+    assert heavy.tolist() == [False, True, True]
+
+
 def test_components_of_the_table(spark):
     rows = [(d["doc_id"], d["text"]) for d in documents(SF_DIR)]
     assert components(spark, rows) == brute_components(rows)
