@@ -71,10 +71,17 @@ def fit_projection(train: DataFrame, k: int, vector: str = "embedding") -> Proje
 
 
 def split_projection(df: DataFrame, train_end, k: int, vector: str = "embedding", date: str = "date") -> DataFrame:
-    """All rows in the components of the rows before ``train_end``, with the split they belong to."""
+    """All rows in the components of the rows before ``train_end``, with the split they belong to.
+
+    Components need two training vectors; with fewer, as in a table whose days are all flooded, they are null for every row.
+    """
     is_train = F.col(date) < F.lit(train_end)
-    fitted = fit_projection(df.where(is_train), k, vector)
-    return fitted.transform(df.withColumn("split", F.when(is_train, "train").otherwise("test")), vector)
+    rows = df.withColumn("split", F.when(is_train, "train").otherwise("test"))
+    train = df.where(is_train & F.col(vector).isNotNull())
+    if train.limit(2).count() < 2:
+        unknown = [F.lit(None).cast("double").alias(f"component_{i + 1}") for i in range(k)]
+        return rows.select(*[c for c in rows.columns if c != vector], *unknown)
+    return fit_projection(train, k, vector).transform(rows, vector)
 
 
 def with_news_components(rows: DataFrame, components: DataFrame, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:

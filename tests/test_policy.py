@@ -98,3 +98,16 @@ def test_components_know_the_training_days_only(spark, articles):
     joined = embeddings.with_news_components(spark.createDataFrame([("a", end), ("z", end)], "symbol string, date date"), out)
     none = joined.where("symbol = 'z'").first()
     assert (none.news_count, none.no_news, none.component_1) == (0, 1, 0.0)
+
+
+def test_without_training_vectors_components_are_null(spark, articles):
+    df = spark.createDataFrame(articles, "symbol string, published_at timestamp_ntz, v array<double>")
+    means = embeddings.news_embeddings(df, "v", 6, 5)
+    assert embeddings.split_projection(means.where("false"), dt.date(2020, 2, 20), 3).collect() == []
+    first = means.agg(F.min("date")).first()[0]
+    early = means.where(F.col("date") == first).limit(1)
+    for rows in (means, early.unionByName(means.where(F.col("date") > first))):
+        end = first if rows is means else first + dt.timedelta(days=1)
+        out = embeddings.split_projection(rows, end, 3)
+        assert out.columns == ["symbol", "date", "news_count", "split", "component_1", "component_2", "component_3"]
+        assert out.count() == rows.count() and out.where("component_1 IS NOT NULL").isEmpty()
