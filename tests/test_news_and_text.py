@@ -250,3 +250,20 @@ def test_price_files_with_another_header(spark, tmp_path):
         ("AA", 10, 0.5, 1.0, 0.25),
         ("BB", 7, 2.0, 4.0, 1.0),
     ]
+
+
+def test_only_references_go_through_python(spark):
+    import html
+
+    from quotemill.functions import text
+
+    texts = ["&amp;lt; &copy &notit; &ampx; &#38;amp; &#x80;&#xD800;&#1;", "&", "&&lt;&", "x" * 50, "&am<b>p; &l<i>t;", "&#x1F600;é&Acirc;;", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    rows = df.select("i", text.unescape_entities(F.col("t")).alias("u"), text.strip_html("t").alias("s"), text.strip_tags("t").alias("p")).collect()
+    for r in rows:
+        assert r.u == (None if texts[r.i] is None else html.unescape(texts[r.i]))
+        assert r.s == html.unescape(r.p)
+    # The texts stay with Spark: what the Python function is given are the few references in them.
+    plan = df.select(text.strip_html("t"))._jdf.queryExecution().optimizedPlan().toString()
+    taken = next(line for line in plan.splitlines() if "EvalPython" in line)
+    assert "_characters" in taken and "regexp_extract_all" in plan and "regexp_replace(" not in taken
