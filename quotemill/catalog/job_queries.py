@@ -217,14 +217,17 @@ def _(spark, sf):
     run = ticks.to_parquet(stream.select("id", "headline"), out, work_path(spark, "checkpoint"))
     run.awaitTermination()
     published = spark.read.parquet(out)
-    articles = spark.read.schema(messages.ARTICLE_SCHEMA).json(landed)
+    # The columns that the result and the choice of a version need: bodies would only be moved.
+    articles = spark.read.schema(messages.ARTICLE_SCHEMA).json(landed).select("id", "headline", "updated_at")
     return published.unionByName(messages.missed_articles(articles, published).select("id", "headline"))
 
 
 @query("stream_news_dedupe_lasting", f"WITH {ARTICLES} SELECT id, headline FROM base")
 def _(spark, sf):
     out = work_path(spark, "unique")
-    stream = messages.dedupe_lasting(messages.live_articles(spark, _landed(spark, sf), 2))
+    # The columns that the result and the choice of a version need: a state takes every column it is given.
+    stream = messages.live_articles(spark, _landed(spark, sf), 2).select("id", "headline", "updated_at")
+    stream = messages.dedupe_lasting(stream)
     ticks.to_parquet(stream.select("id", "headline"), out, work_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(out)
 
@@ -274,7 +277,7 @@ def _(spark, sf):
     )
     run.awaitTermination()
     both = spark.read.parquet(history).drop("day").unionByName(spark.read.parquet(live))
-    return messages.dedupe_batch(messages.from_envelope(both)).select("id")
+    return messages.dedupe_batch(messages.from_envelope(both).select("id", "updated_at")).select("id")
 
 
 # --- Ticks -------------------------------------------------------------------------------------

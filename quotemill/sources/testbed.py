@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quotemill.plans.prices import stock_prices
 from quotemill.plans.sentiment import lexicon_scores
 
+# Bytes of article bodies in a partition, before copies.
+ARTICLE_BYTES = 512_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,33 +94,33 @@ def title_scores(articles: DataFrame, column: str = "title") -> DataFrame:
 
 
 def live_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vendor-style articles, with re-delivered copies, their bodies taken from the web pages."""
+    """Vendor-style articles, with re-delivered copies, their bodies taken from the web pages.
+
+    The events are small next to the articles they become, so they are dealt by the bytes that come out, not by those read.
+    Articles of a page stand together.
+    """
     events = table(spark, sf_dir, "events")
-    pages = table(spark, sf_dir, "pages")
-    n_pages = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
-    article = (
-        events.withColumn("page_id", F.col("event_id") % n_pages)
-        .join(pages.select("page_id", "html"), "page_id")
-        .select(
-            F.col("event_id").alias("id"),
-            F.col("event_type").alias("headline"),
-            F.col("props").alias("summary"),
-            F.col("html").alias("content"),
-            F.lit("wire").alias("source"),
-            F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("http://e/"), F.col("event_id").cast("string"))).alias("url"),
-            F.concat(F.lit("user "), (F.col("user_id") % 10).cast("string")).alias("author"),
-            F.when(F.col("event_id") % 11 == 0, F.array().cast("array<string>"))
-            .otherwise(F.array(F.concat(F.lit("N"), (F.col("user_id") % 25).cast("string"))))
-            .alias("symbols"),
-            F.col("ts").cast("timestamp").alias("created_at"),
-            F.lit(0).alias("delivery"),
-        )
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    n_pages, size = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    parts = events.count() * size // max(n_pages, 1) // ARTICLE_BYTES + 1
+    again = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    narrow = events.withColumn("page_id", F.col("event_id") % F.lit(n_pages).cast("bigint")).select(
+        "page_id", "event_id", "event_type", "props", "user_id", "ts"
     )
-    again = article.where(F.col("id") % 10 == 0).withColumn("delivery", F.lit(1))
-    return (
-        article.unionByName(again)
-        .withColumn("updated_at", F.col("created_at") + F.make_dt_interval(hours=F.col("delivery")))
-        .drop("delivery")
+    article = narrow.repartition(parts, "page_id").join(pages.repartition(parts, "page_id").hint("merge"), "page_id")
+    return article.withColumn("delivery", F.explode(again)).select(
+        F.col("event_id").alias("id"),
+        F.col("event_type").alias("headline"),
+        F.col("props").alias("summary"),
+        F.col("html").alias("content"),
+        F.lit("wire").alias("source"),
+        F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("http://e/"), F.col("event_id").cast("string"))).alias("url"),
+        F.concat(F.lit("user "), (F.col("user_id") % 10).cast("string")).alias("author"),
+        F.when(F.col("event_id") % 11 == 0, F.array().cast("array<string>"))
+        .otherwise(F.array(F.concat(F.lit("N"), (F.col("user_id") % 25).cast("string"))))
+        .alias("symbols"),
+        F.col("ts").cast("timestamp").alias("created_at"),
+        (F.col("ts").cast("timestamp") + F.make_dt_interval(hours=F.col("delivery"))).alias("updated_at"),
     )
 
 

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quotemill.functions.text import clean_text
+from quotemill.operators.repeats import change_repeated
 from quotemill.schemas import ARTICLE_SCHEMA
+from quotemill.session import staged
 from quotemill.sources.articles import BACKFILL_DAYS, backfill_articles, matches_symbols, oldest_first
 from quotemill.sources.tables import is_built
 
@@ -24,13 +29,19 @@ MESSAGE_FIELDS = [
 # Name of the header with the creation time, in milliseconds.
 CREATED_HEADER = "created_at_ms"
 
+# How landing files are compressed.
+LANDING_CODEC = "gzip"
+
 # Times keep their microseconds.
 JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def land_articles(articles: DataFrame, path: str) -> None:
-    """Append articles to a folder as JSON lines, which :func:`live_articles` follows."""
-    articles.write.options(**JSON_TIMES).mode("append").json(path)
+    """Append articles to a folder as compressed JSON lines, which :func:`live_articles` follows.
+
+    A compressed file is read by one task, so there should be as many as the readers have cores.
+    """
+    articles.write.options(**JSON_TIMES, compression=LANDING_CODEC).mode("append").json(path)
 
 
 def live_articles(
@@ -61,9 +72,12 @@ def creation_time(records: DataFrame) -> Column:
     return F.timestamp_millis(F.get(found, F.lit(0))["value"].cast("string").cast("bigint"))
 
 
-def to_message(articles: DataFrame) -> DataFrame:
-    """Articles to message rows: the fields in order, the body cleaned."""
-    return articles.withColumn("content", clean_text("content")).select(*MESSAGE_FIELDS)
+def to_message(articles: DataFrame, *others: str) -> DataFrame:
+    """Articles to message rows: the fields in order, the body cleaned, then any other columns asked for.
+
+    A body that is delivered again next to its first delivery is cleaned once.
+    """
+    return change_repeated(articles.select(*MESSAGE_FIELDS, *others), "content", clean_text)
 
 
 def to_envelope(messages: DataFrame) -> DataFrame:
@@ -93,7 +107,7 @@ def publish_batch(records: DataFrame, path: str | None = None, kafka: dict[str,
         writer = records.drop("timestamp").write.format("kafka").option("kafka.acks", "all")
         writer.options(**kafka).save()
     else:
-        records.write.mode("append").parquet(path)
+        records.write.option("compression", "zstd").mode("append").parquet(path)
 
 
 def publish_stream(
@@ -111,8 +125,11 @@ def publish_stream(
         writer = writer.trigger(availableNow=True)
     if kafka is not None:
         return writer.format("kafka").option("kafka.acks", "all").options(**kafka).start()
-    return writer.format("parquet").option("path", path).start()
+    return writer.format("parquet").option("compression", "zstd").option("path", path).start()
+
 
+# Rows that a task gathers before it keeps one for each id.
+FOLD_ROWS = 100_000
 
 # Days a stream remembers an article: the longest back-fill, and a day for what arrives late.
 REMEMBERED_DAYS = BACKFILL_DAYS + 1
@@ -136,12 +153,33 @@ def dedupe_stream(
 def dedupe_lasting(messages: DataFrame, keep_days: int | None = None) -> DataFrame:
     """Drop re-delivered articles of a stream, however late they or their first delivery come.
 
-    Ids are keyed state; no watermark drops anything. Of several versions in one micro-batch the earliest is let through.
-    Rows without an id are no articles. With ``keep_days`` an id is forgotten so long after its last delivery; that is for
-    streams that run on, as one that ends with its input would wait for the time to pass. For more ids than fit into
-    memory, set RocksDB as the session's state store.
+    Ids are keyed state; no watermark drops anything. Of several versions in one micro-batch the earliest is let through: the rows
+    of an id meet in one task, which holds the earliest of each id, so a feed of long rows should limit its micro-batches.
+    Rows without an id are no articles. With ``keep_days`` an id is forgotten so long after its last delivery, which calls Python
+    for every id; that is for streams that run on, as one that ends with its input would wait for the time to pass. For more ids
+    than fit into memory, set RocksDB as the session's state store.
     """
 
+    def earliest_per_id(batches):
+        """Of the rows of a task the first version of each id; those without a time come last."""
+        held, unseen = [], 0
+
+        def reduced() -> pa.Table:
+            rows = pa.Table.from_batches(held)
+            order = rows.select(["id", "updated_at"]).append_column("place", pa.array(np.arange(len(rows))))
+            order = pc.sort_indices(order, [("id", "ascending"), ("updated_at", "ascending"), ("place", "ascending")], null_placement="at_end")
+            ids = rows.column("id").take(order).combine_chunks()
+            first = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True)
+            return rows.take(order.filter(pa.concat_arrays([pa.array([True]), first])))
+
+        for batch in batches:
+            held.append(batch)
+            unseen += len(batch)
+            if unseen > FOLD_ROWS:
+                held, unseen = reduced().to_batches(), 0
+        if sum(map(len, held)):
+            yield from reduced().to_batches(max_chunksize=10_000)
+
     def first_delivery(key, batches, state):
         if state.hasTimedOut:
             state.remove()
@@ -149,14 +187,15 @@ def dedupe_lasting(messages: DataFrame, keep_days: int | None = None) -> DataFra
         known = state.exists
         rows = pd.concat(list(batches))
         state.update(((state.get[0] if known else 0) + len(rows),))
-        if keep_days is not None:
-            state.setTimeoutDuration(keep_days * 86_400_000)
+        state.setTimeoutDuration(keep_days * 86_400_000)
         if not known:
             yield rows.sort_values("updated_at", kind="stable").head(1)
 
-    lives = GroupStateTimeout.NoTimeout if keep_days is None else GroupStateTimeout.ProcessingTimeTimeout
-    ids = messages.where(F.col("id").isNotNull()).groupBy("id")
-    return ids.applyInPandasWithState(first_delivery, messages.schema, "deliveries long", "append", lives)
+    articles = messages.where(F.col("id").isNotNull())
+    if keep_days is None:
+        return articles.repartition("id").mapInArrow(earliest_per_id, messages.schema).dropDuplicates(["id"])
+    lives = GroupStateTimeout.ProcessingTimeTimeout
+    return articles.groupBy("id").applyInPandasWithState(first_delivery, messages.schema, "deliveries long", "append", lives)
 
 
 def missed_articles(landed: DataFrame, published: DataFrame) -> DataFrame:
@@ -207,18 +246,20 @@ def backfill_by_day(
     end = end if isinstance(end, Column) else F.lit(end).cast("timestamp")
     first = F.date_format(F.to_utc_timestamp(end, F.current_timezone()), "yyyy-MM-dd'T'HH-mm-ss.SSS").alias("end")
     name = spark.range(1).select(first).first()["end"]
-    history = backfill_articles(stored, end, symbols, backfill_days)
     done, published = finished_days(spark, log), []
-    for place in range(backfill_days):
-        day = f"{name}-{backfill_days - place}d"
-        if day in done:
-            continue
-        articles = oldest_first(history.where(F.col("day_slice") == place).drop("day_slice"))
-        records = to_envelope(to_message(articles))
+    days = {place: f"{name}-{backfill_days - place}d" for place in range(backfill_days)}
+    days = {place: day for place, day in days.items() if day not in done}
+    if not days:
+        return published
+    # Read and cleaned once for all days, in the order of the store; putting a day in order reads its rows twice.
+    history = backfill_articles(stored, end, symbols, backfill_days).where(F.col("day_slice").isin(*days))
+    history = staged(to_message(history, "day_slice"), "back-fill")
+    for place, day in days.items():
+        records = to_envelope(oldest_first(history.where(F.col("day_slice") == place).drop("day_slice")))
         if kafka is not None:
             publish_batch(records, kafka=kafka)
         else:
-            records.write.mode("overwrite").parquet(f"{path}/day={day}")
+            records.write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/day={day}")
         spark.createDataFrame([(day,)], "day string").coalesce(1).write.mode("append").json(log)
         published.append(day)
     return published

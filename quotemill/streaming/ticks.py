@@ -55,6 +55,7 @@ def to_parquet(
     writer = (
         stream.writeStream.outputMode("append")
         .format("parquet")
+        .option("compression", "zstd")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
     )

@@ -472,3 +472,79 @@ def test_landing_files_are_short(spark):
 def test_xgboost_is_optional():
     # It is not bundled, and nothing else needs it.
     assert modeling.xgboost_available() is (importlib.util.find_spec("xgboost") is not None)
+
+
+def test_repeated_texts_are_changed_once_in_place(spark):
+    from quotemill.operators.repeats import change_repeated
+
+    changes = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def loud(text):
+        if text is not None:
+            changes.add(1)
+        return None if text == "gone" else f"{text}!"
+
+    texts = ["a"] * 50 + ["b", "a"] * 30 + [f"t{i % 7}" for i in range(300)] + [None, "gone", "", None, "gone", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    for remembered in (1, 2, 5, 256):
+        before = changes.value
+        rows = change_repeated(df, "t", loud, remembered).collect()
+        assert [r.i for r in rows] == list(range(len(texts)))
+        assert [r.t for r in rows] == [None if t == "gone" else f"{t}!" for t in texts], remembered
+    # Null is a text of its own; ten texts besides it are changed once each.
+    assert changes.value - before == 11
+    assert change_repeated(df.where("i < 0"), "t", loud).collect() == []
+
+
+def test_messages_of_equal_bodies_are_cleaned_like_others(spark):
+    from quotemill.functions.text import clean_text
+
+    rows = article_rows(spark).withColumn("content", F.lit("<p>**x** &amp; y</p>"))
+    expected = rows.select("id", clean_text("content").alias("c")).orderBy("id").collect()
+    found = messages.to_message(rows).orderBy("id").collect()
+    assert [(r.id, r.content) for r in found] == [(r.id, r.c) for r in expected]
+    assert messages.to_message(rows).columns == messages.MESSAGE_FIELDS
+
+
+def test_landing_files_are_compressed(spark):
+    path = work_path(spark, "landing")
+    rows = article_rows(spark).withColumn("content", F.repeat(F.lit("long body "), 10_000))
+    messages.land_articles(rows, path)
+    size = spark.read.format("binaryFile").option("pathGlobFilter", "part*").load(path).agg(F.sum("length")).first()[0]
+    assert size < rows.count() * 10_000
+    back = spark.read.schema(messages.ARTICLE_SCHEMA).json(path)
+    assert back.exceptAll(rows.select(*back.columns)).isEmpty() and back.count() == rows.count()
+
+
+def test_few_events_become_many_parts_of_articles(spark, tmp_path, monkeypatch):
+    from quotemill.sources import testbed
+
+    spark.range(100).selectExpr(
+        "id AS event_id", "'x' AS event_type", "'' AS props", "id AS user_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts"
+    ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(10).selectExpr("id AS page_id", "repeat('p', 1000) AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(testbed, "ARTICLE_BYTES", 10_000)
+    rows = testbed.live_articles(spark, str(tmp_path)).withColumn("part", F.spark_partition_id())
+    assert rows.count() == 110
+    # The single file of events is dealt by what its articles hold; all articles of a page are in one part.
+    assert 3 <= rows.select("part").distinct().count() <= 11
+    assert rows.groupBy(F.col("id") % 10).agg(F.countDistinct("part").alias("n")).where("n > 1").isEmpty()
+
+
+def test_lasting_memory_lets_the_earliest_of_a_batch_through(spark):
+    landing, out = work_path(spark, "landing"), work_path(spark, "out")
+    rows = spark.range(3000).selectExpr(
+        "CASE WHEN id % 10 = 9 THEN NULL ELSE id % 500 END AS id", "string(id) AS headline",
+        "timestamp'2024-01-01' AS created_at",
+        "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, (id * 7919) % 3000) AS updated_at",
+    )
+    messages.land_articles(rows, landing)
+    stream = messages.dedupe_lasting(messages.live_articles(spark, landing))
+    ticks.to_parquet(stream, out, work_path(spark, "checkpoint")).awaitTermination()
+    first = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("updated_at").alias("updated_at"))
+    found = spark.read.parquet(out).select("id", "updated_at")
+    assert sorted(found.collect()) == sorted(first.collect())
+    # One micro-batch of many ids is not a Python call for each of them.
+    plan = stream._jdf.queryExecution().logical().toString()
+    assert "FlatMapGroupsInPandasWithState" not in plan
