@@ -27,6 +27,8 @@ DEPTH = 5
 BLOCK_BYTES = 32_000_000
 # Numbers that gather before they are folded.
 FOLD = 3_000_000
+# Rows of a batch that goes back to Spark.
+SENT = 50_000
 # Context bytes that all nodes of a partition's subtree share, and codes that are weighted together.
 SHARED = 3
 TOGETHER = 100_000
@@ -239,8 +241,15 @@ def _in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) ->
 
 
 def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
+    if not keys or not sum(map(len, keys)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # Sorted and summed where they lie: numpy's unique with its inverse holds twice as much.
+    keys = np.concatenate(keys)
+    order = np.argsort(keys)
+    keys, counts = keys[order], np.concatenate(counts)[order]
+    del order
+    starts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+    return keys[starts], np.add.reduceat(counts, starts)
 
 
 def _asked(blocks: DataFrame, depth: int) -> DataFrame:
@@ -262,12 +271,15 @@ def _asked(blocks: DataFrame, depth: int) -> DataFrame:
                     keys, counts = _counted(keys, counts)
                     held[kind] = [keys], [counts]
         block = table.column("block")[0].as_py()
+        # In small batches: each is held once more on either side of the way back to Spark.
         out = []
-        for kind, parts in held.items():
-            keys, counts = _counted(*parts)
-            columns = [np.full(len(keys), kind, np.int8), keys, np.full(len(keys), block), counts]
-            out.append(pa.Table.from_arrays(list(map(pa.array, columns)), ["kind", "key", "block", "n"]))
-        return pa.concat_tables(out)
+        for kind in (GRAM, WORD):
+            keys, counts = _counted(*held.pop(kind))
+            for a in range(0, len(keys), SENT):
+                k, n = keys[a : a + SENT], counts[a : a + SENT]
+                columns = [np.full(len(k), kind, np.int8), k, np.full(len(k), block), n]
+                out.append(pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["kind", "key", "block", "n"]))
+        return pa.Table.from_batches(out)
 
     return blocks.groupBy("block").applyInArrow(ask, "kind byte, key long, block long, n long")
 

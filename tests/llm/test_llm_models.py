@@ -488,3 +488,21 @@ def test_labels_of_known_and_doubtful_candidates(spark):
     n = len(known)
     assert all(1 in labels[i] for i in range(n)) and all(i not in labels for i in range(n, n + len(doubtful)))
     assert all(labels[i] == {0} for i in range(n + len(doubtful), len(texts)))
+
+
+def test_counts_of_contexts_are_summed_in_little_memory():
+    import tracemalloc
+
+    from quotemill.llm.ctw import _counted
+
+    rng = np.random.default_rng(3)
+    keys = [rng.integers(0, 300_000, 200_000) for _ in range(4)]
+    counts = [rng.integers(0, 9, 200_000) for _ in range(4)]
+    expected, at = np.unique(np.concatenate(keys), return_inverse=True)
+    tracemalloc.start()
+    found, sums = _counted(keys, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == expected).all() and (sums == np.bincount(at, np.concatenate(counts)).astype(int)).all()
+    assert sums.dtype == np.int64 and peak < 50 * 800_000
+    assert [len(x) for x in _counted([], [])] == [0, 0]
