@@ -15,6 +15,8 @@ are summed in one more aggregation. UTF-8 has some 33,000 pairs of bytes, each w
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,13 +27,15 @@ from quotemill.llm.word_hashes import WordHasher
 
 DEPTH = 5
 BLOCK_BYTES = 32_000_000
-# Numbers that gather before they are folded.
-FOLD = 3_000_000
+# Bytes of text turned into numbers at once, of which each byte takes some fifty.
+PIECE_BYTES = 250_000
+# Numbers that gather, at least, before they are folded.
+FOLD = 250_000
 # Rows of a batch that goes back to Spark.
 SENT = 50_000
 # Context bytes that all nodes of a partition's subtree share, and codes that are weighted together.
 SHARED = 3
-TOGETHER = 100_000
+TOGETHER = 25_000
 HELD_OUT = (7, 2)
 # No byte of UTF-8 text: stands before the first byte and after the last.
 EDGE = 0xFF
@@ -252,34 +256,55 @@ def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return keys[starts], np.add.reduceat(counts, starts)
 
 
+class Counts:
+    """Sums by key of what is added, in the order of the keys."""
+
+    def __init__(self):
+        self.keys = self.counts = np.zeros(0, np.int64)
+        self.new: tuple[list, list] = ([], [])
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        for held, more in zip(self.new, (keys, counts), strict=True):
+            held.append(more)
+        # In proportion to what is held, so that it is copied a few times only.
+        if sum(map(len, self.new[0])) > max(FOLD, len(self.keys) // 2):
+            self.fold()
+
+    def fold(self) -> None:
+        keys, counts = _counted(*self.new)
+        self.new = ([], [])
+        # Only what is new is sorted; the rest makes room for it.
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        self.counts[at[known]] += counts[known]
+        self.keys = np.insert(self.keys, at[~known], keys[~known])
+        self.counts = np.insert(self.counts, at[~known], counts[~known])
+
+
 def _asked(blocks: DataFrame, depth: int) -> DataFrame:
     """Per block, every context with a next byte and every word in it, with its training count."""
 
-    def ask(table: pa.Table) -> pa.Table:
-        words, held = Words(), {GRAM: ([], []), WORD: ([], [])}
-        for batch in by_bytes(table.to_batches(), "text"):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Texts come and counts go in batches, so that neither is held whole.
+        words, held, block = Words(), {GRAM: Counts(), WORD: Counts()}, None
+        for batch in by_bytes(batches, "text", PIECE_BYTES):
+            block = batch.column("block")[0].as_py()
             texts = texts_of(batch, "text")
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            for kind, (found, starts) in ((GRAM, grams(texts, depth)), (WORD, words.of(texts))):
+            for kind, counts in held.items():
+                found, starts = grams(texts, depth) if kind == GRAM else words.of(texts)
                 used = np.repeat(train, np.diff([*starts, len(found)]))
-                keys, counts = held[kind]
                 for part in (True, False):
                     k, n = np.unique(found[used == part], return_counts=True)
-                    keys.append(k)
-                    counts.append(n if part else np.zeros_like(n))
-                if sum(map(len, keys)) > FOLD:  # so that what is held stays as small as the block's own contexts
-                    keys, counts = _counted(keys, counts)
-                    held[kind] = [keys], [counts]
-        block = table.column("block")[0].as_py()
-        # In small batches: each is held once more on either side of the way back to Spark.
-        out = []
-        for kind in (GRAM, WORD):
-            keys, counts = _counted(*held.pop(kind))
-            for a in range(0, len(keys), SENT):
-                k, n = keys[a : a + SENT], counts[a : a + SENT]
+                    counts.add(k, n if part else np.zeros_like(n))
+        for kind, counts in held.items():
+            counts.fold()
+            for a in range(0, len(counts.keys), SENT):
+                k, n = counts.keys[a : a + SENT], counts.counts[a : a + SENT]
                 columns = [np.full(len(k), kind, np.int8), k, np.full(len(k), block), n]
-                out.append(pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["kind", "key", "block", "n"]))
-        return pa.Table.from_batches(out)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["kind", "key", "block", "n"])
 
     return blocks.groupBy("block").applyInArrow(ask, "kind byte, key long, block long, n long")
 
@@ -352,14 +377,15 @@ def score_documents(
         kind, key = (answers.column(c).to_numpy() for c in ("kind", "key"))
         is_gram = kind == GRAM
         contexts, counted = Places(key[is_gram]), Places(key[~is_gram])
-        logs = answers.column("value").to_numpy()[is_gram].astype(float)
+        logs = answers.column("value").to_numpy()[is_gram]
         times = answers.column("count").to_numpy()[~is_gram]
         base_logs, seen = np.log10((times + 1) / whole), times > 0
+        del kind, key, is_gram, times
         words, out = Words(), []
-        for batch in by_bytes(texts.to_batches(), "text"):
+        for batch in by_bytes(texts.to_batches(), "text", PIECE_BYTES):
             data = texts_of(batch, "text")
             found, starts = grams(data, depth)
-            total = np.add.reduceat(logs[contexts.of(found)], starts)
+            total = np.add.reduceat(logs[contexts.of(found)].astype(float), starts)
             found, starts = words.of(data)
             place = counted.of(found)
             sizes = np.array([len(t) for t in data])

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from conftest import SF_DIR
 from llm_helpers import LONG, awkward, documents, empty
@@ -506,3 +508,54 @@ def test_counts_of_contexts_are_summed_in_little_memory():
     assert (found == expected).all() and (sums == np.bincount(at, np.concatenate(counts)).astype(int)).all()
     assert sums.dtype == np.int64 and peak < 50 * 800_000
     assert [len(x) for x in _counted([], [])] == [0, 0]
+
+
+def test_a_block_of_texts_is_counted_in_little_memory():
+    import tracemalloc
+
+    class Blocks:
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, function, _):
+            return function
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)]
+    texts = [" ".join(rng.choices(vocabulary, k=600)) for _ in range(1200)]
+    out = [i % 7 == 2 for i in range(len(texts))]
+    columns = [pa.array(out), pa.array(texts), pa.array([4] * len(texts), pa.int64())]
+    batch = pa.RecordBatch.from_arrays(columns, ["held_out", "text", "block"])
+    ask = ctw._asked(Blocks(), 5)
+    tracemalloc.start()
+    found = list(ask(iter([batch.slice(0, 700), batch.slice(700)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Texts of 4 MB; the numbers of 2 MB of them at once took 71 MB.
+    assert peak < 45_000_000
+    found = pa.Table.from_batches(found)
+    assert set(found.column("block").to_pylist()) == {4}
+    numbers = {ctw.GRAM: lambda t: ctw.grams(t, 5)[0], ctw.WORD: lambda t: ctw.Words().of(t)[0]}
+    for kind, of in numbers.items():
+        rows = found.filter(pc.equal(found["kind"], kind))
+        every = of([t.encode() for t in texts])
+        keys, counts = np.unique(of([t.encode() for t, o in zip(texts, out, strict=True) if not o]), return_counts=True)
+        assert (rows["key"].to_numpy() == np.unique(every)).all()
+        n = rows["n"].to_numpy()
+        assert (n[np.isin(rows["key"].to_numpy(), keys)] == counts).all() and n.sum() == counts.sum()
+
+
+def test_counts_are_merged_into_those_held(monkeypatch):
+    monkeypatch.setattr(ctw, "FOLD", 50)
+    rng = np.random.default_rng(9)
+    counts, keys, n = ctw.Counts(), [], []
+    for _ in range(60):
+        keys.append(np.unique(rng.integers(-400, 400, rng.integers(0, 40))))
+        n.append(rng.integers(0, 5, len(keys[-1])))
+        counts.add(keys[-1], n[-1])
+    counts.fold()
+    expected, at = np.unique(np.concatenate(keys), return_inverse=True)
+    assert (counts.keys == expected).all() and (counts.counts == np.bincount(at, np.concatenate(n))).all()
+    empty = ctw.Counts()
+    empty.fold()
+    assert len(empty.keys) == len(empty.counts) == 0
