@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.llm.components import connected_components
+from quotemill.llm.components import connected_components, joined_components
 from quotemill.llm.text import by_bytes, key_of, pieces, release, stage, texts_of
 from quotemill.llm.word_hashes import WordHasher, mixed
 
@@ -436,21 +436,22 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     release(met, open_keys)
     for every in [False] * FORESTS + [True]:
         pairs = stage(_tile_pairs(still, texts.select("cls", "bits"), every), "jaccard-pairs")
-        links = links.union(stage(_verified(pairs.filter("b is not null"), texts), "jaccard-links"))
-        ends = connected_components(links)
+        links = stage(_verified(pairs.filter("b is not null"), texts), "jaccard-links")
+        if not links.isEmpty():
+            groups = stage(joined_components(groups, links), "jaccard-groups")
         held_back = pairs.filter("b is null").select(F.col("a").alias("cls"))
         used = (pairs, still, texts)
         if held_back.isEmpty():
             break
         # Only classes of pairs held back go on, in their new groups.
         placed = still.drop("comp").join(held_back, "cls", "left_semi")
-        placed = placed.join(ends.withColumnRenamed("node", "cls"), "cls", "left")
+        placed = placed.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
         still = stage(placed.withColumn("comp", F.coalesce("component", "cls")).drop("component"), "jaccard-open")
         texts = stage(texts.join(held_back, "cls", "left_semi"), "jaccard-texts")
         release(*used)
     release(*used)
 
-    classes = named.join(ends.withColumnRenamed("node", "cls"), "cls", "left")
+    classes = named.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     classes = stage(classes.select("cls", "id", "digest", F.coalesce("component", "cls").alias("comp")), "jaccard-classes")
     # A component is named by its smallest id; of the classes that have it, one stays.
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "cls", "digest")).alias("one")

@@ -9,8 +9,9 @@ import pytest
 from conftest import SF_DIR
 from llm_helpers import awkward, documents, empty
 
+from quotemill.llm import components as link_groups
 from quotemill.llm import jaccard_join, suffix_dedup
-from quotemill.llm.components import connected_components
+from quotemill.llm.components import connected_components, joined_components
 from quotemill.llm.jaccard_join import (
     folded,
     keep_one_of_each,
@@ -210,6 +211,50 @@ def test_connected_components(spark):
     assert found == {n: find(n) for n in root if n not in (5, 3)}
 
 
+def test_components_are_written_in_few_files(spark, monkeypatch):
+    written = []
+
+    def counted(df, name):
+        out = staged(df, name)
+        written.append(len(out.inputFiles()))
+        return out
+
+    staged = link_groups.staged
+    monkeypatch.setattr(link_groups, "staged", counted)
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    pairs = lambda df: sorted((r.node, r.component) for r in df.collect())
+    # Links that are stars take no round.
+    stars = [(1, n) for n in range(2, 40)] + [(n, 50) for n in range(51, 90)]
+    assert pairs(connected_components(frame(stars))) == [(n, 1) for n in range(1, 40)] + [(n, 50) for n in range(50, 90)]
+    assert len(written) == 1
+    assert pairs(connected_components(frame([]))) == [] and len(written) == 2
+    # Few links are one file in every round, whatever the number of shuffle partitions.
+    written.clear()
+    partitions, adaptive = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = {k: spark.conf.get(k) for k in (partitions, adaptive)}
+    try:
+        spark.conf.set(partitions, 16)
+        spark.conf.set(adaptive, "false")
+        assert pairs(connected_components(frame([(n, n + 1) for n in range(100)]))) == [(n, 0) for n in range(101)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(written) > 2 and set(written[1:]) == {1}
+
+
+def test_joined_components(spark):
+    rng = random.Random(6)
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    pairs = lambda df: sorted((r.node, r.component) for r in df.collect())
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(90)]
+    # Between groups, inside one, between nodes that are in none, and with a smaller node than all.
+    more = [(rng.randrange(200), rng.randrange(200)) for _ in range(30)] + [links[0], (300, 301), (302, 300), (-1, links[1][0])]
+    for some in (more, []):
+        found = joined_components(connected_components(frame(links)), frame(some))
+        assert pairs(found) == pairs(connected_components(frame(links + some)))
+    assert pairs(joined_components(connected_components(frame([])), frame(more))) == pairs(connected_components(frame(more)))
+
+
 def brute_repeats(rows, length):
     texts = [(name, (text or "").encode()) for name, text in rows]
     seen = Counter(t[p : p + length] for _, t in texts for p in range(len(t) - length + 1))
