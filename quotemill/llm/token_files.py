@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import uuid
@@ -109,6 +110,18 @@ class ChunkEncoder:
         return np.frombuffer(b"".join(ids), self.dtype)
 
 
+@functools.lru_cache(maxsize=1)
+def _shared_encoder(path: str, dtype: str) -> ChunkEncoder:
+    return ChunkEncoder(path, dtype)
+
+
+def encoder_of(path: str, dtype: str) -> ChunkEncoder:
+    """The process's encoder, without cached pieces: a Python worker that loads the vocabulary anew for each file grows."""
+    encoder = _shared_encoder(path, dtype)
+    encoder.known, encoder.others = {}, {}
+    return encoder
+
+
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder all executors share."""
     if uri.startswith("/"):
@@ -267,7 +280,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = ChunkEncoder(path, dtype)
+                encoder = encoder_of(path, dtype)
                 sink, index = (fs.open_output_stream(f"{name}{end}.{attempt}") for end in (".arrow", ".index.arrow"))
                 writer = _SequenceWriter(sink, index, dtype, length)
             end = np.array([end_id], dtype)

@@ -15,7 +15,7 @@ from quotemill.llm import token_files
 from quotemill.llm.line_dedup import dedupe_lines
 from quotemill.llm.queries import QUERIES
 from quotemill.llm.token_counts import WordCounter, count_tokens, whole_tokens
-from quotemill.llm.token_files import ChunkEncoder, TokenFile, read_token_files, write_token_files
+from quotemill.llm.token_files import ChunkEncoder, TokenFile, encoder_of, read_token_files, write_token_files
 from quotemill.session import work_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +82,18 @@ def test_word_counts_and_chunks_follow_the_libraries(text):
     assert ChunkEncoder(BYTES, "<u2").encode(text).tolist() == expected
 
 
+def test_one_vocabulary_for_all_files_of_a_worker():
+    first = encoder_of(BYTES, "<u2")
+    ids = first.encode("some text, twice").tolist()
+    assert first.known
+    # The next file has the same vocabulary, and none of the pieces that the one before has cached.
+    again = encoder_of(BYTES, "<u2")
+    assert again.tokenizer is first.tokenizer and not again.known and not again.others
+    assert again.encode("some text, twice").tolist() == ids
+    # Another width of ids is another encoder.
+    assert encoder_of(BYTES, "<u4").encode("some text, twice").dtype == np.dtype("<u4")
+
+
 def test_token_counts_of_the_table(spark):
     tokenizer = Tokenizer.from_file(WORDS)
     for r, d in zip(
