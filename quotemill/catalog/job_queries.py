@@ -213,7 +213,7 @@ def _(spark, sf):
 def _(spark, sf):
     out, landed = work_path(spark, "unique"), _landed(spark, sf)
     # Several micro-batches in no order of time; what comes later than the memory is caught up.
-    stream = messages.dedupe_stream(messages.live_articles(spark, landed, 1))
+    stream = messages.dedupe_stream(messages.live_articles(spark, landed, messages.files_per_batch(spark, landed)))
     run = ticks.to_parquet(stream.select("id", "headline"), out, work_path(spark, "checkpoint"))
     run.awaitTermination()
     published = spark.read.parquet(out)

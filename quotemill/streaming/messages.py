@@ -32,6 +32,9 @@ CREATED_HEADER = "created_at_ms"
 # How landing files are compressed.
 LANDING_CODEC = "gzip"
 
+# Micro-batches that read what has landed, if there are as many files.
+MICRO_BATCHES = 4
+
 # Times keep their microseconds.
 JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -54,6 +57,16 @@ def live_articles(
     return reader.json(path)
 
 
+def files_per_batch(spark: SparkSession, path: str, batches: int = MICRO_BATCHES) -> int:
+    """Files of a micro-batch, for what has landed by now to be read in so many of them, all of it.
+
+    A micro-batch runs a task and commits files for every partition of the state, however few rows it brings, and reads a compressed
+    file with one core. One for each file would take longer with every file, also where the files are small.
+    """
+    landed = len(spark.read.schema(ARTICLE_SCHEMA).json(path).inputFiles())
+    return max(1, -(-landed // batches))
+
+
 def kafka_articles(spark: SparkSession, bootstrap_servers: str, topic: str) -> DataFrame:
     """Articles from a topic of JSON messages (needs Spark's Kafka connector)."""
     raw = (

@@ -548,3 +548,49 @@ def test_lasting_memory_lets_the_earliest_of_a_batch_through(spark):
     # One micro-batch of many ids is not a Python call for each of them.
     plan = stream._jdf.queryExecution().logical().toString()
     assert "FlatMapGroupsInPandasWithState" not in plan
+
+
+def write_events_and_pages(spark, folder, events=400):
+    """Events in no order of time over 30 days, and pages for their bodies."""
+    spark.range(events).selectExpr(
+        "id AS event_id", "concat('h', id) AS event_type", "'' AS props", "id AS user_id",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval((id * 7) % 30) AS ts",
+    ).write.parquet(f"{folder}/events.parquet")
+    spark.range(50).selectExpr("id AS page_id", "repeat('p', 100) AS html").write.parquet(f"{folder}/pages.parquet")
+
+
+def rows_and_batches(spark, name, folder, monkeypatch, partitions):
+    """What a query gives with so many shuffle partitions, the landed files and the micro-batches that read them."""
+    from quotemill import catalog
+    from quotemill.catalog import job_queries
+    from quotemill.sources import testbed
+
+    paths, before = {}, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(testbed, "ARTICLE_BYTES", 10_000)
+    monkeypatch.setattr(job_queries, "work_path", lambda s, n: paths.setdefault(n, work_path(s, n)))
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = catalog.queries()[name](spark, folder).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = spark.read.schema(messages.ARTICLE_SCHEMA).json(paths["articles"]).inputFiles()
+    # Only micro-batches that read files have a log of them.
+    log = spark.read.text(f"{paths['checkpoint']}/sources/0").where("value LIKE '{%'")
+    return rows, len(files), log.select(F.get_json_object("value", "$.batchId")).distinct().count()
+
+
+def test_many_landed_files_are_read_in_few_micro_batches(spark, tmp_path, monkeypatch):
+    write_events_and_pages(spark, str(tmp_path))
+    rows, files, batches = rows_and_batches(spark, "stream_news_dedupe", str(tmp_path), monkeypatch, 24)
+    # Every id once, those later than the memory as well.
+    assert sorted(rows) == sorted((i, f"h{i}") for i in range(400))
+    assert files > 3 * messages.MICRO_BATCHES and batches == messages.MICRO_BATCHES
+
+
+def test_micro_batches_take_all_files(spark):
+    path, rows = work_path(spark, "landing"), article_rows(spark)
+    for files, expected in ((1, 1), (4, 1), (5, 2), (9, 3)):
+        found = f"{path}-{files}"
+        for _ in range(files):
+            messages.land_articles(rows.coalesce(1), found)
+        assert messages.files_per_batch(spark, found) == expected, files
