@@ -224,9 +224,9 @@ def _(spark, sf):
 
 @query("stream_news_dedupe_lasting", f"WITH {ARTICLES} SELECT id, headline FROM base")
 def _(spark, sf):
-    out = work_path(spark, "unique")
+    out, landed = work_path(spark, "unique"), _landed(spark, sf)
     # The columns that the result and the choice of a version need: a state takes every column it is given.
-    stream = messages.live_articles(spark, _landed(spark, sf), 2).select("id", "headline", "updated_at")
+    stream = messages.live_articles(spark, landed, messages.files_per_batch(spark, landed)).select("id", "headline", "updated_at")
     stream = messages.dedupe_lasting(stream)
     ticks.to_parquet(stream.select("id", "headline"), out, work_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(out)

@@ -579,9 +579,10 @@ def rows_and_batches(spark, name, folder, monkeypatch, partitions):
     return rows, len(files), log.select(F.get_json_object("value", "$.batchId")).distinct().count()
 
 
-def test_many_landed_files_are_read_in_few_micro_batches(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("name", ["stream_news_dedupe", "stream_news_dedupe_lasting"])
+def test_many_landed_files_are_read_in_few_micro_batches(spark, tmp_path, monkeypatch, name):
     write_events_and_pages(spark, str(tmp_path))
-    rows, files, batches = rows_and_batches(spark, "stream_news_dedupe", str(tmp_path), monkeypatch, 24)
+    rows, files, batches = rows_and_batches(spark, name, str(tmp_path), monkeypatch, 24)
     # Every id once, those later than the memory as well.
     assert sorted(rows) == sorted((i, f"h{i}") for i in range(400))
     assert files > 3 * messages.MICRO_BATCHES and batches == messages.MICRO_BATCHES
